@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, tokenfile
+from pairforge.llm import bpe, mixing, secrets, tokenfile
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +23,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(documents(spark, sf_dir)).drop("times")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(documents(spark, sf_dir)))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +38,6 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_token_files": op8_token_files}
+QUERIES = {q.__name__: q for q in (op1_bpe, op3_mixing, op8_token_files, op9_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}

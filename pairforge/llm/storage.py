@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +30,16 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A table of at most so many narrow rows may be broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def lookup(df: DataFrame, name: str) -> DataFrame:
+    """A table to join by: written, counted, and broadcast only if it is small.
+
+    Beyond the bound Spark joins it by sort, splitting skewed keys.
+    """
+    table = written(df, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
