@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, mixing, secrets, tokenfile
+from pairforge.llm import bpe, mixing, quality, secrets, tokenfile, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +31,18 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(documents(spark, sf_dir)))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +50,6 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path)
 
 
-QUERIES = {q.__name__: q for q in (op1_bpe, op3_mixing, op8_token_files, op9_secrets)}
+QUERIES = {q.__name__: q for q in (op1_bpe, op3_mixing, op6_toxicity, op7_quality, op8_token_files, op9_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
