@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, mixing, quality, secrets, tokenfile, toxicity
+from pairforge.llm import bpe, mixing, quality, secrets, simhash, tokenfile, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +31,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(documents(spark, sf_dir)))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -50,6 +55,6 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path)
 
 
-QUERIES = {q.__name__: q for q in (op1_bpe, op3_mixing, op6_toxicity, op7_quality, op8_token_files, op9_secrets)}
+QUERIES = {q.__name__: q for q in (op1_bpe, op3_mixing, op4_simhash, op6_toxicity, op7_quality, op8_token_files, op9_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
