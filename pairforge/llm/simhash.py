@@ -123,7 +123,7 @@ def near_duplicates(df: DataFrame, text: str = "text", width: int = SHINGLE) ->
 def keep_one(df: DataFrame, text: str = "text", width: int = SHINGLE) -> DataFrame:
     """The rows of one document of each component, the one with the smallest id, with all columns.
 
-    Rows with a null id are kept if no row of their component has an id.
+    Rows with a null id name no document and are all kept.
     """
     found = near_duplicates(df, text, width)
     first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
