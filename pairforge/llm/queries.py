@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, mixing, quality, secrets, simhash, tokenfile, toxicity
+from pairforge.llm import bpe, mixing, quality, secrets, simhash, substring, tokenfile, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +23,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicate_table(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(documents(spark, sf_dir)).drop("times")
 
@@ -55,6 +60,6 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path)
 
 
-QUERIES = {q.__name__: q for q in (op1_bpe, op3_mixing, op4_simhash, op6_toxicity, op7_quality, op8_token_files, op9_secrets)}
+QUERIES = {q.__name__: q for q in (op1_bpe, op2_substring, op3_mixing, op4_simhash, op6_toxicity, op7_quality, op8_token_files, op9_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
