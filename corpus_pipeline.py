@@ -1,8 +1,64 @@
-"""Corpus pipeline: stages are added as their operators are."""
+"""Corpus pipeline: five stages from raw documents to token ids.
 
-STAGES = []
+Each stage is a function ``(spark, docs, sf_dir) -> DataFrame``. Its result is
+written as Parquet and read again as the next stage's ``docs``. All stages but
+the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairforge.llm import bpe, mixing, quality, secrets, simhash
+from pairforge.llm.queries import documents, labels, tokenizer_path
+from pairforge.llm.storage import written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, labels(spark, sf_dir))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return simhash.keep_one(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; ``n_chars`` follows."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (packed little-endian uint32), with the digest of what they decode to."""
+    coded = bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.json"), keep=("doc_id", "lang", "source"))
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("simhash near-dedup", simhash_stage),
+    ("secret scans", secrets_stage),
+    ("mixing sources", mixing_stage),
+    ("bpe encoding", bpe_stage),
+]
+
+#: Classifier and tokenizer cannot be put in SQL; the tests hold every stage against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``."""
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name.replace(" ", "_"))
+    return docs

@@ -173,8 +173,7 @@ def score(df: DataFrame, labels: DataFrame, column: str = "quality") -> DataFram
 
 def keep_good(df: DataFrame, labels: DataFrame, column: str = "quality", text: str = "text") -> DataFrame:
     """The rows whose text is not rejected, with all of their columns."""
-    wanted = training_labels(labels, column)
-    model = fit(measured(df.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")), wanted)
+    model = fit(measured(df, text), training_labels(labels, column))
     if model is None:
         return df
     at = df.columns.index(text)

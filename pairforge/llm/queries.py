@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, mixing, quality, secrets, simhash, substring, tokenfile, toxicity
+from pairforge.llm import bpe, maxscore, media, mixing, quality, secrets, simhash, substring, tokenfile, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,6 +41,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -60,6 +64,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path)
 
 
-QUERIES = {q.__name__: q for q in (op1_bpe, op2_substring, op3_mixing, op4_simhash, op6_toxicity, op7_quality, op8_token_files, op9_secrets)}
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read(spark, media.store(documents(spark, sf_dir)))
+
+
+QUERIES = {q.__name__: q for q in (op1_bpe, op2_substring, op3_mixing, op4_simhash, op5_maxscore, op6_toxicity, op7_quality, op8_token_files, op9_secrets, op10_media)}
 
 ORACLE_SQL: dict[str, str] = {}
