@@ -32,6 +32,7 @@ from __future__ import annotations
 import base64
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +65,8 @@ def _frequent_pairs(seq: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.n
     bucket[last[:-1]] = 1 << _BUCKET_BITS
     counts = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1)
     counts[-1] = 0
-    least = max(LEAST, int(np.partition(counts, -PAIRS)[-PAIRS]))
+    full = counts[counts >= LEAST]
+    least = max(LEAST, int(np.partition(full, -PAIRS)[-PAIRS])) if len(full) > PAIRS else LEAST
     at = np.flatnonzero(counts[bucket] >= least)
     if not len(at):
         return none, none
@@ -233,7 +235,9 @@ def write(df: DataFrame, ranks_path: str, pattern: str, path: str | None = None,
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 names.append(name)
-                ids.append(np.array([*encoder.encode(value or "", allowed_special="all"), end_id], np.uint32))
+                found = encoder.encode(value or "", allowed_special="all")
+                found.append(end_id)
+                ids.append(np.frombuffer(array("I", found), np.uint32))
                 held += len(ids[-1])
                 if held >= SHARD_IDS:
                     yield row()
