@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.storage import scratch_path, written
+from pairforge.llm.storage import scratch_path, small, written
 
 #: Payloads are filled with zero bytes to a multiple of this; samples a second.
 UNIT, RATE = 64, 16_000
@@ -111,7 +111,7 @@ def feature(payload: bytes) -> str:
 
 def _recipes(df: DataFrame, text: str) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sizes, whole, digests = [], [], []
             for t in batch.column(1).to_pylist():
                 n, payload = payload_of(t)
@@ -155,7 +155,7 @@ def store(df: DataFrame, path: str | None = None, text: str = "text") -> str:
 
     def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, coder = np.frombuffer(shared.value, np.uint8), zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 n, payload = payload_of(t)
@@ -166,7 +166,7 @@ def store(df: DataFrame, path: str | None = None, text: str = "text") -> str:
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, coder = np.frombuffer(shared.value, np.uint8), zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in small(batches):
             found: dict[bytes, bytes] = {}
             for t in batch.column(1).to_pylist():
                 pieces = chunks(wave(payload_of(t)[1]))
@@ -181,8 +181,8 @@ def store(df: DataFrame, path: str | None = None, text: str = "text") -> str:
             yield batch.filter(pa.array([_holds(table, d) for d in batch.column(batch.schema.get_field_index("digests")).to_pylist()], pa.bool_()))
 
     # a store of two tables; both writes are committed whole or not at all
-    docs.mapInArrow(packs, f"doc_id {kind}, n_bytes long, whole binary, pack binary").write.mode("overwrite").option("compression", "none").parquet(f"{path}/packs")
-    docs.mapInArrow(parts, "digest binary, body binary").groupBy("digest").agg(F.first("body").alias("body")).write.mode("overwrite").option("compression", "none").parquet(f"{path}/chunks")
+    docs.mapInArrow(packs, f"doc_id {kind}, n_bytes long, whole binary, pack binary").write.mode("overwrite").options(**_AS_IS).parquet(f"{path}/packs")
+    docs.mapInArrow(parts, "digest binary, body binary").groupBy("digest").agg(F.first("body").alias("body")).write.mode("overwrite").options(**_AS_IS).parquet(f"{path}/chunks")
     recipes.mapInArrow(mixed, recipes.schema).write.mode("overwrite").parquet(f"{path}/recipes")
     return path
 
@@ -199,6 +199,8 @@ def _read_back(doc_ids: pa.Array, sizes: pa.Array, whole: list[bytes], files: It
     return pa.RecordBatch.from_arrays([doc_ids, sizes, *[pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)]], names=["doc_id", "n_bytes", *_FEATURES])
 
 
+#: Bodies are compressed already; small row groups keep a writer's memory low.
+_AS_IS = {"compression": "none", "parquet.block.size": str(16 << 20)}
 _FEATURES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
@@ -210,12 +212,12 @@ def read(spark, path: str) -> DataFrame:
 
     def from_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in small(batches):
             yield _read_back(batch.column(0), batch.column(1), batch.column(2).to_pylist(), (coder.decompress(p.as_py()) for p in batch.column(3)))
 
     def from_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in small(batches):
             files = (b"".join(coder.decompress(p["body"]) for p in sorted(parts.as_py(), key=lambda p: p["pos"])) for parts in batch.column(3))
             yield _read_back(batch.column(0), batch.column(1), batch.column(2).to_pylist(), files)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.llm import bpe, maxscore, media, mixing, quality, secrets, simhash, substring, tokenfile, toxicity
+from pairforge.llm.storage import frugal
 
 
 def tokenizer_path(name: str) -> str:
@@ -15,6 +16,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frugal(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,19 @@ def lookup(df: DataFrame, name: str) -> DataFrame:
     """
     table = written(df, name)
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a few hundred, which bounds what a worker holds beside its input."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
+#: Rows of an Arrow batch: whole texts travel in it, so the default of 10,000 would hold far too much at once.
+ARROW_ROWS = 512
+
+
+def frugal(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small, as executors hold one or two of them for each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
