@@ -56,7 +56,8 @@ def score_of(x: C) -> Column:
     )
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda n: n.try_cast("double"))
     first = F.get(F.filter(numbers, lambda n: n.between(0, 1)), F.lit(0))
-    return F.coalesce(F.least(F.greatest(named, F.lit(0.0)), F.lit(1.0)), first)
+    clamped = F.when(named.isNotNull(), F.least(F.greatest(named, F.lit(0.0)), F.lit(1.0)))
+    return F.coalesce(clamped, first)
 
 
 def tagged_score(x: C) -> Column:

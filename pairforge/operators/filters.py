@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions import answers
+from pairforge.functions.similarity import best_window_ratio, matching_ratio
+from pairforge.functions.udf import vectorised
 
 #: Thresholds of the routes and filters.
 AMBIGUOUS, REWARD, PROMPT = 0.25, 0.5, 0.8
@@ -44,11 +47,8 @@ def generate_and_compare(candidates: str, truth: str, threshold: float = 0.9) ->
     Rows without candidates are not kept. Candidates are compared row by row in
     one pandas UDF, so nothing is exploded.
     """
-    import pandas as pd
 
-    from pairforge.functions.similarity import best_window_ratio
-
-    @F.pandas_udf("boolean")
+    @vectorised("boolean")
     def hit(cs: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([y is not None and c is not None and any(x is not None and best_window_ratio(x.lower(), y.lower()) >= threshold for x in c) for c, y in zip(cs, t, strict=True)])
 
@@ -57,11 +57,8 @@ def generate_and_compare(candidates: str, truth: str, threshold: float = 0.9) ->
 
 def judged(options: str, index: str, picked: str, threshold: float = 0.8) -> Column:
     """The option a judge picked, if its number is in range and the judged text resembles it; else null."""
-    import pandas as pd
-
-    from pairforge.functions.similarity import matching_ratio
 
-    @F.pandas_udf("string")
+    @vectorised("string")
     def pick(os: pd.Series, i: pd.Series, p: pd.Series) -> pd.Series:
         out = []
         for o, k, text in zip(os, i, p, strict=True):
