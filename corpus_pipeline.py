@@ -12,32 +12,37 @@ from pyspark.sql import functions as F
 
 from pairforge.llm import bpe, mixing, quality, secrets, simhash
 from pairforge.llm.queries import documents, labels, tokenizer_path
-from pairforge.llm.storage import written
+from pairforge.llm.storage import frugal, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    frugal(spark)
     return quality.keep_good(docs, labels(spark, sf_dir))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    frugal(spark)
     return simhash.keep_one(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mark; ``n_chars`` follows."""
+    frugal(spark)
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken as often as the mix of sources takes them."""
+    frugal(spark)
     return mixing.mix(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed little-endian uint32), with the digest of what they decode to."""
+    frugal(spark)
     coded = bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.json"), keep=("doc_id", "lang", "source"))
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -40,7 +40,7 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Texts are handled in slices of about so many characters, which bounds a trie.
 SLICE_CHARS = 2_000_000
 #: Each of the two generations of a worker's chunk cache holds so many entries.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -97,7 +97,7 @@ class Bpe:
         key = a << 20 | b
         known = self._pair.get(key)
         if known is None:
-            if len(self._pair) > 1_000_000:
+            if len(self._pair) > 500_000:
                 self._pair.clear()
             known = self._pair[key] = self._stable(a, b)
         return known
