@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.llm import bpe, maxscore, media, mixing, quality, secrets, simhash, substring, tokenfile, toxicity
+from pairforge.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from pairforge.llm.storage import frugal
 
 
@@ -71,5 +72,3 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (op1_bpe, op2_substring, op3_mixing, op4_simhash, op5_maxscore, op6_toxicity, op7_quality, op8_token_files, op9_secrets, op10_media)}
-
-ORACLE_SQL: dict[str, str] = {}
