@@ -1022,3 +1022,34 @@ def _relational(sql: str) -> Query:
 
 for _name, (_sql, _oracle) in RELATIONAL.items():
     query(_oracle or _sql, f"r_{_name}")(_relational(_sql))
+
+
+# == stages ====================================================================================================
+@query()
+def x7_generate(spark, d):
+    from pairforge.plans import stages
+
+    return stages.generate(fixtures.tables(spark)).select("table_id", "sql", "db_sql", "seeding_type", "seeding_value", "attempts")
+
+
+@query()
+def ev8_evolve_stage(spark, d):
+    from pairforge.plans import stages
+
+    return stages.evolve(fixtures.queries(spark), fixtures.tables(spark)).select("row_id", "schema_change_type", "new_sql", "status", "db_query_match", "accepted")
+
+
+@query()
+def qm7_relaxed_match(spark, d):
+    from pairforge.plans import stages
+
+    pairs = fixtures.queries(spark).select("row_id", F.col("sql").alias("gold"), F.upper("sql").alias("predicted"))
+    return stages.judged_match(pairs, "gold", "predicted", lambda: lambda text: '{"equivalent": true}').select("row_id", "relaxed")
+
+
+@query(f"SELECT row_id, table_id FROM {_SQL_VALUES} WHERE row_id > 3")
+def w1_resume(spark, d):
+    from pairforge.plans import stages
+
+    q = fixtures.queries(spark)
+    return stages.resume(q, q.filter("row_id <= 3")).select("row_id", "table_id")
