@@ -39,7 +39,16 @@ WINDOW, PIECE = 50, 10
 #: Texts are hashed in slices of about so many words.
 SLICE = 400_000
 
-_WORDS: dict[bytes, int] = {}
+
+class _Hashes(dict):
+    """Word hashes of a worker, made when a word is first seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
+
+
+_WORDS = _Hashes()
 _POWERS: dict[int, np.ndarray] = {}
 #: Odd bases of the two window hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -50,16 +59,9 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _WORDS
-    if len(known) > 400_000:
-        known.clear()
-    try:
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        hashed = xxhash.xxh3_64_intdigest
-        for w in set(words) - known.keys():
-            known[w] = hashed(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    if len(_WORDS) > 300_000:
+        _WORDS.clear()
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -100,24 +102,30 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Hashed:
-    """The windows of some texts: their document's number, place, fingerprint and keys."""
+    """The windows of some texts: their document's number, place and fingerprint."""
 
-    def __init__(self, texts: list[list[bytes]], keys: bool = True):
+    def __init__(self, texts: list[list[bytes]]):
         sizes = np.array([len(t) for t in texts], np.int64)
-        words = _word_hashes([w for t in texts for w in t])
+        self._words = _word_hashes([w for t in texts for w in t])
         begins = np.cumsum(sizes) - sizes
         counts = np.maximum(sizes - WINDOW + 1, 0)
         self.doc = np.repeat(np.arange(len(texts)), counts)
         self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.repeat(begins, counts) + self.place
+        self._at = np.repeat(begins, counts) + self.place
+        self.fingerprint = np.empty(0, np.int64)
+        if len(self._at):
+            self._sums = _sums(self._words, _BASES[0])
+            self.fingerprint = _least(_rolling(self._sums, _BASES[0], PIECE), WINDOW - PIECE + 1)[self._at].view(np.int64)
+
+    def key(self, number: int, which: np.ndarray) -> np.ndarray:
+        """One of the two hashes of the whole windows that ``which`` marks."""
+        at = self._at[which]
         if not len(at):
-            self.fingerprint = self.key1 = self.key2 = np.empty(0, np.int64)
-            return
-        sums = _sums(words, _BASES[0])
-        self.fingerprint = _least(_rolling(sums, _BASES[0], PIECE), WINDOW - PIECE + 1)[at].view(np.int64)
-        if keys:
-            self.key1 = _rolling(sums, _BASES[0], WINDOW)[at].view(np.int64)
-            self.key2 = _rolling(_sums(_mixed(words), _BASES[1]), _BASES[1], WINDOW)[at].view(np.int64)
+            return np.empty(0, np.int64)
+        base = _BASES[number]
+        sums = _sums(_mixed(self._words), base) if number else self._sums
+        inverse = _powers(pow(base, -1, 1 << 64), len(self._words))
+        return _mixed((sums[at + WINDOW] - sums[at]) * inverse[at]).view(np.int64)
 
 
 def _sliced(rows: list[tuple]) -> Iterator[list[tuple]]:
@@ -134,34 +142,41 @@ def _sliced(rows: list[tuple]) -> Iterator[list[tuple]]:
 
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, anchor): the window fingerprints of each document, mostly without repeats."""
+    """(doc_id, anchor): the window fingerprints of each row, without repeats."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             rows = [(split_words(t), i) for i, t in enumerate(batch.column(1).to_pylist())]
             for group in _sliced(rows):
-                h = Hashed([r[0] for r in group], keys=False)
+                h = Hashed([r[0] for r in group])
                 new = np.ones(len(h.doc), bool)
                 new[1:] = (h.fingerprint[1:] != h.fingerprint[:-1]) | (h.doc[1:] != h.doc[:-1])
-                names = ids.take(pa.array(np.array([r[1] for r in group], np.int64)[h.doc[new]]))
-                yield pa.RecordBatch.from_arrays([names, pa.array(h.fingerprint[new])], names=["doc_id", "anchor"])
+                doc, found = h.doc[new], h.fingerprint[new]
+                order = np.lexsort((found, doc))
+                doc, found = doc[order], found[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
+                names = ids.take(pa.array(np.array([r[1] for r in group], np.int64)[doc[new]]))
+                yield pa.RecordBatch.from_arrays([names, pa.array(found[new])], names=["doc_id", "anchor"])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text)).filter("doc_id is not null").mapInArrow(mapped, "doc_id long, anchor long")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, first, last) in one folder.
+    """Sorted immutable runs of (anchor, first, last) in one folder, and of (doc_id, n) beside them.
 
-    ``runs`` lists the live ones; to open an index again, pass what it was.
+    ``runs`` and ``counts`` list the live ones; to open an index again, pass what
+    they were.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, runs: list[str] | None = None):
-        self.spark, self.path, self.runs = spark, path or scratch_path(spark, "fingerprint_index"), list(runs or [])
+    def __init__(self, spark: SparkSession, path: str | None = None, runs: list[str] | None = None, counts: list[str] | None = None):
+        self.spark, self.path = spark, path or scratch_path(spark, "fingerprint_index")
+        self.runs, self.counts = list(runs or []), list(counts or [])
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, rows: DataFrame, key: str = "anchor") -> str:
         run = f"{self.path}/run-{uuid.uuid4().hex}"
-        rows.sortWithinPartitions("anchor").write.parquet(run)
+        rows.sortWithinPartitions(key).write.parquet(run)
         return run
 
     def _read(self, run: str) -> DataFrame:
@@ -169,11 +184,11 @@ class FingerprintIndex:
 
     def append(self, df: DataFrame, batches: int = 1, text: str = "text") -> None:
         """Add a batch of documents, or several that are told apart by a hash of the id."""
-        found = fingerprints(df, text)
-        if batches > 1:  # texts are read once for all batches
-            found = written(found.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "fingerprints")
+        # texts are read once for all batches
+        found = written(fingerprints(df, text).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "fingerprints")
+        self.counts.append(self._write(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id"))
         for k in range(batches):
-            part = found.filter(F.col("batch") == k) if batches > 1 else found
+            part = found.filter(F.col("batch") == k)
             self.runs.append(self._write(part.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))))
 
     def compact(self) -> DataFrame:
@@ -186,18 +201,28 @@ class FingerprintIndex:
         return self._read(self.runs[0])
 
 
+    def documents(self) -> DataFrame:
+        """(doc_id, n): fingerprints of each document, repeated rows added up."""
+        rows = [self.spark.read.schema("doc_id long, n long").parquet(run) for run in self.counts]
+        out = rows[0]
+        for r in rows[1:]:
+            out = out.union(r)
+        return out if len(rows) == 1 else out.groupBy("doc_id").agg(F.sum("n").alias("n"))
+
+
 def _candidates(df: DataFrame) -> DataFrame:
     """(key1, key2, doc_id, place) of the windows whose fingerprint is not the document's own; ``df`` has doc_id, text, own."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            rows = [(split_words(t), i, own) for i, (t, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True))]
+            rows = [(split_words(t), i, own) for i, (t, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)) if t is not None]
             for group in _sliced(rows):
                 h = Hashed([r[0] for r in group])
                 open_ = _open(h, [r[2] for r in group])
+                open_ &= np.array([ids[r[1]].is_valid for r in group])[h.doc]
                 names = ids.take(pa.array(np.array([r[1] for r in group], np.int64)[h.doc[open_]]))
-                yield pa.RecordBatch.from_arrays([pa.array(h.key1[open_]), pa.array(h.key2[open_]), names, pa.array(h.place[open_].astype(np.int32))], names=["key1", "key2", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.key(0, open_)), pa.array(h.key(1, open_)), names, pa.array(h.place[open_].astype(np.int32))], names=["key1", "key2", "doc_id", "place"])
 
     return df.mapInArrow(mapped, "key1 long, key2 long, doc_id long, place int")
 
@@ -225,12 +250,16 @@ def deduplicate(df: DataFrame, index: FingerprintIndex, history: DataFrame | Non
     """
     anchors = index.compact()
     own = anchors.filter("first = last").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("anchor").alias("own"))
+    # a document all of whose fingerprints are its own has no window to look at
+    known = index.documents().join(own, "doc_id", "left").select("doc_id", F.when(F.col("n") > F.coalesce(F.size("own"), F.lit(0)), F.coalesce("own", F.array().cast("array<long>"))).alias("own"))
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = docs.join(own, "doc_id", "left").select("doc_id", "text", "own")
-    windows = _candidates(marked.filter("doc_id is not null"))
+    marked = docs.join(known, "doc_id", "left").select("doc_id", "text", "own")
+    # the same join again below, so that its shuffle of the texts is reused
+    looked_at = F.when(F.col("own").isNotNull(), F.col("text")).alias("text")
+    windows = _candidates(marked.select("doc_id", looked_at, "own"))
     if history is not None:
         old = history.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-        windows = windows.union(_candidates(old.join(own, "doc_id", "left").filter("doc_id is not null").select("doc_id", "text", "own")))
+        windows = windows.union(_candidates(old.join(known, "doc_id", "left").select("doc_id", looked_at, "own")))
     owners = windows.groupBy("key1", "key2").agg(F.min("doc_id").alias("owner"), F.min_by("place", "doc_id").alias("place"))
     owned = owners.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("place").alias("owned"))
     told = marked.join(owned, "doc_id", "left").select("doc_id", "text", "own", "owned")
@@ -239,26 +268,26 @@ def deduplicate(df: DataFrame, index: FingerprintIndex, history: DataFrame | Non
         for batch in batches:
             ids = batch.column(0)
             rows = [(split_words(t), i, own, owned) for i, (t, own, owned) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True))]
-            for group in _sliced(rows):
+            n_removed = [0] * len(rows)
+            kept = [b" ".join(r[0]) for r in rows]
+            for group in _sliced([r for r in rows if r[2].is_valid and ids[r[1]].is_valid]):
                 h = Hashed([r[0] for r in group])
                 open_ = _open(h, [r[2] for r in group])
+                keys = np.zeros(len(h.doc), np.int64)
+                keys[open_] = h.key(0, open_)
                 bounds = np.searchsorted(h.doc, np.arange(len(group) + 1))
-                n_words, n_removed, kept = [], [], []
-                for i, (words, at, _, places) in enumerate(group):
+                for i, (words, row, _, places) in enumerate(group):
                     a, b = bounds[i], bounds[i + 1]
-                    gone = np.zeros(len(words), bool)
-                    if b > a and open_[a:b].any() and ids[at].is_valid:
-                        mine = _values(places)
-                        lost = open_[a:b] & ~np.isin(h.key1[a:b], h.key1[a:b][mine])
+                    lost = open_[a:b] & ~np.isin(keys[a:b], keys[a:b][_values(places)])
+                    if lost.any():
                         edges = np.zeros(len(words) + 1, np.int64)
                         edges[: b - a] += lost
                         edges[WINDOW : WINDOW + b - a] -= lost
                         gone = np.cumsum(edges[:-1]) > 0
-                    n_words.append(len(words))
-                    n_removed.append(int(gone.sum()))
-                    kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if n_removed[-1] else words))
-                names = ids.take(pa.array([r[1] for r in group], pa.int64()))
-                yield pa.RecordBatch.from_arrays([names, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                        n_removed[row] = int(gone.sum())
+                        kept[row] = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+            n_words = [len(r[0]) for r in rows]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return told.mapInArrow(mapped, "doc_id long, n_words long, n_removed long, kept string")
 
