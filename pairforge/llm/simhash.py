@@ -81,7 +81,9 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = SHINGLE) -> Dat
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b) with a < b: links among distinct fingerprints ``fp`` that keep every component whole."""
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-    probes = distinct.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.repartition(n, F.xxhash64("fp"))  # a row becomes 65, so few rows still need many tasks
+    probes = spread.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
     met = probes.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
     pairs = met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 64)).alias("b"))
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).distinct()
