@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairforge.llm import bpe, maxscore, media, mixing, quality, secrets, simhash, substring, tokenfile, toxicity
 from pairforge.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from pairforge.llm.storage import frugal
+from pairforge.session import spread
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,7 +19,7 @@ def tokenizer_path(name: str) -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     frugal(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
