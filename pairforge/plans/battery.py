@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import answers, seeded, similarity, sqltext, text
 from pairforge.operators import aggregates, corruption, evolution, filters, metrics, rows, translation
 from pairforge.plans import runner, sqltree
+from pairforge.session import spread
 from pairforge.sources import catalog, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -590,7 +591,7 @@ def ev17_types(spark, d):
 # == metrics ===========================================================================================
 @query(f"SELECT doc_id, {_wc('text')} AS words FROM documents")
 def m1_word_count(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.word_count("text").alias("words"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.word_count("text").alias("words"))
 
 
 @query()
@@ -647,7 +648,7 @@ _READ = f"(SELECT doc_id, {_wc('text')} AS words, CASE WHEN regexp_matches(coale
 
 @query(f"SELECT doc_id, words, sentences, syllables, round(206.835 - 1.015 * (words / sentences) - 84.6 * (syllables / words), 6) AS reading_ease, round(0.39 * (words / sentences) + 11.8 * (syllables / words) - 15.59, 6) AS grade FROM {_READ}")
 def m12_m13_readability(spark, d):
-    out = metrics.readability(table(spark, d, "documents").select("doc_id", "text"), "text")
+    out = metrics.readability(spread(table(spark, d, "documents").select("doc_id", "text")), "text")
     return out.select("doc_id", "words", "sentences", "syllables", r6(F.col("reading_ease")).alias("reading_ease"), r6(F.col("grade")).alias("grade"))
 
 

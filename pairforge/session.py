@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "pairforge", master: str | None = None, **settings: str) -> SparkSession:
@@ -20,3 +20,13 @@ def build(app: str = "pairforge", master: str | None = None, **settings: str) ->
     for k, v in (fixed | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out over all of them.
+
+    A small table in one file would keep one core busy; large tables have more
+    partitions than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
