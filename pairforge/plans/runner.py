@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import sqlite3
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -77,17 +78,15 @@ class Runner:
 
     def register(self, name: str, df: DataFrame) -> None:
         """A view under the logical column names."""
-        DataFrame(self._within(df), self.session).createOrReplaceTempView(name)
+        # a global view is what sessions share; the session's own view keeps the plan
+        shared = f"pairforge_{uuid.uuid4().hex}"
+        df.createGlobalTempView(shared)
+        self.session.table(f"global_temp.{shared}").createOrReplaceTempView(name)
+        df.sparkSession.catalog.dropGlobalTempView(shared)
         self.tables.append(name)
         for f in df.schema:
             self.columns[f.name.lower()] = next((k for t, k in _KINDS if isinstance(f.dataType, t)), "other")
 
-    def _within(self, df: DataFrame):
-        """The frame's plan in the dialect's session."""
-        jvm = self.session._jvm
-        plan = df._jdf.queryExecution().logical()
-        return jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.session._jsparkSession, plan)
-
     def exists(self, *candidates: str) -> str | None:
         """The first of some names that is a view."""
         return next((c for c in candidates if self.session.catalog.tableExists(c)), None)
