@@ -41,25 +41,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.storage import scratch_path
+from pairforge.llm.storage import scratch_path, working
 
 MAGIC = b"RPR1"
 #: A shard is closed once it holds so many ids.
 SHARD_IDS = 1_000_000
 #: Rounds of pair replacement, pairs replaced in a round, least count of a pair.
 ROUNDS, PAIRS, LEAST = 3, 8192, 8
-_BUCKET_BITS = 20
+_BUCKET_BITS = 18
 
 
-def _frequent_pairs(seq: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs to replace in this round, and each one's bucket.
+def _frequent_pairs(seq: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the pairs to replace in this round, the number of each one's rule, and the rules.
 
     Pairs are counted by hash bucket; each of the fullest buckets offers one of
     its pairs, whose own count then has to reach ``LEAST``.
     """
-    none = np.empty(0, np.int64)
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint32)
     if len(seq) < 2:
-        return none, none
+        return none
     left, right = seq[:-1], seq[1:]
     bucket = (((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(32 - _BUCKET_BITS)).astype(np.int64)
     bucket[last[:-1]] = 1 << _BUCKET_BITS
@@ -69,7 +69,7 @@ def _frequent_pairs(seq: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.n
     least = max(LEAST, int(np.partition(full, -PAIRS)[-PAIRS])) if len(full) > PAIRS else LEAST
     at = np.flatnonzero(counts[bucket] >= least)
     if not len(at):
-        return none, none
+        return none
     chosen = bucket[at]
     pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
     offered = np.zeros((1 << _BUCKET_BITS) + 1, np.uint64)
@@ -84,7 +84,11 @@ def _frequent_pairs(seq: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.n
     at, chosen = at[even], chosen[even]
     enough = np.bincount(chosen, minlength=(1 << _BUCKET_BITS) + 1) >= LEAST
     kept = enough[chosen]
-    return at[kept], chosen[kept]
+    names = np.flatnonzero(enough)
+    number = np.zeros(len(enough), np.uint32)
+    number[names] = np.arange(len(names))
+    rules = np.stack([offered[names] >> np.uint64(32), offered[names] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+    return at[kept], number[chosen[kept]], rules
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,30 +101,39 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS)
     rules: list[np.ndarray] = []
     n_rules = 0
     for _ in range(rounds):
-        at, bucket = _frequent_pairs(seq, last)
+        at, number, new = _frequent_pairs(seq, last)
         if not len(at):
             break
-        names, where, number = np.unique(bucket, return_index=True, return_inverse=True)
-        rules.append(np.stack([seq[at[where]], seq[at[where] + 1]], 1))
-        seq[at] = (base + n_rules + number).astype(np.uint32)
+        rules.append(new)
+        seq[at] = np.uint32(base + n_rules) + number
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-        n_rules += len(names)
+        n_rules += len(new)
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), last
 
 
+def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    """Ids that each rule stands for; a rule's parts are ids or earlier rules."""
+    lengths = np.ones(base + len(rules), np.int64)
+    while True:  # as often as rules stand within rules
+        longer = lengths[rules].sum(1)
+        if (longer == lengths[base:]).all():
+            return longer
+        lengths[base:] = longer
+
+
 def _expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every symbol below ``base + rules``: place and length in a flat table, and the table."""
-    done: list[np.ndarray] = []
-    for left, right in rules.tolist():
-        parts = [done[s - base] if s >= base else np.array([s], np.uint32) for s in (left, right)]
-        done.append(np.concatenate(parts))
-    lengths = np.ones(base + len(rules), np.int64)
-    lengths[base:] = [len(x) for x in done]
-    table = np.concatenate([np.arange(base, dtype=np.uint32), *done])
-    return np.cumsum(lengths) - lengths, lengths, table
+    flat = rules.ravel()
+    while (inner := flat >= base).any():  # as often as rules stand within rules
+        begins = np.cumsum(1 + inner) - 1 - inner
+        longer = np.repeat(flat, 1 + inner)
+        longer[begins[inner]], longer[begins[inner] + 1] = rules[flat[inner] - base].T
+        flat = longer
+    lengths = np.concatenate([np.ones(base, np.int64), rule_lengths(rules, base)])
+    return np.cumsum(lengths) - lengths, lengths, np.concatenate([np.arange(base, dtype=np.uint32), flat])
 
 
 def expand(symbols: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -139,16 +152,13 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> bytes:
     ends = np.zeros(len(flat), bool)
     ends[np.cumsum(sizes) - 1] = True
     symbols, rules, last = compress(flat, ends, base)
-    lengths = np.ones(base + len(rules), np.int64)
-    for i, (left, right) in enumerate(rules.tolist()):
-        lengths[base + i] = lengths[left] + lengths[right]
     first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]).astype("<u4")
     return b"".join(
         [
             MAGIC,
             struct.pack("<4I", len(doc_ids), len(rules), len(symbols), base),
             rules.astype("<u4").tobytes(),
-            lengths[base:].astype("<u4").tobytes(),
+            rule_lengths(rules, base).astype("<u4").tobytes(),
             np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
             bytes(x is None for x in doc_ids),
             first.tobytes(),
@@ -223,6 +233,7 @@ def write(df: DataFrame, ranks_path: str, pattern: str, path: str | None = None,
     placed = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("tokenfile", _ENCODERS.clear)
         encoder = _encoder(shared.value, pattern)
         base, part = encoder.max_token_value + 1, TaskContext.get().partitionId()
         names: list[int | None] = []
