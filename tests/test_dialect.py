@@ -121,3 +121,75 @@ def test_names():
     assert dialect.split_ctes(sql) == ["a", "b"]
     assert dialect.to_physical(sql, ["Player", "No.", "Position"], "table_9") == "WITH a AS (SELECT col1 FROM table_9), b AS (SELECT 1) SELECT col0, Pos FROM a JOIN table_9"
     assert dialect.rename_table("SELECT t.a FROM t", "t", "u") == "SELECT u.a FROM u"
+
+
+#: Over all three fixture tables, named a, b and c.
+MORE = [
+    'SELECT * FROM a ORDER BY Player',
+    'SELECT a.Player, b.Team FROM a JOIN b ON a.Position = b.Position',
+    'SELECT a.Player, b.Player FROM a CROSS JOIN b WHERE b.`Pick #` = 1 ORDER BY 1',
+    'SELECT Player FROM a WHERE `No.` IN (34, 7) ORDER BY Player',
+    'SELECT GROUP_CONCAT(DISTINCT Team) FROM (SELECT Team FROM b WHERE `Pick #` < 2)',
+    'SELECT COUNT(DISTINCT Team), COUNT(College), COUNT(*) FROM b',
+    "SELECT Team, MIN(`Pick #`), Player FROM b WHERE Team='Prairie Owls' GROUP BY Team",
+    "SELECT Player FROM a WHERE Player LIKE '%\\_%' ESCAPE '\\'",
+    'SELECT Player FROM a WHERE `Points scored` BETWEEN 5 AND 20 ORDER BY `Points scored` DESC',
+    'SELECT Position AS p, AVG(`Points scored`) AS avgp FROM a GROUP BY p ORDER BY avgp DESC, p',
+    'SELECT AVG(`Points scored`) a FROM a HAVING a > 1',
+    "SELECT Player, CASE Position WHEN 'Guard' THEN 1 ELSE 0 END FROM a ORDER BY 1",
+    'SELECT UPPER(Player), LENGTH(Player), ROUND(`Points scored`, 1), ABS(-3), COALESCE(`No.`, 0) FROM a ORDER BY Player',
+    'SELECT Player FROM a ORDER BY `Points scored` LIMIT 2',
+    'SELECT Player FROM a ORDER BY `Points scored` DESC LIMIT 2 OFFSET 1',
+    'SELECT Country, COUNT(*) c FROM c GROUP BY Country HAVING c > 1',
+    'SELECT Position FROM a UNION ALL SELECT Position FROM b ORDER BY 1',
+    'SELECT Position FROM a INTERSECT SELECT Position FROM b',
+    'SELECT Position FROM a EXCEPT SELECT Position FROM b ORDER BY 1',
+    'SELECT MAX(`Years in Club`) FROM a',
+    'SELECT SUM(`Points scored`) / COUNT(*) FROM a',
+    'SELECT SUM(`No.`) * 1.0 / 4 FROM a',
+    'SELECT Player FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.Position = a.Position) ORDER BY Player',
+    'SELECT (SELECT COUNT(*) FROM b WHERE b.Position = a.Position) n, Player FROM a ORDER BY Player',
+    'SELECT Player FROM a WHERE `Points scored` = (SELECT MAX(`Points scored`) FROM a)',
+    'SELECT substr(`Years in Club`, 1, 4) y, COUNT(*) FROM a GROUP BY y ORDER BY y',
+    'SELECT CAST(substr(`Years in Club`, 1, 4) AS INTEGER) + 1 FROM a ORDER BY 1',
+    'SELECT Player, ROW_NUMBER() OVER (PARTITION BY Position ORDER BY Player) FROM a ORDER BY Player',
+    "SELECT replace(Player, ' ', '_'), trim('  x '), ltrim('  x'), rtrim('x  ') FROM a WHERE `No.`=7",
+    'SELECT DISTINCT Nationality FROM a ORDER BY Nationality',
+    "SELECT t1.Player FROM a AS t1 WHERE t1.`No.` > 5 AND t1.Position != 'Center' ORDER BY t1.Player",
+    'SELECT Player FROM a WHERE Position IS NOT NULL AND `No.` IS NULL',
+    "SELECT COUNT(*) FROM a WHERE `School/Club Team` LIKE '%o%'",
+    'SELECT Team FROM b GROUP BY Team ORDER BY COUNT(*) DESC, Team LIMIT 1',
+    'SELECT 5 % 3, 7 - 2 * 3, -5 / 2, 2 || 3',
+    'SELECT AVG(`Pick #`), MIN(Player) FROM b',
+    'SELECT Position, COUNT(*) FROM a WHERE `Points scored` > 1 GROUP BY Position HAVING COUNT(*) >= 1 ORDER BY 2 DESC, 1',
+    "SELECT Player FROM a WHERE LOWER(Nationality) = 'canada' ORDER BY `No.` NULLS LAST",
+    "SELECT `Film Name` || ' by ' || Director FROM c ORDER BY 1",
+    "SELECT nullif(Position,'Guard') FROM a ORDER BY Player",
+    "SELECT printf('%d', 3)",
+    "SELECT Player FROM a WHERE `No.` > 'x'",
+    "SELECT Team, College FROM b WHERE College IS NULL OR College = 'Laval' ORDER BY Player",
+    "SELECT a.* FROM a WHERE Player = 'Ed Fox'",
+    "SELECT round(AVG(`Points scored`),2) FROM a WHERE Position LIKE 'G%'",
+    "SELECT SUM(CASE WHEN Position='DB' THEN 1 ELSE 0 END) * 100.0 / COUNT(*) FROM b",
+    "SELECT SUM(CASE WHEN Position='DB' THEN 1 ELSE 0 END) / COUNT(*) FROM b",
+    "SELECT Player FROM b NATURAL JOIN (SELECT 'DB' AS Position)",
+    "SELECT Player FROM b JOIN (SELECT 'DB' AS Position) USING (Position) ORDER BY 1",
+    "SELECT date('2020-01-31'), strftime('%m', '2020-03-04 05:06:07'), time('12:00')",
+]
+
+
+@pytest.fixture(scope="module")
+def three(spark):
+    con, frames = sqlite3.connect(":memory:"), {}
+    for name, (_, header, types, rows) in zip("abc", fixtures.TABLES):
+        load_sqlite(con, name, header, types, rows)
+        frames[name] = catalog.table_frame(spark, header, types, rows)
+    return con, Runner(spark, frames)
+
+
+@pytest.mark.parametrize("sql", MORE)
+def test_more_like_sqlite(three, sql):
+    con, runner = three
+    want, got = run_sqlite(con, sql), runner.run(sql)
+    assert got.status == want.status, (got.error, want.error)
+    assert canonical(got.rows) == canonical(want.rows)

@@ -220,3 +220,14 @@ def test_stream_of_drops(spark, tmp_path):
     (tmp_path / "in" / "b.json").write_text('{"id": 3, "t": "x"}\n')
     run()
     assert sorted(one(spark.read.parquet(out), "id", "n", "batch")) == [(1, 2, 0), (3, 1, 1)]
+
+
+def test_windowed_counts(spark, tmp_path):
+    source, mark = str(tmp_path / "in"), str(tmp_path / "mark")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"ts": f"2024-01-01T00:{m:02d}:00", "k": k}) for m, k in ((1, "a"), (2, "a"), (3, "b"), (11, "a"), (55, "b"))))
+    stream = drops.read_drops(spark, source, "ts timestamp, k string")
+    counted = drops.windowed_counts(stream, "ts", "k").select(F.col("window.start").cast("string").alias("start"), "k", "count")
+    counted.writeStream.format("memory").queryName("counted").outputMode("update").option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.start[11:16], r.k, r["count"]) for r in spark.table("counted").collect()}
+    assert got >= {("00:00", "a", 2), ("00:00", "b", 1), ("00:10", "a", 1), ("00:50", "b", 1)}
