@@ -34,13 +34,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pairforge.llm.storage import working
+
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Texts are handled in slices of about so many characters, which bounds a trie.
 SLICE_CHARS = 2_000_000
 #: Each of the two generations of a worker's chunk cache holds so many entries.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -234,7 +236,7 @@ class Bpe:
         self._learn(set().union(*cut))
         known, out = self._young, []
         for text, chunks in zip(texts, cut, strict=True):
-            if self._split is not None and self._split.search(text):
+            if any(name in text for name in self.special):
                 out.append(self._encode_apart(text))
                 continue
             try:
@@ -246,26 +248,32 @@ class Bpe:
     def _learn(self, chunks: set[str | bytes]) -> None:
         if len(self._young) > CACHE_CHUNKS:
             self._old, self._young = self._young, {}
-        young, old, new = self._young, self._old, {}
-        for chunk in chunks:
-            if chunk in young:
-                continue
-            if chunk in old:
-                young[chunk] = old[chunk]
-            elif isinstance(chunk, bytes):
-                new[chunk] = self._words.findall(chunk.decode())
-                if chunk[-1:].isspace() or chunk and chunk.decode()[-1].isspace():
+        young, old = self._young, self._old
+        fresh = chunks.difference(young)
+        for chunk in fresh.intersection(old):
+            young[chunk] = old[chunk]
+        fresh.difference_update(old)
+        plain, new = [], {}
+        for chunk in fresh:
+            if isinstance(chunk, bytes):
+                text = chunk.decode()
+                if text[-1:].isspace():
                     young[chunk] = None
-                    del new[chunk]
+                else:
+                    new[chunk] = self._words.findall(text)
+            elif chunk.isalpha():
+                plain.append(chunk)
             elif not chunk or chunk[-1].isspace():
                 young[chunk] = None
-            elif chunk.isalpha():
-                new[chunk] = [" " + chunk]
             else:
                 new[chunk] = self._words.findall(" " + chunk)
-        ids = self.encode_words({w for words in new.values() for w in words})
-        for chunk, words in new.items():
-            young[chunk] = ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words])
+        words = {" " + chunk for chunk in plain}
+        words.update(*new.values())
+        ids = self.encode_words(words)
+        for chunk in plain:
+            young[chunk] = ids[" " + chunk]
+        for chunk, parts in new.items():
+            young[chunk] = b"".join([ids[w] for w in parts])
 
     def _encode_whole(self, text: str) -> bytes:
         words = self._words.findall(text)
@@ -312,6 +320,7 @@ def _run(df: DataFrame, spec: bytes, keep: Sequence[str], source: str, added: li
     schema = T.StructType([*kept.schema.fields, *added])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("bpe", _LOADED.clear)
         bpe = loaded(shared.value)
         for batch in batches:
             values = batch.column(batch.num_columns - 1).to_pylist()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +61,18 @@ ARROW_ROWS = 512
 def frugal(spark: SparkSession) -> None:
     """Keep the session's Arrow batches small, as executors hold one or two of them for each task."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def working(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Called by an operator's function in a worker: the caches of other operators there are dropped.
+
+    Spark reuses Python workers, and what the last operator has cached would
+    otherwise stay beside what the next one needs.
+    """
+    for other in [k for k in _HELD if k != name]:
+        _HELD.pop(other)()
+    if clear is not None:
+        _HELD[name] = clear
