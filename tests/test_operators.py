@@ -231,3 +231,14 @@ def test_windowed_counts(spark, tmp_path):
     counted.writeStream.format("memory").queryName("counted").outputMode("update").option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     got = {(r.start[11:16], r.k, r["count"]) for r in spark.table("counted").collect()}
     assert got >= {("00:00", "a", 2), ("00:00", "b", 1), ("00:10", "a", 1), ("00:50", "b", 1)}
+
+
+def test_sql_functions(spark):
+    from pairforge.functions.register import register
+
+    register(spark)
+    fixtures.queries(spark).createOrReplaceTempView("fixture_queries")
+    got = spark.sql("SELECT row_id, collect_list(name) AS names FROM fixture_queries, LATERAL sql_names(sql) WHERE row_id IN (2, 8) GROUP BY row_id").collect()
+    assert {r.row_id: sorted(r.names) for r in got} == {2: ["table_1_204_7", "years in club"], 8: ["college", "laval", "table_1_310_2", "team", "with"]}
+    assert spark.sql("SELECT count(*) FROM sql_tokens('SELECT a, b FROM t')").first()[0] == 6
+    assert tuple(spark.sql("SELECT word_count(' a  b '), squeeze(' a  b '), edit_ratio('ab', 'ac'), subquery_count('( SELECT 1)')").first()) == (2, "a b", 0.5, 1)
