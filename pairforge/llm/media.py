@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.storage import scratch_path, small, written
+from pairforge.llm.storage import scratch_path, small, working, written
 
 #: Payloads are filled with zero bytes to a multiple of this; samples a second.
 UNIT, RATE = 64, 16_000
@@ -111,6 +111,7 @@ def feature(payload: bytes) -> str:
 
 def _recipes(df: DataFrame, text: str) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("media")
         for batch in small(batches):
             sizes, whole, digests = [], [], []
             for t in batch.column(1).to_pylist():

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm.labels import held_out, training_labels
-from pairforge.llm.storage import written
+from pairforge.llm.storage import working, written
 
 FEATURES, WIDTH, RIDGE, BINS, SEED = 160, 3.0, 1e-3, 400, 7
 THRESHOLD = 0.3
@@ -98,6 +98,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id`` and ``stats`` of every whole text."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("quality")
         for batch in batches:
             stats = [statistics(t).tolist() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], names=["doc_id", "stats"])
@@ -179,6 +180,7 @@ def keep_good(df: DataFrame, labels: DataFrame, column: str = "quality", text: s
     at = df.columns.index(text)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("quality")
         for batch in batches:
             if batch.num_rows:
                 rows = np.stack([statistics(t) for t in batch.column(at).to_pylist()])

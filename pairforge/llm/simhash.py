@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.storage import written
+from pairforge.llm.storage import working, written
 
 #: Words in a shingle; bits by which linked fingerprints differ at most; seed of the shingle hash.
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -70,6 +70,7 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = SHINGLE) -> Dat
     """``doc_id`` and ``fp``, the fingerprint as a signed 64-bit integer."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("simhash")
         for batch in batches:
             found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm.storage import scratch_path, written
+from pairforge.llm.storage import scratch_path, working, written
 
 #: Words in a window and in the pieces whose least hash is its fingerprint.
 WINDOW, PIECE = 50, 10
@@ -145,6 +145,7 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, anchor): the window fingerprints of each row, without repeats."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("substring", _WORDS.clear)
         for batch in batches:
             ids = batch.column(0)
             rows = [(split_words(t), i) for i, t in enumerate(batch.column(1).to_pylist())]
@@ -214,6 +215,7 @@ def _candidates(df: DataFrame) -> DataFrame:
     """(key1, key2, doc_id, place) of the windows whose fingerprint is not the document's own; ``df`` has doc_id, text, own."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("substring", _WORDS.clear)
         for batch in batches:
             ids = batch.column(0)
             rows = [(split_words(t), i, own) for i, (t, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)) if t is not None]
@@ -265,6 +267,7 @@ def deduplicate(df: DataFrame, index: FingerprintIndex, history: DataFrame | Non
     told = marked.join(owned, "doc_id", "left").select("doc_id", "text", "own", "owned")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("substring", _WORDS.clear)
         for batch in batches:
             ids = batch.column(0)
             rows = [(split_words(t), i, own, owned) for i, (t, own, owned) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True))]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm.labels import held_out, training_labels
-from pairforge.llm.storage import written
+from pairforge.llm.storage import working, written
 
 #: Labelled documents that the fit uses at most, at about; features; documents a feature is in at least.
 SAMPLE, TERMS, LEAST = 20_000, 3000, 4
@@ -190,6 +190,7 @@ def score(df: DataFrame, labels: DataFrame, column: str = "toxic", text: str = "
     model = fit(df, training_labels(labels, column), text)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("toxicity")
         for batch in batches:
             got = [model.score(t) if model else 0.0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
