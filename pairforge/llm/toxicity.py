@@ -33,6 +33,8 @@ from pairforge.llm.storage import working, written
 
 #: Labelled documents that the fit uses at most, at about; features; documents a feature is in at least.
 SAMPLE, TERMS, LEAST = 20_000, 3000, 4
+#: Swapped sentences of one training document at most, so that a long one does not outweigh the others.
+SWAPS = 64
 #: Lengths of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7)
 L2, COUNTERFACTUAL, STEPS = 0.3, 1.0, 400
@@ -148,7 +150,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", identity: Sequence
                 rows.append(sorted(index[t] for t in terms(value) if t in index))
                 labels_.append(label)
                 # signed: gained terms as they are, lost ones as -1 - number
-                pairs.append([sorted([index[t] for t in b - a if t in index] + [-1 - index[t] for t in a - b if t in index]) for a, b in _swapped(value or "", identity)][:64])
+                pairs.append([sorted([index[t] for t in b - a if t in index] + [-1 - index[t] for t in a - b if t in index]) for a, b in _swapped(value or "", identity)][:SWAPS])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(labels_, pa.int32()), pa.array(pairs, pa.list_(pa.list_(pa.int32())))], names=["x", "y", "pairs"])
 
     got = sample.mapInArrow(featured, "x array<int>, y int, pairs array<array<int>>").toArrow().to_pydict()
