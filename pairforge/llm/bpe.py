@@ -40,7 +40,7 @@ from pairforge.llm.storage import working
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Texts are handled in slices of about so many characters, which bounds a trie.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 6_000_000
 #: Each of the two generations of a worker's chunk cache holds so many entries.
 CACHE_CHUNKS = 200_000
 
@@ -309,6 +309,20 @@ def read_spec(path: str) -> bytes:
         return f.read()
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about a slice of bytes: larger slices repeat fewer words."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.columns[-1].nbytes
+        if size >= SLICE_CHARS:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _run(df: DataFrame, spec: bytes, keep: Sequence[str], source: str, added: list[T.StructField], work) -> DataFrame:
     """Map (kept columns, source column) through ``work(bpe, values) -> arrays``.
 
@@ -322,7 +336,7 @@ def _run(df: DataFrame, spec: bytes, keep: Sequence[str], source: str, added: li
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("bpe", _LOADED.clear)
         bpe = loaded(shared.value)
-        for batch in batches:
+        for batch in _grouped(batches):
             values = batch.column(batch.num_columns - 1).to_pylist()
             arrays = work(bpe, values)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=schema.names)
