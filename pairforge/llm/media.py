@@ -4,7 +4,7 @@ A payload is stored as a wave file of 8-bit samples. A rolling gear hash over th
 file's bytes sets its cuts, so equal stretches of different files give equal
 chunks wherever they stand. A recipe holds the ordered chunk digests of a file
 and the digest of the whole. Chunk digests that occur more than once are found
-by an aggregation over the recipes; a bit table of fixed size tells (with some
+by an aggregation over the recipes; a bit table of bounded size tells (with few
 false alarms and no omissions) which files hold such a chunk. All other files own
 every chunk and are stored as packs of their own, without a shuffle; of the rest
 the chunks are deduplicated by digest into a chunk store. Reading joins recipes
@@ -35,8 +35,8 @@ from pairforge.llm.storage import scratch_path, small, working, written
 UNIT, RATE = 64, 16_000
 #: Chunk bytes: least, average (a power of two, beyond the least), most.
 LEAST, AVERAGE, MOST = 256, 1024, 8192
-#: Bits of the table of repeated digests.
-SLOTS = 1 << 23
+#: Bits of the table of repeated digests: so many for each of them, and at most; bits that one digest sets.
+BITS, MOST_BITS, PROBES = 16, 1 << 28, 4
 #: The gear table, by rule: a pseudo-random 32-bit number for each byte.
 _GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "little") for b in range(256)], np.uint32)
 
@@ -126,23 +126,22 @@ def _recipes(df: DataFrame, text: str) -> DataFrame:
     return df.select("doc_id", F.col(text)).mapInArrow(mapped, f"doc_id {kind}, n_bytes long, whole binary, digests array<binary>")
 
 
-def _slot(value: bytes) -> int:
-    return int.from_bytes(value[:4], "big") % SLOTS
-
-
 def _repeated(recipes: DataFrame) -> bytes:
-    """The bit table of repeated digests: its size is fixed, whatever the data's."""
-    seen = recipes.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    slot = F.pmod(F.conv(F.hex(F.substring("d", 1, 4)), 16, 10).cast("long"), F.lit(SLOTS))
-    words = seen.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-    table = np.zeros(SLOTS // 64, np.int64)
+    """The bit table of repeated digests: ``BITS`` bits for each, 32 MB at most."""
+    seen = recipes.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d")
+    seen = written(seen, "repeated")
+    slots = min(MOST_BITS, 1 << max(16, (BITS * seen.count()).bit_length()))
+    places = F.array(*[F.pmod(F.conv(F.hex(F.substring("d", 1 + 4 * k, 4)), 16, 10).cast("long"), F.lit(slots)) for k in range(PROBES)])
+    words = seen.select(F.explode(places).alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    table = np.zeros(slots // 64, np.int64)
     for batch in words.toArrow().to_batches():
         table[np.asarray(batch.column(0))] = np.asarray(batch.column(1))
     return table.astype("<i8").tobytes()
 
 
 def _holds(table: np.ndarray, digests: list[bytes]) -> bool:
-    return any(table[s >> 3] >> (s & 7) & 1 for s in map(_slot, digests))
+    slots = 8 * len(table)
+    return any(all(table[(s := int.from_bytes(d[4 * k : 4 * k + 4], "big") % slots) >> 3] >> (s & 7) & 1 for k in range(PROBES)) for d in digests)
 
 
 def store(df: DataFrame, path: str | None = None, text: str = "text") -> str:
