@@ -4,8 +4,10 @@ All of it is DataFrame expressions. Three base kinds are regular expressions.
 The method adds a fourth kind, ``markov``: runs of characters as keys have them
 are compared under two first-order character models, one trained from random
 strings and one from ordinary identifiers; where the mean log-likelihood ratio
-for a character is above a threshold, the run is a span. Texts are only cut up
-where a cheap test has found a match.
+for a character is above a threshold, the run is a span. Where it is not, as
+words stand beside a key in the run, the stretches of the run with the highest
+sums of ratios are judged in its place. Texts are only cut up where a cheap test
+has found a match.
 
 Positions are code points, the end exclusive. A text is split by the pattern
 and the lengths of the pieces and of the matches between them give the places.
@@ -32,6 +34,10 @@ KINDS = ("assign", "access", "hex", "markov")
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Mean log-likelihood ratio for a character, in nats, above which a run is a secret.
 THRESHOLD = 0.35
+#: Least characters of a stretch that is judged on its own.
+LEAST = 20
+#: Nats above the threshold: a stretch ends where its sum has fallen by ``DROP`` and is looked at from ``GAIN`` on.
+DROP, GAIN = 8.0, 4.0
 
 #: Fixed value: the models' alphabet; all other characters share one further class.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -104,18 +110,22 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _places(text: str, pattern: str, test: str, kind: int, keep: str) -> Column:
-    """Spans of the matches that ``keep`` accepts (over ``m``: the match, ``v``: its second group or itself)."""
+def _places(text: str, pattern: str, test: str, kind: int, keep: str = "true", parts: str | None = None) -> Column:
+    """Spans of the matches that ``keep`` accepts (over ``m``: the match, ``v``: its second group or itself).
+
+    With ``parts``, an array of (begin, end) within the match, these are the spans.
+    """
     group = 2 if kind == 0 else 0
     p = _quoted(pattern)
     found = (
         f"zip_with(split({text}, {p}, -1), zip_with(regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}), (m, v) -> struct(m, v)), "
         f"(gap, x) -> struct(length(gap) as gap, x.m as m, x.v as v))"
     )
+    parts = parts or "array(struct(0 as begin, length(x.m) as end))"
     spans = (
         f"aggregate({found}, struct(0 as at, cast(array() as {_SPANS}) as spans), (s, x) -> struct("
         f"cast(s.at + x.gap + coalesce(length(x.m), 0) as int) as at, "
-        f"case when x.m is not null and {keep} then concat(s.spans, array(struct(cast(s.at + x.gap as int) as begin, cast(s.at + x.gap + length(x.m) as int) as end, {kind} as kind))) "
+        f"case when x.m is not null and {keep} then concat(s.spans, transform({parts}, part -> struct(cast(s.at + x.gap + part.begin as int) as begin, cast(s.at + x.gap + part.end as int) as end, {kind} as kind))) "
         f"else s.spans end as spans), s -> s.spans)"
     )
     return F.expr(f"case when {text} rlike {_quoted(test)} then {spans} else cast(array() as {_SPANS}) end")
@@ -135,13 +145,53 @@ def scan(df: DataFrame, ratios: list[float] | None = None, threshold: float = TH
     return base.select(*keep, "_text", spans.alias("spans"))
 
 
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _judged(ratios: list[float], threshold: float) -> Column:
     table = f"array({','.join(f'{x:.3f}D' for x in ratios)})"
-    pair = f"1 + {CLASSES} * instr('{ALPHABET}', substring(x.m, i, 1)) + instr('{ALPHABET}', substring(x.m, i + 1, 1))"
-    mean = f"aggregate(sequence(1, length(x.m) - 1), 0D, (t, i) -> t + element_at({table}, {pair})) / (length(x.m) - 1)"
-    # letters alone are words, however long, and digits alone are numbers
-    mixed = "x.m rlike '[0-9]' and x.m rlike '[A-Za-z]'"
-    return _places("_text", RUN, r"[A-Za-z0-9+/_=-]{20,}", 3, f"{mixed} and {mean} > {threshold}")
+
+    def scores(codes: str) -> str:
+        return f"transform(sequence(1, size({codes}) - 1), i -> element_at({table}, 1 + {CLASSES} * element_at({codes}, i) + element_at({codes}, i + 1)))"
+
+    def codes(run: str) -> str:
+        return f"transform(split({run}, ''), c -> instr('{ALPHABET}', c))"
+
+    def mean(values: str) -> str:
+        return f"aggregate({values}, 0D, (t, r) -> t + r) / size({values})"
+
+    # stretches of pairs, each up to the place of its highest sum above the threshold
+    out = "cast(array() as array<struct<begin:int,end:int>>)"
+    held = f"case when h.best > {GAIN}D then concat(s.out, array(struct(s.begin as begin, h.end as end))) else s.out end"
+    step = _let(
+        "h",
+        _let("t", f"s.sum + element_at(g, i) - {threshold}D", "struct(t as sum, greatest(s.best, t) as best, case when t > s.best then i + 1 else s.end end as end)"),
+        f"case when h.sum <= 0 or h.best - h.sum > {DROP}D then struct(0D as sum, i as begin, 0D as best, 0 as end, {held} as out) "
+        "else struct(h.sum as sum, s.begin as begin, h.best as best, h.end as end, s.out as out) end",
+    )
+    last = f"case when s.best > {GAIN}D then concat(s.out, array(struct(s.begin as begin, s.end as end))) else s.out end"
+    stretches = f"aggregate(sequence(1, size(g)), struct(0D as sum, 0 as begin, 0D as best, 0 as end, {out} as out), (s, i) -> {step}, s -> {last})"
+    # chance takes characters off a stretch's ends: as far as the next / _ = - it is tried first
+    wider = (
+        "struct(y.begin - length(substring_index(translate(substring(x.m, 1, y.begin), '_=-', '///'), '/', -1)) as begin, "
+        "y.end + length(substring_index(translate(substring(x.m, y.end + 1), '_=-', '///'), '/', 1)) as end)"
+    )
+
+    def bare(part: str) -> str:
+        """The part without signs at its ends."""
+        return _let("w", part, _let("p", "substring(x.m, w.begin + 1, w.end - w.begin)", "struct(w.begin + length(p) - length(trim(LEADING '+/_=-' FROM p)) as begin, w.end - length(p) + length(trim(TRAILING '+/_=-' FROM p)) as end)"))
+
+    # digits alone are numbers; capitals alone are judged as small letters, as the identifiers have few capitals
+    shaped = "p rlike '[A-Za-z]' and (p rlike '[0-9]' or p rlike '^[A-Za-z].*[A-Za-z]$')"
+    value = f"case when p rlike '[a-z0-9]' then {_let('q', 'slice(g, y.begin + 1, y.end - y.begin - 1)', mean('q'))} else {_let('k', codes('lower(p)'), _let('q', scores('k'), mean('q')))} end"
+    good = f"y.end - y.begin >= {LEAST} and " + _let("p", "substring(x.m, y.begin + 1, y.end - y.begin)", f"{shaped} and {value} > {threshold}D")
+    whole = "struct(0 as begin, length(x.m) as end)"
+    tried = f"concat(array(array({whole}, {bare(whole)})), transform({stretches}, y -> array({bare(wider)}, {bare('y')})))"
+    first = f"transform({tried}, l -> get(filter(l, y -> {good}), 0))"
+    chosen = _let("f", first, "case when f[0] is not null then array(f[0]) else array_distinct(filter(f, y -> y is not null)) end")
+    parts = _let("g", _let("k", codes("x.m"), scores("k")), chosen)
+    return _places("_text", RUN, RUN, 3, "x.m rlike '[A-Za-z]'", parts)
 
 
 def _joined(spans: str) -> Column:

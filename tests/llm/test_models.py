@@ -181,6 +181,19 @@ def test_models_tell_keys_from_names(spark):
     assert [[s.kind for s in r.spans] for r in sorted(rows, key=lambda r: r.doc_id)] == [[3], []]
 
 
+def test_keys_beside_words(spark):
+    """Keys within paths and joined names, two in one run and without digits; long words, constants and rules are none."""
+    keys = ["x7Kq2LmN8pR4tV6wY1zB", "QwZkXvJhTpLgRbNcYdMfKs", "9fG3hJ0kS2aE4ux7Kq2LmN8pR4tV6wY1"]
+    a, b, c = keys
+    texts = [f"/file/user/data/page/{a}", f"see account_name_list_{c}-value-note-table now", f"/open/{a}/order/window/message/section/account/handler/content/template/{c}/library/position/statement", b, f"/home/{b}"]
+    none = ["/file/user/data/page/order", "MAXIMUM_CONNECTION_COUNT_LIMIT", "Donaudampfschifffahrtsgesellschaft", "word" + "-" * 40, "/" * 30, "12345678901234567890123"]
+    df = spark.createDataFrame(list(enumerate(texts + none)), "doc_id long, text string")
+    left = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert all("[SECRET]" in left[i] and not any(k in left[i] for k in keys) for i in range(len(texts)))
+    assert left[1].startswith("see account_name_") and left[1].endswith("-table now") and "/window/message/section/" in left[2] and left[2].count("[SECRET]") == 2
+    assert [left[len(texts) + i] for i in range(len(none))] == none
+
+
 def test_redact(spark, docs):
     out = secrets.redact(docs)
     assert out.columns == docs.columns
