@@ -492,9 +492,9 @@ def x5_execute_all(spark, d):
 @query(f"SELECT row_id, 1.0 AS same FROM {_SQL_VALUES}")
 def qm6_execution_match(spark, d):
     q, t = fixtures.queries(spark), fixtures.tables(spark)
-    a = runner.execute_all(q, t).select("row_id", F.col("result").alias("gold"))
+    a = runner.execute_all(q, t).select("row_id", F.col("outcome").alias("gold"))
     spaced = q.withColumn("sql", F.concat(F.lit(" "), "sql", F.lit(" ")))
-    b = runner.execute_all(spaced.withColumn("sql", F.trim("sql")), t).select("row_id", F.col("result").alias("predicted"))
+    b = runner.execute_all(spaced.withColumn("sql", F.trim("sql")), t).select("row_id", F.col("outcome").alias("predicted"))
     return a.join(b, "row_id").select("row_id", runner.results_match("gold", "predicted").alias("same"))
 
 

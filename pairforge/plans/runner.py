@@ -8,10 +8,11 @@ number of tables and the number of queries scale out and results are SQLite's ow
 
 from __future__ import annotations
 
+import hashlib
 import json
 import sqlite3
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
 
@@ -26,18 +27,30 @@ from pairforge.plans import dialect
 
 @dataclass
 class ExecResult:
-    """What a query gave: ``status`` is rows, empty or error."""
+    """What a query gave: ``status`` is rows, empty or error.
+
+    Where ``truncated``, ``rows`` are the first rows only; ``digests`` then stand for all of them.
+    """
 
     status: str
     columns: list[str] = field(default_factory=list)
     rows: list[list] = field(default_factory=list)
     error: str | None = None
     truncated: bool = False
+    digests: Digests | None = None
 
 
-def canonical(rows: Sequence[Sequence]) -> list[str]:
-    """Rows as sorted JSON: strings lower-case, bytes decoded, whole floats as integers, nulls kept."""
+@dataclass(frozen=True)
+class Digests:
+    """All rows of a result: their number, and digests of them as multisets (lower-case JSON; canonical) and in order."""
+
+    n_rows: int
+    multiset: str
+    canonical: str
+    sequence: str
 
+
+def _canonical_row(row: Sequence) -> str:
     def value(v):
         if isinstance(v, bytes):
             v = v.decode("utf-8", "replace")
@@ -49,13 +62,37 @@ def canonical(rows: Sequence[Sequence]) -> list[str]:
             return int(v)
         return v if v is None or isinstance(v, (int, float, bool)) else str(v).lower()
 
-    return sorted(json.dumps([value(v) for v in r], ensure_ascii=False) for r in rows)
+    return json.dumps([value(v) for v in row], ensure_ascii=False)
+
+
+def canonical(rows: Sequence[Sequence]) -> list[str]:
+    """Rows as sorted JSON: strings lower-case, bytes decoded, whole floats as integers, nulls kept."""
+    return sorted(map(_canonical_row, rows))
 
 
-def same_result(a: ExecResult, b: ExecResult, ordered: bool = False) -> bool:
-    """Equal results: as multisets, or row by row. An error equals nothing."""
+def digests(rows: Iterable[Sequence]) -> Digests:
+    """One pass over the rows, none of which is held. A multiset's digest is the sum of its rows' digests."""
+    n, sums, sequence = 0, [0, 0], hashlib.blake2b(digest_size=32)
+    for n, r in enumerate(rows, 1):
+        whole = [int(v) if isinstance(v, float) and v.is_integer() else v for v in r]
+        sequence.update(json.dumps(whole, ensure_ascii=False, default=str).encode("utf-8", "surrogatepass") + b"\n")
+        for i, x in enumerate((json.dumps(list(r), ensure_ascii=False, default=str).lower(), _canonical_row(r))):
+            sums[i] += int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=32).digest(), "little")
+    return Digests(n, *(f"{x % (1 << 256):064x}" for x in sums), sequence.hexdigest())
+
+
+def same_result(a: ExecResult, b: ExecResult, ordered: bool = False) -> bool | None:
+    """Equal results: as multisets, or row by row. An error equals nothing.
+
+    Truncated results are compared by the digests of all their rows; null if one has none.
+    """
     if "error" in (a.status, b.status):
         return False
+    if a.truncated or b.truncated:
+        x, y = (r.digests if r.truncated or r.digests else digests(r.rows) for r in (a, b))
+        if x is None or y is None:
+            return None
+        return x.n_rows == y.n_rows and (x.sequence == y.sequence if ordered else x.canonical == y.canonical)
     if ordered:
         return [list(r) for r in a.rows] == [list(r) for r in b.rows]
     return canonical(a.rows) == canonical(b.rows)
@@ -152,7 +189,10 @@ def load_sqlite(con: sqlite3.Connection, name: str, header: Sequence[str], types
 
 
 def run_sqlite(con: sqlite3.Connection, sql: str, steps: int = 50_000_000, most: int = 10_000) -> ExecResult:
-    """One read-only query, stopped after so many steps of SQLite's machine."""
+    """One read-only query, stopped after so many steps of SQLite's machine.
+
+    The first ``most`` rows are kept; the digests are of all rows.
+    """
     if not sql or sql.lstrip()[:6].lower() not in ("select", "values") and sql.lstrip()[:4].lower() != "with":
         return ExecResult("error", error="not a query")
     left = [steps // 1000]
@@ -164,27 +204,39 @@ def run_sqlite(con: sqlite3.Connection, sql: str, steps: int = 50_000_000, most:
     con.set_progress_handler(tick, 1000)
     try:
         cursor = con.execute(sql)
-        rows = cursor.fetchmany(most + 1)
+        kept: list[list] = []
+
+        def every() -> Iterator[tuple]:
+            for r in cursor:
+                if len(kept) < most:
+                    kept.append(list(r))
+                yield r
+
+        found = digests(every())
     except (sqlite3.Error, sqlite3.Warning, OverflowError) as e:
         return ExecResult("error", error=str(e))
     finally:
         con.set_progress_handler(None, 0)
     names = [d[0] for d in cursor.description or ()]
-    kept = [list(r) for r in rows[:most]]
-    return ExecResult("rows" if kept else "empty", names, kept, None if kept else "No result found", len(rows) > most)
+    return ExecResult("rows" if kept else "empty", names, kept, None if kept else "No result found", found.n_rows > most, found)
 
 
-RESULT = "status string, columns array<string>, result array<string>, error string"
+RESULT = "status string, columns array<string>, result array<string>, error string, truncated boolean, outcome struct<n_rows:bigint,multiset:string,sequence:string>"
+_RESULT_NAMES = ("status", "columns", "result", "error", "truncated", "outcome")
 
 
 def execute_all(queries: DataFrame, tables: DataFrame, sql: str = "sql", table_id: str = "table_id") -> DataFrame:
-    """Run each row's query on its own table; adds ``status``, ``columns``, ``result`` (rows as JSON) and ``error``.
+    """Run each row's query on its own table; adds ``status``, ``columns``, ``result`` (rows as JSON), ``error``, ``truncated`` and ``outcome``.
+
+    ``result`` holds the first 10,000 rows, ``truncated`` tells that there are more.
+    ``outcome`` stands for all rows (their number and digests) and is what
+    :func:`results_match` compares; it is null after an error.
 
     ``tables`` has (id, name, header, types, rows). The join is by id; a table with
     many queries is loaded once for each batch that has it. Rows without a table
     get an error.
     """
-    kept = [f for f in queries.schema.fields if f.name not in ("status", "columns", "result", "error")]
+    kept = [f for f in queries.schema.fields if f.name not in _RESULT_NAMES]
     known = tables.select(F.col("id").alias(table_id), F.col("name").alias("_name"), "header", "types", "rows")
     joined = queries.select(*[f.name for f in kept]).join(known.withColumnsRenamed({"header": "_header", "types": "_types", "rows": "_rows"}), table_id, "left")
     schema = T.StructType([*kept, *T._parse_datatype_string(RESULT).fields])
@@ -209,6 +261,8 @@ def execute_all(queries: DataFrame, tables: DataFrame, sql: str = "sql", table_i
             out["columns"] = [r.columns for r in found]
             out["result"] = [[json.dumps(v, ensure_ascii=False, default=str) for v in r.rows] for r in found]
             out["error"] = [r.error for r in found]
+            out["truncated"] = [r.truncated for r in found]
+            out["outcome"] = [r.digests and {"n_rows": r.digests.n_rows, "multiset": r.digests.multiset, "sequence": r.digests.sequence} for r in found]
             yield out
 
     return joined.sortWithinPartitions(table_id).mapInPandas(run, schema)
@@ -220,6 +274,7 @@ def canonical_rows(result: str) -> Column:
 
 
 def results_match(a: str, b: str, ordered: bool = False) -> Column:
-    """Equality of two results, row by row or as multisets; null results match nothing."""
-    x, y = (F.col(a), F.col(b)) if ordered else (canonical_rows(a), canonical_rows(b))
-    return F.coalesce(x == y, F.lit(False)).cast("double")
+    """Equality of two whole results by their ``outcome`` columns, row by row or as multisets; null outcomes match nothing."""
+    kind = "sequence" if ordered else "multiset"
+    same = (F.col(a)["n_rows"] == F.col(b)["n_rows"]) & (F.col(a)[kind] == F.col(b)[kind])
+    return F.coalesce(same, F.lit(False)).cast("double")

@@ -24,11 +24,11 @@ from pairforge.functions.udf import vectorised
 from pairforge.operators import evolution, filters, rows, translation
 from pairforge.operators.corruption import Draw
 from pairforge.plans.dialect import rename_table, to_physical
-from pairforge.plans.runner import ExecResult, canonical, correct, load_sqlite, run_sqlite
+from pairforge.plans.runner import ExecResult, correct, load_sqlite, run_sqlite, same_result
 
 TextModel = Callable[[str], str]
 
-GENERATED = "table_id string, nl string, sql string, db_sql string, db_result array<string>, reasoning string, seeding_type string, seeding_value string, attempts int"
+GENERATED = "table_id string, nl string, sql string, db_sql string, db_result array<string>, db_result_truncated boolean, reasoning string, seeding_type string, seeding_value string, attempts int"
 #: Strategies of generation and the order of their two answers.
 STRATEGIES = ("reserved", "persona", "sql_to_nl", "nl_to_sql", "length")
 
@@ -85,7 +85,7 @@ def generate(tables: DataFrame, factory: Callable[[], TextModel] = rule_generato
                 con.close()
                 if result.status == "rows":
                     db = to_physical(sql, header, t.name)
-                    out.append((t.id, said.get("question"), sql, db, [json.dumps(r, ensure_ascii=False, default=str) for r in result.rows], said.get("reasoning"), kind, value, attempts))
+                    out.append((t.id, said.get("question"), sql, db, [json.dumps(r, ensure_ascii=False, default=str) for r in result.rows], result.truncated, said.get("reasoning"), kind, value, attempts))
             yield pd.DataFrame(out, columns=[f.split()[0] for f in GENERATED.split(", ")])
 
     return tables.select("id", "name", "header", "types", "rows", "pos").mapInPandas(work, GENERATED)
@@ -98,7 +98,7 @@ def choose(df: DataFrame, predicted: str, reward: str, response: str) -> DataFra
 
 
 # -- evolution ------------------------------------------------------------------------------------
-EVOLVED = "schema_change_type string, new_table_id string, new_sql string, status string, db_result_after_change array<string>, db_query_match boolean, accepted boolean"
+EVOLVED = "schema_change_type string, new_table_id string, new_sql string, status string, db_result_after_change array<string>, db_result_truncated boolean, db_query_match boolean, accepted boolean"
 
 
 def rule_change(header: Sequence[str], types: Sequence[str], kind: str, draw: Draw) -> evolution.Change:
@@ -121,7 +121,8 @@ def evolve(df: DataFrame, tables: DataFrame, make=rule_change, kinds: Sequence[s
 
     ``make(header, types, kind, draw)`` gives the change; the kind is a seeded
     choice for each row. Values of untouched columns are kept by construction
-    and checked for the number of rows. Results are compared as multisets.
+    and checked for the number of rows. Whole results are compared as multisets;
+    ``db_result_after_change`` holds the first 10,000 rows.
     """
     kept = df.schema.fields
     schema = T.StructType([*kept, *T._parse_datatype_string(EVOLVED).fields])
@@ -131,8 +132,8 @@ def evolve(df: DataFrame, tables: DataFrame, make=rule_change, kinds: Sequence[s
         for batch in batches:
             out = []
             for _, r in batch.iterrows():
-                out.append((None, None, None, "error", [], None, False) if r["_header"] is None else _evolve_one(r, r[key], r[sql]))
-            found = pd.DataFrame(out, columns=["schema_change_type", "new_table_id", "new_sql", "status", "db_result_after_change", "db_query_match", "accepted"], index=batch.index)
+                out.append((None, None, None, "error", [], False, None, False) if r["_header"] is None else _evolve_one(r, r[key], r[sql]))
+            found = pd.DataFrame(out, columns=["schema_change_type", "new_table_id", "new_sql", "status", "db_result_after_change", "db_result_truncated", "db_query_match", "accepted"], index=batch.index)
             yield pd.concat([batch[[f.name for f in kept]], found], axis=1)
 
     def _evolve_one(r, row, q) -> tuple:
@@ -144,16 +145,16 @@ def evolve(df: DataFrame, tables: DataFrame, make=rule_change, kinds: Sequence[s
         new_name = "table_" + new_id.replace("-", "_")
         new_sql = evolution.repair(q, change)
         if new_sql == evolution.UNANSWERABLE:
-            return change.kind, new_id, new_sql, evolution.UNANSWERABLE, [], None, False
+            return change.kind, new_id, new_sql, evolution.UNANSWERABLE, [], False, None, False
         new_sql = rename_table(new_sql, r["_name"], new_name)
         con = sqlite3.connect(":memory:")
         load_sqlite(con, r["_name"], header, types, data)
         load_sqlite(con, new_name, *evolution.evolve_rows(header, types, data, change, seed))
         before, after = run_sqlite(con, q), run_sqlite(con, new_sql)
         con.close()
-        same = before.status != "error" and after.status != "error" and canonical(before.rows) == canonical(after.rows)
+        same = same_result(before, after)
         good = after.status == "rows" if change.kind in ("add_column", "rename_column") else after.status != "error"
-        return change.kind, new_id, new_sql, after.status, [json.dumps(x, ensure_ascii=False, default=str) for x in after.rows], same, good
+        return change.kind, new_id, new_sql, after.status, [json.dumps(x, ensure_ascii=False, default=str) for x in after.rows], after.truncated, same, good
 
     joined = df.join(known, "table_id", "left").select(*[f.name for f in kept], "_name", "_header", "_types", "_rows")
     return joined.mapInPandas(work, schema)

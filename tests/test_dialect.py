@@ -7,7 +7,7 @@ import sqlite3
 import pytest
 
 from pairforge.plans import dialect
-from pairforge.plans.runner import ExecResult, Runner, canonical, correct, execute_all, load_sqlite, run_sqlite, same_result
+from pairforge.plans.runner import ExecResult, Runner, canonical, correct, execute_all, load_sqlite, results_match, run_sqlite, same_result
 from pairforge.sources import catalog, fixtures
 
 QUERIES = [
@@ -95,6 +95,24 @@ def test_execute_all_without_table(spark):
     assert [r.status for r in rows] == ["error", "error"]
 
 
+def test_whole_results_are_compared(spark):
+    """Over 10,000 rows: another order, a difference in the last row, and rows that repeat."""
+    numbers = "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 12000) SELECT "
+    sqls = [f"{numbers}n FROM t", f"{numbers}n FROM t ORDER BY n DESC", f"{numbers}CASE WHEN n = 12000 THEN 0 ELSE n END FROM t", f"{numbers}n FROM t WHERE n < 12000", "SELECT nothing"]
+    table_id = fixtures.TABLES[0][0]
+    q = spark.createDataFrame([(i, table_id, s) for i, s in enumerate(sqls)], "row_id int, table_id string, sql string")
+    found = execute_all(q, fixtures.tables(spark)).cache()
+    assert [(r.truncated, r.outcome and r.outcome.n_rows, len(r.result)) for r in found.orderBy("row_id").collect()] == [(True, 12000, 10000)] * 3 + [(True, 11999, 10000), (False, None, 0)]
+    pairs = found.selectExpr("row_id as a", "outcome as x").crossJoin(found.selectExpr("row_id as b", "outcome as y"))
+    got = {(r.a, r.b): (r.m, r.o) for r in pairs.select("a", "b", results_match("x", "y").alias("m"), results_match("x", "y", True).alias("o")).collect()}
+    assert [got[0, i] for i in range(5)] == [(1.0, 1.0), (1.0, 0.0), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)]
+    assert got[4, 4] == (0.0, 0.0)
+    con = sqlite3.connect(":memory:")
+    a, b, c = (run_sqlite(con, s) for s in sqls[:3])
+    assert same_result(a, b) and not same_result(a, b, ordered=True) and not same_result(a, c)
+    assert same_result(a, ExecResult("rows", [], [[1]], truncated=True)) is None
+
+
 def test_correction_loop():
     answers = iter(["bad", "empty", "good"])
     results = {"bad": ExecResult("error", error="x"), "empty": ExecResult("empty", error="No result found"), "good": ExecResult("rows", ["a"], [[1]])}
