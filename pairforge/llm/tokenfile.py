@@ -30,6 +30,7 @@ an empty table gives no shards; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import zlib
 from array import array
@@ -219,6 +220,34 @@ def _encoder(ranks: bytes, pattern: str):
     return _ENCODERS[key]
 
 
+#: White space as the vocabulary's pattern has it, in runs beyond which its regex engine may give up.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
+
+
+def _encode(encoder, text: str) -> list[int]:
+    """A text's ids, whatever its runs of white space.
+
+    The pattern takes a run as one piece, without its last character where
+    another piece follows; the engine stops at about a million characters, so
+    such runs are then cut out and encoded as the pieces that they are.
+    """
+    try:
+        return encoder.encode(text, allowed_special="all")
+    except ValueError:
+        if not _LONG_SPACE.search(text):
+            raise
+    found: list[int] = []
+    for part in re.split("(" + "|".join(map(re.escape, sorted(encoder.special_tokens_set))) + ")", text):
+        at = 0
+        for run in _LONG_SPACE.finditer(part):
+            end = run.end() if run.end() == len(part) else run.end() - 1
+            found += encoder.encode(part[at : run.start()], allowed_special="all")
+            found += encoder._core_bpe.encode_single_piece(part[run.start() : end].encode())
+            at = end
+        found += encoder.encode(part[at:], allowed_special="all")
+    return found
+
+
 def write(df: DataFrame, ranks_path: str, pattern: str, path: str | None = None, text: str = "text", doc_id: str = "doc_id", end_id: int = 0) -> str:
     """Encode every whole text and write the shards; returns their folder.
 
@@ -246,7 +275,7 @@ def write(df: DataFrame, ranks_path: str, pattern: str, path: str | None = None,
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 names.append(name)
-                found = encoder.encode(value or "", allowed_special="all")
+                found = _encode(encoder, value or "")
                 found.append(end_id)
                 ids.append(np.frombuffer(array("I", found), np.uint32))
                 held += len(ids[-1])

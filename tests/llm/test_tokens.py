@@ -53,6 +53,20 @@ def test_documents(docs, empty, rows):
     assert bpe.encode(empty, PATH).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" + "\n" * 1_000_010 + "x", " " * 1_000_010, "b" + " " * 1_000_010 + "<|endoftext|>" + "\t" * 1_000_010 + " c\x1c" + "\u3000" * 1_000_010 + "d  e\n"])
+def test_very_long_white_space(text):
+    with open(RANKS, "rb") as f:
+        encoder = tokenfile._encoder(f.read(), public_tokenizers.PATTERN)
+    assert np.array(tokenfile._encode(encoder, text), "<u4").tobytes() == library(text)
+
+
+def test_very_long_white_space_in_files(spark):
+    text = "a" + "\n" * 1_000_010 + "x"
+    path = tokenfile.write(spark.createDataFrame([(1, text), (2, "b")], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN)
+    want = [(i, zlib.crc32(library(t) + b"\0\0\0\0")) for i, t in ((1, text), (2, "b"))]
+    assert sorted((r.doc_id, r.ids_crc32) for r in tokenfile.read(spark, path).collect()) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 6), max_size=60), min_size=1, max_size=12))
 def test_grammar_round_trip(documents):
