@@ -10,7 +10,7 @@ A window whose fingerprint the index has in one document only cannot repeat. All
 other windows are candidates and are verified by two independent 64-bit hashes of
 all their words: for every verified key the smallest document owns it, and a
 document gives up its candidate windows except those it owns. What a document
-needs to know (fingerprints that are its own, places of windows it owns) is
+needs to know (fingerprints that are its own, keys of windows it owns) is
 gathered by document, so a passage that a third of all documents share is only
 ever aggregated, with partial sums before the shuffle, and never joined.
 
@@ -212,7 +212,7 @@ class FingerprintIndex:
 
 
 def _candidates(df: DataFrame) -> DataFrame:
-    """(key1, key2, doc_id, place) of the windows whose fingerprint is not the document's own; ``df`` has doc_id, text, own."""
+    """(key1, key2, doc_id) of the windows whose fingerprint is not the document's own; ``df`` has doc_id, text, own."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("substring", _WORDS.clear)
@@ -224,9 +224,9 @@ def _candidates(df: DataFrame) -> DataFrame:
                 open_ = _open(h, [r[2] for r in group])
                 open_ &= np.array([ids[r[1]].is_valid for r in group])[h.doc]
                 names = ids.take(pa.array(np.array([r[1] for r in group], np.int64)[h.doc[open_]]))
-                yield pa.RecordBatch.from_arrays([pa.array(h.key(0, open_)), pa.array(h.key(1, open_)), names, pa.array(h.place[open_].astype(np.int32))], names=["key1", "key2", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.key(0, open_)), pa.array(h.key(1, open_)), names], names=["key1", "key2", "doc_id"])
 
-    return df.mapInArrow(mapped, "key1 long, key2 long, doc_id long, place int")
+    return df.mapInArrow(mapped, "key1 long, key2 long, doc_id long")
 
 
 def _values(scalar: pa.Scalar) -> np.ndarray:
@@ -262,8 +262,8 @@ def deduplicate(df: DataFrame, index: FingerprintIndex, history: DataFrame | Non
     if history is not None:
         old = history.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
         windows = windows.union(_candidates(old.join(known, "doc_id", "left").select("doc_id", looked_at, "own")))
-    owners = windows.groupBy("key1", "key2").agg(F.min("doc_id").alias("owner"), F.min_by("place", "doc_id").alias("place"))
-    owned = owners.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("place").alias("owned"))
+    owners = windows.groupBy("key1", "key2").agg(F.min("doc_id").alias("owner"))
+    owned = owners.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("key1").alias("owned"))
     told = marked.join(owned, "doc_id", "left").select("doc_id", "text", "own", "owned")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,9 +279,9 @@ def deduplicate(df: DataFrame, index: FingerprintIndex, history: DataFrame | Non
                 keys = np.zeros(len(h.doc), np.int64)
                 keys[open_] = h.key(0, open_)
                 bounds = np.searchsorted(h.doc, np.arange(len(group) + 1))
-                for i, (words, row, _, places) in enumerate(group):
+                for i, (words, row, _, mine) in enumerate(group):
                     a, b = bounds[i], bounds[i + 1]
-                    lost = open_[a:b] & ~np.isin(keys[a:b], keys[a:b][_values(places)])
+                    lost = open_[a:b] & ~np.isin(keys[a:b], _values(mine))
                     if lost.any():
                         edges = np.zeros(len(words) + 1, np.int64)
                         edges[: b - a] += lost

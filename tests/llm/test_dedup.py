@@ -56,6 +56,19 @@ def test_substring_batches_against_history(spark, docs, rows):
     assert again.compact().count() == index.compact().count()
 
 
+def test_substring_of_equal_ids_with_other_texts(spark):
+    """Rows of one id that share a passage at different places, the longer one copied elsewhere."""
+    from tests.llm.conftest import prose
+
+    passage, tail = prose(60, 1), prose(80, 2)
+    rows = [(1, f"short {passage}"), (1, f"{prose(200, 3)} {passage} {tail}"), (2, f"x {passage} y"), (3, f"{tail} {prose(200, 3)}")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 3):
+        got = {(r.doc_id, r.n_words): (r.n_removed, r.kept) for r in substring.deduplicate_table(df.repartition(parts)).collect()}
+        assert got[1, 61] == (0, rows[0][1]) and got[1, 340] == (0, rows[1][1])
+        assert got[2, 62] == (60, "x y") and got[3, 280] == (280, "")
+
+
 def test_rolling_hashes():
     words = np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64)
     words[300:400] = words[100:200]
