@@ -1,24 +1,27 @@
 """Substring deduplication with a log-structured fingerprint index.
 
-The fingerprint of a window of words is the least hash of the ten-word pieces in
-it, so equal windows have equal fingerprints and a text has one new fingerprint in
-about every twenty words. The index holds, for each fingerprint, the first and
-the last document that has it, as sorted immutable runs in a folder: every batch
-of documents adds a run, and compaction merge-joins runs into one.
-
-A window whose fingerprint the index has in one document only cannot repeat. All
-other windows are candidates and are verified by two independent 64-bit hashes of
-all their words: for every verified key the smallest document owns it, and a
-document gives up its candidate windows except those it owns. What a document
-needs to know (fingerprints that are its own, keys of windows it owns) is
-gathered by document, so a passage that a third of all documents share is only
-ever aggregated, with partial sums before the shuffle, and never joined.
+The index is a list of sorted immutable runs of window hashes. A run holds for
+each window of fifty words of one batch of documents two independent 64-bit
+hashes of all its words and its owner, the smallest document that has it. A run
+is bucketed and sorted by the hashes, so a new batch is merge-joined with the
+runs where they lie: only the batch is shuffled, no text of earlier batches is
+read, and a match of the first hash is verified by the second. Compaction merges
+runs into one. A document gives up its windows except those it owns; the owned
+ones are gathered by document, so a passage that a third of all documents share
+is only ever aggregated, with partial sums before the shuffle.
+
+A whole table (:func:`deduplicate_table`) is a first batch, indexed as history,
+and a second one merge-joined with it. As no batch follows, windows that cannot
+repeat stay out: the anchor of a window is the least hash of the ten-word pieces
+in it, equal windows have equal anchors, a text has a new one in about every
+twenty words, and a window whose anchor one document alone has is its own. For
+an index that later batches meet (:func:`increment`) every window enters.
 
 Words are runs of bytes other than ASCII white space. Defined cases: a null text
 has no words; fewer words than a window never repeat; very long texts are taken
 whole; rows with equal ids count as one document and do not remove each other's
-words; rows with a null id neither lose words nor cause losses; an empty table
-gives an empty result; other columns are ignored.
+words; rows with a null id neither lose words nor cause losses; ids are cast to
+64-bit integers; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.llm.storage import scratch_path, working, written
 
-#: Words in a window and in the pieces whose least hash is its fingerprint.
+#: Words in a window and in the pieces whose least hash is its anchor.
 WINDOW, PIECE = 50, 10
-#: Texts are hashed in slices of about so many words.
-SLICE = 400_000
+#: Texts are hashed in slices of about so many bytes; word hashes that a worker keeps.
+SLICE, WORDS = 1_500_000, 100_000
+#: Of so many parts of a whole table one is indexed first, as history.
+PARTS = 4
+#: Runs beyond which an increment compacts the index.
+RUNS = 4
 
 
 class _Hashes(dict):
@@ -59,7 +67,7 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > 300_000:
+    if len(_WORDS) > WORDS:
         _WORDS.clear()
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
@@ -68,7 +76,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base ** i modulo 2 ** 64 for i below n."""
     got = _POWERS.get(base)
     if got is None or len(got) < n:
-        steps = np.full(max(n, SLICE + WINDOW), base, np.uint64)
+        steps = np.full(max(n, SLICE // 4), base, np.uint64)
         steps[0] = 1
         got = _POWERS[base] = np.multiply.accumulate(steps)
     return got[:n]
@@ -102,7 +110,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Hashed:
-    """The windows of some texts: their document's number, place and fingerprint."""
+    """The windows of some texts: their document's number, place and anchor."""
 
     def __init__(self, texts: list[list[bytes]]):
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -112,10 +120,10 @@ class Hashed:
         self.doc = np.repeat(np.arange(len(texts)), counts)
         self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(counts) - counts, counts)
         self._at = np.repeat(begins, counts) + self.place
-        self.fingerprint = np.empty(0, np.int64)
+        self.anchor = np.empty(0, np.int64)
         if len(self._at):
             self._sums = _sums(self._words, _BASES[0])
-            self.fingerprint = _least(_rolling(self._sums, _BASES[0], PIECE), WINDOW - PIECE + 1)[self._at].view(np.int64)
+            self.anchor = _least(_rolling(self._sums, _BASES[0], PIECE), WINDOW - PIECE + 1)[self._at].view(np.int64)
 
     def key(self, number: int, which: np.ndarray) -> np.ndarray:
         """One of the two hashes of the whole windows that ``which`` marks."""
@@ -128,175 +136,204 @@ class Hashed:
         return _mixed((sums[at + WINDOW] - sums[at]) * inverse[at]).view(np.int64)
 
 
-def _sliced(rows: list[tuple]) -> Iterator[list[tuple]]:
-    """Groups of rows (words first) of about ``SLICE`` words."""
-    group, held = [], 0
-    for row in rows:
-        group.append(row)
-        held += len(row[0])
-        if held >= SLICE:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
+def _sliced(batch: pa.RecordBatch, text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Parts of a batch of about ``SLICE`` bytes of text, each with its rows' words; only one is split up at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    begin, held = 0, 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= SLICE or i == len(sizes) - 1:
+            part = batch.slice(begin, i + 1 - begin)
+            yield part, [split_words(t) for t in part.column(text).to_pylist()]
+            begin, held = i + 1, 0
 
 
-def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, anchor): the window fingerprints of each row, without repeats."""
+def _documents(df: DataFrame, text: str) -> DataFrame:
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def anchors(df: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, anchor): the window anchors of each row, without repeats."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("substring", _WORDS.clear)
         for batch in batches:
-            ids = batch.column(0)
-            rows = [(split_words(t), i) for i, t in enumerate(batch.column(1).to_pylist())]
-            for group in _sliced(rows):
-                h = Hashed([r[0] for r in group])
+            for part, words in _sliced(batch):
+                h = Hashed(words)
                 new = np.ones(len(h.doc), bool)
-                new[1:] = (h.fingerprint[1:] != h.fingerprint[:-1]) | (h.doc[1:] != h.doc[:-1])
-                doc, found = h.doc[new], h.fingerprint[new]
+                new[1:] = (h.anchor[1:] != h.anchor[:-1]) | (h.doc[1:] != h.doc[:-1])
+                doc, found = h.doc[new], h.anchor[new]
                 order = np.lexsort((found, doc))
                 doc, found = doc[order], found[order]
                 new = np.ones(len(doc), bool)
                 new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
-                names = ids.take(pa.array(np.array([r[1] for r in group], np.int64)[doc[new]]))
-                yield pa.RecordBatch.from_arrays([names, pa.array(found[new])], names=["doc_id", "anchor"])
-
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text)).filter("doc_id is not null").mapInArrow(mapped, "doc_id long, anchor long")
-
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[new])), pa.array(found[new])], names=["doc_id", "anchor"])
 
-class FingerprintIndex:
-    """Sorted immutable runs of (anchor, first, last) in one folder, and of (doc_id, n) beside them.
+    return _documents(df, text).filter("doc_id is not null").mapInArrow(mapped, "doc_id long, anchor long")
 
-    ``runs`` and ``counts`` list the live ones; to open an index again, pass what
-    they were.
-    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, runs: list[str] | None = None, counts: list[str] | None = None):
-        self.spark, self.path = spark, path or scratch_path(spark, "fingerprint_index")
-        self.runs, self.counts = list(runs or []), list(counts or [])
+def _marked(df: DataFrame, own: DataFrame | None, text: str) -> DataFrame:
+    """``doc_id, text, own``: the anchors whose windows need no look; null where no window does."""
+    docs = _documents(df, text)
+    if own is None:
+        return docs.withColumn("own", F.array().cast("array<long>"))
+    return docs.join(own, "doc_id", "left").select("doc_id", "text", "own")
 
-    def _write(self, rows: DataFrame, key: str = "anchor") -> str:
-        run = f"{self.path}/run-{uuid.uuid4().hex}"
-        rows.sortWithinPartitions(key).write.parquet(run)
-        return run
 
-    def _read(self, run: str) -> DataFrame:
-        return self.spark.read.schema("anchor long, first long, last long").parquet(run)
+def _own(df: DataFrame, text: str) -> DataFrame:
+    """``doc_id, own``: the anchors that no other document has, of documents that have others as well."""
+    found = written(anchors(df, text), "anchors")
+    alone = found.groupBy("anchor").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).filter("doc_id = last")
+    own = alone.groupBy("doc_id").agg(F.collect_list("anchor").alias("own"))
+    # repeated rows of one document count an anchor once for each row, so ``n`` may be above the anchors but never below
+    n = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    some = n.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<long>")))
+    return written(some.filter(F.col("n") > F.size("own")).select("doc_id", "own"), "own_anchors")
 
-    def append(self, df: DataFrame, batches: int = 1, text: str = "text") -> None:
-        """Add a batch of documents, or several that are told apart by a hash of the id."""
-        # texts are read once for all batches
-        found = written(fingerprints(df, text).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "fingerprints")
-        self.counts.append(self._write(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id"))
-        for k in range(batches):
-            part = found.filter(F.col("batch") == k)
-            self.runs.append(self._write(part.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))))
 
-    def compact(self) -> DataFrame:
-        """Merge-join the runs into one, which takes their place; returns it."""
-        while len(self.runs) > 1:
-            a, b = self._read(self.runs[0]), self._read(self.runs[1])
-            merged = a.alias("a").join(b.alias("b").hint("merge"), F.col("a.anchor") == F.col("b.anchor"), "full_outer")
-            rows = merged.select(F.coalesce("a.anchor", "b.anchor").alias("anchor"), F.least("a.first", "b.first").alias("first"), F.greatest("a.last", "b.last").alias("last"))
-            self.runs = [self._write(rows), *self.runs[2:]]
-        return self._read(self.runs[0])
+def _values(scalar: pa.Scalar) -> np.ndarray:
+    return np.asarray(scalar.values) if scalar.is_valid else np.empty(0, np.int64)
 
 
-    def documents(self) -> DataFrame:
-        """(doc_id, n): fingerprints of each document, repeated rows added up."""
-        rows = [self.spark.read.schema("doc_id long, n long").parquet(run) for run in self.counts]
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.union(r)
-        return out if len(rows) == 1 else out.groupBy("doc_id").agg(F.sum("n").alias("n"))
+def _open(h: Hashed, part: pa.RecordBatch, own: int) -> np.ndarray:
+    """Which windows are to be looked at: none of rows without id or mark, of others those whose anchor is not their own."""
+    out = np.zeros(len(h.doc), bool)
+    bounds = np.searchsorted(h.doc, np.arange(part.num_rows + 1))
+    ids, marks = part.column(0), part.column(own)
+    for i in range(part.num_rows):
+        a, b = bounds[i], bounds[i + 1]
+        if b > a and ids[i].is_valid and marks[i].is_valid:
+            mine = _values(marks[i])
+            out[a:b] = ~np.isin(h.anchor[a:b], mine) if len(mine) else True
+    return out
 
 
-def _candidates(df: DataFrame) -> DataFrame:
-    """(key1, key2, doc_id) of the windows whose fingerprint is not the document's own; ``df`` has doc_id, text, own."""
+def _windows(marked: DataFrame) -> DataFrame:
+    """(key1, key2, owner) of the windows to be looked at, once for each distinct window."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("substring", _WORDS.clear)
         for batch in batches:
-            ids = batch.column(0)
-            rows = [(split_words(t), i, own) for i, (t, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)) if t is not None]
-            for group in _sliced(rows):
-                h = Hashed([r[0] for r in group])
-                open_ = _open(h, [r[2] for r in group])
-                open_ &= np.array([ids[r[1]].is_valid for r in group])[h.doc]
-                names = ids.take(pa.array(np.array([r[1] for r in group], np.int64)[h.doc[open_]]))
-                yield pa.RecordBatch.from_arrays([pa.array(h.key(0, open_)), pa.array(h.key(1, open_)), names], names=["key1", "key2", "doc_id"])
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column(1)), pc.is_valid(batch.column(2))))
+            for part, words in _sliced(batch):
+                h = Hashed(words)
+                which = _open(h, part, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(h.key(0, which)), pa.array(h.key(1, which)), part.column(0).take(pa.array(h.doc[which]))], names=["key1", "key2", "doc_id"])
 
-    return df.mapInArrow(mapped, "key1 long, key2 long, doc_id long")
+    rows = marked.mapInArrow(mapped, "key1 long, key2 long, doc_id long")
+    return rows.groupBy("key1", "key2").agg(F.min("doc_id").alias("owner"))
 
 
-def _values(scalar: pa.Scalar) -> np.ndarray:
-    return np.asarray(scalar.values) if scalar.is_valid else np.empty(0, np.int64)
+class FingerprintIndex:
+    """Sorted immutable runs of (key1, key2, owner) in one folder.
 
+    ``runs`` lists the live ones; to open an index again, pass its path and what
+    they were. A run's name ends in its number of buckets, that of the shuffle
+    partitions when it was written, so a batch shuffled alike is joined in place.
+    """
 
-def _open(h: Hashed, own: list[pa.Scalar]) -> np.ndarray:
-    """Which windows have a fingerprint that other documents have too."""
-    out = np.ones(len(h.doc), bool)
-    bounds = np.searchsorted(h.doc, np.arange(len(own) + 1))
-    for i, mine in enumerate(own):
-        a, b = bounds[i], bounds[i + 1]
-        if b > a:
-            out[a:b] = ~np.isin(h.fingerprint[a:b], _values(mine))
-    return out
+    def __init__(self, spark: SparkSession, path: str | None = None, runs: list[str] | None = None):
+        self.spark, self.path = spark, path or scratch_path(spark, "fingerprint_index")
+        self.runs = list(runs or [])
 
+    def write(self, rows: DataFrame) -> str:
+        """One run's files; it is not yet part of the index."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        run = f"run_{uuid.uuid4().hex}_{n}"
+        rows.write.format("parquet").option("path", f"{self.path}/{run}").bucketBy(n, "key1", "key2").sortBy("key1", "key2").saveAsTable(f"pairforge_{run}")
+        return run
 
-def deduplicate(df: DataFrame, index: FingerprintIndex, history: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, kept`` of every row of ``df``.
+    def read(self, run: str) -> DataFrame:
+        """A run as a bucketed table, which another session may have written."""
+        n = run.rpartition("_")[2]
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS pairforge_{run} (key1 BIGINT, key2 BIGINT, owner BIGINT) USING parquet "
+            f"CLUSTERED BY (key1, key2) SORTED BY (key1, key2) INTO {n} BUCKETS LOCATION '{self.path}/{run}'"
+        )
+        return self.spark.table(f"pairforge_{run}")
+
+    def append(self, df: DataFrame, text: str = "text", own: DataFrame | None = None) -> str:
+        """Add the windows of a batch of documents as a run."""
+        self.runs.append(self.write(_windows(_marked(df, own, text))))
+        return self.runs[-1]
+
+    @staticmethod
+    def met(new: DataFrame, run: DataFrame, how: str) -> DataFrame:
+        """Merge-join windows with a run: the owner of each is the smaller of the two."""
+        same = (F.col("n.key1") == F.col("r.key1")) & (F.col("n.key2") == F.col("r.key2"))
+        joined = new.alias("n").join(run.alias("r").hint("merge"), same, how)
+        return joined.select(F.coalesce("n.key1", "r.key1").alias("key1"), F.coalesce("n.key2", "r.key2").alias("key2"), F.least("n.owner", "r.owner").alias("owner"))
 
-    ``index`` holds the fingerprints of ``df`` and of ``history``, the documents
-    of earlier batches, whose windows count as well.
-    """
-    anchors = index.compact()
-    own = anchors.filter("first = last").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("anchor").alias("own"))
-    # a document all of whose fingerprints are its own has no window to look at
-    known = index.documents().join(own, "doc_id", "left").select("doc_id", F.when(F.col("n") > F.coalesce(F.size("own"), F.lit(0)), F.coalesce("own", F.array().cast("array<long>"))).alias("own"))
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = docs.join(known, "doc_id", "left").select("doc_id", "text", "own")
-    # the same join again below, so that its shuffle of the texts is reused
-    looked_at = F.when(F.col("own").isNotNull(), F.col("text")).alias("text")
-    windows = _candidates(marked.select("doc_id", looked_at, "own"))
-    if history is not None:
-        old = history.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-        windows = windows.union(_candidates(old.join(known, "doc_id", "left").select("doc_id", looked_at, "own")))
-    owners = windows.groupBy("key1", "key2").agg(F.min("doc_id").alias("owner"))
+    def compact(self) -> DataFrame:
+        """Merge-join the runs into one, which takes their place; returns it."""
+        while len(self.runs) > 1:
+            self.runs = [self.write(self.met(self.read(self.runs[0]), self.read(self.runs[1]), "full_outer")), *self.runs[2:]]
+        return self.read(self.runs[0])
+
+
+def _judged(marked: DataFrame, owners: DataFrame) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept``; ``owners`` has every window to be looked at that a row of ``marked`` owns."""
     owned = owners.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("key1").alias("owned"))
     told = marked.join(owned, "doc_id", "left").select("doc_id", "text", "own", "owned")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("substring", _WORDS.clear)
         for batch in batches:
-            ids = batch.column(0)
-            rows = [(split_words(t), i, own, owned) for i, (t, own, owned) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True))]
-            n_removed = [0] * len(rows)
-            kept = [b" ".join(r[0]) for r in rows]
-            for group in _sliced([r for r in rows if r[2].is_valid and ids[r[1]].is_valid]):
-                h = Hashed([r[0] for r in group])
-                open_ = _open(h, [r[2] for r in group])
-                keys = np.zeros(len(h.doc), np.int64)
-                keys[open_] = h.key(0, open_)
-                bounds = np.searchsorted(h.doc, np.arange(len(group) + 1))
-                for i, (words, row, _, mine) in enumerate(group):
+            for part, rows in _sliced(batch):
+                n_removed, kept = [0] * len(rows), []
+                lost = np.empty(0, bool)
+                bounds = np.zeros(len(rows) + 1, np.int64)
+                if part.column(2).null_count < len(rows):
+                    h = Hashed(rows)
+                    open_ = _open(h, part, 2)
+                    bounds = np.searchsorted(h.doc, np.arange(len(rows) + 1))
+                    lost = open_.copy()
+                    keys = np.zeros(len(h.doc), np.int64)
+                    keys[open_] = h.key(0, open_)
+                for i, words in enumerate(rows):
                     a, b = bounds[i], bounds[i + 1]
-                    lost = open_[a:b] & ~np.isin(keys[a:b], _values(mine))
-                    if lost.any():
+                    if b > a and lost[a:b].any():
+                        lost[a:b] &= ~np.isin(keys[a:b], _values(part.column(3)[i]))
                         edges = np.zeros(len(words) + 1, np.int64)
-                        edges[: b - a] += lost
-                        edges[WINDOW : WINDOW + b - a] -= lost
+                        edges[: b - a] += lost[a:b]
+                        edges[WINDOW : WINDOW + b - a] -= lost[a:b]
                         gone = np.cumsum(edges[:-1]) > 0
-                        n_removed[row] = int(gone.sum())
-                        kept[row] = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-            n_words = [len(r[0]) for r in rows]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                        n_removed[i] = int(gone.sum())
+                        if n_removed[i]:
+                            words = [words[j] for j in np.flatnonzero(~gone).tolist()]
+                    kept.append(b" ".join(words).decode())
+                columns = [part.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
     return told.mapInArrow(mapped, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def deduplicate_table(df: DataFrame, batches: int = 2, text: str = "text") -> DataFrame:
-    """Index a whole table in some batches, compact, and deduplicate all of it."""
-    index = FingerprintIndex(df.sparkSession)
-    index.append(df, batches, text)
-    return deduplicate(df, index, text=text)
+def increment(df: DataFrame, index: FingerprintIndex, text: str = "text") -> DataFrame:
+    """``doc_id, n_words, n_removed, kept`` of each row of a new batch, which becomes part of the index.
+
+    A window is lost where a smaller document of the batch or of any earlier
+    one has it. Earlier results stay as they were given; a later document with
+    a smaller id is judged, and owns, as any other.
+    """
+    earlier, run = list(index.runs), index.append(df, text)
+    new = index.read(run)
+    owners = new
+    for old in earlier:
+        owners = index.met(owners, index.read(old), "left")
+    if len(index.runs) > RUNS:
+        index.compact()
+    return _judged(_marked(df, None, text), owners)
+
+
+def deduplicate_table(df: DataFrame, parts: int = PARTS, text: str = "text") -> DataFrame:
+    """A whole table: one of ``parts`` hash parts of its documents becomes the first run, the others are merge-joined with it."""
+    spark = df.sparkSession
+    own = _own(df, text)
+    index = FingerprintIndex(spark)
+    first = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(parts)) == 0
+    index.append(df.filter(first), text, own)
+    marked = _marked(df, own, text)
+    # the same join as in the judgement, so that its shuffle of the texts is reused
+    later = marked.select("doc_id", F.when(F.col("own").isNotNull() & ~first, F.col("text")).alias("text"), "own")
+    owners = index.met(_windows(later), index.read(index.runs[0]), "full_outer")
+    return _judged(marked, owners)

@@ -35,25 +35,42 @@ def brute_removal(rows):
 
 
 def test_substring(docs, empty, rows):
-    for batches in (1, 3):
-        got = substring.deduplicate_table(docs, batches=batches).collect()
+    for parts in (1, 3):
+        got = substring.deduplicate_table(docs, parts=parts).collect()
         assert sorted(map(tuple, got), key=str) == sorted(brute_removal(rows), key=str)
     assert any(r[2] for r in brute_removal(rows))
     assert substring.deduplicate_table(empty).count() == 0
 
 
-def test_substring_batches_against_history(spark, docs, rows):
-    """A later batch loses what an earlier one has, and the runs are compacted."""
-    old, new = docs.filter("doc_id < 23"), docs.filter("doc_id >= 23")
+def test_substring_increments(spark, docs, rows, tmp_path):
+    """Later batches lose what earlier ones have, though the texts of these are gone; runs are compacted."""
+    import shutil
+
+    bounds = [(None, 22), (22, 23), (23, 25), (25, 27), (27, 28), (28, 99)]
+    index = substring.FingerprintIndex(spark)
+    for low, high in bounds:
+        part = docs.filter("doc_id < 22 or doc_id is null" if low is None else f"doc_id >= {low} and doc_id < {high}")
+        path = str(tmp_path / f"{high}")
+        part.select("doc_id", "text").write.parquet(path)
+        got = sorted(map(tuple, substring.increment(spark.read.parquet(path), index).collect()), key=str)
+        want = [r for r in brute_removal(rows) if (r[0] is None or r[0] < 22 if low is None else r[0] is not None and low <= r[0] < high)]
+        assert got == sorted(want, key=str)
+        assert len(index.runs) <= substring.RUNS
+        shutil.rmtree(path)
+    before = index.compact()
+    # the run is found again by its name, and holds each window once
+    again = substring.FingerprintIndex(spark, index.path, index.runs)
+    assert len(index.runs) == 1 and again.read(again.runs[0]).count() == before.count() == before.select("key1", "key2").distinct().count()
+    assert not again.met(before, again.read(again.runs[0]), "full_outer").filter("owner is null").count()
+
+
+def test_batch_meets_runs_without_moving_them(spark, docs):
+    """The plan of a batch against a run shuffles and reads the batch alone."""
     index = substring.FingerprintIndex(spark)
-    index.append(old)
-    index.append(new)
-    assert len(index.runs) == 2
-    got = {(r.doc_id, r.n_removed) for r in substring.deduplicate(new, index, history=old).collect()}
-    assert got == {(r[0], r[2]) for r in brute_removal(rows) if r[0] is not None and r[0] >= 23}
-    assert len(index.runs) == 1
-    again = substring.FingerprintIndex(spark, index.path, index.runs, index.counts)
-    assert again.compact().count() == index.compact().count()
+    index.append(docs.filter("doc_id < 22"))
+    new = substring._windows(substring._marked(docs.filter("doc_id >= 22"), None, "text"))
+    plan = index.met(new, index.read(index.runs[0]), "full_outer")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key1") == plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
 def test_substring_of_equal_ids_with_other_texts(spark):
