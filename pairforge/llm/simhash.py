@@ -2,14 +2,19 @@
 
 Fingerprints are taken once for each document; what follows works on distinct
 fingerprints, so that a group of copies is a single row. A 64-bit fingerprint
-has two 32-bit segments. Two fingerprints differ in two bits or fewer exactly if
-they differ in one or none in a segment each, or in two in one segment and none
-in the other. The ball of radius one is enumerated within each segment, the
-other segment kept, and every probe goes to one table of full-width keys: two
-fingerprints within the bound meet at such a key, and no two others do. A key is
-met by 65 fingerprints at most, so no bucket is hot. In each bucket the others
-are linked to its smallest member and complete distances are verified; links
-that this leaves out lie between fingerprints linked through that member.
+has two 32-bit segments, each with a table from the segment's value to the
+fingerprints that have it. Two fingerprints that differ in two bits or fewer
+differ in one or none in the first segment, or else in none in the second. So
+each fingerprint enumerates the ball of radius one in its first segment and the
+ball of radius zero in its second, fetches the table's entries for these values,
+and verifies complete distances.
+
+A segment value that more than ``BUCKET`` fingerprints have is hot: fetching it
+would pair all of them. There the ball is enumerated in the other segment as
+well: entries and probes of a hot value meet at whole 64-bit points that both
+are within one bit of. A point is met by 65 fingerprints at most, all within two
+bits of one another, and the others are linked to its smallest; links that this
+leaves out lie between fingerprints linked through that one.
 
 Components are found by alternating large-star and small-star steps over the
 links, written after each round; only their count comes to the driver.
@@ -29,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.storage import working, written
+from pairforge.llm.storage import lookup, working, written
 
 #: Words in a shingle; bits by which linked fingerprints differ at most; seed of the shingle hash.
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -79,15 +84,50 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = SHINGLE) -> Dat
     return df.select("doc_id", F.col(text)).mapInArrow(mapped, f"doc_id {kind}, fp long")
 
 
-def links(distinct: DataFrame) -> DataFrame:
+#: Fingerprints of one segment value up to which its probes fetch all of them.
+BUCKET = 32
+_LOW = 0xFFFFFFFF
+
+
+def _ball(x: Column, first_bit: int, bits: int) -> Column:
+    """The values that differ from ``x`` in at most one of ``bits`` bits."""
+    flips = [F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(first_bit, first_bit + bits)]]
+    return F.transform(F.array(*flips), lambda m: x.bitwiseXOR(m))
+
+
+def _segments(distinct: DataFrame) -> DataFrame:
+    """The segment tables, as (segment, key, fp)."""
+    parts = F.array(F.struct(F.lit(1).alias("segment"), F.shiftrightunsigned("fp", 32).alias("key")), F.struct(F.lit(2).alias("segment"), F.col("fp").bitwiseAND(F.lit(_LOW)).alias("key")))
+    return distinct.select("fp", F.explode(parts).alias("p")).select("p.segment", "p.key", "fp")
+
+
+def _probes(distinct: DataFrame) -> DataFrame:
+    """The segment values that each fingerprint looks up, as (segment, key, fp)."""
+    own = F.col("fp").bitwiseAND(F.lit(_LOW))
+    ball = F.transform(_ball(F.shiftrightunsigned("fp", 32), 0, 32), lambda k: F.struct(F.lit(1).alias("segment"), k.alias("key")))
+    return distinct.select("fp", F.explode(F.concat(ball, F.array(F.struct(F.lit(2).alias("segment"), own.alias("key"))))).alias("p")).select("p.segment", "p.key", "fp")
+
+
+def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b) with a < b: links among distinct fingerprints ``fp`` that keep every component whole."""
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = distinct.repartition(n, F.xxhash64("fp"))  # a row becomes 65, so few rows still need many tasks
-    probes = spread.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
-    met = probes.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
-    pairs = met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 64)).alias("b"))
-    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).distinct()
+    spread = distinct.repartition(n, F.xxhash64("fp"))  # a row becomes 34, so few rows still need many tasks
+    table, probes, at = _segments(spread), _probes(spread), ["segment", "key"]
+    hot = lookup(table.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select(*at), "hot_segments")
+
+    entries = table.join(hot, at, "left_anti").withColumnRenamed("fp", "b")
+    fetched = probes.withColumnRenamed("fp", "a").join(entries, at).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cold = fetched.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
+
+    # the points of hot values: in the other segment, entries have the ball of radius one and visitors of the
+    # first segment's ball stand at themselves, having spent their bit
+    own = F.when(F.col("segment") == 1, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(_LOW))) == F.col("key")
+    moved = F.col("fp").bitwiseAND(F.lit(_LOW)).bitwiseOR(F.shiftleft("key", 32))
+    points = F.when(~own, F.array(moved)).when(F.col("segment") == 1, _ball(F.col("fp"), 0, 32)).otherwise(_ball(F.col("fp"), 32, 32))
+    met = probes.join(hot, at, "left_semi").select("segment", "fp", F.explode(points).alias("point"))
+    groups = met.groupBy("segment", "point").agg(F.array_sort(F.collect_set("fp")).alias("fps")).filter(F.size("fps") > 1)
+    dense = groups.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 64)).alias("b"))
+    return cold.union(dense.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -151,12 +151,45 @@ def test_links_of_chains(spark):
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    rooted = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+    want = dict(brute_components(list(zip(signed, prints))))
+    for bucket in (simhash.BUCKET, 1, 0):
+        rooted = {r.node: r.root for r in simhash.components(simhash.links(df, bucket)).collect()}
+        got: dict = {}
+        for p in signed:
+            got.setdefault(rooted.get(p, p), []).append(p)
+        assert sorted(sorted(v) for v in got.values()) == sorted(sorted(k for k in want if want[k] == root) for root in set(want.values()))
+
+
+def test_links_are_all_found_in_cold_buckets(spark):
+    """Where no value is hot, every pair within the bound is a link: recall one."""
+    rng = random.Random(6)
+    prints = {rng.getrandbits(64) for _ in range(60)}
+    for x in list(prints):
+        for k in (1, 2, 2, 3):
+            prints.add(x ^ sum(1 << b for b in rng.sample(range(64), k)))
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    want = {(min(a, b), max(a, b)) for i, (p, a) in enumerate(zip(prints, signed)) for q, b in zip(prints[:i], signed[:i]) if (p ^ q).bit_count() <= 2}
+    got = [tuple(r) for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 150
+
+
+def test_hot_segment_values(spark):
+    """Thousands of fingerprints that share a segment: as many components as brute force over the other segment finds."""
+    rng = random.Random(7)
+    low, high = 0x9ABCDEF0, 0x12345678
+    halves = sorted({rng.getrandbits(32) for _ in range(300)} | {x ^ (1 << b) for x in (0, 7) for b in range(32)} | {0, 7})
+    prints = sorted({high << 32 | h for h in halves} | {h << 32 | low for h in halves} | {(high ^ 1) << 32 | h for h in halves[::7]})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    rooted = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))).collect()}
     want = dict(brute_components(list(zip(signed, prints))))
     got: dict = {}
     for p in signed:
-        got.setdefault(rooted.get(p, p), []).append(p)
-    assert sorted(sorted(v) for v in got.values()) == sorted(sorted(k for k in want if want[k] == root) for root in set(want.values()))
+        got.setdefault(rooted.get(p, p), set()).add(p)
+    groups: dict = {}
+    for p, root in want.items():
+        groups.setdefault(root, set()).add(p)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
 # -- search -----------------------------------------------------------------------------------------------
