@@ -2,18 +2,20 @@
 
 A payload is stored as a wave file of 8-bit samples. A rolling gear hash over the
 file's bytes sets its cuts, so equal stretches of different files give equal
-chunks wherever they stand. A recipe holds the ordered chunk digests of a file
-and the digest of the whole. Chunk digests that occur more than once are found
-by an aggregation over the recipes; a bit table of bounded size tells (with few
-false alarms and no omissions) which files hold such a chunk. All other files own
-every chunk and are stored as packs of their own, without a shuffle; of the rest
-the chunks are deduplicated by digest into a chunk store. Reading joins recipes
-with the chunk store, puts the chunks in order and verifies the whole file.
+chunks wherever they stand. Every file is stored as an ordered chunk list: the
+digest and length of each chunk, and the digest of the whole. Chunk digests that
+occur more than once are found by an aggregation; a bit table of bounded size
+tells (with few false alarms and no omissions) which chunks these are. Chunks of
+the table are deduplicated by digest into a chunk store that all files share; the
+other chunks are a file's own and stand, in order, in a container beside its
+list, so they are never shuffled. Reading walks each chunk list, takes chunks
+from the container or, by a join on the digest, from the store, and verifies
+every chunk and the whole file.
 
 Defined cases: a null text is empty, and an empty payload is 64 zero bytes; very
 long texts are stored whole; repeated rows are rows of their own with equal
-values; an empty table gives an empty result; other columns are ignored. A file
-that does not match its digest when read stops the job.
+values; an empty table gives an empty result; other columns are ignored. A chunk
+or file that does not match its digest when read stops the job.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,29 +113,25 @@ def feature(payload: bytes) -> str:
     return f"mean={mean:.4f};rms={rms:.4f};crossings={crossings};entropy={abs(entropy):.4f}"
 
 
-def _recipes(df: DataFrame, text: str) -> DataFrame:
+def _digests(df: DataFrame, text: str) -> DataFrame:
+    """(digest, n): the chunks of all files, added up within a few hundred rows."""
+
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("media")
         for batch in small(batches):
-            sizes, whole, digests = [], [], []
-            for t in batch.column(1).to_pylist():
-                n, payload = payload_of(t)
-                media = wave(payload)
-                sizes.append(n)
-                whole.append(hashlib.sha256(media).digest())
-                digests.append([digest(c) for c in chunks(media)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "whole", "digests"])
+            counts: Counter[bytes] = Counter()
+            for t in batch.column(0).to_pylist():
+                counts.update(digest(c) for c in chunks(wave(payload_of(t)[1])))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["digest", "n"])
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", F.col(text)).mapInArrow(mapped, f"doc_id {kind}, n_bytes long, whole binary, digests array<binary>")
+    return df.select(F.col(text)).mapInArrow(mapped, "digest binary, n long")
 
 
-def _repeated(recipes: DataFrame) -> bytes:
+def _repeated(digests: DataFrame) -> bytes:
     """The bit table of repeated digests: ``BITS`` bits for each, 32 MB at most."""
-    seen = recipes.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d")
-    seen = written(seen, "repeated")
+    seen = written(digests.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest"), "repeated")
     slots = min(MOST_BITS, 1 << max(16, (BITS * seen.count()).bit_length()))
-    places = F.array(*[F.pmod(F.conv(F.hex(F.substring("d", 1 + 4 * k, 4)), 16, 10).cast("long"), F.lit(slots)) for k in range(PROBES)])
+    places = F.array(*[F.pmod(F.conv(F.hex(F.substring("digest", 1 + 4 * k, 4)), 16, 10).cast("long"), F.lit(slots)) for k in range(PROBES)])
     words = seen.select(F.explode(places).alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
     table = np.zeros(slots // 64, np.int64)
     for batch in words.toArrow().to_batches():
@@ -139,54 +139,73 @@ def _repeated(recipes: DataFrame) -> bytes:
     return table.astype("<i8").tobytes()
 
 
-def _holds(table: np.ndarray, digests: list[bytes]) -> bool:
-    slots = 8 * len(table)
-    return any(all(table[(s := int.from_bytes(d[4 * k : 4 * k + 4], "big") % slots) >> 3] >> (s & 7) & 1 for k in range(PROBES)) for d in digests)
+def _in_store(table: np.ndarray, digests: bytes) -> np.ndarray:
+    """Which of a chunk list's digests are in the bit table, and so in the chunk store."""
+    at = np.frombuffer(digests, ">u4").reshape(-1, PROBES).astype(np.int64) % (8 * len(table))
+    return (table[at >> 3] >> (at & 7) & 1).all(1)
+
+
+_FILES = "file long, n_bytes long, whole binary, digests binary, lengths binary, own binary, stored int"
 
 
 def store(df: DataFrame, path: str | None = None, text: str = "text") -> str:
-    """Write recipes, packs and chunk store of a table's payloads; returns their folder."""
+    """Write the files' chunk lists with their own chunks, and the chunk store; returns their folder."""
     spark = df.sparkSession
     path = path or scratch_path(spark, "media")
     kind = df.schema["doc_id"].dataType.simpleString()
-    recipes = written(_recipes(df, text).withColumn("file", F.monotonically_increasing_id()), "recipes", f"{path}/all_recipes")
-    shared = spark.sparkContext.broadcast(_repeated(recipes))
     docs = df.select("doc_id", F.col(text))
+    shared = spark.sparkContext.broadcast(_repeated(_digests(docs, text)))
 
-    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("media")
         table, coder = np.frombuffer(shared.value, np.uint8), zstandard.ZstdCompressor(level=3)
+        number = TaskContext.get().partitionId() << 40
         for batch in small(batches):
             rows = []
-            for i, t in enumerate(batch.column(1).to_pylist()):
+            for t in batch.column(1).to_pylist():
                 n, payload = payload_of(t)
                 media = wave(payload)
-                if not _holds(table, [digest(c) for c in chunks(media)]):
-                    rows.append((i, n, hashlib.sha256(media).digest(), coder.compress(media)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *[pa.array([r[j] for r in rows], k) for j, k in ((1, pa.int64()), (2, pa.binary()), (3, pa.binary()))]], names=["doc_id", "n_bytes", "whole", "pack"])
+                pieces = chunks(media)
+                listed = b"".join(map(digest, pieces))
+                kept = _in_store(table, listed)
+                own = b"".join([c for c, k in zip(pieces, kept.tolist(), strict=True) if not k])
+                lengths = np.array([len(c) for c in pieces], "<u4").tobytes()
+                rows.append((number, n, hashlib.sha256(media).digest(), listed, lengths, coder.compress(own) if own else b"", int(kept.sum())))
+                number += 1
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)]], names=["doc_id", *_LISTED])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("media")
         table, coder = np.frombuffer(shared.value, np.uint8), zstandard.ZstdCompressor(level=3)
         for batch in small(batches):
             found: dict[bytes, bytes] = {}
             for t in batch.column(1).to_pylist():
                 pieces = chunks(wave(payload_of(t)[1]))
-                named = [(digest(c), c) for c in pieces]
-                if _holds(table, [d for d, _ in named]):
-                    found.update((d, coder.compress(c)) for d, c in named if d not in found)
+                named = list(map(digest, pieces))
+                kept = _in_store(table, b"".join(named)).tolist()
+                found.update((d, coder.compress(c)) for d, c, k in zip(named, pieces, kept, strict=True) if k and d not in found)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "body"])
 
-    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            yield batch.filter(pa.array([_holds(table, d) for d in batch.column(batch.schema.get_field_index("digests")).to_pylist()], pa.bool_()))
-
     # a store of two tables; both writes are committed whole or not at all
-    docs.mapInArrow(packs, f"doc_id {kind}, n_bytes long, whole binary, pack binary").write.mode("overwrite").options(**_AS_IS).parquet(f"{path}/packs")
+    docs.mapInArrow(files, f"doc_id {kind}, {_FILES}").write.mode("overwrite").options(**_AS_IS).parquet(f"{path}/files")
     docs.mapInArrow(parts, "digest binary, body binary").groupBy("digest").agg(F.first("body").alias("body")).write.mode("overwrite").options(**_AS_IS).parquet(f"{path}/chunks")
-    recipes.mapInArrow(mixed, recipes.schema).write.mode("overwrite").parquet(f"{path}/recipes")
     return path
 
 
+def rebuilt(digests: bytes, lengths: bytes, own: bytes, bodies: dict[int, bytes]) -> bytes:
+    """A file from its chunk list: the chunks at the places of ``bodies`` are from the store, the others its own, one after another."""
+    pieces, at = [], 0
+    for i, n in enumerate(np.frombuffer(lengths, "<u4").tolist()):
+        chunk = bodies.get(i)
+        if chunk is None:
+            chunk, at = own[at : at + n], at + n
+        if digest(chunk) != digests[16 * i : 16 * i + 16]:
+            raise ValueError("a stored chunk does not match its digest")
+        pieces.append(chunk)
+    return b"".join(pieces)
+
+
 def _read_back(doc_ids: pa.Array, sizes: pa.Array, whole: list[bytes], files: Iterator[bytes]) -> pa.RecordBatch:
     out: list[tuple] = []
     for expected, media in zip(whole, files, strict=True):
@@ -202,27 +221,32 @@ def _read_back(doc_ids: pa.Array, sizes: pa.Array, whole: list[bytes], files: It
 #: Bodies are compressed already; small row groups keep a writer's memory low.
 _AS_IS = {"compression": "none", "parquet.block.size": str(16 << 20)}
 _FEATURES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+_LISTED = ("file", "n_bytes", "whole", "digests", "lengths", "own", "stored")
 
 
 def read(spark, path: str) -> DataFrame:
     """``doc_id``, ``n_bytes`` and what is computed from each stored file's bytes."""
-    packs = spark.read.parquet(f"{path}/packs")
-    kind = packs.schema["doc_id"].dataType.simpleString()
+    files = spark.read.parquet(f"{path}/files")
+    kind = files.schema["doc_id"].dataType.simpleString()
     result = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def from_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def from_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("media")
         coder = zstandard.ZstdDecompressor()
-        for batch in small(batches):
-            yield _read_back(batch.column(0), batch.column(1), batch.column(2).to_pylist(), (coder.decompress(p.as_py()) for p in batch.column(3)))
 
-    def from_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdDecompressor()
-        for batch in small(batches):
-            files = (b"".join(coder.decompress(p["body"]) for p in sorted(parts.as_py(), key=lambda p: p["pos"])) for parts in batch.column(3))
-            yield _read_back(batch.column(0), batch.column(1), batch.column(2).to_pylist(), files)
+        def file(digests: pa.Scalar, lengths: pa.Scalar, own: pa.Scalar, parts: pa.Scalar | None) -> bytes:
+            bodies = {p["pos"]: coder.decompress(p["body"]) for p in (parts.as_py() if parts is not None else ())}
+            return rebuilt(digests.as_py(), lengths.as_py(), coder.decompress(own.as_py()) if len(own.as_py()) else b"", bodies)
 
-    recipes = spark.read.parquet(f"{path}/recipes")
-    refs = recipes.select("file", F.posexplode("digests").alias("pos", "digest"))
+        for batch in small(batches):
+            more = batch.column(6) if batch.num_columns > 6 else [None] * batch.num_rows
+            yield _read_back(batch.column(0), batch.column(1), batch.column(2).to_pylist(), map(file, batch.column(3), batch.column(4), batch.column(5), more))
+
+    alone = files.filter("stored = 0").select("doc_id", "n_bytes", "whole", "digests", "lengths", "own")
+    # a file with a shared chunk looks up its whole list: its own chunks are not in the store and find nothing
+    mixed = files.filter("stored > 0")
+    places = F.expr("transform(sequence(0, cast(length(lengths) / 4 as int) - 1), i -> struct(i as pos, substring(digests, 16 * i + 1, 16) as digest))")
+    refs = mixed.select("file", F.explode(places).alias("p")).select("file", "p.pos", "p.digest")
     bodies = refs.join(spark.read.parquet(f"{path}/chunks"), "digest").groupBy("file").agg(F.collect_list(F.struct("pos", "body")).alias("parts"))
-    whole = recipes.select("file", "doc_id", "n_bytes", "whole").join(bodies, "file").select("doc_id", "n_bytes", "whole", "parts")
-    return packs.select("doc_id", "n_bytes", "whole", "pack").mapInArrow(from_packs, result).union(whole.mapInArrow(from_chunks, result))
+    joined = mixed.join(bodies, "file").select("doc_id", "n_bytes", "whole", "digests", "lengths", "own", "parts")
+    return alone.mapInArrow(from_lists, result).union(joined.mapInArrow(from_lists, result))

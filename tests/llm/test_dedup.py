@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
+import io
+import math
 import random
 import re
+import wave
 import zlib
 
 import numpy as np
@@ -234,23 +238,46 @@ def test_chunks_resynchronise():
     assert media.chunks(bytes(30_000)) and max(map(len, media.chunks(bytes(30_000)))) <= media.MOST
 
 
+def brute_feature(payload):
+    n = len(payload)
+    counts = collections.Counter(payload)
+    mean = sum(payload) / n
+    rms = math.sqrt(sum((x - 128) ** 2 for x in payload) / n)
+    crossings = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:]))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    return f"mean={mean:.4f};rms={rms:.4f};crossings={crossings};entropy={abs(entropy):.4f}"
+
+
+def brute_media(text):
+    raw = (text or "").encode()
+    payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+    sink = io.BytesIO()
+    with wave.open(sink, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(1)
+        w.setframerate(16_000)
+        w.writeframes(payload)
+    stored = sink.getvalue()
+    return (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), brute_feature(payload))
+
+
 def test_media(spark, docs, empty, rows):
+    """Every column against the standard library's wave writer and plain loops."""
     path = media.store(docs)
     got = media.read(spark, path).collect()
-    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
-    want = {}
-    for doc_id, text, *_ in rows:
-        raw = (text or "").encode()
-        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
-        want.setdefault(doc_id, set()).add((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
-    for r in got:
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) in want[r.doc_id]
-        assert r.media_bytes == r.payload_bytes + 44 and r.feature.startswith("mean=")
-    # copies share their chunks: every digest is stored once, and shared files are in no pack
-    chunks = spark.read.parquet(f"{path}/chunks")
-    assert chunks.count() == chunks.select("digest").distinct().count() > 0
-    packs = {r.doc_id for r in spark.read.parquet(f"{path}/packs").select("doc_id").collect()}
-    assert not packs & {3, 20} and 1 in packs
+    assert sorted(map(tuple, got), key=str) == sorted([(r[0], *brute_media(r[1])) for r in rows], key=str)
+    # copies share their chunks: every digest is stored once, and shared files have none of their own
+    chunks = {bytes(r.digest) for r in spark.read.parquet(f"{path}/chunks").collect()}
+    assert len(chunks) == spark.read.parquet(f"{path}/chunks").count() > 0
+    files = {r.doc_id: r for r in spark.read.parquet(f"{path}/files").collect()}
+    texts = {r[0]: r[1] for r in rows}
+    for doc_id, f in files.items():
+        pieces = media.chunks(media.wave(media.payload_of(texts[doc_id])[1])) if doc_id is not None else []
+        if pieces:  # the whole file is an ordered chunk list
+            assert bytes(f.digests) == b"".join(map(media.digest, pieces))
+            assert np.frombuffer(f.lengths, "<u4").tolist() == [len(c) for c in pieces]
+            assert f.stored == sum(media.digest(c) in chunks for c in pieces)
+    assert not files[3].own and not files[20].own and files[1].own and files[1].stored == 0
     assert media.read(spark, media.store(empty)).count() == 0
 
 
@@ -259,8 +286,8 @@ def test_damaged_media(spark, docs):
     from pyspark.sql import functions as F
 
     path = media.store(docs.filter("doc_id < 3"))
-    spark.read.parquet(f"{path}/packs").withColumn("whole", F.lit(b"x")).write.parquet(f"{path}/bad/packs")
-    for part in ("chunks", "recipes"):
-        spark.read.parquet(f"{path}/{part}").write.parquet(f"{path}/bad/{part}")
-    with pytest.raises(PySparkException, match="does not match its digest"):
-        media.read(spark, f"{path}/bad").collect()
+    for name, column, value in (("file", "whole", F.lit(b"x")), ("chunk", "digests", F.concat(F.lit(b"0000000000000000"), F.expr("substring(digests, 17)")))):
+        spark.read.parquet(f"{path}/files").withColumn(column, value).write.parquet(f"{path}/bad_{name}/files")
+        spark.read.parquet(f"{path}/chunks").write.parquet(f"{path}/bad_{name}/chunks")
+        with pytest.raises(PySparkException, match=f"a stored {name} does not match its digest"):
+            media.read(spark, f"{path}/bad_{name}").collect()
