@@ -2,9 +2,12 @@
 
 Documents are put in ascending id order by a range partitioning; every task
 encodes its own, appends the end id to each and cuts them into shards of a
-bounded number of ids. A shard is compressed on its own: in each round the most
-frequent id pairs become nonterminals, which later rounds may pair again. Pairs
-never cross the end of a document, so that any document can be expanded alone.
+bounded number of ids. A shard is compressed on its own by Re-Pair: frequent id
+pairs become nonterminals, which may be paired again, until no pair occurs
+``LEAST`` times. A round replaces all frequent pairs at once; where two overlap
+the more frequent one goes first. Pairs never cross the end of a document, and
+the stored expansion lengths lead to the symbols of any stretch of ids, so that
+documents and parts of them are expanded alone.
 
 File format (one shard, little-endian):
     magic ``RPR1``, then uint32 counts: documents, rules, symbols, base
@@ -13,7 +16,7 @@ File format (one shard, little-endian):
     ids       int64 document id each; then one byte each, 1 where it is null
     symbols   uint32 first symbol of each document
     starts    uint32 first id of each document within the shard
-    payload   symbols as uint24
+    payload   symbols as uint24 (uint32 in a shard with 2^24 symbols or more)
 
 Shards travel as rows ``(part, shard, part_start, docs, tokens, blob)`` of a
 Parquet table: Spark's committed writes need no file system of their own on the
@@ -46,73 +49,113 @@ from pairforge.llm.storage import scratch_path, working
 
 MAGIC = b"RPR1"
 #: A shard is closed once it holds so many ids.
-SHARD_IDS = 1_000_000
-#: Rounds of pair replacement, pairs replaced in a round, least count of a pair.
-ROUNDS, PAIRS, LEAST = 3, 8192, 8
+SHARD_IDS = 500_000
+#: A pair becomes a rule while it occurs so often; bits of the hash by which pairs are counted.
+LEAST = 8
 _BUCKET_BITS = 18
 
 
-def _frequent_pairs(seq: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the pairs to replace in this round, the number of each one's rule, and the rules.
+def _without_overlaps(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``at`` without the pairs of equal symbols that overlap the one before, so that no pair overlaps itself."""
+    twins = np.flatnonzero(left == right)
+    if len(twins) < 2:
+        return at
+    begins = np.ones(len(twins), bool)
+    begins[1:] = np.diff(at[twins]) > 1
+    order = np.arange(len(twins))
+    odd = (order - np.maximum.accumulate(np.where(begins, order, 0))) % 2 == 1
+    return np.delete(at, twins[odd])
 
-    Pairs are counted by hash bucket; each of the fullest buckets offers one of
-    its pairs, whose own count then has to reach ``LEAST``.
+
+def _candidates(left: np.ndarray, right: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a list of pairs: those that occur ``LEAST`` times, the number of each one's pair, its count; and those that surely do not.
+
+    Pairs are counted by hash bucket, and a full bucket stands for the pair seen
+    last in it, whose own count then has to do. ``exact`` sorts the pairs
+    instead, so that none is overlooked.
     """
-    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint32)
-    if len(seq) < 2:
-        return none
-    left, right = seq[:-1], seq[1:]
-    bucket = (((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(32 - _BUCKET_BITS)).astype(np.int64)
-    bucket[last[:-1]] = 1 << _BUCKET_BITS
-    counts = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1)
-    counts[-1] = 0
-    full = counts[counts >= LEAST]
-    least = max(LEAST, int(np.partition(full, -PAIRS)[-PAIRS])) if len(full) > PAIRS else LEAST
-    at = np.flatnonzero(counts[bucket] >= least)
-    if not len(at):
-        return none
-    chosen = bucket[at]
-    pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-    offered = np.zeros((1 << _BUCKET_BITS) + 1, np.uint64)
-    offered[chosen] = pair
-    same = offered[chosen] == pair
-    at, chosen = at[same], chosen[same]
-    # Of overlapping places every second one is replaced, from the left.
-    begins = np.ones(len(at), bool)
-    begins[1:] = np.diff(at) > 1
-    first = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-    even = (np.arange(len(at)) - first) % 2 == 0
-    at, chosen = at[even], chosen[even]
-    enough = np.bincount(chosen, minlength=(1 << _BUCKET_BITS) + 1) >= LEAST
-    kept = enough[chosen]
+    if exact:
+        _, number, often = np.unique(left.astype(np.uint64) << np.uint64(32) | right, return_inverse=True, return_counts=True)
+        enough = often[number] >= LEAST
+        return np.flatnonzero(enough), number[enough], often[number[enough]], ~enough
+    bucket = ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(32 - _BUCKET_BITS)
+    rare = (np.bincount(bucket, minlength=1 << _BUCKET_BITS) < LEAST)[bucket]
+    which = np.flatnonzero(~rare)
+    bucket = bucket[which]
+    pair = left[which].astype(np.uint64) << np.uint64(32) | right[which]
+    offered = np.zeros(1 << _BUCKET_BITS, np.uint64)
+    offered[bucket] = pair
+    same = offered[bucket] == pair
+    counts = np.bincount(bucket[same], minlength=1 << _BUCKET_BITS)
+    enough = same & (counts >= LEAST)[bucket]
+    rare[which[same & ~enough]] = True
+    bucket = bucket[enough]
+    return which[enough], bucket, counts[bucket], rare
+
+
+def _round(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places to replace, the number of each one's rule, the rules, and the places of ``at`` that never will be.
+
+    Of pairs that overlap the more frequent one is replaced. The most frequent
+    pair of all so keeps all of its places, and a round with candidates has a rule.
+    """
+    at = _without_overlaps(seq[at], seq[at + 1], at)
+    left, right = seq[at], seq[at + 1]
+    for exact in (False, True):
+        which, number, often, rare = _candidates(left, right, exact)
+        if len(which):
+            break
+    else:
+        return at[:0], number, np.empty((0, 2), np.uint32), at
+    chosen = at[which]
+    strength = often * (int(number.max()) + 1) + number  # no two pairs are equal
+    beside = np.diff(chosen) == 1
+    wins = np.ones(len(chosen), bool)
+    wins[1:] &= ~beside | (strength[1:] > strength[:-1])
+    wins[:-1] &= ~beside | (strength[:-1] > strength[1:])
+    chosen, number = chosen[wins], number[wins]
+    enough = np.bincount(number) >= LEAST
+    kept = enough[number]
+    chosen, number = chosen[kept], number[kept]
     names = np.flatnonzero(enough)
-    number = np.zeros(len(enough), np.uint32)
-    number[names] = np.arange(len(names))
-    rules = np.stack([offered[names] >> np.uint64(32), offered[names] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-    return at[kept], number[chosen[kept]], rules
+    rule = np.zeros(len(enough), np.int64)
+    rule[names] = np.arange(len(names))
+    number = rule[number]
+    rules = np.empty((len(names), 2), np.uint32)
+    rules[number, 0], rules[number, 1] = seq[chosen], seq[chosen + 1]
+    return chosen, number, rules, at[rare]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair one shard.
+def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair one shard, until no pair occurs ``LEAST`` times.
 
     ``ends`` marks each document's last id. Returns the symbols, the rules
-    (left, right) and the mark of each document's last symbol.
+    (left, right) and the mark of each document's last symbol. A pair's count
+    only ever falls, so places of rare pairs are left out of later rounds until
+    a new symbol comes beside them.
     """
     seq, last = ids.astype(np.uint32), ends.astype(bool)
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
-        at, number, new = _frequent_pairs(seq, last)
+    active = np.ones(len(seq), bool)
+    while True:
+        active[-1:] = False
+        active &= ~last
+        at, number, new, rare = _round(seq, np.flatnonzero(active))
         if not len(at):
-            break
+            return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), last
         rules.append(new)
-        seq[at] = np.uint32(base + n_rules) + number
+        active[rare] = False
+        seq[at] = base + n_rules + number
         last[at] = last[at + 1]
+        active[at] = True
+        active[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        # the new left neighbour of a symbol may itself be one that goes
+        active[np.maximum(at - 2, 0)] |= ~keep[np.maximum(at - 1, 0)]
+        seq, last, active = seq[keep], last[keep], active[keep]
         n_rules += len(new)
-    return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), last
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -146,6 +189,11 @@ def expand(symbols: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray
     return table[shift + np.arange(len(shift))]
 
 
+def _width(symbols: int) -> int:
+    """Bytes of a symbol."""
+    return 3 if symbols <= 1 << 24 else 4
+
+
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> bytes:
     """One shard's bytes; ``ids`` has each document's ids, the end id included."""
     sizes = np.array([len(x) for x in ids], np.int64)
@@ -164,7 +212,7 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> bytes:
             bytes(x is None for x in doc_ids),
             first.tobytes(),
             (np.cumsum(sizes) - sizes).astype("<u4").tobytes(),
-            symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(),
+            symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : _width(base + len(rules))].tobytes(),
         ]
     )
 
@@ -184,26 +232,56 @@ class Shard:
             at += out.nbytes
             return out
 
-        rules = take("<u4", 2 * n_rules).reshape(-1, 2)
+        self._base, self._rules = base, take("<u4", 2 * n_rules).reshape(-1, 2)
         self.rule_lengths = take("<u4", n_rules)
         numbers, missing = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if m else n for n, m in zip(numbers.tolist(), missing.tolist(), strict=True)]
         self._first, self.starts = take("<u4", docs), take("<u4", docs)
+        width = _width(base + n_rules)
         packed = np.zeros((n_symbols, 4), np.uint8)
-        packed[:, :3] = take("u1", 3 * n_symbols).reshape(-1, 3)
+        packed[:, :width] = take("u1", width * n_symbols).reshape(-1, width)
         self._symbols = packed.view("<u4").ravel()
-        self._tables = _expansions(rules, base)
 
     def __len__(self) -> int:
         return len(self.doc_ids)
 
-    def ids(self, i: int) -> np.ndarray:
-        """The ids of the ``i``-th document, its end id included."""
+    def _symbols_of(self, i: int) -> np.ndarray:
         end = self._first[i + 1] if i + 1 < len(self) else len(self._symbols)
-        return expand(self._symbols[self._first[i] : end], self._tables)
+        return self._symbols[self._first[i] : end]
+
+    def _lengths(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids that each symbol stands for, from the stored lengths."""
+        out = np.ones(len(symbols), np.int64)
+        rules = symbols >= self._base
+        out[rules] = self.rule_lengths[symbols[rules] - self._base]
+        return out
+
+    def ids(self, i: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+        """The ids of the ``i``-th document from ``begin`` to ``end``, all with the end id if these are left out.
+
+        The lengths tell which symbols the stretch begins and ends in; only
+        these are expanded, and what lies outside is dropped level by level.
+        """
+        symbols = self._symbols_of(i)
+        while True:
+            ends = np.cumsum(self._lengths(symbols))
+            stop = int(ends[-1]) if end is None and len(ends) else end or 0
+            if stop <= begin or not len(ends):
+                return symbols[:0]
+            first, beyond = int(np.searchsorted(ends, begin, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+            skipped = int(ends[first - 1]) if first else 0
+            symbols, begin, end = symbols[first:beyond], begin - skipped, stop - skipped
+            inner = symbols >= self._base
+            if not inner.any():
+                return symbols
+            at = np.cumsum(1 + inner) - 1 - inner
+            longer = np.repeat(symbols, 1 + inner)
+            longer[at[inner]], longer[at[inner] + 1] = self._rules[symbols[inner] - self._base].T
+            symbols = longer
 
     def all_ids(self) -> np.ndarray:
-        return expand(self._symbols, self._tables)
+        """The ids of all documents, by one flat table of all expansions."""
+        return expand(self._symbols, _expansions(self._rules, self._base))
 
 
 _ENCODERS: dict[int, object] = {}

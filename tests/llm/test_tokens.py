@@ -75,7 +75,44 @@ def test_grammar_round_trip(documents):
     assert shard.doc_ids == [None, *range(1, len(ids))]
     for i, want in enumerate(ids):
         assert shard.ids(i).tolist() == want.tolist()
+        for a, b in ((0, 1), (1, len(want)), (len(want) // 3, len(want) // 2 + 1), (len(want) - 1, len(want)), (2, 2)):
+            assert shard.ids(i, a, b).tolist() == want[a:b].tolist()
     assert shard.all_ids().tolist() == np.concatenate(ids).tolist()
+    assert (tokenfile.rule_lengths(shard._rules, 50_257) == shard.rule_lengths).all()
+
+
+def pair_counts(symbols, last):
+    """Occurrences that do not overlap of each pair within documents, from the left."""
+    counts: dict = {}
+    before: dict = {}
+    for i in range(len(symbols) - 1):
+        pair = int(symbols[i]), int(symbols[i + 1])
+        if not last[i] and before.get(pair) != i - 1:
+            counts[pair] = counts.get(pair, 0) + 1
+            before[pair] = i
+    return counts
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=80), min_size=1, max_size=8), st.sampled_from([2, 5, 18]))
+def test_grammar_leaves_no_frequent_pair(documents, bits):
+    """Pairs are replaced until none is frequent, also where many share a bucket of the hash."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokenfile, "_BUCKET_BITS", bits)
+        flat = np.concatenate([np.array([*d * 4, 9], np.uint32) for d in documents])
+        ends = np.zeros(len(flat), bool)
+        ends[np.cumsum([4 * len(d) + 1 for d in documents]) - 1] = True
+        symbols, rules, last = tokenfile.compress(flat, ends, 10)
+        assert max(pair_counts(symbols, last).values(), default=0) < tokenfile.LEAST
+        assert tokenfile.expand(symbols, tokenfile._expansions(rules, 10)).tolist() == flat.tolist()
+
+
+def test_grammar_of_long_repeats():
+    """A passage of 500 ids that occurs 40 times becomes a few symbols each time, however deep its rules."""
+    passage = np.random.default_rng(2).integers(0, 50_000, 500).astype(np.uint32)
+    flat = np.concatenate([np.append(passage, np.uint32(50_000 + k % 7)) for k in range(40)])
+    symbols, rules, _ = tokenfile.compress(flat, np.arange(len(flat)) == len(flat) - 1, 50_257)
+    assert len(symbols) <= 2 * 40 + 1 and tokenfile.rule_lengths(rules, 50_257).max() >= 500
 
 
 def test_grammar_compresses():
