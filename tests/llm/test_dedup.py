@@ -226,6 +226,35 @@ def test_search_of_huge_components(spark):
     assert sorted(map(tuple, got)) == sorted(brute_search(vectors))
 
 
+def test_search_beyond_64_bits(spark):
+    """Scores that do not fit are the nearest that do, and tie; components that overflow take no part."""
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** (rng.integers(0, 16))]) for i in range(150)]
+    vectors += [(200, [1e300, 1.0, 2.0]), (300, [-1e300, 5.0, 1.0]), (301, [1.7e308, 0.0, 0.0]), (302, [1e200, -1e200, 0.0]), (400, []), (401, [])]
+    got = maxscore.search(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3), shard=64, block=8).collect()
+    usable = {i: [int(np.floor(1024 * c)) for c in v] for i, v in vectors if i != 301}
+    want = []
+    for q in (0, 100, 200, 300, 400):
+        scores = {i: min(max(sum(x * y for x, y in zip(usable[q], v)), -(1 << 63)), (1 << 63) - 1) for i, v in usable.items() if i != q and len(v) == len(usable[q])}
+        want += [(q, r + 1, i, scores[i]) for r, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:10])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_search_of_one_dimension_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    vectors = [(i, [float((i * 37) % 101 - 50)]) for i in range(201)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("part", "shard", "dim", "rows", "size", "query", "rank", "score", "q_at")})
+    assert sorted(map(tuple, maxscore.search(df, shard=16, block=1).collect())) == sorted(brute_search(vectors))
+
+
+def test_search_plan(spark):
+    """Shards and blocks meet as a product of partitions: nothing that grows is broadcast."""
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(300)], "vec_id long, embedding array<double>")
+    plan = maxscore.search(df)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+
+
 # -- media ----------------------------------------------------------------------------------------------------
 def test_chunks_resynchronise():
     rng = random.Random(1)
