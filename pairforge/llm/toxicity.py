@@ -33,8 +33,6 @@ from pairforge.llm.storage import working, written
 
 #: Labelled documents that the fit uses at most, at about; features; documents a feature is in at least.
 SAMPLE, TERMS, LEAST = 20_000, 3000, 4
-#: Swapped sentences of one training document at most, so that a long one does not outweigh the others.
-SWAPS = 64
 #: Lengths of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7)
 L2, COUNTERFACTUAL, STEPS = 0.3, 1.0, 400
@@ -143,20 +141,33 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", identity: Sequence
     vocabulary = _associated(sample, TERMS)
     index = {t: i for i, t in enumerate(vocabulary)}
 
+    def signed(before: set[str], after: set[str]) -> list[int]:
+        """Gained terms as they are, lost ones as -1 - number."""
+        return sorted([index[t] for t in after - before if t in index] + [-1 - index[t] for t in before - after if t in index])
+
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, labels_, pairs = [], [], []
-            for value, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.append(sorted(index[t] for t in terms(value) if t in index))
-                labels_.append(label)
-                # signed: gained terms as they are, lost ones as -1 - number
-                pairs.append([sorted([index[t] for t in b - a if t in index] + [-1 - index[t] for t in a - b if t in index]) for a, b in _swapped(value or "", identity)][:SWAPS])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(labels_, pa.int32()), pa.array(pairs, pa.list_(pa.list_(pa.int32())))], names=["x", "y", "pairs"])
-
-    got = sample.mapInArrow(featured, "x array<int>, y int, pairs array<array<int>>").toArrow().to_pydict()
+            rows = [sorted(index[t] for t in terms(value) if t in index) for value in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], names=["x", "y"])
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All swapped sentences as what they change; those of one document weigh one together."""
+        weights: Counter[tuple[int, ...]] = Counter()
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                found = [tuple(signed(a, b)) for a, b in _swapped(value or "", identity)]
+                for change, n in Counter(found).items():
+                    weights[change] += n / len(found)
+        weights.pop((), None)
+        yield pa.RecordBatch.from_arrays([pa.array(map(list, weights), pa.list_(pa.int32())), pa.array(list(weights.values()), pa.float64())], names=["change", "weight"])
+
+    got = sample.mapInArrow(featured, "x array<int>, y int").toArrow().to_pydict()
+    # a change is a few terms of two identity terms, so that equal ones are added up and few are left
+    swaps = sample.mapInArrow(changes, "change array<int>, weight double").groupBy("change").agg(F.sum("weight").alias("weight")).orderBy("change").collect()
     # every identity term by itself, against a sentence without it
-    pairs = [p for ps in got["pairs"] for p in ps if p] + [[index[t] for t in terms_of(term) if t in index] for term in identity]
-    weights, bias = _solve(got["x"], np.array(got["y"], float), [p for p in pairs if p], len(vocabulary))
+    alone = [p for p in ([index[t] for t in terms_of(term) if t in index] for term in identity) if p]
+    pairs, weight = [r.change for r in swaps] + alone, np.array([r.weight for r in swaps] + [1.0] * len(alone))
+    weights, bias = _solve(got["x"], np.array(got["y"], float), pairs, len(vocabulary), weight)
     return Toxicity({t: float(w) for t, w in zip(vocabulary, weights, strict=True) if abs(w) > 1e-6}, bias)
 
 
@@ -165,8 +176,9 @@ def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), sizes), np.fromiter((i for r in rows for i in r), np.int64, int(sizes.sum()))
 
 
-def _solve(rows: list[list[int]], y: np.ndarray, pairs: list[list[int]], n: int) -> tuple[np.ndarray, float]:
+def _solve(rows: list[list[int]], y: np.ndarray, pairs: list[list[int]], n: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Minimise the mean logistic loss + L2 + the counterfactual penalty, by Adam on the whole sample."""
+    weight = np.ones(len(pairs)) if weight is None else weight
     at, which = _flat(rows)
     pair_at, signed = _flat(pairs)
     sign = np.where(signed >= 0, 1.0, -1.0)
@@ -178,7 +190,7 @@ def _solve(rows: list[list[int]], y: np.ndarray, pairs: list[list[int]], n: int)
         g = np.bincount(which, (p - y)[at], n) / len(y) + L2 * w / len(y)
         if len(pairs):
             change = np.bincount(pair_at, sign * w[changed], len(pairs))
-            g += COUNTERFACTUAL * np.bincount(changed, sign * change[pair_at], n) / len(pairs)
+            g += COUNTERFACTUAL * np.bincount(changed, sign * (weight * change)[pair_at], n) / weight.sum()
         gb = float((p - y).mean())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.1 * (1 - step / (STEPS + 1))
