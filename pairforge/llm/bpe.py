@@ -40,9 +40,9 @@ from pairforge.llm.storage import working
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Texts are handled in slices of about so many characters, which bounds a trie.
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 3_000_000
 #: Each of the two generations of a worker's chunk cache holds so many entries.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 120_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -99,7 +99,7 @@ class Bpe:
         key = a << 20 | b
         known = self._pair.get(key)
         if known is None:
-            if len(self._pair) > 500_000:
+            if len(self._pair) > 300_000:
                 self._pair.clear()
             known = self._pair[key] = self._stable(a, b)
         return known

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,20 +62,33 @@ ARROW_ROWS = 512
 
 
 def frugal(spark: SparkSession) -> None:
-    """Keep the session's Arrow batches small, as executors hold one or two of them for each task."""
+    """Keep the session's Arrow batches small, as executors hold one or two of them for each task.
+
+    Results are lazy and read the setting when they run, so it stays; it changes
+    how many rows travel together and no result.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 _HELD: dict[str, Callable[[], None]] = {}
+_LAST: str | None = None
 
 
 def working(name: str, clear: Callable[[], None] | None = None) -> None:
     """Called by an operator's function in a worker: the caches of other operators there are dropped.
 
     Spark reuses Python workers, and what the last operator has cached would
-    otherwise stay beside what the next one needs.
+    otherwise stay beside what the next one needs. What was freed goes back to
+    the system, as it counts against the executor until then.
     """
+    global _LAST
     for other in [k for k in _HELD if k != name]:
         _HELD.pop(other)()
     if clear is not None:
         _HELD[name] = clear
+    if _LAST not in (None, name):
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+            ctypes.CDLL(None).malloc_trim(0)
+    _LAST = name
