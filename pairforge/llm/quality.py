@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm.labels import held_out, training_labels
-from pairforge.llm.storage import working, written
+from pairforge.llm.storage import BROADCAST_ROWS, working, written
 
 FEATURES, WIDTH, RIDGE, BINS, SEED = 160, 3.0, 1e-3, 400, 7
+#: Partitions that send sums, each of some 26,000 numbers; a partition of any size is streamed.
+SUMS = 256
 THRESHOLD = 0.3
 
 _CLASSES = np.zeros((256, 10))
@@ -141,7 +143,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Quality | None:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "v"])
 
     total = np.zeros(size * size + size)
-    for r in rows.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+    for r in rows.coalesce(SUMS).mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         total[r.i] = r.v
     left, right = total[: size * size].reshape(size, size), total[size * size :]
     model.weights = np.linalg.solve(left + RIDGE * moments[0] * np.eye(size), right)
@@ -174,7 +176,11 @@ def score(df: DataFrame, labels: DataFrame, column: str = "quality") -> DataFram
 
 def keep_good(df: DataFrame, labels: DataFrame, column: str = "quality", text: str = "text") -> DataFrame:
     """The rows whose text is not rejected, with all of their columns."""
-    model = fit(measured(df, text), training_labels(labels, column))
+    known = written(training_labels(labels, column), "training_labels")
+    some = df
+    if known.count() <= BROADCAST_ROWS:  # few labels pick their texts before these are measured; many meet the narrow statistics
+        some = df.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    model = fit(measured(some, text), known)
     if model is None:
         return df
     at = df.columns.index(text)
