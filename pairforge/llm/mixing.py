@@ -114,16 +114,22 @@ def plan_mix(df: DataFrame, seed: int = 42, block: int = BLOCK, shard: int = SHA
     """
     kept = [F.col(c).alias(f"_carry_{c}") for c in carry]
     docs = df.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_text"), *kept)
-    if not carry:
-        docs = written(docs, "mix_sizes")  # so that texts are read once
-    sized = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # texts are read once for all sums, and once more only where they are carried along
+    narrow = written(docs.drop(*[f"_carry_{c}" for c in carry]), "mix_sizes")
+    docs = docs if carry else narrow
+    sized = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sized)
     all_blocks = F.round(F.sum("source_size").over(Window.partitionBy()) / block).cast("long")
     quotas = sainte_lague(targets.withColumn("_one", F.lit(0)).withColumn("_seats", all_blocks), ["_one"], "target", "_seats", ["source"])
     quotas = quotas.select("source", "source_size", "target", F.col("quota").alias("source_quota"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("long").alias("shards"))
 
-    placed = _same_source(docs, lookup(quotas, "mix_quotas")).withColumn("_key", _hash(F.lit(seed), F.col("doc_id"))).withColumn("_shard", F.pmod(_number(F.col("_key"), 1), F.col("shards")))
-    cells = placed.groupBy("source", "_shard").agg(F.sum("size").alias("cell_size"), F.first("source_quota").alias("source_quota"))
+    quotas = lookup(quotas, "mix_quotas")
+
+    def in_shards(rows: DataFrame) -> DataFrame:
+        return _same_source(rows, quotas).withColumn("_key", _hash(F.lit(seed), F.col("doc_id"))).withColumn("_shard", F.pmod(_number(F.col("_key"), 1), F.col("shards")))
+
+    placed = in_shards(docs)
+    cells = in_shards(narrow).groupBy("source", "_shard").agg(F.sum("size").alias("cell_size"), F.first("source_quota").alias("source_quota"))
     cells = sainte_lague(cells, ["source"], "cell_size", "source_quota", ["_shard"])
     cells = cells.select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), F.greatest(F.lit(1), F.ceil(F.col("cell_size") / block)).cast("long").alias("blocks"), "quota")
     lined = placed.join(lookup(cells, "mix_cells"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_h")))
