@@ -39,6 +39,9 @@ LEAST = 20
 #: Nats above the threshold: a stretch ends where its sum has fallen by ``DROP`` and is looked at from ``GAIN`` on.
 DROP, GAIN = 8.0, 4.0
 
+#: Matches of a text that are placed together.
+STRETCH = 256
+
 #: Fixed value: the models' alphabet; all other characters share one further class.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CLASSES = len(ALPHABET) + 1
@@ -122,12 +125,16 @@ def _places(text: str, pattern: str, test: str, kind: int, keep: str = "true", p
         f"(gap, x) -> struct(length(gap) as gap, x.m as m, x.v as v))"
     )
     parts = parts or "array(struct(0 as begin, length(x.m) as end))"
-    spans = (
-        f"aggregate({found}, struct(0 as at, cast(array() as {_SPANS}) as spans), (s, x) -> struct("
+    # by stretches of matches, so that no array grows match by match over a whole text
+    stretches = f"transform(sequence(0, cast((size(f) - 1) / {STRETCH} as int)), j -> slice(f, {STRETCH} * j + 1, {STRETCH}))"
+    within = (
+        f"transform({stretches}, c -> aggregate(c, struct(0 as at, cast(array() as {_SPANS}) as spans), (s, x) -> struct("
         f"cast(s.at + x.gap + coalesce(length(x.m), 0) as int) as at, "
         f"case when x.m is not null and {keep} then concat(s.spans, transform({parts}, part -> struct(cast(s.at + x.gap + part.begin as int) as begin, cast(s.at + x.gap + part.end as int) as end, {kind} as kind))) "
-        f"else s.spans end as spans), s -> s.spans)"
+        f"else s.spans end as spans)))"
     )
+    moved = "transform(c.spans, y -> struct(cast(s.at + y.begin as int) as begin, cast(s.at + y.end as int) as end, y.kind as kind))"
+    spans = _let("f", found, f"flatten(aggregate({within}, struct(0 as at, cast(array() as array<{_SPANS}>) as done), (s, c) -> struct(cast(s.at + c.at as int) as at, concat(s.done, array({moved})) as done), s -> s.done))")
     return F.expr(f"case when {text} rlike {_quoted(test)} then {spans} else cast(array() as {_SPANS}) end")
 
 

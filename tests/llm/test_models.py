@@ -194,6 +194,97 @@ def test_keys_beside_words(spark):
     assert [left[len(texts) + i] for i in range(len(none))] == none
 
 
+def brute_markov(text, ratios, threshold=secrets.THRESHOLD):
+    """Spans of the models, with plain loops."""
+    place = {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+    table = [float(f"{x:.3f}") for x in ratios]
+
+    def scores(run):
+        codes = [place.get(c, 0) for c in run]
+        return [table[secrets.CLASSES * a + b] for a, b in zip(codes, codes[1:])]
+
+    def mean(values):
+        return sum(values) / len(values)
+
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run = m[0]
+        if not re.search("[A-Za-z]", run):
+            continue
+        g = scores(run)
+
+        def good(span):
+            b, e = span
+            part = run[b:e]
+            if e - b < 20 or not re.search("[A-Za-z]", part) or not (re.search("[0-9]", part) or re.search("^[A-Za-z].*[A-Za-z]$", part)):
+                return False
+            return mean(g[b : e - 1] if re.search("[a-z0-9]", part) else scores(part.lower())) > threshold
+
+        def bare(span):
+            b, e = span
+            part = run[b:e]
+            return b + len(part) - len(part.lstrip("+/_=-")), e - len(part) + len(part.rstrip("+/_=-"))
+
+        stretches, total, begin, best, end = [], 0.0, 0, 0.0, 0
+        for i, x in enumerate(g, 1):
+            total += x - threshold
+            if total > best:
+                best, end = total, i + 1
+            if total <= 0 or best - total > secrets.DROP:
+                if best > secrets.GAIN:
+                    stretches.append((begin, end))
+                total, begin, best, end = 0.0, i, 0.0, 0
+        if best > secrets.GAIN:
+            stretches.append((begin, end))
+        whole = (0, len(run))
+        kept = next((x for x in (whole, bare(whole)) if good(x)), None)
+        chosen = [] if kept is None else [kept]
+        for b, e in stretches if kept is None else ():
+            wide = b - len(re.split("[/_=-]", run[:b])[-1]), e + len(re.split("[/_=-]", run[e:])[0])
+            found = next((x for x in (bare(wide), bare((b, e))) if good(x)), None)
+            if found and found not in chosen:
+                chosen.append(found)
+        out += [(m.start() + b, m.start() + e) for b, e in chosen]
+    return out
+
+
+def held_out_strings(n=300):
+    """Random keys and joined words that the training sample does not have."""
+    import random
+
+    rng = random.Random(11)
+    words = "anchor basket candle dragon engine forest garden hammer island jungle kettle lantern marble needle orchid pepper quartz rocket saddle timber velvet window yellow zipper".split()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(letters, k=rng.choice([20, 32, 40]))) for _ in range(n)]
+    names = [rng.choice(["_", "-", "/", ""]).join((w.title() if rng.random() < 0.5 else w) for w in rng.choices(words, k=5)) for _ in range(n)]
+    return keys, names
+
+
+def test_markov_spans_by_brute_force(spark, rows):
+    ratios = secrets.train(secrets.labelled_samples(spark))
+    keys, names = held_out_strings(60)
+    texts = [r[1] or "" for r in rows[-6:-2]] + TRICKY + [f"see /{n}/{k}-{m}/ x {k}{m} y" for k, n, m in zip(keys, names, reversed(names))] + ["/".join(names[:20] + keys[:3] + names[20:])]
+    got = {r.doc_id: [(s.begin, s.end) for s in r.spans if s.kind == 3] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios).collect()}
+    assert got == {i: brute_markov(t, ratios) for i, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 100
+
+
+def test_held_out_recall_and_precision(spark):
+    """Of strings that the models have not seen: at least 97 in 100 keys are found, and of what is found 99 in 100 are keys."""
+    keys, names = held_out_strings()
+    found = {r.doc_id for r in secrets.scan(spark.createDataFrame(list(enumerate(keys + names)), "doc_id long, text string")).collect() if any(s.kind == 3 for s in r.spans)}
+    hits, false = sum(i < len(keys) for i in found), sum(i >= len(keys) for i in found)
+    assert hits >= 0.97 * len(keys) and false <= 0.01 * hits
+
+
+def test_secrets_of_many_matches(spark):
+    """More matches than are placed together, with other text of many code points between them."""
+    text = "".join(f"é😀 token={'k' * (6 + i % 5)}{i} " + ("ab12" * 6 + " " if i % 3 else "x") for i in range(3 * secrets.STRETCH + 7))
+    r = secrets.report(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    spans = brute_spans(text)
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{b}:{e}" for b, k, e in spans).encode()).hexdigest() and r.n_assign > 3 * secrets.STRETCH
+
+
 def test_redact(spark, docs):
     out = secrets.redact(docs)
     assert out.columns == docs.columns
@@ -236,5 +327,20 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, sf).count() == seen[5].count()
 
 
+def test_stages_of_empty_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    none = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0
+
+
+def test_swaps_of_long_documents_weigh_one():
+    """A document of many swapped sentences has no more weight than one of a few, and none is left out."""
+    x, y = [[0, 1], [0], [1], []] * 5, np.array([1.0, 1, 0, 0] * 5)
+    many, _ = toxicity._solve(x, y, [[1]], 2, np.array([5.0]))
+    same, _ = toxicity._solve(x, y, [[1]] * 5, 2)
+    assert many == pytest.approx(same)
+
+
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in q.QUERIES) == list(range(1, 11))
