@@ -36,7 +36,6 @@ import base64
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +49,7 @@ from pairforge.llm.storage import scratch_path, working
 MAGIC = b"RPR1"
 #: A shard is closed once it holds so many ids.
 SHARD_IDS = 500_000
-#: A pair becomes a rule while it occurs so often; bits of the hash by which pairs are counted.
+#: A pair becomes a rule while it occurs so often; most bits of the hash by which pairs are counted.
 LEAST = 8
 _BUCKET_BITS = 18
 
@@ -78,15 +77,16 @@ def _candidates(left: np.ndarray, right: np.ndarray, exact: bool) -> tuple[np.nd
         _, number, often = np.unique(left.astype(np.uint64) << np.uint64(32) | right, return_inverse=True, return_counts=True)
         enough = often[number] >= LEAST
         return np.flatnonzero(enough), number[enough], often[number[enough]], ~enough
-    bucket = ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(32 - _BUCKET_BITS)
-    rare = (np.bincount(bucket, minlength=1 << _BUCKET_BITS) < LEAST)[bucket]
+    bits = min(_BUCKET_BITS, len(left).bit_length())
+    bucket = ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(32 - bits)
+    rare = (np.bincount(bucket, minlength=1 << bits) < LEAST)[bucket]
     which = np.flatnonzero(~rare)
     bucket = bucket[which]
     pair = left[which].astype(np.uint64) << np.uint64(32) | right[which]
-    offered = np.zeros(1 << _BUCKET_BITS, np.uint64)
+    offered = np.zeros(1 << bits, np.uint64)
     offered[bucket] = pair
     same = offered[bucket] == pair
-    counts = np.bincount(bucket[same], minlength=1 << _BUCKET_BITS)
+    counts = np.bincount(bucket[same], minlength=1 << bits)
     enough = same & (counts >= LEAST)[bucket]
     rare[which[same & ~enough]] = True
     bucket = bucket[enough]
@@ -154,7 +154,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         keep[at + 1] = False
         # the new left neighbour of a symbol may itself be one that goes
         active[np.maximum(at - 2, 0)] |= ~keep[np.maximum(at - 1, 0)]
-        seq, last, active = seq[keep], last[keep], active[keep]
+        left = np.flatnonzero(keep)
+        seq, last, active = seq.take(left), last.take(left), active.take(left)
         n_rules += len(new)
 
 
@@ -302,7 +303,7 @@ def _encoder(ranks: bytes, pattern: str):
 _LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
 
 
-def _encode(encoder, text: str) -> list[int]:
+def _encode(encoder, text: str) -> np.ndarray:
     """A text's ids, whatever its runs of white space.
 
     The pattern takes a run as one piece, without its last character where
@@ -310,20 +311,20 @@ def _encode(encoder, text: str) -> list[int]:
     such runs are then cut out and encoded as the pieces that they are.
     """
     try:
-        return encoder.encode(text, allowed_special="all")
+        return encoder.encode_to_numpy(text, allowed_special="all")
     except ValueError:
         if not _LONG_SPACE.search(text):
             raise
-    found: list[int] = []
+    found: list[np.ndarray] = []
     for part in re.split("(" + "|".join(map(re.escape, sorted(encoder.special_tokens_set))) + ")", text):
         at = 0
         for run in _LONG_SPACE.finditer(part):
             end = run.end() if run.end() == len(part) else run.end() - 1
-            found += encoder.encode(part[at : run.start()], allowed_special="all")
-            found += encoder._core_bpe.encode_single_piece(part[run.start() : end].encode())
+            found.append(encoder.encode_to_numpy(part[at : run.start()], allowed_special="all"))
+            found.append(np.array(encoder._core_bpe.encode_single_piece(part[run.start() : end].encode()), np.uint32))
             at = end
-        found += encoder.encode(part[at:], allowed_special="all")
-    return found
+        found.append(encoder.encode_to_numpy(part[at:], allowed_special="all"))
+    return np.concatenate(found)
 
 
 def write(df: DataFrame, ranks_path: str, pattern: str, path: str | None = None, text: str = "text", doc_id: str = "doc_id", end_id: int = 0) -> str:
@@ -353,9 +354,7 @@ def write(df: DataFrame, ranks_path: str, pattern: str, path: str | None = None,
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 names.append(name)
-                found = _encode(encoder, value or "")
-                found.append(end_id)
-                ids.append(np.frombuffer(array("I", found), np.uint32))
+                ids.append(np.append(_encode(encoder, value or ""), np.uint32(end_id)))
                 held += len(ids[-1])
                 if held >= SHARD_IDS:
                     yield row()
