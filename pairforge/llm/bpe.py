@@ -40,9 +40,9 @@ from pairforge.llm.storage import working
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Texts are handled in slices of about so many characters, which bounds a trie.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 4_500_000
 #: Each of the two generations of a worker's chunk cache holds so many entries.
-CACHE_CHUNKS = 120_000
+CACHE_CHUNKS = 180_000
 
 
 def byte_letters() -> dict[str, int]:
