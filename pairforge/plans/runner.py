@@ -16,11 +16,12 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairforge.plans import dialect
 
@@ -221,6 +222,8 @@ def run_sqlite(con: sqlite3.Connection, sql: str, steps: int = 50_000_000, most:
     return ExecResult("rows" if kept else "empty", names, kept, None if kept else "No result found", found.n_rows > most, found)
 
 
+#: Queries that travel with one copy of their table, at about; results that are sent back together.
+GROUP, SENT = 256, 64
 RESULT = "status string, columns array<string>, result array<string>, error string, truncated boolean, outcome struct<n_rows:bigint,multiset:string,sequence:string>"
 _RESULT_NAMES = ("status", "columns", "result", "error", "truncated", "outcome")
 
@@ -232,40 +235,41 @@ def execute_all(queries: DataFrame, tables: DataFrame, sql: str = "sql", table_i
     ``outcome`` stands for all rows (their number and digests) and is what
     :func:`results_match` compares; it is null after an error.
 
-    ``tables`` has (id, name, header, types, rows). The join is by id; a table with
-    many queries is loaded once for each batch that has it. Rows without a table
-    get an error.
+    ``tables`` has (id, name, header, types, rows). Queries travel in groups of
+    about ``GROUP`` over one table, and a table is sent and loaded once for each
+    group; a table with a million queries is thousands of groups, which any task
+    may run. Rows without a table get an error.
     """
     kept = [f for f in queries.schema.fields if f.name not in _RESULT_NAMES]
-    known = tables.select(F.col("id").alias(table_id), F.col("name").alias("_name"), "header", "types", "rows")
-    joined = queries.select(*[f.name for f in kept]).join(known.withColumnsRenamed({"header": "_header", "types": "_types", "rows": "_rows"}), table_id, "left")
     schema = T.StructType([*kept, *T._parse_datatype_string(RESULT).fields])
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = queries.select(F.col(table_id).alias("_id"), F.struct(*[f"`{f.name}`" for f in kept]).alias("_row"))
+    many = rows.groupBy("_id").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_groups"))
+    dealt = rows.alias("r").join(many.alias("m"), F.col("r._id").eqNullSafe(F.col("m._id"))).select("r._id", "_row", F.pmod(F.xxhash64("_row"), F.col("_groups")).alias("_group"))
+    groups = dealt.groupBy("_id", "_group").agg(F.collect_list("_row").alias("_rows_"))
+    known = tables.select(F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("header").alias("_header"), F.col("types").alias("_types"), F.col("rows").alias("_rows"))
+    joined = groups.join(known, "_id", "left").select("_rows_", "_name", "_header", "_types", "_rows")
+
+    def ran(con: sqlite3.Connection | None, q: str | None) -> dict:
+        r = ExecResult("error", error="no such table") if con is None else run_sqlite(con, q)
+        outcome = r.digests and {"n_rows": r.digests.n_rows, "multiset": r.digests.multiset, "sequence": r.digests.sequence}
+        return {"status": r.status, "columns": r.columns, "result": [json.dumps(v, ensure_ascii=False, default=str) for v in r.rows], "error": r.error, "truncated": r.truncated, "outcome": outcome}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, held, con = [], None, None
-            for q, key, name, header, types, rows in zip(batch[sql], batch[table_id], batch["_name"], batch["_header"], batch["_types"], batch["_rows"], strict=True):
-                if header is None:
-                    found.append(ExecResult("error", error="no such table"))
-                    continue
-                if key != held:
-                    if con is not None:
-                        con.close()
-                    con, held = sqlite3.connect(":memory:"), key
-                    load_sqlite(con, name, list(header), list(types) if types is not None else [], [list(r) for r in rows])
-                found.append(run_sqlite(con, q))
-            if con is not None:
-                con.close()
-            out = batch[[f.name for f in kept]].copy()
-            out["status"] = [r.status for r in found]
-            out["columns"] = [r.columns for r in found]
-            out["result"] = [[json.dumps(v, ensure_ascii=False, default=str) for v in r.rows] for r in found]
-            out["error"] = [r.error for r in found]
-            out["truncated"] = [r.truncated for r in found]
-            out["outcome"] = [r.digests and {"n_rows": r.digests.n_rows, "multiset": r.digests.multiset, "sequence": r.digests.sequence} for r in found]
-            yield out
-
-    return joined.sortWithinPartitions(table_id).mapInPandas(run, schema)
+            for i in range(batch.num_rows):
+                asked, name, header, types, data = (c[i].as_py() for c in batch.columns)
+                con = None
+                if header is not None:
+                    con = sqlite3.connect(":memory:")
+                    load_sqlite(con, name, header, types or [], data or [])
+                for begin in range(0, len(asked), SENT):
+                    yield pa.RecordBatch.from_pylist([row | ran(con, row[sql]) for row in asked[begin : begin + SENT]], schema=arrow)
+                if con is not None:
+                    con.close()
+
+    return joined.mapInArrow(run, schema)
 
 
 def canonical_rows(result: str) -> Column:
