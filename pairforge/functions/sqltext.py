@@ -31,14 +31,22 @@ NOT_COLUMNS = (
     "max distinct asc desc case when then else end union"
 ).split()
 
-#: Fixed value: operators counted by kind, as (kind, pattern over upper-case text).
+#: Fixed value: operators counted by kind, as (kind, pattern over upper-case text without literals).
 OPERATORS = (
+    ("=", "=|=="),
+    ("!= <>", "!=|<>"),
+    ("<", "<"),
+    (">", ">"),
+    ("<=", "<="),
+    (">=", ">="),
     ("AND", r"\bAND\b"),
     ("OR", r"\bOR\b"),
     ("NOT", r"\bNOT\b"),
     ("LIKE", r"\bLIKE\b"),
     ("IN", r"\bIN\b"),
     ("BETWEEN", r"\bBETWEEN\b"),
+    ("IS NULL", r"\bIS\s+NULL\b"),
+    ("IS NOT NULL", r"\bIS\s+NOT\s+NULL\b"),
     ("COUNT", r"\bCOUNT\s*\("),
     ("SUM", r"\bSUM\s*\("),
     ("AVG", r"\bAVG\s*\("),
@@ -48,15 +56,28 @@ OPERATORS = (
     ("GROUP BY", r"\bGROUP\s+BY\b"),
     ("HAVING", r"\bHAVING\b"),
     ("JOIN", r"\bJOIN\b"),
+    ("LEFT JOIN", r"\bLEFT\s+(?:OUTER\s+)?JOIN\b"),
+    ("RIGHT JOIN", r"\bRIGHT\s+(?:OUTER\s+)?JOIN\b"),
+    ("INNER JOIN", r"\bINNER\s+JOIN\b"),
+    ("OUTER JOIN", r"\bOUTER\s+JOIN\b"),
     ("UNION", r"\bUNION\b"),
     ("DISTINCT", r"\bDISTINCT\b"),
     ("LIMIT", r"\bLIMIT\b"),
     ("CASE", r"\bCASE\b"),
     ("EXISTS", r"\bEXISTS\b"),
+    ("AS", r"\bAS\b"),
     ("WHERE", r"\bWHERE\b"),
     ("SELECT", r"\bSELECT\b"),
     ("FROM", r"\bFROM\b"),
+    ("INSERT", r"\bINSERT\b"),
+    ("UPDATE", r"\bUPDATE\b"),
+    ("DELETE", r"\bDELETE\b"),
+    ("CREATE", r"\bCREATE\b"),
+    ("DROP", r"\bDROP\b"),
+    ("ALTER", r"\bALTER\b"),
 )
+#: Kinds that a syntax tree has no node of their own for: a join's side, an alias and a null test are parts of other nodes.
+NAMED_ONLY = ("IS NULL", "IS NOT NULL", "LEFT JOIN", "RIGHT JOIN", "INNER JOIN", "OUTER JOIN", "AS")
 
 
 def _words(x: C) -> Column:
@@ -87,16 +108,35 @@ def subquery_count(x: C) -> Column:
     return F.coalesce(F.regexp_count(_c(x), F.lit(r"(?i)\(\s*select\b")), F.lit(0))
 
 
+def _among(items: Column, wanted: list[str]) -> Column:
+    """How many items are one of the wanted."""
+    return F.size(F.filter(items, lambda s: s.isin(wanted)))
+
+
 def operator_counts(x: C) -> dict[str, Column]:
-    """Keyword operators by kind."""
-    up = F.upper(F.coalesce(_c(x), F.lit("")))
-    return {kind: F.regexp_count(up, F.lit(p)) for kind, p in OPERATORS}
+    """Operators by kind, those in literals and quoted names left out.
+
+    The AND of a BETWEEN is none, nor the NOT of IS NOT NULL; comparisons are read whole, so ``<=`` is no ``<``.
+    """
+    up = F.upper(F.regexp_replace(F.coalesce(_c(x), F.lit("")), "'(?:[^']|'')*'|`[^`]*`|\"[^\"]*\"", "x"))
+    signs = F.regexp_extract_all(up, F.lit("<=|>=|<>|!=|==|=|<|>"), F.lit(0))
+    out = {}
+    for kind, p in OPERATORS:
+        if kind[0] in "=!<>":
+            out[kind] = _among(signs, p.split("|"))
+        else:
+            out[kind] = F.regexp_count(up, F.lit(p))
+    out["AND"] = out["AND"] - out["BETWEEN"]
+    out["NOT"] = out["NOT"] - out["IS NOT NULL"]
+    return out
 
 
 def operator_total(x: C) -> Column:
+    """All operators that are nodes of a tree."""
     out = F.lit(0)
-    for c in operator_counts(x).values():
-        out = out + c
+    for kind, c in operator_counts(x).items():
+        if kind not in NAMED_ONLY:
+            out = out + c
     return out
 
 

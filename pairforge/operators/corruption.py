@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.functions.seeded import choice
+from pairforge.functions.seeded import choice, digest, uniform
 from pairforge.functions.similarity import cosine
 from pairforge.functions.text import strip
 
@@ -23,7 +23,7 @@ FALLBACK_COLUMNS = ("item_id", "uuid", "name", "description", "status", "created
 FALLBACK_VALUES = ("item_001", "uuid_123", "Sample", "Active", "2023-01-01", "Test")
 #: Aggregates, comparison operators, and the numbers of corruptions with their probabilities.
 AGGREGATES = ("COUNT", "SUM", "AVG", "MAX", "MIN")
-COMPARISONS = ("=", "!=", "<", ">", "<=", ">=")
+COMPARISONS = ("=", "!=", ">", "<", ">=", "<=", "LIKE", "NOT LIKE", "IN", "NOT IN", "BETWEEN", "IS NULL", "IS NOT NULL")
 COUNTS = ((4, 0.05), (3, 0.10), (2, 0.30), (1, 0.55))
 OPERATIONS = ("remove_where", "change_agg", "add_condition", "remove_column", "add_column", "swap_columns", "replace_column", "replace_values")
 
@@ -58,12 +58,25 @@ def change_agg(sql: str, seed: int, *key: Column) -> Column:
     return out
 
 
+def condition(seed: int, *key: Column) -> Column:
+    """One plausible condition: a column, an operator and what it takes; needs ``db_columns`` and ``db_values``.
+
+    A list has three values (all, if there are fewer) and BETWEEN two numbers;
+    values are quoted, so that the query still reads.
+    """
+    column, op = choice(F.col("db_columns"), seed, "column", *key), choice(F.array(*map(F.lit, COMPARISONS)), seed, "operator", *key)
+    drawn = F.array_sort(F.transform("db_values", lambda v: F.struct(digest(seed, "list", *key, v).alias("at"), v.alias("v"))))
+    few = F.array_join(F.transform(F.slice(drawn, 1, 3), lambda x: F.concat(F.lit("'"), x["v"], F.lit("'"))), ", ")
+    low, high = F.floor(uniform(seed, "low", *key) * 51), 51 + F.floor(uniform(seed, "high", *key) * 50)
+    one = F.concat(F.lit("'"), choice(F.col("db_values"), seed, "value", *key), F.lit("'"))
+    takes = F.when(op.isin("IN", "NOT IN"), F.concat(F.lit("("), few, F.lit(")"))).when(op == "BETWEEN", F.concat_ws(" AND ", low.cast("string"), high.cast("string"))).otherwise(one)
+    return F.concat(column, F.lit(" "), op, F.when(op.startswith("IS"), "").otherwise(F.concat(F.lit(" "), takes)))
+
+
 def add_condition(sql: str, seed: int, *key: Column) -> Column:
     """One more condition, with AND in a query that has WHERE; needs ``db_columns`` and ``db_values``."""
-    column, op = choice(F.col("db_columns"), seed, "column", *key), choice(F.array(*map(F.lit, COMPARISONS)), seed, "operator", *key)
-    condition = F.concat(column, F.lit(" "), op, F.lit(" '"), choice(F.col("db_values"), seed, "value", *key), F.lit("'"))
     bare = F.regexp_replace(F.col(sql), r";\s*$", "")
-    return F.concat(bare, F.when(bare.rlike(r"(?i)\bWHERE\b"), F.lit(" AND ")).otherwise(F.lit(" WHERE ")), condition, F.lit(";"))
+    return F.concat(bare, F.when(bare.rlike(r"(?i)\bWHERE\b"), F.lit(" AND ")).otherwise(F.lit(" WHERE ")), condition(seed, *key), F.lit(";"))
 
 
 def select_items(sql: str) -> Column:
@@ -82,7 +95,7 @@ def with_items(sql: str, items: Column) -> Column:
 def remove_column(sql: str, seed: int, *key: Column) -> Column:
     """Without one item of a list of two or more."""
     items = select_items(sql)
-    gone = F.floor(_u(seed, "remove", *key) * F.size(items)).cast("int")
+    gone = F.floor(uniform(seed, "remove", *key) * F.size(items)).cast("int")
     return F.when(F.size(items) > 1, with_items(sql, F.filter(items, lambda s, i: i != gone))).otherwise(F.col(sql))
 
 
@@ -98,7 +111,7 @@ def swap_columns(sql: str, seed: int, *key: Column) -> Column:
     """Two neighbouring items exchanged, the last with the first."""
     items = select_items(sql)
     n = F.size(items)
-    i = F.floor(_u(seed, "swap", *key) * n).cast("int")
+    i = F.floor(uniform(seed, "swap", *key) * n).cast("int")
     j = F.pmod(i + 1, n)
     swapped = F.transform(items, lambda s, k: F.when(k == i, F.get(items, j)).when(k == j, F.get(items, i)).otherwise(s))
     return F.when(n > 1, with_items(sql, swapped)).otherwise(F.col(sql))
@@ -108,17 +121,11 @@ def replace_column(sql: str, seed: int, *key: Column) -> Column:
     """One item replaced by a plausible column that the list does not have."""
     items = select_items(sql)
     free = F.array_except(F.col("db_columns"), F.transform(items, lambda s: F.lower(s)))
-    at = F.floor(_u(seed, "replace", *key) * F.size(items)).cast("int")
+    at = F.floor(uniform(seed, "replace", *key) * F.size(items)).cast("int")
     new = choice(free, seed, "replacement", *key)
     return F.when((F.size(items) > 0) & (F.size(free) > 0), with_items(sql, F.transform(items, lambda s, k: F.when(k == at, new).otherwise(s)))).otherwise(F.col(sql))
 
 
-def _u(seed: int, purpose: str, *key: Column) -> Column:
-    from pairforge.functions.seeded import uniform
-
-    return uniform(seed, purpose, *key)
-
-
 # -- the chain, as a plain function ----------------------------------------------------------
 class Draw:
     """Seeded draws: a digest of (seed, key, number of the draw)."""
@@ -160,6 +167,18 @@ def eligible(sql: str) -> list[str]:
     return [op for op in OPERATIONS if tests[op]]
 
 
+def drawn_condition(draw: Draw, columns: Sequence[str], values: Sequence[str]) -> str:
+    """:func:`condition` as a plain function."""
+    column, op = draw.pick(columns), draw.pick(COMPARISONS)
+    if op.startswith("IS"):
+        return f"{column} {op}"
+    if op in ("IN", "NOT IN"):
+        return f"{column} {op} ({', '.join(f"'{v}'" for v in draw.sample(values, 3))})"
+    if op == "BETWEEN":
+        return f"{column} BETWEEN {int(draw.uniform() * 51)} AND {51 + int(draw.uniform() * 50)}"
+    return f"{column} {op} '{draw.pick(values)}'"
+
+
 def corrupt_once(sql: str, op: str, draw: Draw, columns: Sequence[str], values: Sequence[str]) -> str:
     """One operation on a query's text."""
     found = _LIST.search(sql)
@@ -180,8 +199,7 @@ def corrupt_once(sql: str, op: str, draw: Draw, columns: Sequence[str], values:
         agg = next((a for a in AGGREGATES if re.search(rf"(?i)\b{a}\s*\(", sql)), None)
         return sql if agg is None else re.sub(rf"(?i)\b{agg}(?=\s*\()", draw.pick([a for a in AGGREGATES if a != agg]), sql)
     if op == "add_condition":
-        condition = f"{draw.pick(columns)} {draw.pick(COMPARISONS)} '{draw.pick(values)}'"
-        return sql.rstrip().rstrip(";") + (" AND " if re.search(r"(?i)\bWHERE\b", sql) else " WHERE ") + condition + ";"
+        return sql.rstrip().rstrip(";") + (" AND " if re.search(r"(?i)\bWHERE\b", sql) else " WHERE ") + drawn_condition(draw, columns, values) + ";"
     if op == "remove_column" and len(items) > 1:
         at = int(draw.uniform() * len(items))
         return listed(items[:at] + items[at + 1 :])

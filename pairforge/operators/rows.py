@@ -94,12 +94,17 @@ def paired(a: DataFrame, b: DataFrame, on: Sequence[str], suffixes: tuple[str, s
     return left.join(right, list(on), how)
 
 
-def with_table(df: DataFrame, tables: DataFrame, sql: str, key: str = "row_id", table_key: str = "id") -> DataFrame:
-    """Each query's row with the first of the tables that its text names and that exists; left join."""
-    named = df.select(key, F.posexplode(sqltext.table_ids(sql)).alias("_at", table_key))
-    hit = named.join(tables.select(table_key), table_key, "left_semi")
-    first = hit.groupBy(key).agg(F.min_by(table_key, "_at").alias(table_key))
-    return df.join(first, key, "left").join(tables, table_key, "left")
+def with_table(df: DataFrame, tables: DataFrame, sql: str, table_key: str = "id") -> DataFrame:
+    """Each query's row with the first of the tables that its text names and that exists, nulls if there is none.
+
+    The row travels with the names, so ``df`` is read once; ``tables`` has one row for each key.
+    """
+    row = df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[f"`{c}`" for c in df.columns]).alias("_q"), sqltext.table_ids(sql).alias("_ids"))
+    named = row.select("_row", "_q", F.posexplode_outer("_ids").alias("_at", "_id"))
+    known = tables.select(F.col(table_key).alias("_id"), F.struct(*[f"`{c}`" for c in tables.columns]).alias("_t"))
+    hit = named.join(known, "_id", "left")
+    first = hit.groupBy("_row").agg(F.first("_q").alias("_q"), F.min_by("_t", F.when(F.col("_t").isNotNull(), F.col("_at"))).alias("_t"))
+    return first.select("_q.*", "_t.*")
 
 
 def zipped(a: DataFrame, b: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -135,9 +140,19 @@ def alternating(row_id: str, first: str = "reserved", second: str = "persona") -
 
 
 def first_of_each(df: DataFrame, keys: Sequence[Column], order: Sequence[Column]) -> DataFrame:
-    """The first row of each group."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The first row of each group in ascending order, nulls first; a minimum, so that each task sends one row of a group."""
+    row = F.struct(*[f"`{c}`" for c in df.columns])
+    return df.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, F.struct(*order)).alias("_r")).select("_r.*")
+
+
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """The rank of each row in its group, ties alike."""
+    return df.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def beside(df: DataFrame, by: Sequence[str], order: Sequence[Column], column: str, name: str, offset: int = 1) -> DataFrame:
+    """A column's value so many rows before (negative: after) in the group; null beyond its ends."""
+    return df.withColumn(name, F.lag(column, offset).over(Window.partitionBy(*by).orderBy(*order)))
 
 
 # -- sets ----------------------------------------------------------------------------------
@@ -153,3 +168,13 @@ def stacked(*parts: DataFrame) -> DataFrame:
 def distinct_folded(df: DataFrame, column: str, order: str) -> DataFrame:
     """One row for each value without regard to case, the first in order."""
     return first_of_each(df, [F.lower(column)], [F.col(order)])
+
+
+def common(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows that both have, nulls equal to nulls; columns by place."""
+    return a.intersect(b)
+
+
+def only_first(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of the first that the second does not have; columns by place."""
+    return a.subtract(b)

@@ -108,6 +108,14 @@ def split_outputs(df: DataFrame, keep: str = "keep") -> tuple[DataFrame, DataFra
     return df.filter(yes), df.filter(~yes)
 
 
+def heuristic_batch(df: DataFrame, original: str, translation: str, lang: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The heuristic filter alone over a batch: accepted rows, rejected rows with their reason, and counts by language."""
+    judged = df.withColumn("_v", verdict(original, translation)).withColumn("keep", F.col("_v.is_valid"))
+    yes, no = split_outputs(judged.withColumn("reason", F.col("_v.reason")).drop("_v"))
+    counts = judged.groupBy(lang).agg(F.count(F.lit(1)).alias("total"), F.count_if("keep").alias("accepted"), F.count_if(~F.col("keep")).alias("rejected"))
+    return yes.drop("keep", "reason"), no.drop("keep"), counts
+
+
 def merged_entities(entities: Column, priority: Sequence[str] = ("PERSON", "ORG", "GPE", "LOC")) -> Column:
     """Entities of three or more characters, the first of each text without regard to case, priority labels first.
 

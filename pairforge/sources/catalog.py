@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +36,9 @@ def find_table(tables: DataFrame, table_id: str) -> DataFrame:
 
 
 def last_of_each(tables: DataFrame, key: str = "id", order: str = "pos") -> DataFrame:
-    """One row for each key, the last in order."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return tables.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """One row for each key, the last in order; a maximum, so that each task sends one row of a key."""
+    row = F.struct(*[f"`{c}`" for c in tables.columns])
+    return tables.groupBy(F.col(key).alias("_k")).agg(F.max_by(row, F.struct(order)).alias("_r")).select("_r.*")
 
 
 def read_bird(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -74,13 +74,35 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def append_once(df: DataFrame, path: str, key: str) -> None:
     """Append the rows whose key the Parquet table at ``path`` does not have, so that a repeated run adds nothing."""
     spark = df.sparkSession
+    if _is_table(spark, path):
+        df = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
+    df.write.mode("append").parquet(path)
+
+
+def in_batches(df: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame], every: int) -> DataFrame:
+    """Work through a frame in batches of about ``every`` rows, each appended to ``path`` when it is done; returns the table.
+
+    Rows whose key is written are left out before ``work``, so a run that was
+    stopped goes on after its last batch. Batches are hash parts of the keys.
+    """
+    spark = df.sparkSession
+    parts = max(1, -(-df.count() // every))
+    for k in range(parts):
+        part = df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == k)
+        if _is_table(spark, path):
+            part = part.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
+        work(part).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _is_table(spark: SparkSession, path: str) -> bool:
     try:
-        done = spark.read.parquet(path).select(key).distinct()
-        df = df.join(done, key, "left_anti")
+        spark.read.parquet(path)
     except Exception as e:  # noqa: BLE001  the first run has no table yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    df.write.mode("append").parquet(path)
+        return False
+    return True
 
 
 def write_by_language(df: DataFrame, path: str, lang: str = "lang") -> None:
