@@ -6,6 +6,10 @@ equivalent SQL where there is one. Names begin with the operator's number.
 
 from __future__ import annotations
 
+import contextlib
+import os
+import re
+import sqlite3
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +17,9 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import answers, seeded, similarity, sqltext, text
 from pairforge.operators import aggregates, corruption, evolution, filters, metrics, rows, translation
-from pairforge.plans import runner, sqltree
-from pairforge.session import spread
-from pairforge.sources import catalog, fixtures
+from pairforge.plans import corpus, runner, sqltree
+from pairforge.session import scratch_path, spread
+from pairforge.sources import catalog, fixtures, sqlite_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,8 +48,6 @@ def _values(data: list[tuple], columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in data) + f") AS t({columns})"
 
 
-_SQLS = [(n, *q) for n, q in enumerate(fixtures.QUERIES)]
-_SQL_VALUES = _values(_SQLS, "row_id, table_id, nl, sql")
 _WC = "len(regexp_extract_all(coalesce({0}, ''), '\\S+'))"
 
 
@@ -111,6 +113,143 @@ def io21_describe(spark, d):
     return catalog.described(table(spark, d, "supplier").select("s_acctbal")).select("summary", F.round(F.col("s_acctbal").cast("double"), 6).alias("v"))
 
 
+def _shared(spark, name: str) -> str:
+    return scratch_path(spark, name)
+
+
+def _local(path: str) -> str:
+    """The shared folder as the file system has it; SQLite's files need one."""
+    if re.match(r"^\w+:", path) and not path.startswith("file:"):
+        raise ValueError(f"SQLite files need a mounted folder, not {path!r}")
+    return re.sub("^file:/*", "/", path)
+
+
+@query("SELECT '1-1-7' AS id, 'table_1_1_7' AS name, count(*) AS n FROM customer WHERE c_nationkey = 7")
+def io2_find_table(spark, d):
+    path = _shared(spark, "tables.jsonl")
+    corpus.tables(spark, d).withColumn("id", F.when(F.col("pos") % 2 == 0, F.col("id")).otherwise(F.col("name"))).drop("name", "pos").write.json(path)
+    t = catalog.read_tables(spark, path)
+    return catalog.find_table(t, "table_1_1_7").select(catalog.logical_id(F.col("id")).alias("id"), "name", F.size("rows").alias("n"))
+
+
+_BIRD = "(SELECT CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS db_id, ' Who is ' || c_name || '? ' AS question, CASE WHEN c_custkey % 7 > 0 THEN ' SELECT ' || c_custkey END AS SQL FROM customer)"
+
+
+def _bird(spark, d) -> str:
+    k, path = F.col("c_custkey"), _shared(spark, "bird.json")
+    item = F.struct(F.when(k % 5 > 0, F.col("c_mktsegment")).alias("db_id"), F.concat(F.lit(" Who is "), "c_name", F.lit("? ")).alias("question"), F.when(k % 7 > 0, F.concat(F.lit(" SELECT "), k)).alias("SQL"))
+    # a benchmark file is one JSON array, and so one value
+    table(spark, d, "customer").agg(F.to_json(F.collect_list(item)).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+@query(f"SELECT coalesce(db_id, '') AS db_id, trim(question) AS question, trim(SQL) AS sql FROM {_BIRD} WHERE SQL IS NOT NULL")
+def io4_bird_scan(spark, d):
+    return catalog.read_bird(spark, _bird(spark, d)).select("db_id", "question", F.col("SQL").alias("sql"))
+
+
+@query("SELECT 7 AS n, 7 AS whole")
+def io5_bird_head(spark, d):
+    items = catalog.read_bird(spark, _bird(spark, d), 7)
+    return items.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("SQL").startswith("SELECT ") & F.col("question").startswith("Who is")).alias("whole"))
+
+
+_CSV = "SELECT c_custkey, c_name || CASE c_custkey % 3 WHEN 0 THEN ', the \"first\"' WHEN 1 THEN chr(10) || 'second line' ELSE '' END AS name, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS balance FROM customer"
+
+
+def _csv_rows(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    tail = F.when(k % 3 == 0, ', the "first"').when(k % 3 == 1, "\nsecond line").otherwise("")
+    return table(spark, d, "customer").select(k, F.concat("c_name", tail).alias("name"), F.when(k % 4 > 0, F.col("c_acctbal")).alias("balance"))
+
+
+@query(_CSV)
+def io6_io12_csv(spark, d):
+    path, rows_ = _shared(spark, "out.csv"), _csv_rows(spark, d)
+    catalog.write_csv(rows_.limit(3), path)
+    catalog.write_csv(rows_, path)  # the whole file again
+    return catalog.read_csv(spark, path, rows_.schema)
+
+
+@query(f"SELECT f AS suffix, x.* FROM ({_CSV}) x, (VALUES ('csv'), ('jsonl'), ('parquet')) AS t(f)")
+def io7_by_suffix(spark, d):
+    rows_ = _csv_rows(spark, d)
+    out = None
+    for suffix, kind in (("csv", None), ("jsonl", "json"), ("parquet", "parquet")):
+        path = _shared(spark, f"x.{suffix}")
+        catalog.write_csv(rows_, path) if kind is None else rows_.write.format(kind).save(path)
+        part = catalog.read_any(spark, path, rows_.schema).select(F.lit(suffix).alias("suffix"), *rows_.columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def io8_sqlite_table(spark, d):
+    sqlite_source.register(spark)
+    return spark.read.format("sqlite").option("path", _sqlite(spark, d)).option("table", "nation").option("partitions", 3).load()
+
+
+@query("SELECT t AS name, c AS columns FROM (VALUES ('nation', 'n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER'), ('region', 'r_regionkey INTEGER, r_name TEXT')) AS x(t, c)")
+def io9_sqlite_catalog(spark, d):
+    found = sqlite_source.catalog(_sqlite(spark, d))
+    return spark.createDataFrame([(t, ", ".join(" ".join(c) for c in cs)) for t, cs in found.items()], "name string, columns string")
+
+
+def _sqlite(spark, d) -> str:
+    """A database of the two tables that do not grow with the data, in the shared folder."""
+    path = _local(_shared(spark, "small.db"))
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with contextlib.closing(sqlite3.connect(path)) as con:
+        for name, declared in (("nation", "n_nationkey INTEGER, n_name TEXT, n_regionkey INTEGER"), ("region", "r_regionkey INTEGER, r_name TEXT")):
+            con.execute(f"CREATE TABLE {name} ({declared})")
+            columns = [c.split()[0] for c in declared.split(", ")]
+            con.executemany(f"INSERT INTO {name} VALUES ({','.join('?' * len(columns))})", [tuple(r) for r in table(spark, d, name).select(*columns).collect()])
+        con.commit()
+    return path
+
+
+@query("SELECT 't' || c_nationkey AS name, count(*) AS n, round(sum(c_acctbal), 2) AS balance, min(c_name) AS first FROM customer GROUP BY c_nationkey")
+def io10_sql_dump(spark, d):
+    path = _shared(spark, "dumps")
+    quote = F.concat(F.lit("INSERT INTO t"), "c_nationkey", F.lit(" VALUES ("), "c_custkey", F.lit(", '"), F.replace("c_name", F.lit("'"), F.lit("''")), F.lit("', "), "c_acctbal", F.lit(");"))
+    script = F.concat(F.lit("CREATE TABLE t"), "c_nationkey", F.lit(" (k INTEGER, name TEXT, balance REAL); "), F.array_join(F.collect_list(quote), " "))
+    table(spark, d, "customer").groupBy("c_nationkey").agg(script.alias("value")).select("value").write.text(path)
+    sqlite_source.register(spark)
+    read = spark.read.format("sqldump").option("path", _local(path) + "/part-*").load()
+    data = F.from_json("data", "k long, name string, balance double")
+    return read.select(F.col("table").alias("name"), data.alias("x")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x.balance"), 2).alias("balance"), F.min("x.name").alias("first"))
+
+
+@query("SELECT c_custkey, upper(c_name) AS name FROM customer")
+def io11_io13_batches(spark, d):
+    """Batches appended as they are done; the second run finds all of them written."""
+    path = _shared(spark, "results")
+
+    def work(part: DataFrame) -> DataFrame:
+        return part.select("c_custkey", F.upper("c_name").alias("name"))
+
+    c = table(spark, d, "customer")
+    catalog.append_once(work(c.filter("c_nationkey < 5")), path, "c_custkey")  # a run that was stopped
+    catalog.append_once(work(c.filter("c_nationkey < 7")), path, "c_custkey")
+    return catalog.in_batches(c, path, "c_custkey", work, every=max(1, c.count() // 3))
+
+
+@query("SELECT id, cast(count(*) AS bigint) AS n, cast(sum(n_rows) AS bigint) AS n_rows FROM (SELECT CASE k WHEN 0 THEN 'original' ELSE 'derived' END AS id, count(c_custkey) AS n_rows FROM customer, (VALUES (0), (1)) AS t(k) GROUP BY k, c_nationkey) GROUP BY id")
+def io15_materialise(spark, d):
+    path, t = _shared(spark, "catalog"), corpus.tables(spark, d).drop("pos")
+    catalog.materialise(t, path)
+    catalog.materialise(evolution.evolve_catalog(t, evolution.Change("rename_column", names={"Segment": "Sector"})).select(*t.columns), path)
+    kind = F.when(F.array_contains("header", "Sector"), "derived").otherwise("original")
+    return spark.read.parquet(path).groupBy(kind.alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("rows")).alias("n_rows"))
+
+
+@query("SELECT * FROM (VALUES ('1-204-7', 'table_1_204_7', 5, 7), ('1-310-2', 'table_1_310_2', 5, 5), ('1-415-9', 'table_1_415_9', 3, 5)) AS t(id, name, n, columns)")
+def io16_example_catalog(spark, d):
+    path = _shared(spark, "example.jsonl")
+    fixtures.tables(spark).drop("name", "pos").write.json(path)
+    return catalog.read_tables(spark, path).select("id", "name", F.size("rows").alias("n"), F.size("header").alias("columns"))
+
+
 # == projections and filters =========================================================================
 @query("SELECT doc_id, quality FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)) WHERE quality IS NOT NULL")
 def p1_complete(spark, d):
@@ -216,8 +355,9 @@ def j6_set_report(spark, d):
 
 @query()
 def j8_name_assignment(spark, d):
-    q = fixtures.queries(spark)
-    return q.alias("a").join(q.alias("b"), (F.col("a.table_id") == F.col("b.table_id")) & (F.col("a.row_id") < F.col("b.row_id"))).select(F.col("a.row_id").alias("gold"), F.col("b.row_id").alias("predicted"), F.to_json(similarity.name_assignment(sqltree.tree_columns("a.sql"), sqltree.tree_columns("b.sql"))).alias("mapping"))
+    q = corpus.queries(spark, d).select("row_id", sqltree.tree_columns("sql").alias("gold"))
+    after = q.select((F.col("row_id") - 1).alias("row_id"), F.col("gold").alias("predicted"))
+    return q.join(after, "row_id").select("row_id", F.to_json(similarity.name_assignment("gold", "predicted")).alias("mapping"))
 
 
 # == aggregation =====================================================================================
@@ -306,14 +446,14 @@ _RESERVED_VALUES = _values([(w,) for w in sqltext.RESERVED], "word")
 _RESERVED_OF = "len(list_filter(regexp_extract_all(upper({0}), '\\w+'), lambda w: list_contains([" + ",".join(f"'{w}'" for w in sqltext.RESERVED) + "], w)))"
 
 
-@query(f"WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(upper(sql), '\\w+')) AS word FROM {_SQL_VALUES}) GROUP BY word) SELECT r.word, coalesce(w.n, 0) AS n, round((coalesce(w.n, 0) + 1) / sum(coalesce(w.n, 0) + 1) OVER (), 8) AS p FROM (SELECT * FROM {_RESERVED_VALUES}) r LEFT JOIN w ON r.word = w.word")
+@query(f"WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(upper(sql), '\\w+')) AS word FROM {corpus.SQL}) GROUP BY word) SELECT r.word, coalesce(w.n, 0) AS n, round((coalesce(w.n, 0) + 1) / sum(coalesce(w.n, 0) + 1) OVER (), 8) AS p FROM (SELECT * FROM {_RESERVED_VALUES}) r LEFT JOIN w ON r.word = w.word")
 def a12_reserved_probabilities(spark, d):
-    return aggregates.reserved_probabilities(fixtures.queries(spark), "sql").withColumn("p", F.round("p", 8))
+    return aggregates.reserved_probabilities(corpus.queries(spark, d), "sql").withColumn("p", F.round("p", 8))
 
 
-@query(f"WITH c AS (SELECT {_RESERVED_OF.format('sql')} AS length, count(*) AS n FROM {_SQL_VALUES} GROUP BY 1), s AS (SELECT unnest(range(0, (SELECT max(length) FROM c) + 1)) AS length) SELECT s.length, coalesce(n, 0) AS n, round((coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER (), 8) AS p FROM s LEFT JOIN c ON s.length = c.length")
+@query(f"WITH c AS (SELECT {_RESERVED_OF.format('sql')} AS length, count(*) AS n FROM {corpus.SQL} GROUP BY 1), s AS (SELECT unnest(range(0, (SELECT max(length) FROM c) + 1)) AS length) SELECT s.length, coalesce(n, 0) AS n, round((coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER (), 8) AS p FROM s LEFT JOIN c ON s.length = c.length")
 def a13_length_distribution(spark, d):
-    return aggregates.length_distribution(fixtures.queries(spark), "sql").withColumn("p", F.round("p", 8))
+    return aggregates.length_distribution(corpus.queries(spark, d), "sql").withColumn("p", F.round("p", 8))
 
 
 @query("SELECT count(*) AS total, cast(sum((o_orderstatus = 'F')::int) as bigint) AS n_F, cast(sum((o_orderstatus = 'O')::int) as bigint) AS n_O, round(avg((o_orderstatus = 'F')::int), 8) AS F_rate, round(avg((o_orderstatus = 'O')::int), 8) AS O_rate FROM orders")
@@ -392,10 +532,8 @@ def w9_first_of_each(spark, d):
 
 @query("SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders")
 def w10_rank_lag(spark, d):
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("o_custkey")
-    return table(spark, d, "orders").select("o_orderkey", F.rank().over(by.orderBy(F.desc("o_totalprice"))).alias("r"), F.lag("o_orderkey").over(by.orderBy("o_orderkey")).alias("before"))
+    o = rows.ranked(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice")], "r")
+    return rows.beside(o, ["o_custkey"], [F.col("o_orderkey")], "o_orderkey", "before").select("o_orderkey", "r", "before")
 
 
 # == sets and seeded choices ==============================================================================
@@ -445,62 +583,85 @@ def u7_cyclic(spark, d):
 @query("(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT n_nationkey + 1000 FROM nation EXCEPT SELECT s_nationkey + 1000 FROM supplier)")
 def u8_intersect_except(spark, d):
     c, s, n = table(spark, d, "customer").select("c_nationkey"), table(spark, d, "supplier").select("s_nationkey"), table(spark, d, "nation").select("n_nationkey")
-    both = c.intersect(s)
-    rest = n.subtract(s).select(F.col("n_nationkey") + 1000)
+    both = rows.common(c, s)
+    rest = rows.only_first(n, s).select(F.col("n_nationkey") + 1000)
     return both.union(rest).toDF("k")
 
 
 # == SQL text ============================================================================================
-@query(f"SELECT row_id, nullif(regexp_extract(sql, '(?i)\\bfrom\\s+[`\"\\[]?([A-Za-z_][\\w$]*)', 1), '') AS name FROM {_SQL_VALUES}")
+@query(f"SELECT row_id, nullif(regexp_extract(sql, '(?i)\\bfrom\\s+[`\"\\[]?([A-Za-z_][\\w$]*)', 1), '') AS name FROM {corpus.SQL}")
 def x8_table_name(spark, d):
-    return fixtures.queries(spark).select("row_id", sqltext.table_name("sql").alias("name"))
+    return corpus.queries(spark, d).select("row_id", sqltext.table_name("sql").alias("name"))
 
 
-@query(f"SELECT row_id, CASE WHEN regexp_matches(sql, '(?i)^\\s*with\\b') THEN 'laval' ELSE '' END AS ctes FROM {_SQL_VALUES}")
+@query(f"SELECT row_id, CASE WHEN regexp_matches(sql, '(?i)^\\s*with\\b') THEN 'rich' ELSE '' END AS ctes FROM {corpus.SQL}")
 def x2_cte_names(spark, d):
-    return fixtures.queries(spark).select("row_id", F.array_join(sqltext.cte_names("sql"), ",").alias("ctes"))
+    return corpus.queries(spark, d).select("row_id", F.array_join(sqltext.cte_names("sql"), ",").alias("ctes"))
 
 
 _NOT_COLUMNS = "[" + ",".join(f"'{w}'" for w in sqltext.NOT_COLUMNS) + "]"
 
 
-@query(f"SELECT row_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(sql, '`([^`]+)`', 1), regexp_extract_all(regexp_replace(sql, '`[^`]+`', ' ', 'g'), '\\b[A-Za-z_]\\w*\\b')), lambda n: lower(n)), lambda n: NOT list_contains({_NOT_COLUMNS}, n)))), '|') AS names FROM {_SQL_VALUES}")
+@query(f"SELECT row_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(sql, '`([^`]+)`', 1), regexp_extract_all(regexp_replace(sql, '`[^`]+`', ' ', 'g'), '\\b[A-Za-z_]\\w*\\b')), lambda n: lower(n)), lambda n: NOT list_contains({_NOT_COLUMNS}, n)))), '|') AS names FROM {corpus.SQL}")
 def x9_referenced_names(spark, d):
-    return fixtures.queries(spark).select("row_id", F.array_join(F.array_sort(sqltext.referenced_names("sql")), "|").alias("names"))
+    return corpus.queries(spark, d).select("row_id", F.array_join(F.array_sort(sqltext.referenced_names("sql")), "|").alias("names"))
 
 
-_PHYSICAL = [(n, s.replace("`Player`", "col0").replace("`No.`", "col1").replace("table_1_204_7", "table_x")) for n, _, _, s in _SQLS[:1]]
+_COLUMNS_AS = "sql"
+for _i, _h in enumerate(corpus.HEADER):
+    _COLUMNS_AS = f"replace({_COLUMNS_AS}, '`{_h}`', 'col{_i}')"
 
 
-@query(f"SELECT * FROM {_values(_PHYSICAL, 'row_id, db_sql')}")
+@query(f"SELECT row_id, regexp_replace({_COLUMNS_AS}, 'table_1_1_[0-9]+', 'table_x', 'g') AS db_sql FROM {corpus.SQL}")
 def x1_x3_physical_sql(spark, d):
     from pairforge.plans.dialect import physical_sql
 
-    known = fixtures.tables(spark).select(F.col("id").alias("table_id"), "header")
-    joined = fixtures.queries(spark).join(F.broadcast(known), "table_id").filter("row_id = 0")
+    known = corpus.tables(spark, d).select(F.col("id").alias("table_id"), "header")
+    joined = corpus.queries(spark, d).join(F.broadcast(known), "table_id", "left").withColumn("header", F.coalesce("header", F.array(*map(F.lit, corpus.HEADER))))
     return joined.select("row_id", physical_sql("sql", "header", F.lit("table_x")).alias("db_sql"))
 
 
-_RESULTS = [(0, "rows", 5), (1, "rows", 4), (2, "rows", 1), (3, "rows", 1), (4, "rows", 1), (5, "rows", 2), (6, "rows", 2), (7, "rows", 3), (8, "rows", 2), (9, "rows", 2)]
+#: What each template must give, computed from the customers: status, number of rows, and the count of the first one.
+_EXPECTED = f"""WITH q AS (SELECT row_id, n, x, s, row_id % {len(corpus.TEMPLATES)} AS k FROM {corpus.SQL}),
+c AS (SELECT c_nationkey, c_acctbal AS b, c_mktsegment AS g, avg(c_acctbal) OVER (PARTITION BY c_nationkey) AS m FROM customer),
+r AS (SELECT q.row_id, k, count(c_nationkey) AS total, count(*) FILTER (b > x) AS above, CASE k WHEN 0 THEN 1 WHEN 3 THEN 1
+WHEN 1 THEN count(DISTINCT g) FILTER (b > x) WHEN 5 THEN count(DISTINCT g) FILTER (b > x)
+WHEN 2 THEN count(*) FILTER (g = s AND b BETWEEN x AND x + 4000) WHEN 6 THEN count(*) FILTER (b < -1000 * x OR g IS NULL)
+WHEN 7 THEN least(5, greatest(0, count(*) FILTER (b > m AND g = s) - q.row_id % 3)) WHEN 8 THEN count(*) FILTER (b > x) ELSE 0 END AS n
+FROM q LEFT JOIN c ON c_nationkey = q.n GROUP BY q.row_id, k)
+SELECT row_id, CASE WHEN total = 0 OR k = 4 THEN 'error' WHEN n = 0 THEN 'empty' ELSE 'rows' END AS status, CASE WHEN total = 0 THEN 0 ELSE n END AS n, CASE WHEN total > 0 AND k = 0 THEN '[' || above || ']' END AS head FROM r"""
 
 
-@query(f"SELECT * FROM {_values(_RESULTS, 'row_id, status, n')}")
+@query(_EXPECTED)
 def x5_execute_all(spark, d):
-    return runner.execute_all(fixtures.queries(spark), fixtures.tables(spark)).select("row_id", "status", F.size("result").alias("n"))
+    ran = runner.execute_all(corpus.queries(spark, d), corpus.tables(spark, d))
+    head = F.when(F.col("row_id") % len(corpus.TEMPLATES) == 0, F.get("result", F.lit(0)))
+    return ran.select("row_id", "status", F.size("result").alias("n"), head.alias("head"))
 
 
-@query(f"SELECT row_id, 1.0 AS same FROM {_SQL_VALUES}")
-def qm6_execution_match(spark, d):
-    q, t = fixtures.queries(spark), fixtures.tables(spark)
-    a = runner.execute_all(q, t).select("row_id", F.col("outcome").alias("gold"))
-    spaced = q.withColumn("sql", F.concat(F.lit(" "), "sql", F.lit(" ")))
-    b = runner.execute_all(spaced.withColumn("sql", F.trim("sql")), t).select("row_id", F.col("outcome").alias("predicted"))
-    return a.join(b, "row_id").select("row_id", runner.results_match("gold", "predicted").alias("same"))
+#: Pairs of a query with itself in the reverse order, with another threshold, with one that fails, and with itself in capitals.
+_MATCHES = f"""WITH k AS (SELECT row_id, row_id % 4 AS v, count(c_nationkey) AS total, count(*) FILTER (c_acctbal > x) AS a, count(*) FILTER (c_acctbal > x + 500) AS b
+FROM {corpus.SQL} q LEFT JOIN customer ON c_nationkey = q.n GROUP BY row_id)
+SELECT row_id, CASE WHEN total = 0 OR v = 2 THEN 0.0 WHEN v = 1 THEN (a = b)::double ELSE 1.0 END AS same,
+CASE WHEN total = 0 OR v = 2 THEN 0.0 WHEN v = 1 THEN (a = b)::double WHEN v = 0 THEN (a <= 1)::double ELSE 1.0 END AS same_order FROM k"""
 
 
-@query(f"SELECT row_id, 'table_1_' || split_part(table_id, '-', 2) || '_' || split_part(table_id, '-', 3) AS name FROM {_SQL_VALUES}")
+@query(_MATCHES)
+def qm6_execution_match(spark, d):
+    q = corpus.queries(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.floor(F.col("o_totalprice") / 50).alias("x")), "row_id")
+    name, v = catalog.physical_name(F.col("table_id")), F.col("row_id") % 4
+    gold = F.concat(F.lit("SELECT `Customer Name` FROM "), name, F.lit(" WHERE `Balance` > "), F.col("x"))
+    other = F.concat(F.lit("SELECT `Customer Name` FROM "), name, F.lit(" WHERE `Balance` > "), F.col("x") + 500)
+    predicted = F.when(v == 0, F.concat(gold, F.lit(" ORDER BY `Cust No` DESC"))).when(v == 1, other).when(v == 2, F.lit("SELECT `Missing`")).otherwise(F.upper(gold))
+    t = corpus.tables(spark, d)
+    both = q.select("row_id", "table_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), gold.alias("sql")), F.struct(F.lit(1).alias("side"), predicted.alias("sql")))).alias("p")).select("row_id", "table_id", "p.*")
+    ran = runner.execute_all(both, t).groupBy("row_id").agg(*[F.max(F.when(F.col("side") == i, F.col("outcome"))).alias(c) for i, c in enumerate(("gold", "predicted"))])
+    return ran.select("row_id", runner.results_match("gold", "predicted").alias("same"), runner.results_match("gold", "predicted", ordered=True).alias("same_order"))
+
+
+@query(f"SELECT row_id, 'table_1_' || split_part(table_id, '-', 2) || '_' || split_part(table_id, '-', 3) AS name FROM {corpus.SQL}")
 def x4_bird_ids(spark, d):
-    q = fixtures.queries(spark)
+    q = corpus.queries(spark, d)
     return q.select("row_id", F.concat(F.lit("table_"), F.translate(F.get(sqltext.table_ids("sql"), F.lit(0)), "-", "_")).alias("name"))
 
 
@@ -538,29 +699,28 @@ def ev7_translate(spark, d):
     return evolution.evolve(table(spark, d, "region").select("r_regionkey", "r_name"), evolution.Change("translate", names={"r_regionkey": "bölge_no", "r_name": "ad"}))
 
 
-_RENAMED = [(n, s.replace("`Player`", "`Athlete`")) for n, _, _, s in _SQLS]
-
-
-@query(f"SELECT * FROM {_values(_RENAMED, 'row_id, new_sql')}")
+@query(f"SELECT row_id, replace(sql, '`Customer Name`', '`Client`') AS new_sql FROM {corpus.SQL}")
 def ev9_repair_rename(spark, d):
-    c = evolution.Change("rename_column", names={"Player": "Athlete"})
-    return evolution.repaired(fixtures.queries(spark), "sql", c).select("row_id", "new_sql")
+    c = evolution.Change("rename_column", names={"Customer Name": "Client"})
+    return evolution.repaired(corpus.queries(spark, d), "sql", c).select("row_id", "new_sql")
 
 
-@query()
+# by template: untouched, both as items, or one of them in a clause or alone
+@query(f"SELECT row_id, CASE WHEN k IN (0, 3) THEN sql WHEN k = 8 THEN replace(sql, '`Customer Name`, `Segment`', '`Who`') ELSE 'unanswerable' END AS new_sql, CASE WHEN k IN (0, 3) THEN 'unchanged' WHEN k = 8 THEN 'rewritten' ELSE 'unanswerable' END AS change_state FROM (SELECT *, row_id % {len(corpus.TEMPLATES)} AS k FROM {corpus.SQL})")
 def ev10_repair_merge(spark, d):
-    c = evolution.Change("merge_column", columns=("Player", "Nationality"), new={"Who": ()})
-    return evolution.repaired(fixtures.queries(spark), "sql", c).select("row_id", "new_sql", "change_state")
+    c = evolution.Change("merge_column", columns=("Customer Name", "Segment"), new={"Who": ()})
+    return evolution.repaired(corpus.queries(spark, d), "sql", c).select("row_id", "new_sql", "change_state")
 
 
-@query()
+# by template: two items, two keys or two columns in a condition
+@query(f"SELECT row_id, row_id % {len(corpus.TEMPLATES)} IN (1, 2, 4, 6, 7, 8) AS together FROM {corpus.SQL}")
 def ev11_uses_columns_together(spark, d):
-    return fixtures.queries(spark).select("row_id", evolution.uses_columns_together("sql").alias("together"))
+    return corpus.queries(spark, d).select("row_id", evolution.uses_columns_together("sql").alias("together"))
 
 
-@query(f"SELECT row_id, CASE WHEN contains(sql, '`Position`') THEN 'unanswerable' ELSE 'unchanged' END AS change_state FROM {_SQL_VALUES}")
+@query(f"SELECT row_id, CASE WHEN contains(sql, '`Customer Name`') THEN 'unanswerable' ELSE 'unchanged' END AS change_state FROM {corpus.SQL}")
 def ev12_remove_fast_path(spark, d):
-    return evolution.repaired(fixtures.queries(spark), "sql", evolution.Change("remove_column", columns=("Position",))).select("row_id", "change_state")
+    return evolution.repaired(corpus.queries(spark, d), "sql", evolution.Change("remove_column", columns=("Customer Name",))).select("row_id", "change_state")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_nationkey = 3")
@@ -570,22 +730,30 @@ def ev13_differing_rows(spark, d):
     return evolution.differing_rows(s, changed, ["s_name", "s_acctbal"], "s_suppkey")
 
 
-_STATUSES = [(k, s) for k in ("add_column", "rename_column", "remove_column", "merge_column", "translate") for s in ("rows", "empty", "error")]
+_CHANGES = "(SELECT o_orderkey, ['add_column', 'rename_column', 'remove_column', 'merge_column', 'translate'][1 + o_orderkey % 5] AS kind, ['rows', 'empty', 'error'][1 + o_custkey % 3] AS status, o_totalprice > 200000 AS same FROM orders)"
 
 
-@query(f"SELECT kind, status, CASE WHEN kind IN ('add_column', 'rename_column') THEN status = 'rows' WHEN kind = 'translate' THEN status = 'rows' ELSE status <> 'error' END AS ok FROM {_values(_STATUSES, 'kind, status')}")
+@query(f"SELECT o_orderkey, CASE WHEN kind IN ('add_column', 'rename_column') THEN status = 'rows' WHEN kind = 'translate' THEN same ELSE status <> 'error' END AS ok FROM {_CHANGES}")
 def ev14_accepted(spark, d):
-    s = spark.createDataFrame(_STATUSES, "kind string, status string")
-    return s.select("kind", "status", evolution.accepted(F.col("kind"), F.col("status"), F.col("status") == "rows").alias("ok"))
+    o, kinds = table(spark, d, "orders"), ("add_column", "rename_column", "remove_column", "merge_column", "translate")
+    kind = F.get(F.array(*map(F.lit, kinds)), F.col("o_orderkey") % 5)
+    status = F.get(F.array(*map(F.lit, ("rows", "empty", "error"))), F.col("o_custkey") % 3)
+    return o.select("o_orderkey", evolution.accepted(kind, status, F.col("o_totalprice") > 200000).alias("ok"))
 
 
+#: Declared types with what they are.
 _TYPES = [("text", "TEXT"), ("VARCHAR(20)", "TEXT"), ("int", "INTEGER"), ("number", "REAL"), ("Float", "REAL"), ("numeric", "NUMERIC"), ("date", "TEXT"), ("bool", "INTEGER"), ("", "TEXT"), ("blob", "TEXT")]
 
 
-@query(f"SELECT t AS declared, n AS normal, CASE WHEN n = 'TEXT' THEN 'text' ELSE 'number' END AS plain FROM {_values(_TYPES, 't, n')}")
+_DECLARED = f"(SELECT p_partkey, {[t for t, _ in _TYPES]}[1 + p_partkey % {len(_TYPES)}] AS t, {[n for _, n in _TYPES]}[1 + p_partkey % {len(_TYPES)}] AS n, p_size FROM part)"
+
+
+@query(f"SELECT p_partkey, n AS normal, CASE WHEN n = 'TEXT' THEN 'text' ELSE 'number' END AS plain FROM {_DECLARED}")
 def ev17_types(spark, d):
-    s = spark.createDataFrame([(t,) for t, _ in _TYPES], "declared string")
-    return s.select("declared", sqltext.normal_type("declared").alias("normal"), sqltext.plain_type(sqltext.normal_type("declared")).alias("plain"))
+    t = F.get(F.array(*[F.lit(t) for t, _ in _TYPES]), F.col("p_partkey") % len(_TYPES))
+    sized = F.concat(F.when(F.col("p_size") % 2 == 0, F.upper(t)).otherwise(t), F.when(t.contains("(") | (t == ""), "").otherwise(F.concat(F.lit(" ("), "p_size", F.lit(")"))))
+    s = table(spark, d, "part").select("p_partkey", sqltext.normal_type(sized).alias("normal"))
+    return s.select("p_partkey", "normal", sqltext.plain_type("normal").alias("plain"))
 
 
 # == metrics ===========================================================================================
@@ -596,20 +764,21 @@ def m1_word_count(spark, d):
 
 @query()
 def m2_m7_tree_metrics(spark, d):
-    return fixtures.queries(spark).select("row_id", sqltree.tree_metrics("sql").alias("m")).select("row_id", "m.*")
+    return corpus.queries(spark, d).select("row_id", sqltree.tree_metrics("sql").alias("m")).select("row_id", "m.*")
 
 
-@query(f"SELECT row_id, len(regexp_extract_all(sql, '(?i)\\(\\s*select\\b')) AS subqueries FROM {_SQL_VALUES}")
+@query(f"SELECT row_id, len(regexp_extract_all(sql, '(?i)\\(\\s*select\\b')) AS subqueries FROM {corpus.SQL}")
 def m3_subqueries(spark, d):
-    return fixtures.queries(spark).select("row_id", sqltext.subquery_count("sql").alias("subqueries"))
+    return corpus.queries(spark, d).select("row_id", sqltext.subquery_count("sql").alias("subqueries"))
 
 
-_OPS = " + ".join(f"len(regexp_extract_all(upper(sql), '{p}'))" for _, p in sqltext.OPERATORS)
+#: Operators of each template, counted by hand.
+_OPERATORS_OF = (5, 7, 7, 4, 3, 8, 5, 11, 4)
 
 
-@query(f"SELECT row_id, {_OPS} AS operators FROM {_SQL_VALUES}")
+@query(f"SELECT row_id, CASE row_id % {len(corpus.TEMPLATES)} {' '.join(f'WHEN {i} THEN {n}' for i, n in enumerate(_OPERATORS_OF))} END AS operators FROM {corpus.SQL}")
 def m4_operators(spark, d):
-    return fixtures.queries(spark).select("row_id", sqltext.operator_total("sql").alias("operators"))
+    return corpus.queries(spark, d).select("row_id", sqltext.operator_total("sql").alias("operators"))
 
 
 @query("SELECT c_custkey, round(ln(1 + greatest(c_acctbal, 0)) / ln(1 + hi), 8) AS logged, round((c_acctbal - mean) / std, 6) AS z, round((c_acctbal - lo) / (hi - lo), 8) AS scaled FROM customer, (SELECT min(c_acctbal) lo, max(c_acctbal) hi, avg(c_acctbal) mean, stddev_samp(c_acctbal) std FROM customer)")
@@ -652,14 +821,14 @@ def m12_m13_readability(spark, d):
     return out.select("doc_id", "words", "sentences", "syllables", r6(F.col("reading_ease")).alias("reading_ease"), r6(F.col("grade")).alias("grade"))
 
 
-@query(f"SELECT row_id, {_RESERVED_OF.format('sql')} AS n, {_RESERVED_OF.format('sql').replace('len(list_filter', 'len(list_distinct(list_filter') + ')'} AS kinds FROM {_SQL_VALUES}")
+@query(f"SELECT row_id, {_RESERVED_OF.format('sql')} AS n, {_RESERVED_OF.format('sql').replace('len(list_filter', 'len(list_distinct(list_filter') + ')'} AS kinds FROM {corpus.SQL}")
 def m14_m15_reserved(spark, d):
-    return fixtures.queries(spark).select("row_id", sqltext.reserved_count("sql").alias("n"), sqltext.reserved_distinct("sql").alias("kinds"))
+    return corpus.queries(spark, d).select("row_id", sqltext.reserved_count("sql").alias("n"), sqltext.reserved_distinct("sql").alias("kinds"))
 
 
-@query(f"SELECT row_id, CASE WHEN abs(3 + row_id - n) = 0 THEN 'exact' WHEN abs(3 + row_id - n) = 1 THEN 'close' ELSE 'way_off' END AS class FROM (SELECT row_id, {_RESERVED_OF.format('sql')} AS n FROM {_SQL_VALUES})")
+@query(f"SELECT row_id, CASE WHEN abs(3 + row_id % 18 - n) = 0 THEN 'exact' WHEN abs(3 + row_id % 18 - n) = 1 THEN 'close' ELSE 'way_off' END AS class FROM (SELECT row_id, {_RESERVED_OF.format('sql')} AS n FROM {corpus.SQL})")
 def m16_compliance(spark, d):
-    q = fixtures.queries(spark)
+    q = corpus.queries(spark, d)
     return q.select("row_id", metrics.compliance(seeded.cyclic(F.col("row_id"), 3, 20), sqltext.reserved_count("sql")).alias("class"))
 
 
@@ -680,18 +849,23 @@ def qm2_qm8_fuzzy(spark, d):
     return p.select("p_partkey", F.round(similarity.partial_ratio("p_name", "p_type"), 6).alias("partial"), F.round(similarity.ratio("p_name", "p_type"), 6).alias("whole"), (similarity.lower_ratio("p_name", "p_type") >= 0.8).alias("near"))
 
 
+# neighbours in order of the templates: each pair's columns, without regard to the tables
 @query()
 def qm4_context_match(spark, d):
-    q = fixtures.queries(spark)
-    return q.alias("a").join(q.alias("b"), F.col("a.table_id") == F.col("b.table_id")).select(F.col("a.row_id").alias("gold"), F.col("b.row_id").alias("predicted"), sqltree.context_match("a.sql", "b.sql").alias("score"))
+    q = corpus.queries(spark, d)
+    after = q.select((F.col("row_id") - 1).alias("row_id"), F.col("sql").alias("other"))
+    return q.join(after, "row_id").select("row_id", sqltree.context_match("sql", "other").alias("score"))
 
 
-_NAMES = [("film_name", "Name of film"), ("Id", "id"), ("player", "team_player_id"), ("points", "score"), ("_x", "abc"), ("country_code", "code")]
+_NAMES = "(SELECT p_partkey, replace(p_name, ' ', '_') AS a, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'the ' || p_name WHEN 2 THEN p_type ELSE p_type || ' ' || split_part(p_name, ' ', 1) || 's' END AS b FROM part)"
 
 
-@query(f"SELECT a, b, lower(a) = lower(b) OR contains(lower(b), lower(a)) OR contains(lower(a), lower(b)) OR len(list_filter(string_split(lower(a), '_'), lambda p: p <> '' AND contains(lower(b), p))) > 0 AS m FROM {_values(_NAMES, 'a, b')}")
+@query(f"SELECT p_partkey, lower(a) = lower(b) OR contains(lower(b), lower(a)) OR contains(lower(a), lower(b)) OR len(list_filter(string_split(lower(a), '_'), lambda p: p <> '' AND contains(lower(b), p))) > 0 AS m FROM {_NAMES}")
 def qm5_name_matches(spark, d):
-    return spark.createDataFrame(_NAMES, "a string, b string").select("a", "b", similarity.name_matches("a", "b").alias("m"))
+    k, n = F.col("p_partkey") % 4, F.col("p_name")
+    b = F.when(k == 0, F.upper(n)).when(k == 1, F.concat(F.lit("the "), n)).when(k == 2, F.col("p_type")).otherwise(F.concat("p_type", F.lit(" "), F.split_part(n, F.lit(" "), F.lit(1)), F.lit("s")))
+    s = table(spark, d, "part").select("p_partkey", F.replace(n, F.lit(" "), F.lit("_")).alias("a"), b.alias("b"))
+    return s.select("p_partkey", similarity.name_matches("a", "b").alias("m"))
 
 
 # == filters ==============================================================================================
@@ -706,25 +880,26 @@ def f5_f7_labels(spark, d):
     return _scored(spark, d).select("doc_id", filters.label("score", 0.55, True).alias("reward_55"), filters.label("score", 0.75, False).alias("prompt_75"))
 
 
-@query()
+@query(f"SELECT row_id, row_id % 3 <> 0 AS keep FROM {corpus.SQL}")
 def f6_generate_and_compare(spark, d):
-    q = fixtures.queries(spark).withColumn("candidates", F.array(F.lower("sql"), F.lit("SELECT 1")))
+    near = F.when(F.col("row_id") % 3 == 0, F.lit("zzz")).when(F.col("row_id") % 3 == 1, F.lower("sql")).otherwise(F.concat(F.lit("xx "), F.upper("sql")))
+    q = corpus.queries(spark, d).withColumn("candidates", F.array(F.lit("SELECT 1"), near))
     return q.select("row_id", filters.generate_and_compare("candidates", "sql").alias("keep"))
 
 
-_ANSWERS = [
-    (0, '{"score": 0.85}', 0.85),
-    (1, '```json\n{"score": 1.4}\n```', 1.0),
-    (2, "Score: 0.3 because", 0.3),
-    (3, "I would give 12, or 0.7 of 1", 0.7),
-    (4, "none", None),
-    (5, "score=-2", 0.0),
-]
-
-
-@query(f"SELECT id, cast(score AS double) AS score FROM {_values([(i, s) for i, _, s in _ANSWERS], 'id, score')}")
+@query("SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN x WHEN 1 THEN 1.0 WHEN 2 THEN x WHEN 3 THEN x WHEN 5 THEN 0.0 WHEN 6 THEN x END AS score FROM (SELECT o_orderkey, (o_orderkey % 101) / 100.0 AS x FROM orders)")
 def f8_score_of(spark, d):
-    return spark.createDataFrame([(i, a) for i, a, _ in _ANSWERS], "id int, a string").select("id", answers.score_of("a").alias("score"))
+    k, x = F.col("o_orderkey") % 7, F.format_string("%.2f", (F.col("o_orderkey") % 101) / 100.0)
+    said = (
+        F.when(k == 0, F.concat(F.lit('{"score": '), x, F.lit("}")))
+        .when(k == 1, F.concat(F.lit('```json\n{"score": 1'), F.substring(x, 2, 3), F.lit("}\n```")))
+        .when(k == 2, F.concat(F.lit("Score: "), x, F.lit(" because of 12")))
+        .when(k == 3, F.concat(F.lit("I would give 12, or "), x, F.lit(" of 2")))
+        .when(k == 5, F.concat(F.lit("score=-1"), x))
+        .when(k == 6, F.concat(F.lit('ok:\n```json\n{"why": "3 rows", "score": '), x, F.lit("}\n```")))
+        .otherwise("none")
+    )
+    return table(spark, d, "orders").select("o_orderkey", said.alias("a")).select("o_orderkey", answers.score_of("a").alias("score"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 OR value > 1 OR value < 0 THEN -1.0 ELSE round(2 * exp(-2 * abs(value - 0.5)) - 1, 8) END AS reward FROM (SELECT event_id, floor(value * 10) / 1000 AS value FROM events)")
@@ -734,10 +909,14 @@ def f10_reasoning_reward(spark, d):
     return e.select("event_id", F.round(answers.reasoning_reward(said, F.lit(0.5)), 8).alias("reward"))
 
 
-@query("SELECT option AS picked, n FROM (VALUES ('alpha beta', 1), (NULL, 2)) AS t(option, n)")
+@query("SELECT p_partkey, CASE WHEN p_size % 4 < 2 AND p_partkey % 3 < 2 THEN CASE p_size % 4 WHEN 0 THEN p_name || ' of ' || p_brand ELSE p_type || ' by ' || p_brand END END AS picked FROM part")
 def f11_judged(spark, d):
-    s = spark.createDataFrame([(["x", "alpha beta"], 1, "Alpha  beta"), (["x"], 3, "x"), (["abc"], 0, "zzz")], "options array<string>, i int, t string")
-    return s.select(filters.judged("options", "i", "t").alias("picked")).groupBy("picked").agg(F.count(F.lit(1)).alias("n"))
+    options = F.array(F.concat("p_name", F.lit(" of "), "p_brand"), F.concat("p_type", F.lit(" by "), "p_brand"))
+    i, k = F.col("p_size") % 4, F.col("p_partkey") % 3
+    own = F.coalesce(F.get(options, i), F.lit("x"))
+    said = F.when(k == 0, F.upper(own)).when(k == 1, F.replace(own, F.lit(" "), F.lit("  "))).otherwise("zzzzzz")
+    s = table(spark, d, "part").select("p_partkey", options.alias("options"), i.alias("i"), said.alias("t"))
+    return s.select("p_partkey", filters.judged("options", "i", "t").alias("picked"))
 
 
 @query("SELECT conv_id, min(turn) AS turn FROM conversations WHERE turn <= 3 AND length(text) >= 90 GROUP BY conv_id")
@@ -753,32 +932,33 @@ def am3_am4_labels(spark, d):
     return out.select("o_custkey", "n", F.round("label", 8).alias("label"))
 
 
-_FLAGS = [("True", 1), (" yes ", 1), ("Y", 1), ("1", 1), ("t", 1), ("no", 0), ("0", 0), ("", 0), (None, 0)]
+_FLAGS = [("True", 1), (" yes ", 1), ("Y", 1), ("1", 1), ("t", 1), ("no", 0), ("0", 0), ("", 0), (None, 0), ("truely", 0)]
 
 
-@query(f"SELECT v, x = 1 AS flag FROM {_values(_FLAGS, 'v, x')}")
+@query(f"SELECT event_id, {[x for _, x in _FLAGS]}[1 + event_id % {len(_FLAGS)}] = 1 AS flag FROM events")
 def am5_truthy(spark, d):
-    return spark.createDataFrame([(v,) for v, _ in _FLAGS], "v string").select("v", answers.truthy(F.col("v")).alias("flag"))
+    v = F.get(F.array(*[F.lit(v) for v, _ in _FLAGS]), F.col("event_id") % len(_FLAGS))
+    return table(spark, d, "events").select("event_id", answers.truthy(v).alias("flag"))
 
 
-@query(f"SELECT row_id, 'NL: ' || nl || ' [SEP] SQL: ' || sql AS line FROM {_SQL_VALUES}")
+@query(f"SELECT row_id, 'NL: ' || nl || ' [SEP] SQL: ' || sql AS line FROM {corpus.SQL}")
 def am6_model_text(spark, d):
-    return fixtures.queries(spark).select("row_id", text.model_text("nl", "sql").alias("line"))
+    return corpus.queries(spark, d).select("row_id", text.model_text("nl", "sql").alias("line"))
 
 
-@query("SELECT id, item FROM (VALUES (0, 'SELECT 1'), (0, 'SELECT 2'), (1, 'SELECT 3'), (2, 'a, b')) AS t(id, item)")
+@query("SELECT o_orderkey, unnest(CASE o_orderkey % 4 WHEN 0 THEN ['SELECT ' || o_custkey, o_orderpriority] WHEN 1 THEN ['SELECT ' || o_custkey] WHEN 2 THEN [o_orderstatus || ', ' || o_orderpriority] ELSE [] END) AS item FROM orders")
 def am1_am2_am7_lists(spark, d):
-    s = spark.createDataFrame([(0, "['SELECT 1', '', 'SELECT 2']"), (1, "SELECT 3"), (2, '["a, b"]'), (3, None)], "id int, x string")
-    return s.select("id", F.explode(answers.parsed_list(F.col("x"))).alias("item"))
+    k, q = F.col("o_orderkey") % 4, F.concat(F.lit("SELECT "), "o_custkey")
+    x = F.when(k == 0, F.concat(F.lit("['"), q, F.lit("', '', ' "), "o_orderpriority", F.lit("', None]"))).when(k == 1, F.concat(F.lit(" "), q, F.lit(" "))).when(k == 2, F.concat(F.lit('["'), "o_orderstatus", F.lit(", "), "o_orderpriority", F.lit('"]')))
+    return table(spark, d, "orders").select("o_orderkey", F.explode(answers.parsed_list(x)).alias("item"))
 
 
 # == corruption ===========================================================================================
-_WHERE = [(0, "SELECT a FROM t WHERE b = 1 ORDER BY a;", "SELECT a FROM t ORDER BY a;"), (1, "SELECT a FROM t", "SELECT a FROM t"), (2, "select a from t where b > 2 group by a", "select a from t group by a;"), (3, "SELECT a FROM t WHERE b = 1", "SELECT a FROM t;")]
-
-
-@query(f"SELECT id, gone FROM {_values(_WHERE, 'id, sql, gone')}")
+# by template: what stands after the condition stays from ORDER BY, else GROUP BY on
+@query(f"""SELECT row_id, CASE WHEN k IN (3, 4) THEN sql WHEN k = 1 THEN regexp_extract(sql, '^(.*?) WHERE', 1) || ' ORDER BY n DESC, `Segment`;' WHEN k = 2 THEN regexp_extract(sql, '^(.*?) WHERE', 1) || ' ORDER BY `Customer Name`;'
+WHEN k = 5 THEN regexp_extract(sql, '^(.*?) WHERE', 1) || ' ORDER BY `Segment`;' WHEN k = 7 THEN regexp_extract(sql, '^(.*?) WHERE', 1) || ' ' || regexp_extract(sql, '(ORDER BY .*)$', 1) || ';' ELSE regexp_extract(sql, '^(.*?) WHERE', 1) || ';' END AS gone FROM (SELECT *, row_id % {len(corpus.TEMPLATES)} AS k FROM {corpus.SQL})""")
 def cr1_remove_where(spark, d):
-    return spark.createDataFrame([r[:2] for r in _WHERE], "id int, sql string").select("id", corruption.remove_where("sql").alias("gone"))
+    return corpus.queries(spark, d).select("row_id", corruption.remove_where("sql").alias("gone"))
 
 
 @query(f"SELECT c_custkey, 'SELECT ' || ['SUM', 'AVG', 'MAX', 'MIN'][1 + cast(floor({_md5_u(7, 'agg-COUNT', 'c_custkey')} * 4) AS int)] || '(x) FROM country' AS sql FROM customer")
@@ -787,7 +967,16 @@ def cr2_change_agg(spark, d):
     return c.select("c_custkey", corruption.change_agg("sql", 7, F.col("c_custkey")).alias("sql"))
 
 
-@query(f"SELECT c_custkey, 'SELECT a FROM t WHERE ' || ['item_id','uuid','name','description','status','created_at','updated_at'][1 + cast(floor({_md5_u(7, 'column', 'c_custkey')} * 7) AS int)] || ' ' || ['=','!=','<','>','<=','>='][1 + cast(floor({_md5_u(7, 'operator', 'c_custkey')} * 6) AS int)] || ' ''' || ['item_001','uuid_123','Sample','Active','2023-01-01','Test'][1 + cast(floor({_md5_u(7, 'value', 'c_custkey')} * 6) AS int)] || ''';' AS sql FROM customer")
+_FALLBACK_VALUES = "[" + ",".join(f"'{v}'" for v in corruption.FALLBACK_VALUES) + "]"
+_QUOTE = "chr(39)"
+_CONDITION = f"""SELECT c_custkey, ['item_id','uuid','name','description','status','created_at','updated_at'][1 + cast(floor({_md5_u(7, 'column', 'c_custkey')} * 7) AS int)] AS c,
+['=','!=','>','<','>=','<=','LIKE','NOT LIKE','IN','NOT IN','BETWEEN','IS NULL','IS NOT NULL'][1 + cast(floor({_md5_u(7, 'operator', 'c_custkey')} * 13) AS int)] AS op,
+{_QUOTE} || {_FALLBACK_VALUES}[1 + cast(floor({_md5_u(7, 'value', 'c_custkey')} * 6) AS int)] || {_QUOTE} AS one,
+array_to_string(list_transform(list_sort(list_transform({_FALLBACK_VALUES}, lambda v: md5('7:list:' || c_custkey || ':' || v) || v))[1:3], lambda x: {_QUOTE} || substr(x, 33) || {_QUOTE}), ', ') AS few,
+cast(floor({_md5_u(7, 'low', 'c_custkey')} * 51) AS int) || ' AND ' || (51 + cast(floor({_md5_u(7, 'high', 'c_custkey')} * 50) AS int)) AS span FROM customer"""
+
+
+@query(f"SELECT c_custkey, 'SELECT a FROM t WHERE ' || c || ' ' || op || CASE WHEN op LIKE 'IS%' THEN '' WHEN op IN ('IN', 'NOT IN') THEN ' (' || few || ')' WHEN op = 'BETWEEN' THEN ' ' || span ELSE ' ' || one END || ';' AS sql FROM ({_CONDITION})")
 def cr3_cr7_add_condition(spark, d):
     c = corruption.with_plausible(table(spark, d, "customer").select("c_custkey", F.lit("x").alias("db_id"), F.lit("SELECT a FROM t").alias("sql")), None)
     return c.select("c_custkey", corruption.add_condition("sql", 7, F.col("c_custkey")).alias("sql"))
@@ -805,7 +994,7 @@ def cr4_select_list(spark, d):
 
 @query()
 def cr5_cr6_cr8_corrupted(spark, d):
-    q = corruption.with_plausible(fixtures.queries(spark).withColumn("db_id", F.lit("x")), None)
+    q = corruption.with_plausible(corpus.queries(spark, d).withColumn("db_id", F.lit("x")), None)
     return corruption.corrupted(q, "sql", "row_id").select("row_id", "corrupted_sql", "corruption_count", "is_corrupted")
 
 
@@ -813,18 +1002,17 @@ _NOT_ENTITIES = "[" + ",".join(f"'{w}'" for w in sqltext.NOT_ENTITIES) + "]"
 
 
 @query(
-    f"SELECT row_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(lower(regexp_replace(sql, '[\"'']([^\"'']+)[\"'']', '', 'g')), '\\b[a-z_][a-z0-9_]*\\b'), lambda w: NOT list_contains({_NOT_ENTITIES}, w) AND NOT regexp_full_match(w, 't\\d*') AND length(w) > 1), list_transform(regexp_extract_all(sql, '[\"'']([^\"'']+)[\"'']', 1), lambda v: lower(v))))), '|') AS names FROM {_SQL_VALUES}"
+    f"SELECT row_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(lower(regexp_replace(sql, '[\"'']([^\"'']+)[\"'']', '', 'g')), '\\b[a-z_][a-z0-9_]*\\b'), lambda w: NOT list_contains({_NOT_ENTITIES}, w) AND NOT regexp_full_match(w, 't\\d*') AND length(w) > 1), list_transform(regexp_extract_all(sql, '[\"'']([^\"'']+)[\"'']', 1), lambda v: lower(v))))), '|') AS names FROM {corpus.SQL}"
 )
 def cr9_entities(spark, d):
-    return fixtures.queries(spark).select("row_id", F.array_join(F.array_sort(sqltext.entities("sql")), "|").alias("names"))
-
+    return corpus.queries(spark, d).select("row_id", F.array_join(F.array_sort(sqltext.entities("sql")), "|").alias("names"))
 
-_PHRASES = [("film_name", "film"), ("birthYear", "birth year"), ("job_title", "job"), ("name", "name")]
 
-
-@query(f"SELECT e, p FROM {_values(_PHRASES, 'e, p')}")
+@query("SELECT p_partkey, lower(p_type) || ' ' || lower(split_part(p_name, ' ', 1)) || CASE p_partkey % 4 WHEN 2 THEN ' year' ELSE '' END AS p FROM part")
 def cr10_entity_phrase(spark, d):
-    return spark.createDataFrame([(e,) for e, _ in _PHRASES], "e string").select("e", sqltext.entity_phrase("e").alias("p"))
+    k = F.col("p_partkey") % 4
+    e = F.concat(F.lower("p_type"), F.lit("_"), F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)), F.when(k == 0, "_name").when(k == 1, "_title").when(k == 2, "Year").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", e.alias("e")).select("p_partkey", sqltext.entity_phrase("e").alias("p"))
 
 
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::double[], (SELECT embedding::double[] FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS cosine FROM embeddings")
@@ -849,12 +1037,17 @@ def cr13_cr14_graded(spark, d):
     return li.select("l_orderkey", "l_linenumber", F.round(score, 8).alias("score"), F.round(corruption.penalised(F.col("s"), F.col("l_linenumber")), 8).alias("fallback"))
 
 
-_COTS = [(0, "think\n<question> Who won? </question>", "Who won?"), (1, "a\nQuestion: How many? \nz", "How many?"), (2, "short\nWhat is the name of the best film?\nok", "What is the name of the best film?"), (3, "one\ntwo", "two"), (4, "Question: Which team Validate: x", "Which team")]
-
-
-@query(f"SELECT id, q FROM {_values([(i, q) for i, _, q in _COTS], 'id, q')}")
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 3 THEN 'two' ELSE 'How much does ' || c_name || ' owe?' END AS q FROM customer")
 def cr15_question_of(spark, d):
-    return spark.createDataFrame([(i, x) for i, x, _ in _COTS], "id int, x string").select("id", answers.question_of("x").alias("q"))
+    k, q = F.col("c_custkey") % 5, F.concat(F.lit("How much does "), "c_name", F.lit(" owe?"))
+    x = (
+        F.when(k == 0, F.concat(F.lit("think\n<question> "), q, F.lit(" </question> x")))
+        .when(k == 1, F.concat(F.lit("a\nQuestion: "), q, F.lit(" \nz")))
+        .when(k == 2, F.concat(F.lit("short\n"), q, F.lit("\nok")))
+        .when(k == 3, F.lit("one\ntwo"))
+        .otherwise(F.concat(F.lit("Question: "), q, F.lit(" Validate: x")))
+    )
+    return table(spark, d, "customer").select("c_custkey", x.alias("x")).select("c_custkey", answers.question_of("x").alias("q"))
 
 
 # == translation ==========================================================================================
@@ -866,6 +1059,15 @@ def tr1_tr4_verdict(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", translation.verdict("text_orig", "text_trans").alias("v")).select("conv_id", "turn", "v.is_valid", "v.reason")
 
 
+@query(f"SELECT lang, count(*) AS total, count(*) FILTER (reason = 'ok') AS accepted, count(*) FILTER (reason <> 'ok') AS rejected, cast(sum(length(text_trans)) FILTER (reason = 'ok') AS bigint) AS kept_chars, count(*) FILTER (reason = 'length_ratio') AS by_length FROM (SELECT *, CASE WHEN turn % 4 < 2 THEN 'tr' ELSE 'es' END AS lang, CASE WHEN length(text_trans) < 2 OR NOT regexp_matches(text_trans, '\\p{{L}}') THEN 'suspicious' WHEN NOT (CASE WHEN length(text_orig) > 0 THEN length(text_trans) / length(text_orig) ELSE 0 END BETWEEN 0.3 AND 3) THEN 'length_ratio' ELSE 'ok' END AS reason FROM {_PAIR_SQL}) GROUP BY lang")
+def tr7b_heuristic_batch(spark, d):
+    p = _pairs(spark, d).withColumn("lang", F.when(F.col("turn") % 4 < 2, "tr").otherwise("es"))
+    yes, no, counts = translation.heuristic_batch(p, "text_orig", "text_trans")
+    kept = yes.groupBy("lang").agg(F.sum(F.length("text_trans")).alias("kept_chars"))
+    lost = no.groupBy("lang").agg(F.count_if(F.col("reason") == "length_ratio").alias("by_length"))
+    return counts.join(kept, "lang", "left").join(lost, "lang", "left").withColumn("by_length", F.coalesce("by_length", F.lit(0)))
+
+
 _SCORES = "(SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE least(value / 100, 1) END AS s, CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id % 100) / 100.0 END AS b FROM events)"
 
 
@@ -882,10 +1084,12 @@ def tr7_gate(spark, d):
     return translation.gate(p, "text_orig", "text_trans").groupBy(F.col("quality_stage").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 1 AS id, 'Ann Lee|Paris|the bank' AS names")
+@query("SELECT c_custkey, c_name || '|' || 'Nation ' || c_nationkey || '|' || c_mktsegment AS names FROM customer")
 def tr9_tr10_entities(spark, d):
-    s = spark.createDataFrame([(1, [("Paris", "GPE"), ("the bank", "X"), ("paris", "X"), ("Ann Lee", "PERSON"), ("ab", "GPE")])], "id int, e array<struct<text:string,label:string>>")
-    return s.select("id", F.array_join(F.transform(translation.merged_entities(F.col("e")), lambda e: e["text"]), "|").alias("names"))
+    nation = F.concat(F.lit("Nation "), "c_nationkey")
+    found = [(F.col("c_mktsegment"), "X"), (nation, "GPE"), (F.lower("c_mktsegment"), "Y"), (F.upper("c_name"), "X"), (F.col("c_name"), "PERSON"), (F.lit("ab"), "GPE")]
+    e = F.array(*[F.struct(t.alias("text"), F.lit(k).alias("label")) for t, k in found])
+    return table(spark, d, "customer").select("c_custkey", F.array_join(F.transform(translation.merged_entities(e), lambda e: e["text"]), "|").alias("names"))
 
 
 @query("SELECT s_suppkey, CASE WHEN n_nationkey < 10 THEN upper(n_name) END AS title, coalesce(n_nationkey < 20, false) AS cached FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -897,10 +1101,12 @@ def tr11_looked_up(spark, d):
     return translation.looked_up(s, known).select("s_suppkey", "title", "cached")
 
 
-@query("SELECT 'The title Big Apple is in the USA and Appleton' AS t")
+@query("SELECT c_custkey, 'deal of X' || c_custkey || ' and ' || CASE WHEN c_custkey % 2 = 0 THEN 'Big Seg' ELSE lower(c_mktsegment) || 's' END || ' in Nation' || c_nationkey AS t FROM customer")
 def tr12_substituted(spark, d):
-    s = spark.createDataFrame([("The title apple is in the usa and Appleton", {"Apple": "Big Apple", "usa": "USA", "app": "X"})], "t string, n map<string,string>")
-    return s.select(similarity.substituted(F.col("t"), F.col("n")).alias("t"))
+    seg = F.lower("c_mktsegment")
+    t = F.concat(F.lit("deal of "), F.lower("c_name"), F.lit(" and "), F.when(F.col("c_custkey") % 2 == 0, seg).otherwise(F.concat(seg, F.lit("s"))), F.lit(" in Nation"), "c_nationkey")
+    names = F.create_map(F.col("c_name"), F.concat(F.lit("X"), "c_custkey"), F.col("c_mktsegment"), F.lit("Big Seg"), F.lit("customer"), F.lit("WRONG"))
+    return table(spark, d, "customer").select("c_custkey", similarity.substituted(t, names).alias("t"))
 
 
 @query("SELECT lang, count(*) AS n FROM customer, (VALUES ('es'), ('tr'), ('ru'), ('zh'), ('ja'), ('hi'), ('de'), ('uk'), ('kk'), ('ro')) AS t(lang) GROUP BY lang")
@@ -932,20 +1138,22 @@ def tr15_tr16_report(spark, d):
 
 
 # == answers ==============================================================================================
-_FENCES = [(0, "x\n```sql\nSELECT 1\n```\ny", "SELECT 1"), (1, "```\nSELECT 2\n```", "SELECT 2"), (2, "  SELECT 3 ", "SELECT 3"), (3, "SQL query: SELECT 4; and more", "SQL query: SELECT 4; and more")]
-_FREE = [(0, "SELECT 1"), (1, "SELECT 2"), (2, "SELECT 3"), (3, "SELECT 4")]
-
-
-@query(f"SELECT a.id, a.f AS fenced, b.q AS query FROM {_values([(i, f) for i, _, f in _FENCES], 'id, f').replace('AS t(', 'AS a(')} JOIN {_values(_FREE, 'id, q').replace('AS t(', 'AS b(')} ON a.id = b.id")
+@query(f"SELECT row_id, CASE WHEN row_id % 4 = 3 THEN 'SQL query: ' || sql || '; and more' ELSE sql END AS fenced, sql AS query FROM {corpus.SQL}")
 def t1_t2_queries(spark, d):
-    s = spark.createDataFrame([(i, x) for i, x, _ in _FENCES], "id int, x string")
-    return s.select("id", answers.fenced("x").alias("fenced"), answers.query_of("x").alias("query"))
+    k = F.col("row_id") % 4
+    x = F.when(k == 0, F.concat(F.lit("x\n```sql\n"), "sql", F.lit("\n```\ny"))).when(k == 1, F.concat(F.lit("```\n"), "sql", F.lit(" ;\n```")))
+    x = x.when(k == 2, F.concat(F.lit("  "), "sql", F.lit(" "))).otherwise(F.concat(F.lit("SQL query: "), "sql", F.lit("; and more")))
+    s = corpus.queries(spark, d).select("row_id", x.alias("x"))
+    return s.select("row_id", F.regexp_replace(answers.fenced("x"), " ;$", "").alias("fenced"), answers.query_of("x").alias("query"))
 
 
-@query()
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '{"question1": "' || p_name || ' {x}", "question2": "' || p_type || '"}' END AS json, CASE p_partkey % 3 WHEN 0 THEN p_name || ' {x}|' || p_type ELSE '' END AS questions,
+CASE p_partkey % 3 WHEN 0 THEN '{"question2":"' || p_type || '","question1":"' || p_name || ' {x}"}' WHEN 1 THEN '{"old_name":"' || p_name || '","new_name":"' || p_type || '"}' END AS change FROM part""")
 def t3_t5_t6_programs(spark, d):
-    s = spark.createDataFrame([(0, 'ok {"question2": "b", "question1": "a {x}",} end'), (1, "old_name: a\nnew_name: b"), (2, "nothing")], "id int, x string")
-    return s.select("id", answers.loose_json(F.col("x")).alias("json"), F.array_join(answers.ordered_questions(F.col("x")), "|").alias("questions"), F.to_json(answers.schema_change_of(F.col("x"))).alias("change"))
+    k = F.col("p_partkey") % 3
+    x = F.when(k == 0, F.concat(F.lit('ok {"question2": "'), "p_type", F.lit('", "question1": "'), "p_name", F.lit(' {x}",} end'))).when(k == 1, F.concat(F.lit("old_name: "), "p_name", F.lit('\nnew_name: "'), "p_type", F.lit('",'))).otherwise("nothing")
+    s = table(spark, d, "part").select("p_partkey", x.alias("x"))
+    return s.select("p_partkey", answers.loose_json(F.col("x")).alias("json"), F.array_join(answers.ordered_questions(F.col("x")), "|").alias("questions"), F.to_json(answers.schema_change_of(F.col("x"))).alias("change"))
 
 
 @query("""SELECT page_id, regexp_replace(html, ',(\\s*[}\\]])', '\\1', 'g') AS x FROM pages""")
@@ -953,39 +1161,45 @@ def t4_trailing_commas(spark, d):
     return table(spark, d, "pages").select("page_id", answers.without_trailing_commas("html").alias("x"))
 
 
-@query("""SELECT * FROM (VALUES (0, 'a teacher'), (1, 'A chess player from Oslo.'), (2, 'plain text')) AS t(id, persona)""")
+@query("SELECT c_custkey, 'A buyer named ' || c_name || ' of ' || c_mktsegment || '.' AS persona FROM customer")
 def t7_persona(spark, d):
-    s = spark.createDataFrame([(0, '{"persona": "a teacher"}'), (1, "## Persona\nA chess player from Oslo."), (2, " plain text ")], "id int, x string")
-    return s.select("id", answers.persona_of("x").alias("persona"))
+    k, who = F.col("c_custkey") % 4, F.concat(F.lit("A buyer named "), "c_name", F.lit(" of "), "c_mktsegment", F.lit("."))
+    x = F.when(k == 0, F.concat(F.lit('{"persona": "'), who, F.lit('"}'))).when(k == 1, F.concat(F.lit("## Persona\n"), who, F.lit("\n# Next\nmore"))).when(k == 2, F.concat(F.lit('```json\n{"description": "'), who, F.lit('"}\n```'))).otherwise(F.concat(F.lit(" "), who, F.lit(" ")))
+    return table(spark, d, "customer").select("c_custkey", x.alias("x")).select("c_custkey", answers.persona_of("x").alias("persona"))
 
 
-@query("SELECT 0 AS id, 'a|c' AS questions")
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '|' || p_type WHEN 1 THEN p_type || '|' || p_name || '|' || p_brand ELSE '' END AS questions FROM part")
 def t8_questions(spark, d):
-    s = spark.createDataFrame([(0, '```json\n{"question1": "a", "question_3": "c"}\n```')], "id int, x string")
-    return s.select("id", F.array_join(answers.questions("x"), "|").alias("questions"))
+    k = F.col("p_partkey") % 3
+    x = F.when(k == 0, F.concat(F.lit('```json\n{"question_3": "'), "p_type", F.lit('", "question1": "'), "p_name", F.lit('"}\n```')))
+    x = x.when(k == 1, F.concat(F.lit('{"Question4": "'), "p_brand", F.lit('", "question1": "'), "p_type", F.lit('", "question_2": "'), "p_name", F.lit('"}'))).otherwise('{"question9": "x"}')
+    return table(spark, d, "part").select("p_partkey", x.alias("x")).select("p_partkey", F.array_join(answers.questions("x"), "|").alias("questions"))
 
 
-@query("SELECT * FROM (VALUES (0, 'hola'), (1, 'adiós'), (2, 'bueno')) AS t(id, translation)")
+@query("SELECT c_custkey, 'señor ' || c_name AS translation FROM customer")
 def t9_translation(spark, d):
-    s = spark.createDataFrame([(0, '{"translation": "hola"}'), (1, "Translation: 'adiós'"), (2, '"bueno"')], "id int, x string")
-    return s.select("id", answers.translation_of("x").alias("translation"))
+    k, t = F.col("c_custkey") % 4, F.concat(F.lit("señor "), "c_name")
+    x = F.when(k == 0, F.concat(F.lit('{"translation": "'), t, F.lit('"}'))).when(k == 1, F.concat(F.lit("Translation: '"), t, F.lit("'"))).when(k == 2, F.concat(F.lit("```text\n“"), t, F.lit("”\n```"))).otherwise(F.concat(F.lit('"'), t, F.lit('"')))
+    return table(spark, d, "customer").select("c_custkey", x.alias("x")).select("c_custkey", answers.translation_of("x").alias("translation"))
 
 
-@query("SELECT event_id, event_id % 3 = 0 AS retry FROM events WHERE event_id < 300")
+@query("SELECT event_id, event_id % 5 IN (0, 2, 3) AS retry FROM events")
 def t10_retryable(spark, d):
-    e = table(spark, d, "events").filter("event_id < 300")
-    return e.select("event_id", answers.is_retryable(F.when(F.col("event_id") % 3 == 0, "HTTP 503 Unavailable").otherwise("bad key")).alias("retry"))
+    k = F.col("event_id") % 5
+    said = F.when(k == 0, "HTTP 503 Unavailable").when(k == 1, "bad key").when(k == 2, "Quota exceeded for model").when(k == 3, "429: RESOURCE EXHAUSTED")
+    return table(spark, d, "events").select("event_id", answers.is_retryable(said).alias("retry"))
 
 
-@query("SELECT * FROM (VALUES ('reward_0.65', 0.65), ('prompt_0.9_v2', 0.9), ('base', NULL)) AS t(name, threshold)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN (o_orderkey % 90 + 10) / 100.0 END AS threshold FROM orders")
 def t12_threshold(spark, d):
-    s = spark.createDataFrame([("reward_0.65",), ("prompt_0.9_v2",), ("base",)], "name string")
-    return s.select("name", answers.threshold_of("name").alias("threshold"))
+    k, x = F.col("o_orderkey") % 3, F.format_string("%.2f", (F.col("o_orderkey") % 90 + 10) / 100.0)
+    name = F.when(k == 0, F.concat(F.lit("reward_"), x)).when(k == 1, F.concat(F.lit("prompt_"), x, F.lit("_v2"))).otherwise("base")
+    return table(spark, d, "orders").select("o_orderkey", answers.threshold_of(name).alias("threshold"))
 
 
-@query(f"SELECT row_id, 'Q: ' || nl || ' over ' || table_id AS prompt FROM {_SQL_VALUES}")
+@query(f"SELECT row_id, 'Q: ' || nl || ' over ' || table_id AS prompt FROM {corpus.SQL}")
 def t11_template(spark, d):
-    return fixtures.queries(spark).select("row_id", text.fill("Q: {nl} over {table}", nl="nl", table="table_id").alias("prompt"))
+    return corpus.queries(spark, d).select("row_id", text.fill("Q: {nl} over {table}", nl="nl", table="table_id").alias("prompt"))
 
 
 # == relational constructs through the dialect =================================================================
@@ -1030,27 +1244,27 @@ for _name, (_sql, _oracle) in RELATIONAL.items():
 def x7_generate(spark, d):
     from pairforge.plans import stages
 
-    return stages.generate(fixtures.tables(spark)).select("table_id", "sql", "db_sql", "seeding_type", "seeding_value", "attempts")
+    return stages.generate(corpus.tables(spark, d)).select("table_id", "sql", "db_sql", "seeding_type", "seeding_value", "attempts")
 
 
 @query()
 def ev8_evolve_stage(spark, d):
     from pairforge.plans import stages
 
-    return stages.evolve(fixtures.queries(spark), fixtures.tables(spark)).select("row_id", "schema_change_type", "new_sql", "status", "db_query_match", "accepted")
+    return stages.evolve(corpus.queries(spark, d), corpus.tables(spark, d)).select("row_id", "schema_change_type", "new_sql", "status", "db_query_match", "accepted")
 
 
-@query()
+@query(f"SELECT row_id, 1.0 AS relaxed FROM {corpus.SQL}")
 def qm7_relaxed_match(spark, d):
     from pairforge.plans import stages
 
-    pairs = fixtures.queries(spark).select("row_id", F.col("sql").alias("gold"), F.upper("sql").alias("predicted"))
-    return stages.judged_match(pairs, "gold", "predicted", lambda: lambda text: '{"equivalent": true}').select("row_id", "relaxed")
+    pairs = corpus.queries(spark, d).select("row_id", F.col("sql").alias("gold"), F.upper("sql").alias("predicted"))
+    return stages.judged_match(pairs, "gold", "predicted", lambda: lambda text: '{"equivalent": true}').select("row_id", F.col("relaxed").cast("double").alias("relaxed"))
 
 
-@query(f"SELECT row_id, table_id FROM {_SQL_VALUES} WHERE row_id > 3")
+@query(f"SELECT row_id, table_id FROM {corpus.SQL} WHERE row_id > 3")
 def w1_resume(spark, d):
     from pairforge.plans import stages
 
-    q = fixtures.queries(spark)
+    q = corpus.queries(spark, d)
     return stages.resume(q, q.filter("row_id <= 3")).select("row_id", "table_id")
