@@ -10,16 +10,60 @@ from pyspark.sql import functions as F
 from pairforge.functions import sqltext
 
 
+#: Parts into which a group's range is cut to find a rank.
+CUTS = 1024
+
+
+def quantiles(df: DataFrame, column: str, points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``_group`` (a struct of ``by``) and ``q``, the exact quantiles with linear interpolation as an array of doubles.
+
+    No task holds a group: distinct values are counted, the counts of equal
+    cuts of a group's range tell in which cuts the wanted ranks lie, and only
+    the values of these are put in order. Nulls are left out; groups without a
+    value have no row.
+    """
+    group = F.struct(*[f"`{c}`" for c in by]) if by else F.struct(F.lit(0).alias("_all"))
+    counted = df.select(group.alias("_group"), F.col(column).cast("double").alias("x")).filter("x is not null").groupBy("_group", "x").agg(F.count(F.lit(1)).alias("n"))
+    ends = counted.groupBy("_group").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total"))
+    place = (F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * CUTS
+    cut = F.when(place.isNull() | F.isnan(place), 0).otherwise(F.least(F.floor(place), F.lit(CUTS - 1))).cast("int")
+    cuts = counted.join(ends, "_group").withColumn("cut", cut)
+    sums = cuts.groupBy("_group", "cut").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p * (F.col("total") - 1)), F.ceil(p * (F.col("total") - 1))) for p in points])))
+    until = Window.partitionBy("_group").orderBy("cut")
+    wanted = sums.withColumn("before", F.sum("m").over(until) - F.col("m")).withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("m"))))
+    wanted = wanted.filter(F.size("ranks") > 0).select("_group", "cut", "before", "ranks", F.col("total").alias("_total"))
+    inside = Window.partitionBy("_group", "cut").orderBy("x")
+    placed = cuts.join(wanted, ["_group", "cut"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    hits = placed.withColumn("hit", F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))))
+    found = hits.groupBy("_group").agg(F.map_from_entries(F.collect_list(F.struct("hit", "x"))).alias("at"), F.first("_total").alias("total"))
+
+    def at(p: float) -> Column:
+        r = p * (F.col("total") - 1)
+        low, high = F.col("at")[F.floor(r)], F.col("at")[F.ceil(r)]
+        return F.when(low == high, low).otherwise(low + (high - low) * (r - F.floor(r)))
+
+    return found.select("_group", F.array(*map(at, points)).alias("q"))
+
+
+def _with_quantiles(base: DataFrame, df: DataFrame, column: str, points: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """``base``, which has one row for each group, with ``_q``."""
+    group = F.struct(*[f"`{c}`" for c in by]) if by else F.struct(F.lit(0).alias("_all"))
+    return base.withColumn("_group", group).join(quantiles(df, column, points, by).withColumnRenamed("q", "_q"), "_group", "left").drop("_group")
+
+
 def describe(df: DataFrame, column: str, by: Sequence[str] = (), population: bool = False) -> DataFrame:
     """Mean, extremes, median, deviation and variance; sample or population forms."""
     x = F.col(column)
     std, var = (F.stddev_pop, F.var_pop) if population else (F.stddev_samp, F.var_samp)
-    return df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.median(x).alias("median"), std(x).alias("std"), var(x).alias("var"))
+    base = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), std(x).alias("std"), var(x).alias("var"))
+    return _with_quantiles(base, df, column, [0.5], by).select(*by, "n", "mean", "min", "max", F.get("_q", F.lit(0)).alias("median"), "std", "var")
 
 
 def percentiles(df: DataFrame, column: str, points: Sequence[float] = (0.25, 0.5, 0.75, 0.95), by: Sequence[str] = ()) -> DataFrame:
     """Exact percentiles with linear interpolation, as p25, p50 ..."""
-    return df.groupBy(*by).agg(*[F.percentile(column, F.lit(p)).alias(f"p{round(100 * p)}") for p in points])
+    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return _with_quantiles(groups, df, column, points, by).select(*by, *[F.get("_q", F.lit(i)).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
 
 
 def mean_difference(df: DataFrame, column: str, flag: str) -> DataFrame:

@@ -794,7 +794,7 @@ def m8_normalise(spark, d):
 @query("SELECT doc_id, CASE WHEN n_chars = 0 THEN 0 ELSE round(least(ln(1 + n_chars) / ln(1 + hi), 1), 8) END AS logged, CASE WHEN n_chars = 0 THEN 0 ELSE round(1 / (1 + exp(-0.5 * (n_chars - mean) / std)), 8) END AS z, CASE WHEN n_chars = 0 THEN 0 ELSE round(least(greatest((n_chars - q25) / (q75 - q25), 0), 1), 8) END AS robust FROM documents, (SELECT max(n_chars) hi, avg(n_chars) mean, stddev_pop(n_chars) std, quantile_cont(n_chars, 0.25) q25, quantile_cont(n_chars, 0.75) q75 FROM documents)")
 def m9_normalise_nl(spark, d):
     docs, x = table(spark, d, "documents").select("doc_id", "n_chars"), F.col("n_chars")
-    s = docs.agg(F.max(x).alias("hi"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.percentile(x, F.lit(0.25)).alias("q25"), F.percentile(x, F.lit(0.75)).alias("q75"))
+    s = docs.agg(F.max(x).alias("hi"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")).crossJoin(aggregates.percentiles(docs, "n_chars", (0.25, 0.75)).toDF("q25", "q75"))
     by = {k: F.col(k) for k in ("hi", "mean", "std", "q25", "q75")}
     j = docs.crossJoin(F.broadcast(s))
     return j.select("doc_id", *[F.round(metrics.normalise_nl(x, m, **by), 8).alias(n) for m, n in (("log", "logged"), ("zscore", "z"), ("robust", "robust"))])

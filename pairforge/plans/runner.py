@@ -228,6 +228,18 @@ RESULT = "status string, columns array<string>, result array<string>, error stri
 _RESULT_NAMES = ("status", "columns", "result", "error", "truncated", "outcome")
 
 
+def with_tables(queries: DataFrame, tables: DataFrame, table_id: str = "table_id") -> DataFrame:
+    """Groups of about ``GROUP`` rows of one table with that table: ``asked`` (the rows), ``name, header, types, rows``; nulls where there is none.
+
+    A hot table's rows are dealt over as many groups as it takes, so none grows with the data.
+    """
+    rows = queries.select(F.col(table_id).alias("_id"), F.struct(*[f"`{c}`" for c in queries.columns]).alias("_row"))
+    many = rows.groupBy("_id").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_groups"))
+    dealt = rows.alias("r").join(many.alias("m"), F.col("r._id").eqNullSafe(F.col("m._id"))).select("r._id", "_row", F.pmod(F.xxhash64("_row"), F.col("_groups")).alias("_group"))
+    groups = dealt.groupBy("_id", "_group").agg(F.collect_list("_row").alias("asked"))
+    return groups.join(tables.select(F.col("id").alias("_id"), "name", "header", "types", "rows"), "_id", "left").select("asked", "name", "header", "types", "rows")
+
+
 def execute_all(queries: DataFrame, tables: DataFrame, sql: str = "sql", table_id: str = "table_id") -> DataFrame:
     """Run each row's query on its own table; adds ``status``, ``columns``, ``result`` (rows as JSON), ``error``, ``truncated`` and ``outcome``.
 
@@ -244,12 +256,7 @@ def execute_all(queries: DataFrame, tables: DataFrame, sql: str = "sql", table_i
     schema = T.StructType([*kept, *T._parse_datatype_string(RESULT).fields])
     arrow = to_arrow_schema(schema)
 
-    rows = queries.select(F.col(table_id).alias("_id"), F.struct(*[f"`{f.name}`" for f in kept]).alias("_row"))
-    many = rows.groupBy("_id").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_groups"))
-    dealt = rows.alias("r").join(many.alias("m"), F.col("r._id").eqNullSafe(F.col("m._id"))).select("r._id", "_row", F.pmod(F.xxhash64("_row"), F.col("_groups")).alias("_group"))
-    groups = dealt.groupBy("_id", "_group").agg(F.collect_list("_row").alias("_rows_"))
-    known = tables.select(F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("header").alias("_header"), F.col("types").alias("_types"), F.col("rows").alias("_rows"))
-    joined = groups.join(known, "_id", "left").select("_rows_", "_name", "_header", "_types", "_rows")
+    joined = with_tables(queries.select(*[f"`{f.name}`" for f in kept]), tables, table_id)
 
     def ran(con: sqlite3.Connection | None, q: str | None) -> dict:
         r = ExecResult("error", error="no such table") if con is None else run_sqlite(con, q)

@@ -15,22 +15,24 @@ import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairforge.functions import answers
 from pairforge.functions.udf import vectorised
 from pairforge.operators import evolution, filters, rows, translation
 from pairforge.operators.corruption import Draw
 from pairforge.plans.dialect import rename_table, to_physical
-from pairforge.plans.runner import ExecResult, correct, load_sqlite, run_sqlite, same_result
+from pairforge.plans.runner import SENT, ExecResult, correct, load_sqlite, run_sqlite, same_result, with_tables
 
 TextModel = Callable[[str], str]
 
 GENERATED = "table_id string, nl string, sql string, db_sql string, db_result array<string>, db_result_truncated boolean, reasoning string, seeding_type string, seeding_value string, attempts int"
-#: Strategies of generation and the order of their two answers.
-STRATEGIES = ("reserved", "persona", "sql_to_nl", "nl_to_sql", "length")
+#: Batch experiments: which answer comes first, what seeds the query, or how a judge chooses.
+STRATEGIES = ("sql_to_nl", "nl_to_sql", "length", "persona", "judge_select", "judge_score")
 
 
 def prompt(header: Sequence[str], types: Sequence[str], name: str, seeding: str, value: str, error: str | None) -> str:
@@ -52,10 +54,11 @@ def rule_generator() -> TextModel:
     return write
 
 
-def generate(tables: DataFrame, factory: Callable[[], TextModel] = rule_generator, most: int = 3, personas: Sequence[str] = ("analyst", "student"), lengths: tuple[int, int] = (3, 20), seed: int = 42) -> DataFrame:
+def generate(tables: DataFrame, factory: Callable[[], TextModel] = rule_generator, most: int = 3, personas: Sequence[str] = ("analyst", "student"), lengths: tuple[int, int] = (3, 20), seed: int = 42, seeding: str | None = None) -> DataFrame:
     """One generated row for each table: generate, run, and correct with the error up to ``most`` times.
 
-    Tables alternate between keyword and persona seeding by ``pos``. The query
+    Tables alternate between keyword and persona seeding by ``pos``, unless
+    ``seeding`` names one kind for all. The query
     that is returned is the one whose result is returned. Tables without a result
     after all attempts give no row.
     """
@@ -69,8 +72,11 @@ def generate(tables: DataFrame, factory: Callable[[], TextModel] = rule_generato
                 con = sqlite3.connect(":memory:")
                 load_sqlite(con, t.name, header, types, data)
                 draw = Draw(seed, t.id)
-                kind = "reserved" if t.pos % 2 == 0 else "persona"
-                value = str(lengths[0] + int(draw.uniform() * (lengths[1] - lengths[0] + 1))) if kind == "reserved" else draw.pick(list(personas))
+                kind = seeding or ("reserved" if t.pos % 2 == 0 else "persona")
+                if kind in ("reserved", "length"):
+                    value = str(lengths[0] + int(draw.uniform() * (lengths[1] - lengths[0] + 1)))
+                else:
+                    value = draw.pick(list(personas)) if kind == "persona" else {"sql_to_nl": "query first", "nl_to_sql": "question first"}[kind]
                 said: dict = {}
 
                 def ask(error: str | None) -> str:
@@ -91,6 +97,52 @@ def generate(tables: DataFrame, factory: Callable[[], TextModel] = rule_generato
     return tables.select("id", "name", "header", "types", "rows", "pos").mapInPandas(work, GENERATED)
 
 
+def experiment(
+    tables: DataFrame,
+    strategy: str,
+    first: int = 100,
+    factory: Callable[[], TextModel] = rule_generator,
+    judge: Callable[[], Callable[[list[str]], tuple[float, str]]] | None = None,
+    tries: int = 3,
+    seed: int = 42,
+) -> DataFrame:
+    """One of the batch experiments over the first tables by ``pos``; rows as of :func:`generate`, with ``strategy``.
+
+    ``judge()`` makes a function of a table's candidate queries. For
+    ``judge_select`` it gives the number of the best and its text, which has to
+    resemble that candidate; for ``judge_score`` it gives a score of one
+    candidate, and the first of ``1 + tries`` with 90 or more is kept.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no strategy {strategy!r}")
+    some = rows.top(tables, first, "pos", ascending=True)
+    if not strategy.startswith("judge"):
+        return generate(some, factory, tries, seed=seed, seeding=strategy).withColumn("strategy", F.lit(strategy))
+    if judge is None:
+        raise ValueError("a judge is needed")
+    made = [generate(some, factory, tries, seed=seed + k).withColumn("attempt", F.lit(k)) for k in range(tries + (strategy == "judge_score"))]
+    candidates = made[0]
+    for m in made[1:]:
+        candidates = candidates.unionByName(m)
+
+    @vectorised("number double, text string")
+    def asked(options: pd.Series) -> pd.DataFrame:
+        model = judge()
+        return pd.DataFrame([model(list(o)) for o in options], columns=["number", "text"])
+
+    if strategy == "judge_score":
+        scored = candidates.withColumn("_score", asked(F.array("sql"))["number"])
+        kept = filters.first_kept(scored, "table_id", "attempt", filters.judge_gate("_score"), tries + 1)
+        return kept.select(*made[0].drop("attempt").columns).withColumn("strategy", F.lit(strategy))
+    # a table has a few candidates, so its group is bounded
+    whole = F.struct(*made[0].drop("attempt").columns)
+    by_table = candidates.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("attempt", whole.alias("row")))), lambda x: x["row"]).alias("_all"))
+    said = by_table.withColumn("_options", F.transform("_all", lambda x: x["sql"])).withColumn("_said", asked("_options"))
+    picked = said.withColumn("_i", F.col("_said.number").cast("int")).withColumn("_text", F.col("_said.text")).withColumn("_hit", filters.judged("_options", "_i", "_text"))
+    best = picked.filter("_hit is not null").select(F.get("_all", F.col("_i")).alias("r"))
+    return best.select("r.*").withColumn("strategy", F.lit(strategy))
+
+
 def choose(df: DataFrame, predicted: str, reward: str, response: str) -> DataFrame:
     """Route by ambiguity, filter by the route's score, keep what passes."""
     routed = df.withColumn("option", filters.route(predicted))
@@ -126,29 +178,28 @@ def evolve(df: DataFrame, tables: DataFrame, make=rule_change, kinds: Sequence[s
     """
     kept = df.schema.fields
     schema = T.StructType([*kept, *T._parse_datatype_string(EVOLVED).fields])
-    known = tables.select(F.col("id").alias("table_id"), F.col("name").alias("_name"), F.col("header").alias("_header"), F.col("types").alias("_types"), F.col("rows").alias("_rows"))
+    names = [f.split()[0] for f in EVOLVED.split(", ")]
+    arrow = to_arrow_schema(schema)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, r in batch.iterrows():
-                out.append((None, None, None, "error", [], False, None, False) if r["_header"] is None else _evolve_one(r, r[key], r[sql]))
-            found = pd.DataFrame(out, columns=["schema_change_type", "new_table_id", "new_sql", "status", "db_result_after_change", "db_result_truncated", "db_query_match", "accepted"], index=batch.index)
-            yield pd.concat([batch[[f.name for f in kept]], found], axis=1)
-
-    def _evolve_one(r, row, q) -> tuple:
-        header, types, data = list(r["_header"]), list(r["_types"]), [list(x) for x in r["_rows"]]
-        draw = Draw(seed, str(row))
-        kind = draw.pick(list(kinds))
-        change = make(header, types, kind, draw)
+            for i in range(batch.num_rows):
+                asked, name, header, types, data = (c[i].as_py() for c in batch.columns)
+                for begin in range(0, len(asked), SENT):
+                    found = [(None, None, None, "error", [], False, None, False) if header is None else one(r, name, header, types or [], data or []) for r in asked[begin : begin + SENT]]
+                    yield pa.RecordBatch.from_pylist([r | dict(zip(names, x, strict=True)) for r, x in zip(asked[begin : begin + SENT], found, strict=True)], schema=arrow)
+
+    def one(r: dict, name: str, header: list[str], types: list[str], data: list[list]) -> tuple:
+        q, draw = r[sql], Draw(seed, str(r[key]))
+        change = make(header, types, draw.pick(list(kinds)), draw)
         new_id = evolution.derived_id(r["table_id"], change, seed)
         new_name = "table_" + new_id.replace("-", "_")
         new_sql = evolution.repair(q, change)
         if new_sql == evolution.UNANSWERABLE:
             return change.kind, new_id, new_sql, evolution.UNANSWERABLE, [], False, None, False
-        new_sql = rename_table(new_sql, r["_name"], new_name)
+        new_sql = rename_table(new_sql, name, new_name)
         con = sqlite3.connect(":memory:")
-        load_sqlite(con, r["_name"], header, types, data)
+        load_sqlite(con, name, header, types, data)
         load_sqlite(con, new_name, *evolution.evolve_rows(header, types, data, change, seed))
         before, after = run_sqlite(con, q), run_sqlite(con, new_sql)
         con.close()
@@ -156,8 +207,7 @@ def evolve(df: DataFrame, tables: DataFrame, make=rule_change, kinds: Sequence[s
         good = after.status == "rows" if change.kind in ("add_column", "rename_column") else after.status != "error"
         return change.kind, new_id, new_sql, after.status, [json.dumps(x, ensure_ascii=False, default=str) for x in after.rows], after.truncated, same, good
 
-    joined = df.join(known, "table_id", "left").select(*[f.name for f in kept], "_name", "_header", "_types", "_rows")
-    return joined.mapInPandas(work, schema)
+    return with_tables(df, tables).mapInArrow(work, schema)
 
 
 # -- translation -------------------------------------------------------------------------------------
@@ -237,4 +287,4 @@ def resume(df: DataFrame, done: DataFrame, key: str = "row_id") -> DataFrame:
     return rows.unprocessed(df, done, key)
 
 
-__all__ = ["ExecResult", "choose", "entities", "evolve", "generate", "judged_match", "relaxed_match", "resume", "timed", "translate"]
+__all__ = ["ExecResult", "choose", "entities", "evolve", "experiment", "generate", "judged_match", "relaxed_match", "resume", "timed", "translate"]

@@ -242,3 +242,34 @@ def test_sql_functions(spark):
     assert {r.row_id: sorted(r.names) for r in got} == {2: ["table_1_204_7", "years in club"], 8: ["college", "laval", "table_1_310_2", "team", "with"]}
     assert spark.sql("SELECT count(*) FROM sql_tokens('SELECT a, b FROM t')").first()[0] == 6
     assert tuple(spark.sql("SELECT word_count(' a  b '), squeeze(' a  b '), edit_ratio('ab', 'ac'), subquery_count('( SELECT 1)')").first()) == (2, "a b", 0.5, 1)
+
+
+def test_quantiles_by_brute_force(spark):
+    """Ties, one row, a null group, nulls, infinities and outliers that put all other values into one cut."""
+    import math
+    import random
+
+    import numpy as np
+
+    from pairforge.operators import aggregates
+
+    rng = random.Random(5)
+    rows = [(g, rng.choice([float(rng.randrange(20)), rng.random() * 1000, None])) for g in ("a", "b", None) for _ in range(700)]
+    rows += [("one", 4.5), ("same", 2.0), ("same", 2.0), ("empty", None), ("far", 1e300), *[("far", rng.random()) for _ in range(101)], ("inf", math.inf), ("inf", 1.0), ("inf", 2.0)]
+    points = (0.0, 0.25, 0.5, 0.75, 0.95, 1.0)
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    got = {r.g: r for r in aggregates.percentiles(df, "x", points, ["g"]).collect()}
+    for g in {r[0] for r in rows}:
+        values = sorted(x for k, x in rows if k == g and x is not None)
+        for p in points:
+            have, r = got[g][f"p{round(100 * p)}"], p * (len(values) - 1)
+            if not values:
+                assert have is None
+            elif values[math.floor(r)] == values[math.ceil(r)]:
+                assert have == values[math.floor(r)]
+            elif math.isfinite(values[math.ceil(r)]):
+                assert have == pytest.approx(np.quantile(values, p), rel=1e-12)
+    assert aggregates.percentiles(df, "x", (0.5,)).first().p50 == pytest.approx(np.quantile([x for _, x in rows if x is not None], 0.5))
+    assert aggregates.percentiles(df.limit(0), "x", (0.5,), ["g"]).count() == 0
+    plan = aggregates.describe(df, "x", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "median" not in plan.replace("AS median", "")

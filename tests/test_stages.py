@@ -78,3 +78,65 @@ def test_timed_and_resume(spark):
     df = spark.range(10).withColumnRenamed("id", "row_id")
     assert [n for n, s in stages.timed(df, {"a": lambda d: d, "b": lambda d: d.filter(F.col("row_id") > 3)}) if s > 0] == ["a", "b"]
     assert stages.resume(df, df.filter("row_id < 4")).count() == 6
+
+
+def test_experiments(spark):
+    """Every strategy over the first two tables; judges choose among seeds, and by score."""
+    import pytest
+
+    t = fixtures.tables(spark)
+
+    def factory():
+        def model(text):
+            n = text.split("Seeding: ")[1].split(" = ")[1].split("\n")[0]
+            return json.dumps({"sql_query": f"SELECT '{n}' AS seed, COUNT(*) FROM \"{text.splitlines()[0][7:]}\"", "question": "?"})
+
+        return model
+
+    for strategy in stages.STRATEGIES[:4]:
+        got = stages.experiment(t, strategy, 2, factory).collect()
+        assert {(r.table_id, r.seeding_type, r.strategy) for r in got} == {("1-204-7", strategy, strategy), ("1-310-2", strategy, strategy)}
+    assert {r.seeding_value for r in stages.experiment(t, "nl_to_sql", 3, factory).collect()} == {"question first"}
+    assert all(3 <= int(r.seeding_value) <= 20 for r in stages.experiment(t, "length", 3, factory).collect())
+    chosen = stages.experiment(t, "judge_select", 3, factory, judge=lambda: lambda options: (1.0, options[1].upper())).collect()
+    second = {r.table_id: r.sql for r in stages.generate(t, factory, seed=43).collect()}
+    assert {r.table_id: r.sql for r in chosen} == second
+    assert stages.experiment(t, "judge_select", 3, factory, judge=lambda: lambda options: (9.0, options[0])).count() == 0
+    scored = stages.experiment(t, "judge_score", 3, factory, judge=lambda: lambda options: (95.0 if "'" in options[0] else 0.0, ""))
+    assert {r.sql for r in scored.collect()} == {r.sql for r in stages.generate(t, factory).collect()}
+    assert stages.experiment(t, "judge_score", 3, factory, judge=lambda: lambda options: (89.0, "")).count() == 0
+    with pytest.raises(ValueError):
+        stages.experiment(t, "other")
+
+
+def test_hot_tables_are_dealt_out(spark):
+    """Twenty thousand queries of one table: no group holds more than a few hundred, and every query is run."""
+    from pairforge.plans import runner
+
+    q = spark.range(20_000).select(F.col("id").alias("row_id"), F.lit("1-204-7").alias("table_id"), F.concat(F.lit("SELECT "), "id", F.lit(" + COUNT(*) FROM table_1_204_7")).alias("sql"))
+    groups = runner.with_tables(q, fixtures.tables(spark)).select(F.size("asked").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert groups[0] < 2 * runner.GROUP and groups[1] == 20_000
+    got = runner.execute_all(q, fixtures.tables(spark)).filter(F.get("result", F.lit(0)) == F.concat(F.lit("["), F.col("row_id") + 5, F.lit("]")))
+    assert got.count() == 20_000
+
+
+def test_evolution_by_plain_sqlite(spark):
+    """Status and agreement of each row, from tables that the test builds and changes itself."""
+    import sqlite3
+
+    q = fixtures.queries(spark)
+    tables = {t[0]: t for t in fixtures.TABLES}
+    for kind in ("add_column", "rename_column"):
+        for r in stages.evolve(q, fixtures.tables(spark), kinds=(kind,)).collect():
+            _, header, types, data = tables[r.table_id]
+            con = sqlite3.connect(":memory:")
+            declared = ["REAL" if t == "real" else "TEXT" for t in types]
+            name = "table_" + r.table_id.replace("-", "_")
+            for table_, names in ((name, header), ("table_" + r.new_table_id.replace("-", "_"), header)):
+                if table_ != name and kind == "rename_column":
+                    old = next(h for h in header if f"{h} (renamed)" in r.new_sql) if "(renamed)" in r.new_sql else None
+                    names = [f"{h} (renamed)" if h == old else h for h in names]
+                con.execute(f"CREATE TABLE {table_} (" + ", ".join(f'"{h}" {t}' for h, t in zip(names, declared)) + ")")
+                con.executemany(f"INSERT INTO {table_} VALUES ({','.join('?' * len(header))})", data)
+            before, after = con.execute(r.sql).fetchall(), con.execute(r.new_sql).fetchall()
+            assert r.status == ("rows" if after else "empty") and r.db_query_match == (sorted(map(str, before)) == sorted(map(str, after))) and r.accepted == bool(after)
