@@ -5,36 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor can see.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (unit tests) a folder inside the warehouse is used instead.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pairforge-{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` once and read it back, so that no later job repeats it."""
-    spark = df.sparkSession
-    path = path or scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from pairforge.session import scratch_path as scratch_path
+from pairforge.session import written as written
 
 
 #: A table of at most so many narrow rows may be broadcast.

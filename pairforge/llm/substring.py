@@ -41,7 +41,7 @@ from pairforge.llm.storage import scratch_path, working, written
 #: Words in a window and in the pieces whose least hash is its anchor.
 WINDOW, PIECE = 50, 10
 #: Texts are hashed in slices of about so many bytes; word hashes that a worker keeps.
-SLICE, WORDS = 1_500_000, 100_000
+SLICE, WORDS = 1_500_000, 250_000
 #: Of so many parts of a whole table one is indexed first, as history.
 PARTS = 4
 #: Runs beyond which an increment compacts the index.
