@@ -104,8 +104,10 @@ def reserved_distinct(x: C) -> Column:
 
 
 def subquery_count(x: C) -> Column:
-    """Opening brackets before SELECT: the expressible form of the count of subqueries."""
-    return F.coalesce(F.regexp_count(_c(x), F.lit(r"(?i)\(\s*select\b")), F.lit(0))
+    """Opening brackets before SELECT, those of WITH queries and of EXISTS left out, as these are no subqueries of a tree."""
+    every = F.regexp_count(_c(x), F.lit(r"(?i)\(\s*select\b"))
+    other = F.regexp_count(_c(x), F.lit(r"(?i)\b(?:as|materialized|exists)\s*\(\s*select\b"))
+    return F.coalesce(every - other, F.lit(0))
 
 
 def _among(items: Column, wanted: list[str]) -> Column:

@@ -762,14 +762,24 @@ def m1_word_count(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.word_count("text").alias("words"))
 
 
-@query()
+#: Columns, subqueries, operators, splits and nodes of each template, counted by hand.
+_TREES = ((1, 0, 5, 5, 10), (5, 0, 7, 7, 16), (4, 0, 7, 5, 16), (2, 0, 4, 5, 9), (2, 0, 3, 4, 9), (5, 0, 8, 9, 20), (4, 0, 5, 4, 14), (5, 1, 11, 10, 23), (3, 0, 4, 4, 10))
+_TREE_VALUES = _values([(k, *t) for k, t in enumerate(_TREES)], "k, columns, subqueries, operators, splits, nodes")
+
+
+# every fourth query is cut off and so has no tree
+@query(f"SELECT row_id, CASE WHEN bad THEN 0 ELSE columns END AS columns, CASE WHEN bad THEN 0 ELSE subqueries END AS subqueries, CASE WHEN bad THEN 0 ELSE operators END AS operators, CASE WHEN bad THEN 0 ELSE splits END AS splits, CASE WHEN bad THEN 0 ELSE nodes END AS nodes, NOT bad AS parsed FROM (SELECT row_id, row_id % {len(corpus.TEMPLATES)} AS k, row_id % 4 = 3 AS bad FROM {corpus.SQL}) q JOIN {_TREE_VALUES} USING (k)")
 def m2_m7_tree_metrics(spark, d):
-    return corpus.queries(spark, d).select("row_id", sqltree.tree_metrics("sql").alias("m")).select("row_id", "m.*")
+    sql = F.when(F.col("row_id") % 4 == 3, F.concat("sql", F.lit(" AND (x"))).otherwise(F.col("sql"))
+    return corpus.queries(spark, d).select("row_id", sqltree.tree_metrics(sql).alias("m")).select("row_id", "m.*")
 
 
-@query(f"SELECT row_id, len(regexp_extract_all(sql, '(?i)\\(\\s*select\\b')) AS subqueries FROM {corpus.SQL}")
+@query(f"SELECT row_id, CASE WHEN row_id % {len(corpus.TEMPLATES)} = 7 THEN 1 ELSE 0 END + CASE WHEN row_id % 2 = 0 THEN 1 ELSE 0 END AS subqueries FROM {corpus.SQL}")
 def m3_subqueries(spark, d):
-    return corpus.queries(spark, d).select("row_id", sqltext.subquery_count("sql").alias("subqueries"))
+    sql = F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("SELECT * FROM ( "), "sql", F.lit(") WHERE EXISTS (SELECT 1)"))).otherwise(F.col("sql"))
+    # a query that begins with WITH is no SELECT, and so its brackets do not count
+    sql = F.when((F.col("row_id") % 2 == 0) & F.col("sql").startswith("WITH"), F.concat("sql", F.lit(" LIMIT (SELECT 9)"))).otherwise(sql)
+    return corpus.queries(spark, d).select("row_id", sqltext.subquery_count(sql).alias("subqueries"))
 
 
 #: Operators of each template, counted by hand.
@@ -1240,11 +1250,15 @@ for _name, (_sql, _oracle) in RELATIONAL.items():
 
 
 # == stages ====================================================================================================
-@query()
+_DRAWN = "(cast('0x' || substr(md5('42:' || id || ':1'), 1, 13) AS bigint) / 4503599627370496.0)"
+
+
+@query(f"""SELECT id AS table_id, 'SELECT `Customer Name`, COUNT(*) FROM "' || name || '" GROUP BY `Customer Name` ORDER BY 1' AS sql, 'SELECT col1, COUNT(*) FROM ' || name || ' GROUP BY col1 ORDER BY 1' AS db_sql, CASE WHEN n % 2 = 0 THEN 'reserved' ELSE 'persona' END AS seeding_type,
+CASE WHEN n % 2 = 0 THEN cast(3 + cast(floor({_DRAWN} * 18) AS int) AS varchar) ELSE ['analyst', 'student'][1 + cast(floor({_DRAWN} * 2) AS int)] END AS seeding_value, 1 AS attempts, n_rows FROM (SELECT c_nationkey AS n, '1-1-' || c_nationkey AS id, 'table_1_1_' || c_nationkey AS name, count(DISTINCT c_name) AS n_rows FROM customer GROUP BY c_nationkey)""")
 def x7_generate(spark, d):
     from pairforge.plans import stages
 
-    return stages.generate(corpus.tables(spark, d)).select("table_id", "sql", "db_sql", "seeding_type", "seeding_value", "attempts")
+    return stages.generate(corpus.tables(spark, d)).select("table_id", "sql", "db_sql", "seeding_type", "seeding_value", "attempts", F.size("db_result").alias("n_rows"))
 
 
 @query()

@@ -82,7 +82,7 @@ def test_bleu_of_all_pairs(spark, data):
 
 
 #: Columns of each template of the corpus, by reading it.
-COLUMNS = ({"balance"}, {"segment", "balance", "n"}, {"customer name", "segment", "balance"}, {"balance"}, {"missing", "segment"}, {"segment", "balance", "rich"}, {"cust no", "balance", "segment"}, {"customer name", "balance", "segment", "cust no"}, {"customer name", "segment", "balance"})
+COLUMNS = ({"balance"}, {"segment", "balance", "n"}, {"customer name", "segment", "balance"}, {"balance"}, {"missing", "segment"}, {"segment", "balance"}, {"cust no", "balance", "segment"}, {"customer name", "balance", "segment", "cust no"}, {"customer name", "segment", "balance"})
 
 
 def assignment(gold, predicted):
