@@ -41,7 +41,7 @@ from pairforge.llm.storage import scratch_path, working, written
 #: Words in a window and in the pieces whose least hash is its anchor.
 WINDOW, PIECE = 50, 10
 #: Texts are hashed in slices of about so many bytes; word hashes that a worker keeps.
-SLICE, WORDS = 1_500_000, 250_000
+SLICE, WORDS = 1_500_000, 100_000
 #: Of so many parts of a whole table one is indexed first, as history.
 PARTS = 4
 #: Runs beyond which an increment compacts the index.
@@ -280,27 +280,29 @@ def _judged(marked: DataFrame, owners: DataFrame) -> DataFrame:
         working("substring", _WORDS.clear)
         for batch in batches:
             for part, rows in _sliced(batch):
-                n_removed, kept = [0] * len(rows), []
-                lost = np.empty(0, bool)
-                bounds = np.zeros(len(rows) + 1, np.int64)
-                if part.column(2).null_count < len(rows):
-                    h = Hashed(rows)
-                    open_ = _open(h, part, 2)
-                    bounds = np.searchsorted(h.doc, np.arange(len(rows) + 1))
-                    lost = open_.copy()
+                n_removed, lost = [0] * len(rows), {}
+                looked_at = pc.and_(pc.is_valid(part.column(0)), pc.is_valid(part.column(2)))
+                some = part.select([0, 2, 3]).filter(looked_at)
+                if some.num_rows:
+                    which = np.flatnonzero(np.asarray(looked_at)).tolist()
+                    h = Hashed([rows[i] for i in which])
+                    open_ = _open(h, some, 1)
+                    bounds = np.searchsorted(h.doc, np.arange(len(which) + 1))
                     keys = np.zeros(len(h.doc), np.int64)
                     keys[open_] = h.key(0, open_)
+                    for j, i in enumerate(which):
+                        a, b = bounds[j], bounds[j + 1]
+                        if open_[a:b].any():
+                            lost[i] = open_[a:b] & ~np.isin(keys[a:b], _values(some.column(2)[j]))
+                kept = []
                 for i, words in enumerate(rows):
-                    a, b = bounds[i], bounds[i + 1]
-                    if b > a and lost[a:b].any():
-                        lost[a:b] &= ~np.isin(keys[a:b], _values(part.column(3)[i]))
+                    if i in lost and lost[i].any():
                         edges = np.zeros(len(words) + 1, np.int64)
-                        edges[: b - a] += lost[a:b]
-                        edges[WINDOW : WINDOW + b - a] -= lost[a:b]
+                        edges[: len(lost[i])] += lost[i]
+                        edges[WINDOW : WINDOW + len(lost[i])] -= lost[i]
                         gone = np.cumsum(edges[:-1]) > 0
                         n_removed[i] = int(gone.sum())
-                        if n_removed[i]:
-                            words = [words[j] for j in np.flatnonzero(~gone).tolist()]
+                        words = [words[j] for j in np.flatnonzero(~gone).tolist()]
                     kept.append(b" ".join(words).decode())
                 columns = [part.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
