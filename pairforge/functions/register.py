@@ -13,7 +13,7 @@ SCALARS = (
     "CREATE OR REPLACE TEMPORARY FUNCTION word_count(x STRING) RETURNS INT RETURN coalesce(regexp_count(x, '\\\\S+'), 0)",
     "CREATE OR REPLACE TEMPORARY FUNCTION squeeze(x STRING) RETURNS STRING RETURN trim(regexp_replace(x, '\\\\s+', ' '))",
     "CREATE OR REPLACE TEMPORARY FUNCTION edit_ratio(a STRING, b STRING) RETURNS DOUBLE RETURN CASE WHEN greatest(length(a), length(b)) = 0 THEN 1D ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END",
-    "CREATE OR REPLACE TEMPORARY FUNCTION subquery_count(x STRING) RETURNS INT RETURN coalesce(regexp_count(x, '(?i)\\\\(\\\\s*select\\\\b'), 0)",
+    "CREATE OR REPLACE TEMPORARY FUNCTION subquery_count(x STRING) RETURNS INT RETURN coalesce(regexp_count(x, '(?i)\\\\(\\\\s*select\\\\b') - regexp_count(x, '(?i)\\\\b(?:as|materialized|exists)\\\\s*\\\\(\\\\s*select\\\\b'), 0)",
 )
 
 

@@ -13,14 +13,18 @@ import re
 import sqlite3
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.functions import answers, seeded, similarity, sqltext, text
+from pairforge.functions import answers, register, seeded, similarity, sqltext, text
 from pairforge.operators import aggregates, corruption, evolution, filters, metrics, rows, translation
 from pairforge.plans import corpus, runner, sqltree
+from pairforge.plans.dialect import rename_table
 from pairforge.session import scratch_path, spread
 from pairforge.sources import catalog, fixtures, sqlite_source
+from pairforge.streaming import drops
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,6 +262,17 @@ def p1_complete(spark, d):
     return rows.complete(joined, ["quality"]).select("doc_id", "quality")
 
 
+@query("SELECT c_custkey, c_name AS found, 'missing columns: nope, no' AS error FROM customer")
+def p2_p10_columns(spark, d):
+    c = rows.require(table(spark, d, "customer"), ["c_custkey", "c_name"])
+    try:
+        rows.require(c, ["nope", "c_name", "no"])
+        error = None
+    except ValueError as e:
+        error = str(e)
+    return c.select("c_custkey", F.col(rows.first_existing(c, ["title", "C_NAME", "c_custkey"])).alias("found"), F.lit(error).alias("error"))
+
+
 @query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(coalesce(text, ''), '\\S') AND regexp_matches(coalesce(role, ''), '\\S')")
 def p3_p7_all_present(spark, d):
     return rows.all_present(table(spark, d, "conversations"), ["text", "role"]).select("conv_id", "turn")
@@ -711,6 +726,40 @@ def ev5_merge_column(spark, d):
     return evolution.evolve(o, evolution.Change("merge_column", columns=("o_orderstatus", "p"), new={"state": ()}))
 
 
+@query(f"SELECT row_id, regexp_replace(sql, 'table_1_1_([0-9]+)', 'clients_\\1', 'g') AS new_sql FROM {corpus.SQL}")
+def ev6_rename_table(spark, d):
+    @F.pandas_udf("string")
+    def renamed(sql: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([rename_table(q, a, b) for q, a, b in zip(sql, old, new, strict=True)])
+
+    name = catalog.physical_name(F.col("table_id"))
+    new = F.concat(F.lit("clients_"), F.substring_index("table_id", "-", -1))
+    same = evolution.evolve(corpus.queries(spark, d), evolution.Change("rename_table", table="clients"))  # rows and columns stay
+    return same.select("row_id", renamed("sql", name, new).alias("new_sql"))
+
+
+@query("SELECT t AS change, k AS kept FROM (VALUES ('rename another column', true), ('rows in another order', true), ('one value', false), ('one row less', false), ('one row twice', false)) AS x(t, k)")
+def ev15_values_kept(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    changes = {
+        "rename another column": evolution.evolve(c, evolution.Change("rename_column", names={"c_acctbal": "balance"})),
+        "rows in another order": c.orderBy(F.desc("c_custkey")),
+        "one value": c.withColumn("c_name", F.when(F.col("c_custkey") == 3, None).otherwise(F.col("c_name"))),
+        "one row less": c.filter("c_custkey <> 3"),
+        "one row twice": c.union(c.filter("c_custkey = 3")),
+    }
+    return spark.createDataFrame([(t, evolution.values_kept(c, x, ["c_custkey", "c_name"])) for t, x in changes.items()], "change string, kept boolean")
+
+
+@query("SELECT '1-1-' || c_nationkey AS parent, 3 AS ids, 3 AS names, true AS derived FROM customer GROUP BY c_nationkey")
+def ev16_derived_ids(spark, d):
+    t = corpus.tables(spark, d)
+    changes = (evolution.Change("remove_column", columns=("Segment",)), evolution.Change("rename_column", names={"Segment": "Sector"}), evolution.Change("rename_column", names={"Segment": "Part"}))
+    made = [evolution.evolve_catalog(t, c) for c in (*changes, changes[0])]  # the same change again has the same id
+    both = made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+    return both.groupBy(F.col("parent_table_id").alias("parent")).agg(F.count_distinct("id").alias("ids"), F.count_distinct("name").alias("names"), F.bool_and(rows.is_derived("id") & F.col("is_derived")).alias("derived"))
+
+
 @query("SELECT r_regionkey AS bölge_no, r_name AS ad FROM region")
 def ev7_translate(spark, d):
     return evolution.evolve(table(spark, d, "region").select("r_regionkey", "r_name"), evolution.Change("translate", names={"r_regionkey": "bölge_no", "r_name": "ad"}))
@@ -929,6 +978,15 @@ def f8_score_of(spark, d):
     return table(spark, d, "orders").select("o_orderkey", said.alias("a")).select("o_orderkey", answers.score_of("a").alias("score"))
 
 
+@query("SELECT conv_id, turn, least(length(text) / 100.0, 1) AS score FROM conversations WHERE text IS NOT NULL")
+def f9_model_scores(spark, d):
+    def scorer():
+        return lambda texts: np.minimum(np.array([len(t) for t in texts]) / 100.0, 1.0)
+
+    c = table(spark, d, "conversations").filter("text is not null")
+    return filters.scored(c, "text", scorer).select("conv_id", "turn", "score")
+
+
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 OR value > 1 OR value < 0 THEN -1.0 ELSE round(2 * exp(-2 * abs(value - 0.5)) - 1, 8) END AS reward FROM (SELECT event_id, floor(value * 10) / 1000 AS value FROM events)")
 def f10_reasoning_reward(spark, d):
     e = table(spark, d, "events").select("event_id", (F.floor(F.col("value") * 10) / 1000).alias("value"))
@@ -1266,6 +1324,26 @@ for _name, (_sql, _oracle) in RELATIONAL.items():
     query(_oracle or _sql, f"r_{_name}")(_relational(_sql))
 
 
+# == streams, functions of SQL text ============================================================================
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE value > 1 GROUP BY event_type")
+def s_drop_folder(spark, d):
+    """Files dropped in two runs; each is read once."""
+    source, out, mark = (_shared(spark, x) for x in ("drops", "batches", "mark"))
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    for part in (F.col("event_id") % 3 == 0, F.col("event_id") % 3 > 0):
+        e.filter(part).write.mode("append").json(source)
+        stream = drops.read_drops(spark, source, "event_id long, user_id long, event_type string, value double", files=4)
+        drops.write_batches(stream, out, mark, lambda b: b.filter("value > 1")).awaitTermination()
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query(f"SELECT row_id, {_wc('sql')} AS words, CASE WHEN k = 7 THEN 1 ELSE 0 END AS subqueries, CASE WHEN k IN (2, 7) THEN 1 ELSE 0 END AS strings FROM (SELECT *, row_id % {len(corpus.TEMPLATES)} AS k FROM {corpus.SQL})")
+def s_registered_functions(spark, d):
+    register.register(spark)
+    q = corpus.queries(spark, d)
+    return spark.sql("SELECT row_id, word_count(sql) AS words, subquery_count(sql) AS subqueries, count_if(kind = 'string') AS strings FROM {q}, LATERAL sql_tokens(sql) GROUP BY row_id, sql", q=q)
+
+
 # == stages ====================================================================================================
 _DRAWN = "(cast('0x' || substr(md5('42:' || id || ':1'), 1, 13) AS bigint) / 4503599627370496.0)"
 
