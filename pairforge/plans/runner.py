@@ -71,15 +71,28 @@ def canonical(rows: Sequence[Sequence]) -> list[str]:
     return sorted(map(_canonical_row, rows))
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=32).digest(), "little")
+
+
+#: Values that the lower-case JSON of a row has in their canonical form.
+_PLAIN = {str, int, type(None)}
+
+
 def digests(rows: Iterable[Sequence]) -> Digests:
     """One pass over the rows, none of which is held. A multiset's digest is the sum of its rows' digests."""
-    n, sums, sequence = 0, [0, 0], hashlib.blake2b(digest_size=32)
+    n, multiset, canonical_, sequence = 0, 0, 0, hashlib.blake2b(digest_size=32)
     for n, r in enumerate(rows, 1):
-        whole = [int(v) if isinstance(v, float) and v.is_integer() else v for v in r]
-        sequence.update(json.dumps(whole, ensure_ascii=False, default=str).encode("utf-8", "surrogatepass") + b"\n")
-        for i, x in enumerate((json.dumps(list(r), ensure_ascii=False, default=str).lower(), _canonical_row(r))):
-            sums[i] += int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=32).digest(), "little")
-    return Digests(n, *(f"{x % (1 << 256):064x}" for x in sums), sequence.hexdigest())
+        text = json.dumps(list(r), ensure_ascii=False, default=str)
+        low = _digest(text.lower())
+        if not _PLAIN.issuperset(map(type, r)):
+            text = json.dumps([int(v) if isinstance(v, float) and v.is_integer() else v for v in r], ensure_ascii=False, default=str)
+            canonical_ += _digest(_canonical_row(r))
+        else:
+            canonical_ += low
+        multiset += low
+        sequence.update(text.encode("utf-8", "surrogatepass") + b"\n")
+    return Digests(n, *(f"{x % (1 << 256):064x}" for x in (multiset, canonical_)), sequence.hexdigest())
 
 
 def same_result(a: ExecResult, b: ExecResult, ordered: bool = False) -> bool | None:

@@ -140,3 +140,27 @@ def test_evolution_by_plain_sqlite(spark):
                 con.executemany(f"INSERT INTO {table_} VALUES ({','.join('?' * len(header))})", data)
             before, after = con.execute(r.sql).fetchall(), con.execute(r.new_sql).fetchall()
             assert r.status == ("rows" if after else "empty") and r.db_query_match == (sorted(map(str, before)) == sorted(map(str, after))) and r.accepted == bool(after)
+
+
+def test_digests_by_definition():
+    """Sums of the digests of every row's lower-case and canonical JSON, and the digest of all rows in order."""
+    import hashlib
+
+    from hypothesis import given
+    from hypothesis import strategies as st
+
+    from pairforge.plans import runner
+
+    value = st.one_of(st.none(), st.integers(-5, 5), st.floats(-3, 3), st.sampled_from([1.0, 2.0, "ΑΣ", "Σ\n", "a'Σ'b", "É", "İ", b"Ab", "\x1f"]), st.text(max_size=4), st.booleans())
+
+    @given(st.lists(st.lists(value, min_size=2, max_size=2), max_size=5))
+    def check(rows):
+        got, h = runner.digests(iter(rows)), lambda x: int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=32).digest(), "little")
+        dumped = [json.dumps(r, ensure_ascii=False, default=str) for r in rows]
+        whole = [json.dumps([int(v) if isinstance(v, float) and v.is_integer() else v for v in r], ensure_ascii=False, default=str) for r in rows]
+        assert got.n_rows == len(rows)
+        assert int(got.multiset, 16) == sum(map(h, (d.lower() for d in dumped))) % (1 << 256)
+        assert int(got.canonical, 16) == sum(h(runner._canonical_row(r)) for r in rows) % (1 << 256)
+        assert got.sequence == hashlib.blake2b(b"".join(w.encode("utf-8", "surrogatepass") + b"\n" for w in whole), digest_size=32).hexdigest()
+
+    check()
