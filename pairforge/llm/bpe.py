@@ -56,13 +56,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _chunks(text: str) -> list[str | bytes]:
-    """A text cut before its spaces, the first piece as bytes."""
-    chunks: list[str | bytes] = text.split(" ")
-    chunks[0] = chunks[0].encode()
-    return chunks
-
-
 class Bpe:
     """Encoder and decoder for one tokenizer file, given as its JSON text."""
 
@@ -235,19 +228,19 @@ class Bpe:
         # No word spans the place before a space that follows a non-space, so
         # a text may be cut there; the chunk at the start has no space and so
         # has a key of another type.
-        # Texts are cut twice, as the pieces of one are gone before the next.
-        chunks: set[str | bytes] = set()
+        cut = []
         for text in texts:
-            chunks.update(_chunks(text))
-        self._learn(chunks)
-        del chunks
+            chunks = text.split(" ")
+            chunks[0] = chunks[0].encode()
+            cut.append(chunks)
+        self._learn(set().union(*cut))
         known, out = self._young, []
-        for text in texts:
+        for text, chunks in zip(texts, cut, strict=True):
             if any(name in text for name in self.special):
                 out.append(self._encode_apart(text))
                 continue
             try:
-                out.append(b"".join(map(known.__getitem__, _chunks(text))))
+                out.append(b"".join(map(known.__getitem__, chunks)))
             except TypeError:  # a chunk that a longer run of white space may cross
                 out.append(self._encode_whole(text))
         return out
