@@ -17,7 +17,10 @@ bits of one another, and the others are linked to its smallest; links that this
 leaves out lie between fingerprints linked through that one.
 
 Components are found by alternating large-star and small-star steps over the
-links, written after each round; only their count comes to the driver.
+links, written after each round; only their count comes to the driver. A centre
+that many links share, and a fingerprint that many rows share, are the skewed side
+of a join by sort with one row for each key on the other side, which adaptive
+execution splits.
 
 Defined cases: a text without words (null, empty, white space) has fingerprint
 zero and is linked as any other; fewer words than a shingle are one shingle;

@@ -27,7 +27,8 @@ to give each document its place in the whole.
 Defined cases: a null text is empty and so holds the end id alone; null ids
 come first; equal ids follow one another in the order of their texts; very long
 texts are kept whole, a shard then being longer than its bound by one document;
-an empty table gives no shards; further columns are ignored.
+an empty table gives no shards; ids are cast to 64-bit integers; further columns
+are ignored.
 """
 
 from __future__ import annotations
