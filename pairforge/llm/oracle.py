@@ -101,4 +101,24 @@ g AS (SELECT *, least(quota, {MOST} * blocks) - whole * blocks AS rest FROM f)
 SELECT doc_id, size, source_size, target, cast({_words_before("b_end")} - {_words_before("b_begin")} AS bigint) AS taken FROM g
 """
 
-ORACLE_SQL = {"op2_substring": SUBSTRING, "op3_mixing": MIXING, "op5_maxscore": MAXSCORE}
+MIDDLE = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l,
+        sha256('7:' || coalesce(cast(doc_id AS varchar), '')) AS h FROM documents
+),
+c AS (
+    SELECT *, cast(len(l) AS bigint) AS n, cast('0x' || h[1:8] AS bigint) % (len(l) + 1) AS a, cast('0x' || h[9:16] AS bigint) % (len(l) + 1) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+            WHEN cast('0x' || h[25:32] AS bigint) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+),
+p AS (
+    SELECT *, array_to_string(l[:least(a, b)], '') AS prefix, array_to_string(l[least(a, b) + 1:greatest(a, b)], '') AS middle,
+        array_to_string(l[greatest(a, b) + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLE_SQL = {"op2_substring": SUBSTRING, "op3_mixing": MIXING, "op5_maxscore": MAXSCORE, "op12_middle": MIDDLE}

@@ -7,7 +7,9 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,18 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield batch.slice(begin, rows)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and ``size`` bytes of a text column, or of one longer text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            before = ends[begin - 1] if begin else 0
+            end = min(max(int(np.searchsorted(ends, before + size, "right")), begin + 1), begin + rows)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 #: Rows of an Arrow batch: whole texts travel in it, so the default of 10,000 would hold far too much at once.
 ARROW_ROWS = 512
 
