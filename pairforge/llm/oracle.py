@@ -121,4 +121,38 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
 FROM p
 """
 
-ORACLE_SQL = {"op2_substring": SUBSTRING, "op3_mixing": MIXING, "op5_maxscore": MAXSCORE, "op12_middle": MIDDLE}
+def _round(k: int, update: bool = True) -> str:
+    """Assignment of all parts to the codebook ``b{k}``, and the next codebook."""
+    assigned = f"""
+a{k} AS (
+    SELECT vec_id, label, i, part, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+        SELECT p.*, b.e, cast(list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS bigint) AS d
+        FROM p JOIN b{k} b ON p.i = b.i
+    ) GROUP BY vec_id, label, i, part
+)"""
+    if not update:
+        return assigned
+    return f"""{assigned},
+m{k} AS (
+    SELECT i, e, list(cast(floor(s / n) AS bigint) ORDER BY c) AS entry FROM (
+        SELECT i, e, c, sum(part[c]) AS s, count(*) AS n FROM a{k}, unnest(range(1, 5)) AS t(c) GROUP BY i, e, c
+    ) GROUP BY i, e
+),
+b{k + 1} AS (SELECT b.i, b.e, coalesce(m.entry, b.entry) AS entry FROM b{k} b LEFT JOIN m{k} m ON b.i = m.i AND b.e = m.e)"""
+
+
+CODES = f"""
+WITH q AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+p AS (SELECT vec_id, label, i, x[4 * i + 1:4 * i + 4] AS part FROM q, unnest(range(0, 16)) AS t(i)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT vec_id FROM q ORDER BY vec_id LIMIT 64)),
+b0 AS (SELECT i, e, part AS entry FROM p JOIN f ON p.vec_id = f.vec_id),{_round(0)},{_round(1)},{_round(2, False)},
+r AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY i) AS code, cast(sum(d) AS bigint) AS error FROM a2 GROUP BY vec_id),
+l AS (SELECT label, cast(sum(error) AS bigint) AS label_error FROM r GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY i, e)) FROM b2) AS codebooks_sha256
+FROM r JOIN l ON r.label IS NOT DISTINCT FROM l.label
+"""
+
+ORACLE_SQL = {"op2_substring": SUBSTRING, "op3_mixing": MIXING, "op5_maxscore": MAXSCORE, "op12_middle": MIDDLE, "op13_vector_codes": CODES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, maxscore, media, middle, mixing, quality, secrets, simhash, substring, tokenfile, toxicity
+from pairforge.llm import bpe, codes, maxscore, media, middle, mixing, quality, secrets, simhash, substring, tokenfile, toxicity
 from pairforge.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from pairforge.llm.storage import frugal
 from pairforge.session import spread
@@ -78,4 +78,9 @@ def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
-QUERIES = {q.__name__: q for q in (op1_bpe, op2_substring, op3_mixing, op4_simhash, op5_maxscore, op6_toxicity, op7_quality, op8_token_files, op9_secrets, op10_media, op12_middle)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frugal(spark)
+    return codes.report(*codes.compress(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))))
+
+
+QUERIES = {q.__name__: q for q in (op1_bpe, op2_substring, op3_mixing, op4_simhash, op5_maxscore, op6_toxicity, op7_quality, op8_token_files, op9_secrets, op10_media, op12_middle, op13_vector_codes)}
