@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, codes, maxscore, media, middle, mixing, quality, secrets, simhash, substring, tokenfile, toxicity
+from pairforge.llm import bpe, codes, maxscore, media, middle, mixing, ngrams, quality, secrets, simhash, substring, tokenfile, toxicity
 from pairforge.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from pairforge.llm.storage import frugal
 from pairforge.session import spread
@@ -72,6 +72,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read(spark, media.store(documents(spark, sf_dir)))
 
 
+def op11_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(documents(spark, sf_dir))
+
+
 def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = middle.transform(documents(spark, sf_dir))
     digests = [F.sha2(c.cast("binary"), 256).alias(f"{name}_sha256") for name, c in (("output", F.col("output")), ("restored", middle.restore()))]
@@ -83,4 +87,4 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.report(*codes.compress(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))))
 
 
-QUERIES = {q.__name__: q for q in (op1_bpe, op2_substring, op3_mixing, op4_simhash, op5_maxscore, op6_toxicity, op7_quality, op8_token_files, op9_secrets, op10_media, op12_middle, op13_vector_codes)}
+QUERIES = {q.__name__: q for q in (op1_bpe, op2_substring, op3_mixing, op4_simhash, op5_maxscore, op6_toxicity, op7_quality, op8_token_files, op9_secrets, op10_media, op11_ngrams, op12_middle, op13_vector_codes)}
