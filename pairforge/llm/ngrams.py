@@ -14,13 +14,13 @@ distinct n-gram it was asked for, and answers each block with codes in the order
 questions. Words get ids that are small for frequent words of their shard. However often
 a word or pair occurs, a block sends it once, and shards grow in number with the tokens.
 
-A trie has a level for each word of a context (last word first) and one for followers.
+A trie has a level for each word of a context and one for followers.
 A level is monotone: each range of siblings is lifted above the range before it; pieces of
 some thousand values are Elias-Fano coded (low bits packed, high bits in unary). The
 pointers to the ranges are such sequences too. A follower is stored as its rank among
-all words that follow the shorter context in the shard, which keeps the numbers small, and a query
+all followers below the context's first word in the shard, which keeps the numbers small, and a query
 finds that rank, then searches for it within the range of its context. Probabilities and
-left-over weights are quantised to 1/1024 of an octave. All levels lie in one flat
+left-over weights are quantised to 1/16 of an octave (2.2% at most). All levels lie in one flat
 buffer, which is mapped in place: pieces are decoded as a search gets to them.
 
 Defined cases: a null text is empty and has its end only; a null id is not held out;
@@ -33,7 +33,7 @@ other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count as counter
 
 import numpy as np
@@ -48,7 +48,7 @@ from pairforge.llm.storage import working, written
 BLOCK, SHARD = 1 << 21, 1 << 20
 DISCOUNT, ADDED = 0.75, 0.1
 #: Values of an Elias-Fano piece; steps of an octave.
-PIECE, STEPS = 4096, 1024
+PIECE, STEPS = 4096, 16
 #: The end of a text; no word has white space in it.
 END = b"\n"
 #: Ids before those of words: the place before a text, and words without a training token.
@@ -104,10 +104,12 @@ class Level:
 
     def _each(self, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(queries, piece) for each piece that queries are for."""
-        order = np.argsort(of, kind="stable")
-        ends = np.flatnonzero(np.diff(of[order])) + 1
-        for own in np.split(order, ends) if len(of) else []:
-            yield own, self.piece(int(of[own[0]]))
+        order = None if (of[1:] >= of[:-1]).all() else np.argsort(of, kind="stable")
+        sorted_of = of if order is None else of[order]
+        ends = [0, *(np.flatnonzero(np.diff(sorted_of)) + 1).tolist(), len(of)]
+        for begin, end in zip(ends, ends[1:], strict=False):
+            if end > begin:
+                yield slice(begin, end) if order is None else order[begin:end], self.piece(int(sorted_of[begin]))
 
     def at(self, places: np.ndarray) -> np.ndarray:
         out = np.zeros(len(places), np.uint64)
@@ -120,10 +122,11 @@ class Level:
         out = np.full(len(values), -1)
         of = np.searchsorted(self.firsts, values, "right") - 1
         known = np.flatnonzero(of >= 0)
-        for own, held in self._each(of[known]):
-            own = known[own]
-            at = np.minimum(np.searchsorted(held, values[own]), len(held) - 1)
-            out[own] = np.where(held[at] == values[own], at + of[own] * PIECE, -1)
+        for some, held in self._each(of[known]):
+            own = known[some]
+            wanted = values[own]
+            at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+            out[own] = np.where(held[at] == wanted, at + int(of[own[0]]) * PIECE, -1)
         return out
 
 
@@ -231,20 +234,32 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4")[:, 0]
 
 
-def _steps(sorted_values: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_values.astype(np.int64), prepend=0).astype(np.uint32)  # modulo 2^32, as the sums are
+def _steps(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Differences of ascending values; ranges begin anew at ``begins``."""
+    out = np.diff(values, prepend=0)
+    out[begins] = values[begins]
+    return out
+
+
+def _unsteps(steps: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    sums = np.cumsum(steps, dtype=np.uint32)  # modulo 2^32, and so is what is taken off
+    return sums - np.repeat(sums[begins] - steps[begins], np.diff(np.append(begins, len(steps))))
 
 
 def pack_grams(root: np.ndarray, middle: np.ndarray, last: np.ndarray, many: np.ndarray) -> list[bytes]:
     """Sorted n-grams: each root and context once."""
     roots, contexts = _begins(root), _begins(root, middle)
-    columns = [_steps(root[roots]), np.diff(np.append(np.searchsorted(contexts, roots), len(contexts))), middle[contexts], np.diff(np.append(contexts, len(last))), last, many]
+    of_root = np.searchsorted(contexts, roots)
+    sizes = [np.diff(np.append(of_root, len(contexts))), np.diff(np.append(contexts, len(last)))]
+    columns = [_steps(root[roots], roots[:1]), sizes[0], _steps(middle[contexts], of_root), sizes[1], _steps(last, contexts), many]
     return [pack(c) for c in columns]
 
 
 def unpack_grams(raw: list[bytes]) -> tuple[np.ndarray, ...]:
     roots, middles, middle, lasts, last, many = map(unpack, raw)
     roots = np.cumsum(roots, dtype=np.uint32)
+    middle = _unsteps(middle, np.cumsum(middles, dtype=np.int64) - middles)
+    last = _unsteps(last, np.cumsum(lasts, dtype=np.int64) - lasts)
     return np.repeat(np.repeat(roots, middles), lasts), np.repeat(middle, lasts), last, many.astype(np.int64)
 
 
@@ -275,7 +290,7 @@ def blocks(df: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
             trained = np.bincount(joined[learnt], minlength=len(index))
             columns = [
                 pa.array([part + next(made)]), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(ids)), pa.array([held]), pa.array([pack(ends)], pa.binary()),
-                pa.array([pack(joined)], pa.binary()), pa.array([len(joined)], pa.int64()), pa.array([int(learnt.sum())], pa.int64()), pa.array([b" ".join(index)], pa.binary()), pa.array([pack(trained)], pa.binary()),
+                pa.array([pack(joined)], pa.binary()), pa.array([len(joined)], pa.int64()), pa.array([int(learnt.sum())], pa.int64()), pa.array([pack_words(index)], pa.binary()), pa.array([pack(trained)], pa.binary()),
             ]
             for x in (ids, held, tokens):
                 x.clear()
@@ -303,9 +318,14 @@ def blocks(df: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(mapped, f"block long, doc_id array<{kind}>, held array<boolean>, ends binary, tokens binary, size long, learnt long, words binary, trained binary")
 
 
-def _words(raw: bytes) -> list[bytes]:
-    """The words of a list; its only white space beside spaces is the end."""
-    return raw.split(b" ")
+def pack_words(words: Iterable[bytes]) -> bytes:
+    """Words that hold no space (the end is other white space)."""
+    raw = b" ".join(words)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack_words(raw: bytes) -> list[bytes]:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True).split(b" ")
 
 
 _MESSAGE = "n int, shard int, block long, body array<binary>"
@@ -340,25 +360,28 @@ def ask_words(made: DataFrame, shards: int) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw, trained in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, many = _words(raw), unpack(trained)
-                yield _message([(1, s, block, [b" ".join([words[i] for i in own.tolist()]), pack(many[own])]) for s, own in _split(word_shards(words, shards))])
+                words, many = unpack_words(raw), unpack(trained)
+                yield _message([(1, s, block, [pack_words(words[i] for i in own.tolist()), pack(many[own]), pack(_steps(own, own[:0]))]) for s, own in _split(word_shards(words, shards))])
 
     return made.select("block", "words", "trained").mapInArrow(mapped, _MESSAGE)
 
 
 def answer_words(messages: DataFrame, shards: int) -> DataFrame:
-    """Ids and counts of each block's words; a row without a block has the number of a shard's known words."""
+    """Ids and counts of each block's words, with their places in its list; a row without a block has the number of a shard's known words."""
 
     def answered(key: tuple, table: pa.Table) -> pa.Table:
         total: dict[bytes, int] = defaultdict(int)
-        asked = [(block.as_py(), _words(body[0].as_py()), unpack(body[1].as_py())) for block, body in zip(table["block"], table["body"], strict=True)]
-        for _, words, many in asked:
+        asked = [(block.as_py(), unpack_words(body[0].as_py()), unpack(body[1].as_py()), body[2].as_py()) for block, body in zip(table["block"], table["body"], strict=True)]
+        for _, words, many, _ in asked:
             for w, m in zip(words, many.tolist(), strict=True):
                 total[w] += m
         shard = key[1].as_py()
         known = sorted((w for w, m in total.items() if m), key=lambda w: (-total[w], w))
         ids = {w: FIRST + i * shards + shard for i, w in enumerate(known)}
-        rows = [(1, shard, block, [pack(np.array([ids.get(w, UNKNOWN) for w in words])), pack(np.minimum([total[w] for w in words], 2**32 - 1)), pack(np.array([total[w] >> 32 for w in words]))]) for block, words, _ in asked]
+        rows = []
+        for block, words, _, places in asked:
+            sums = np.array([total[w] for w in words])
+            rows.append((1, shard, block, [pack(np.array([ids.get(w, UNKNOWN) for w in words])), pack(sums & 0xFFFFFFFF), pack(sums >> 32), places]))
         return pa.Table.from_batches([_message([*rows, (0, shard, -1, [pack(np.array([len(known)]))])])])
 
     return messages.groupBy("n", "shard").applyInArrow(answered, _MESSAGE)
@@ -372,41 +395,41 @@ class Grams:
         first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         one = np.roll(t, 1)
         one[first] = BEFORE
-        two = np.roll(one, 1)
-        two[first] = BEFORE
-        # a token without words in common stays on its own: contexts sort last word first
-        pairs, pair = np.unique(one << np.uint64(32) | t, return_inverse=True)
-        contexts, context = np.unique(one << np.uint64(32) | two, return_inverse=True)
-        if int(ids.max(initial=0)).bit_length() + len(contexts).bit_length() > 64:
-            raise ValueError("a block has too many contexts")
-        wide = np.uint64(32)
+        wide, mask = np.uint64(32), np.uint64(0xFFFFFFFF)
+        # the pair of places before a text comes first and is no bigram
+        pairs, pair = np.unique(np.append(np.uint64(0), one << wide | t), return_inverse=True)
+        pair = pair[1:]
+        context = np.roll(pair, 1)
+        context[first] = 0
         triples, triple = np.unique(context.astype(np.uint64) << wide | t, return_inverse=True)
-        own = contexts[(triples >> wide).astype(np.int64)]
-        mask = np.uint64(0xFFFFFFFF)
+        own = pairs[(triples >> wide).astype(np.int64)]
         # (root, middle, last): a bigram has no root
         self.of = {
-            2: (np.zeros(len(pairs), np.uint32), (pairs >> wide).astype(np.uint32), (pairs & mask).astype(np.uint32)),
+            2: (np.zeros(len(pairs) - 1, np.uint32), (pairs[1:] >> wide).astype(np.uint32), (pairs[1:] & mask).astype(np.uint32)),
             3: ((own >> wide).astype(np.uint32), (own & mask).astype(np.uint32), (triples & mask).astype(np.uint32)),
         }
-        self.where = {2: pair, 3: triple}
+        self.where = {2: pair - 1, 3: triple}
 
 
-def _lists(raw: dict, answers: list[dict], shards: int) -> tuple[np.ndarray, np.ndarray]:
+def _lists(answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Ids and counts of a block's words from the answers to it."""
-    words = _words(raw["words"])
-    ids, many = np.zeros(len(words), np.uint32), np.zeros(len(words), np.int64)
-    bodies = {r["shard"]: r["body"] for r in answers if r["n"] == 1}
-    for s, own in _split(word_shards(words, shards)):
-        ids[own] = unpack(bodies[s][0])
-        many[own] = unpack(bodies[s][1]) + (unpack(bodies[s][2]).astype(np.int64) << 32)
+    bodies = [[unpack(x) for x in r["body"]] for r in answers if r["n"] == 1]
+    places = np.concatenate([np.cumsum(b[3], dtype=np.int64) for b in bodies])
+    ids, many = np.zeros(len(places), np.uint32), np.zeros(len(places), np.int64)
+    ids[places] = np.concatenate([b[0] for b in bodies])
+    many[places] = np.concatenate([b[1] + (b[2].astype(np.int64) << 32) for b in bodies])
     return ids, many
 
 
+#: What both uses of the blocks take: equal exchanges are done once.
+_OF_BLOCKS = ("block", "doc_id", "held", "ends", "tokens")
+
+
 def ask_grams(made: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
     def asked(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         working("ngrams")
-        raw = block.to_pylist()[0]
-        ids, _ = _lists(raw, answers.to_pylist(), shards)
+        raw = block.drop(["doc_id"]).to_pylist()[0]
+        ids, _ = _lists(answers.to_pylist())
         ends = unpack(raw["ends"])
         grams = Grams(unpack(raw["tokens"]), ends, ids)
         learnt = np.repeat(~np.array(raw["held"]), np.diff(ends.astype(np.int64), prepend=0))
@@ -417,8 +440,7 @@ def ask_grams(made: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
                 rows.append((n, s, raw["block"], pack_grams(root[own], middle[own], last[own], many[own])))
         return pa.Table.from_batches([_message(rows)])
 
-    named = made.select("block", "held", "ends", "tokens", "words")
-    return named.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(asked, _MESSAGE)
+    return made.select(*_OF_BLOCKS).groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(asked, _MESSAGE)
 
 
 def answer_grams(messages: DataFrame, discount: float = DISCOUNT) -> DataFrame:
@@ -468,7 +490,7 @@ def score(df: DataFrame, text: str = "text", block: int = BLOCK, shard: int = SH
     def scored(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         working("ngrams")
         raw, found = block.drop(["doc_id"]).to_pylist()[0], answers.to_pylist()
-        ids, many = _lists(raw, found, shards)
+        ids, many = _lists(found)
         tokens, ends = unpack(raw["tokens"]), unpack(raw["ends"]).astype(np.int64)
         grams = Grams(tokens, ends, ids)
         own = many[tokens]
@@ -485,6 +507,5 @@ def score(df: DataFrame, text: str = "text", block: int = BLOCK, shard: int = SH
         columns = [pa.array(np.array(raw["held"], bool)), pa.array(np.diff(ends, prepend=0)), pa.array(np.add.reduceat((own > 0).astype(np.int64), begins)), pa.array(np.full(len(ends), learnt)), *(pa.array(np.add.reduceat(np.log10(x), begins)) for x in (uni, p))]
         return pa.Table.from_arrays([block["doc_id"].combine_chunks().flatten(), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    named = made.select("block", "doc_id", "held", "ends", "tokens", "words")
     both = answers.filter("block >= 0").unionByName(replies)
-    return named.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return made.select(*_OF_BLOCKS).groupBy("block").cogroup(both.groupBy("block")).applyInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
