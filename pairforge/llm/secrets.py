@@ -156,48 +156,88 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def _scanned(items: str, fields: dict[str, tuple[str, str]], kind: str, step: str, last: str | None = None) -> str:
+    """What ``step`` emits over an array, in order.
+
+    ``fields``: the state's (start, type) by name; ``step``: the next state over ``s`` (the state), ``v`` (an item)
+    and ``emit`` (an array of what is emitted, in its field ``out``). Items are met by stretches, as an array that grew item by item
+    would be copied each time. ``last`` is emitted at the end, over ``s``.
+    """
+    start = ", ".join(f"cast({value} as {t}) as {name}" for name, (value, t) in fields.items())
+    kept = ", ".join(f"s.{name} as {name}" for name in fields)
+    moved = ", ".join(f"r.{name} as {name}" for name in fields)
+    stretches = f"transform(sequence(0, cast((size(a) - 1) / {STRETCH} as int)), j -> slice(a, {STRETCH} * j + 1, {STRETCH}))"
+    inner = f"aggregate(c, struct({kept}, cast(array() as array<{kind}>) as out), (s, v) -> {step})"
+    outer = f"aggregate({stretches}, struct({start}, cast(array() as array<array<{kind}>>) as done), (s, c) -> {_let('r', inner, f'struct({moved}, concat(s.done, array(r.out)) as done)')}, s -> flatten({f'concat(s.done, array({last}))' if last else 's.done'}))"
+    return _let("a", items, f"case when size(a) > 0 then {outer} else cast(array() as array<{kind}>) end")
+
+
+_PART = "struct<begin:int,end:int>"
+
+
 def _judged(ratios: list[float], threshold: float) -> Column:
+    """Spans of the models: each run costs time in proportion to its length, however many stretches it has.
+
+    ``k`` are a run's characters as places in the alphabet, ``g`` the ratios of its pairs, ``p`` the places of its signs
+    and ``n`` how many signs stand before each place, so what is looked up is looked up once.
+    """
     table = f"array({','.join(f'{x:.3f}D' for x in ratios)})"
+    small, capital, sign, plus = 26, 52, ALPHABET.index("+") + 1, ALPHABET.index("+") + 1
 
     def scores(codes: str) -> str:
         return f"transform(sequence(1, size({codes}) - 1), i -> element_at({table}, 1 + {CLASSES} * element_at({codes}, i) + element_at({codes}, i + 1)))"
 
-    def codes(run: str) -> str:
-        return f"transform(split({run}, ''), c -> instr('{ALPHABET}', c))"
-
     def mean(values: str) -> str:
         return f"aggregate({values}, 0D, (t, r) -> t + r) / size({values})"
 
     # stretches of pairs, each up to the place of its highest sum above the threshold
-    out = "cast(array() as array<struct<begin:int,end:int>>)"
-    held = f"case when h.best > {GAIN}D then concat(s.out, array(struct(s.begin as begin, h.end as end))) else s.out end"
+    none = f"cast(array() as array<{_PART}>)"
+    found = f"case when h.best > {GAIN}D then concat(s.out, array(struct(s.begin as begin, h.end as end))) else s.out end"
     step = _let(
         "h",
-        _let("t", f"s.sum + element_at(g, i) - {threshold}D", "struct(t as sum, greatest(s.best, t) as best, case when t > s.best then i + 1 else s.end end as end)"),
-        f"case when h.sum <= 0 or h.best - h.sum > {DROP}D then struct(0D as sum, i as begin, 0D as best, 0 as end, {held} as out) "
+        _let("t", f"s.sum + element_at(g, v) - {threshold}D", "struct(t as sum, greatest(s.best, t) as best, case when t > s.best then v + 1 else s.end end as end)"),
+        f"case when h.sum <= 0 or h.best - h.sum > {DROP}D then struct(0D as sum, v as begin, 0D as best, 0 as end, {found} as out) "
         "else struct(h.sum as sum, s.begin as begin, h.best as best, h.end as end, s.out as out) end",
     )
-    last = f"case when s.best > {GAIN}D then concat(s.out, array(struct(s.begin as begin, s.end as end))) else s.out end"
-    stretches = f"aggregate(sequence(1, size(g)), struct(0D as sum, 0 as begin, 0D as best, 0 as end, {out} as out), (s, i) -> {step}, s -> {last})"
-    # chance takes characters off a stretch's ends: as far as the next / _ = - it is tried first
-    wider = (
-        "struct(y.begin - length(substring_index(translate(substring(x.m, 1, y.begin), '_=-', '///'), '/', -1)) as begin, "
-        "y.end + length(substring_index(translate(substring(x.m, y.end + 1), '_=-', '///'), '/', 1)) as end)"
+    state = {"sum": ("0D", "double"), "begin": ("0", "int"), "best": ("0D", "double"), "end": ("0", "int")}
+    stretches = _scanned("sequence(1, size(g))", state, _PART, step, f"case when s.best > {GAIN}D then array(struct(s.begin as begin, s.end as end)) else {none} end")
+
+    def judged(part: str) -> str:
+        """The part without signs at its ends, or null where it is no secret."""
+        # digits alone are numbers; capitals alone are judged as small letters, as the identifiers have few capitals
+        shaped = f"exists(c, x -> x <= {capital}) and (exists(c, x -> x > {capital}) and exists(c, x -> x > {capital} and x < {sign}) or c[0] <= {capital} and c[size(c) - 1] <= {capital})"
+        lower = f"transform(c, x -> case when x > {small} and x <= {capital} then x - {small} else x end)"
+        value = f"case when exists(c, x -> x <= {small} or x > {capital} and x < {sign}) then {_let('q', 'slice(g, b.begin + 1, b.end - b.begin - 1)', mean('q'))} else {_let('l', lower, _let('q', scores('l'), mean('q')))} end"
+        good = _let("c", "slice(k, b.begin + 1, b.end - b.begin)", f"{shaped} and {value} > {threshold}D")
+        ends = f"transform(slice(k, w.begin + 1, w.end - w.begin), x -> x < {plus})"
+        bare = _let("e", ends, "case when array_position(e, true) > 0 then struct(cast(w.begin + array_position(e, true) - 1 as int) as begin, cast(w.end - array_position(reverse(e), true) + 1 as int) as end) end")
+        return _let("w", part, _let("b", bare, f"case when b.end - b.begin >= {LEAST} then case when {good} then b end end"))
+
+    # chance takes characters off a stretch's ends: as far as the next / _ = - it is tried first, once for all stretches in that part
+    wide = "struct(cast(case when element_at(n, v.begin + 1) = 0 then 0 else element_at(p, element_at(n, v.begin + 1)) + 1 end as int) as begin, cast(coalesce(get(p, element_at(n, v.end + 1)), size(k)) as int) as end)"
+    same = "s.wide is not null and s.wide.begin = o.begin and s.wide.end = o.end"
+    emit = "case when f is null or (s.last is not null and s.last.begin = f.begin and s.last.end = f.end) then s.out else concat(s.out, array(f)) end"
+    nothing = ("null", _PART)
+    choose = _let(
+        "o",
+        wide,
+        _let(
+            "t",
+            f"case when {same} then s.tried else {judged('o')} end",
+            _let("f", f"coalesce(t, {judged('v')})", f"struct(o as wide, t as tried, coalesce(f, s.last) as last, {emit} as out)"),
+        ),
     )
-
-    def bare(part: str) -> str:
-        """The part without signs at its ends."""
-        return _let("w", part, _let("p", "substring(x.m, w.begin + 1, w.end - w.begin)", "struct(w.begin + length(p) - length(trim(LEADING '+/_=-' FROM p)) as begin, w.end - length(p) + length(trim(TRAILING '+/_=-' FROM p)) as end)"))
-
-    # digits alone are numbers; capitals alone are judged as small letters, as the identifiers have few capitals
-    shaped = "p rlike '[A-Za-z]' and (p rlike '[0-9]' or p rlike '^[A-Za-z].*[A-Za-z]$')"
-    value = f"case when p rlike '[a-z0-9]' then {_let('q', 'slice(g, y.begin + 1, y.end - y.begin - 1)', mean('q'))} else {_let('k', codes('lower(p)'), _let('q', scores('k'), mean('q')))} end"
-    good = f"y.end - y.begin >= {LEAST} and " + _let("p", "substring(x.m, y.begin + 1, y.end - y.begin)", f"{shaped} and {value} > {threshold}D")
-    whole = "struct(0 as begin, length(x.m) as end)"
-    tried = f"concat(array(array({whole}, {bare(whole)})), transform({stretches}, y -> array({bare(wider)}, {bare('y')})))"
-    first = f"transform({tried}, l -> get(filter(l, y -> {good}), 0))"
-    chosen = _let("f", first, "case when f[0] is not null then array(f[0]) else array_distinct(filter(f, y -> y is not null)) end")
-    parts = _let("g", _let("k", codes("x.m"), scores("k")), chosen)
+    chosen = _scanned(stretches, {"wide": nothing, "tried": nothing, "last": nothing}, _PART, choose)
+    # as it is, then without signs at its ends
+    whole = "struct(0 as begin, size(k) as end)"
+    shaped = "x.m rlike '[0-9]' or x.m rlike '^[A-Za-z].*[A-Za-z]$'"
+    lower = f"transform(k, x -> case when x > {small} and x <= {capital} then x - {small} else x end)"
+    value = f"case when x.m rlike '[a-z0-9]' then {mean('g')} else {_let('l', lower, _let('q', scores('l'), mean('q')))} end"
+    first = f"case when ({shaped}) and {value} > {threshold}D then {whole} else {judged(whole)} end"
+    before = _let("d", "split(translate(x.m, '_=-', '///'), '/', -1)", "flatten(transform(d, (y, j) -> array_repeat(j, length(y) + 1)))")
+    signs = f"filter(transform(k, (y, j) -> case when y > {sign} then j end), y -> y is not null)"
+    tried = _let("f", first, f"case when f is not null then array(f) else {_let('p', signs, _let('n', before, chosen))} end")
+    parts = _let("k", f"transform(split(x.m, ''), c -> instr('{ALPHABET}', c))", _let("g", scores("k"), tried))
     return _places("_text", RUN, RUN, 3, "x.m rlike '[A-Za-z]'", parts)
 
 

@@ -344,3 +344,27 @@ def test_swaps_of_long_documents_weigh_one():
 
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in q.QUERIES) == list(range(1, 11))
+
+
+def test_one_very_long_run(spark):
+    """A run of 2 MB with thousands of stretches: time in proportion to its length."""
+    import time
+
+    ratios = secrets.train(secrets.labelled_samples(spark))
+    keys, names = held_out_strings(300)
+    unit = "/".join(x for pair in zip(names, keys) for x in pair) + "/"
+    times = []
+    for n in (200_000, 2_000_000):
+        run = (unit * (n // len(unit) + 1))[:n]
+        df = spark.createDataFrame([(1, run)], "doc_id long, text string")
+        began = time.perf_counter()
+        r = secrets.scan(df, ratios).first()
+        times.append(time.perf_counter() - began)
+        assert len(r.spans) > n / 100
+        if n == 200_000:
+            assert [(x.begin, x.end) for x in r.spans if x.kind == 3] == brute_markov(run, ratios)
+    assert times[1] < 60
+    # without a sign all stretches have the same part around them
+    plain = "".join(n.replace("/", "").replace("_", "").replace("-", "") + k for k, n in zip(keys, names))
+    r = secrets.scan(spark.createDataFrame([(1, plain)], "doc_id long, text string"), ratios).first()
+    assert [(x.begin, x.end) for x in r.spans if x.kind == 3] == brute_markov(plain, ratios)
