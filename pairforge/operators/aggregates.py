@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,33 +11,50 @@ from pyspark.sql import functions as F
 from pairforge.functions import sqltext
 
 
-#: Parts into which a group's range is cut to find a rank.
-CUTS = 1024
+#: Relative rank error of the sketches that bracket a quantile, and rows of a group that needs no bracket.
+RANK_ERROR, SMALL = 1e-4, 1 << 16
+
+
+def _group(by: Sequence[str]) -> Column:
+    return F.struct(*[f"`{c}`" for c in by]) if by else F.struct(F.lit(0).alias("_all"))
 
 
 def quantiles(df: DataFrame, column: str, points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """``_group`` (a struct of ``by``) and ``q``, the exact quantiles with linear interpolation as an array of doubles.
 
-    No task holds a group: distinct values are counted, the counts of equal
-    cuts of a group's range tell in which cuts the wanted ranks lie, and only
-    the values of these are put in order. Nulls are left out; groups without a
-    value have no row.
+    Selection by sampled splitters. A rank sketch of each group, built by partial
+    aggregation, gives a bracket around each quantile: the values whose ranks
+    are within three rank errors of it, whatever the shape of the distribution. A second pass
+    counts equal values within brackets and merely counts the rows between
+    brackets, again by partial aggregation, so all but some six ten-thousandths of a
+    group's rows for each point are a handful of counts before anything is put in
+    order. Ranks are exact: a quantile outside of its bracket, which the sketch's
+    guarantee rules out, would raise an error.
+
+    Nulls and NaN are left out; groups without a value have no row.
     """
-    group = F.struct(*[f"`{c}`" for c in by]) if by else F.struct(F.lit(0).alias("_all"))
-    counted = df.select(group.alias("_group"), F.col(column).cast("double").alias("x")).filter("x is not null").groupBy("_group", "x").agg(F.count(F.lit(1)).alias("n"))
-    ends = counted.groupBy("_group").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total"))
-    place = (F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * CUTS
-    cut = F.when(place.isNull() | F.isnan(place), 0).otherwise(F.least(F.floor(place), F.lit(CUTS - 1))).cast("int")
-    cuts = counted.join(ends, "_group").withColumn("cut", cut)
-    sums = cuts.groupBy("_group", "cut").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
+    x = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(_group(by).alias("_group"), x.alias("x")).filter("x is not null")
+    low, high = ([min(max(p + side * 3 * RANK_ERROR, 0.0), 1.0) for p in points] for side in (-1, 1))
+    sketch = F.percentile_approx("x", [*low, *high], round(1 / RANK_ERROR))
+    groups = rows.groupBy("_group").agg(F.count("x").alias("total"), sketch.alias("_ends"))
+    joined = rows.join(groups, "_group") if by else rows.crossJoin(F.broadcast(groups.drop("_group")))
+    everything = (F.col("total") <= SMALL, float("-inf"), float("inf"))
+
+    def end(i: int, p: float, outer: float) -> Column:
+        return F.lit(outer) if p in (0.0, 1.0) else F.when(everything[0], outer).otherwise(F.col("_ends")[i])
+
+    brackets = [(end(i, lo, everything[1]), end(len(points) + i, hi, everything[2])) for i, (lo, hi) in enumerate(zip(low, high, strict=True))]
+    inside = reduce(lambda a, b: a | b, (F.col("x").between(*b) for b in brackets))
+    # rows between brackets stand behind the bracket that ends before them
+    before = F.greatest(F.lit(float("-inf")), *[F.when(hi < F.col("x"), hi) for _, hi in brackets], F.lit(None).cast("double"))
+    counted = joined.select("_group", "total", F.when(inside, F.col("x")).otherwise(before).alias("x"), (~inside).alias("between"))
+    counted = counted.groupBy("_group", "x", "between").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("_group").orderBy("x", "between")).alias("upto")
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p * (F.col("total") - 1)), F.ceil(p * (F.col("total") - 1))) for p in points])))
-    until = Window.partitionBy("_group").orderBy("cut")
-    wanted = sums.withColumn("before", F.sum("m").over(until) - F.col("m")).withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("m"))))
-    wanted = wanted.filter(F.size("ranks") > 0).select("_group", "cut", "before", "ranks", F.col("total").alias("_total"))
-    inside = Window.partitionBy("_group", "cut").orderBy("x")
-    placed = cuts.join(wanted, ["_group", "cut"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    hits = placed.withColumn("hit", F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))))
-    found = hits.groupBy("_group").agg(F.map_from_entries(F.collect_list(F.struct("hit", "x"))).alias("at"), F.first("_total").alias("total"))
+    hits = counted.select("_group", "x", "between", "n", "total", upto).withColumn("hit", F.explode(F.filter(ranks, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))))
+    value = F.when(F.col("between"), F.raise_error(F.lit("a quantile lies outside of its bracket")).cast("double")).otherwise(F.col("x"))
+    found = hits.groupBy("_group").agg(F.map_from_entries(F.collect_list(F.struct("hit", value))).alias("at"), F.first("total").alias("total"))
 
     def at(p: float) -> Column:
         r = p * (F.col("total") - 1)
@@ -48,8 +66,7 @@ def quantiles(df: DataFrame, column: str, points: Sequence[float], by: Sequence[
 
 def _with_quantiles(base: DataFrame, df: DataFrame, column: str, points: Sequence[float], by: Sequence[str]) -> DataFrame:
     """``base``, which has one row for each group, with ``_q``."""
-    group = F.struct(*[f"`{c}`" for c in by]) if by else F.struct(F.lit(0).alias("_all"))
-    return base.withColumn("_group", group).join(quantiles(df, column, points, by).withColumnRenamed("q", "_q"), "_group", "left").drop("_group")
+    return base.withColumn("_group", _group(by)).join(quantiles(df, column, points, by).withColumnRenamed("q", "_q"), "_group", "left").drop("_group")
 
 
 def describe(df: DataFrame, column: str, by: Sequence[str] = (), population: bool = False) -> DataFrame:

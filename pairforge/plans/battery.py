@@ -1377,3 +1377,7 @@ def w1_resume(spark, d):
 
     q = corpus.queries(spark, d)
     return stages.resume(q, q.filter("row_id <= 3")).select("row_id", "table_id")
+
+
+# further queries register themselves
+from pairforge.plans import learned as learned  # noqa: E402

@@ -272,4 +272,5 @@ def test_quantiles_by_brute_force(spark):
     assert aggregates.percentiles(df, "x", (0.5,)).first().p50 == pytest.approx(np.quantile([x for _, x in rows if x is not None], 0.5))
     assert aggregates.percentiles(df.limit(0), "x", (0.5,), ["g"]).count() == 0
     plan = aggregates.describe(df, "x", ["g"])._jdf.queryExecution().executedPlan().toString()
-    assert "percentile" not in plan and "median" not in plan.replace("AS median", "")
+    # sketches of fixed size are right, the built-in that gathers a group's values is not
+    assert "percentile" not in plan.replace("percentile_approx", "") and "median" not in plan.replace("AS median", "")
