@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairforge.operators import dictionary, language
+from pairforge.plans import runner
 from pairforge.plans.battery import query, table
 from pairforge.session import spread
 
@@ -69,3 +70,37 @@ def tr2_trained_language(spark, d):
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     model = language.fit(docs.filter(~held))
     return language.detected(docs, model).select("doc_id", held.alias("held_out"), "language", language.language_match("lang").alias("match"))
+
+
+_FRAMES = {
+    "s1": "sum(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)",
+    "s2": "max(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment GROUPS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP)",
+    "s3": "count(*) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey GROUPS BETWEEN 2 PRECEDING AND CURRENT ROW EXCLUDE TIES)",
+    "s4": "sum(c_custkey) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW)",
+}
+_FRAMED = f"SELECT c_custkey, {', '.join(f'{v} AS {k}' for k, v in _FRAMES.items())} FROM customer"
+
+
+@query(f"SELECT c_custkey, {', '.join(f'cast({k} AS bigint) AS {k}' for k in _FRAMES)} FROM ({_FRAMED})")
+def r_groups_frame(spark, d):
+    return runner.Runner(spark, {"customer": table(spark, d, "customer")}).query(_FRAMED).selectExpr("c_custkey", *[f"cast({k} AS bigint) AS {k}" for k in _FRAMES])
+
+
+_TERMS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+
+
+@query(rf"""
+    WITH d AS (SELECT doc_id, ' ' || array_to_string({_TERMS}, ' ') || ' ' AS t FROM documents),
+    m AS (
+        SELECT doc_id, contains(t, ' the ') AND NOT contains(t, ' that ') AS a, contains(t, ' in the ') OR contains(t, ' the') AND contains(t, ' of ') AS b,
+            regexp_matches(t, ' than ([^ ]+ ){{0,3}}in ') OR regexp_matches(t, ' in ([^ ]+ ){{0,3}}than ') AS c FROM d
+    )
+    SELECT doc_id, a, b, c FROM m WHERE a OR b OR c
+""")
+def r_match(spark, d):
+    r = runner.Runner(spark, {"documents": _documents(spark, d)})
+    r.add_index("documents", "text", "doc_id")
+    found = {"a": "the NOT that", "b": '"in the" OR the* of', "c": "NEAR(than in, 3)"}
+    each = [r.query(f"SELECT doc_id FROM documents WHERE text MATCH '{x}'").select("doc_id", F.lit(name).alias("name")) for name, x in found.items()]
+    all_of = each[0].union(each[1]).union(each[2])
+    return all_of.groupBy("doc_id").agg(*[F.max(F.col("name") == n).alias(n) for n in found])

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from pairforge.operators import fulltext
 from pairforge.plans import dialect
 
 
@@ -123,7 +124,7 @@ class Runner:
         self.session.conf.set("spark.sql.ansi.enabled", "false")
         for shim in dialect.SHIMS:
             self.session.sql(shim)
-        self.max_rows, self.columns, self.tables = max_rows, {}, []
+        self.max_rows, self.columns, self.tables, self.indexes = max_rows, {}, [], {}
         for name, df in (tables or {}).items():
             self.register(name, df)
 
@@ -142,9 +143,25 @@ class Runner:
         """The first of some names that is a view."""
         return next((c for c in candidates if self.session.catalog.tableExists(c)), None)
 
+    def add_index(self, name: str, column: str, key: str) -> None:
+        """Rows of a view whose ``column`` has to MATCH are found by an index of its terms; ``key`` tells the rows."""
+        self.indexes[column.lower()] = (key, fulltext.index(self.session.table(name), key, column))
+
+    def _found(self, column: str, expression: str) -> str:
+        """A condition that holds for the rows that a search finds."""
+        if column.lower() not in self.indexes:
+            raise dialect.UnsupportedQuery(f"MATCH without an index of {column}")
+        key, postings = self.indexes[column.lower()]
+        view = f"pairforge_found_{uuid.uuid4().hex}"
+        try:
+            fulltext.search(postings, expression).createOrReplaceTempView(view)
+        except fulltext.SearchError as e:
+            raise dialect.UnsupportedQuery(f"MATCH: {e}") from e
+        return f"`{key}` IN (SELECT key FROM {view})"
+
     def query(self, sql: str) -> DataFrame:
         """The rewritten query as a DataFrame."""
-        return self.session.sql(dialect.rewrite(sql, self.columns, tuple(self.tables)))
+        return self.session.sql(dialect.rewrite(sql, self.columns, tuple(self.tables), self._found))
 
     def run(self, sql: str) -> ExecResult:
         """Rows up to ``max_rows``, or the error."""

@@ -211,3 +211,65 @@ def test_more_like_sqlite(three, sql):
     want, got = run_sqlite(con, sql), runner.run(sql)
     assert got.status == want.status, (got.error, want.error)
     assert canonical(got.rows) == canonical(want.rows)
+
+
+# -- frames over groups of peers -----------------------------------------------------------------
+@pytest.fixture(scope="module")
+def peers(spark):
+    """120 rows with ties, nulls and a group without a value, in SQLite and as a table."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice("abc"), rng.choice([None, 1, 2, 2, 3, 5, 8]), rng.choice([None, *range(-4, 9)])) for i in range(120)] + [(200, "z", 1, None), (201, "z", 1, None)]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE TABLE t (id INTEGER, p TEXT, o INTEGER, x INTEGER)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows)
+    return con, Runner(spark, {"t": spark.createDataFrame(rows, "id long, p string, o long, x long").repartition(3)})
+
+
+FRAMES = [
+    "GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING", "GROUPS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "GROUPS 2 PRECEDING", "GROUPS BETWEEN 1 FOLLOWING AND 2 FOLLOWING", "GROUPS BETWEEN 3 PRECEDING AND 1 PRECEDING",
+    "GROUPS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING", "RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING", "",
+]
+
+
+@pytest.mark.parametrize("exclude", ["", "EXCLUDE NO OTHERS", "EXCLUDE CURRENT ROW", "EXCLUDE GROUP", "EXCLUDE TIES"])
+@pytest.mark.parametrize("part", ["PARTITION BY p ORDER BY o", "ORDER BY o DESC", "PARTITION BY p", "ORDER BY o, x"])
+def test_groups_and_exclude(peers, part, exclude):
+    con, runner = peers
+    # the number of rows and of values, sums, extremes and means within each frame
+    calls = [f"{f} OVER ({part} {frame or ('RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW' if exclude else '')} {exclude}) AS c{i}_{j}" for i, frame in enumerate(FRAMES) for j, f in enumerate(("count(*)", "count(x)", "sum(x + 1)", "max(x)", "min(x)", "avg(x)"))]
+    for k in range(0, len(calls), 16):
+        sql = f"SELECT id, {', '.join(calls[k : k + 16])} FROM t WHERE id <> 7 ORDER BY id"
+        want, got = run_sqlite(con, sql), runner.run(sql)
+        assert got.status == want.status == "rows", (sql, got.error, want.error)
+        for a, b in zip(got.rows, want.rows, strict=True):
+            assert a == pytest.approx(b), sql
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT *, sum(x) OVER (PARTITION BY p ORDER BY o GROUPS 1 PRECEDING) AS s FROM t ORDER BY id",
+        "SELECT u.id, sum(u.x) OVER w AS a, count(*) OVER w AS b FROM t AS u WHERE u.p = 'a' WINDOW w AS (ORDER BY u.o GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE TIES) ORDER BY u.id",
+        "SELECT id, s FROM (SELECT id, o, max(x) OVER (ORDER BY o GROUPS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS s FROM t) ORDER BY id",
+        "SELECT id, sum(x) OVER (ORDER BY id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS s FROM t ORDER BY id",
+        "SELECT id, first_value(id) OVER (PARTITION BY p ORDER BY id GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS f FROM t ORDER BY id",
+    ],
+)
+def test_frames_in_queries(peers, sql):
+    con, runner = peers
+    want, got = run_sqlite(con, sql), runner.run(sql)
+    assert (got.status, got.error) == ("rows", None), dialect.rewrite(sql, runner.columns, ("t",))
+    assert got.rows == want.rows
+
+
+def test_frames_without_a_form(peers):
+    runner = peers[1]
+    for sql in (
+        "SELECT sum(x) OVER (ORDER BY o ROWS 2 PRECEDING EXCLUDE GROUP) FROM t",
+        "SELECT sum(x) OVER (ORDER BY o RANGE 2 PRECEDING EXCLUDE TIES) FROM t",
+        "SELECT p, sum(count(*)) OVER (ORDER BY p GROUPS 1 PRECEDING) FROM t GROUP BY p",
+        "SELECT group_concat(x) OVER (ORDER BY o GROUPS 1 PRECEDING EXCLUDE TIES) FROM t",
+    ):
+        assert runner.run(sql).error.startswith("UNSUPPORTED"), sql
