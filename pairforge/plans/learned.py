@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pairforge.operators import dictionary, language
 from pairforge.plans import runner
 from pairforge.plans.battery import query, table
-from pairforge.session import spread
+from pairforge.session import scratch_path, spread
+from pairforge.sources import once_sink
+from pairforge.streaming import attempts
 
 #: Word characters, as both engines have them.
 _W = r"[\p{L}\p{N}_]"
@@ -104,3 +106,38 @@ def r_match(spark, d):
     each = [r.query(f"SELECT doc_id FROM documents WHERE text MATCH '{x}'").select("doc_id", F.lit(name).alias("name")) for name, x in found.items()]
     all_of = each[0].union(each[1]).union(each[2])
     return all_of.groupBy("doc_id").agg(*[F.max(F.col("name") == n).alias(n) for n in found])
+
+
+@query("SELECT c_custkey, c_nationkey, upper(c_name) AS name FROM customer WHERE c_nationkey < 15")
+def io11_io13_once_sink(spark, d):
+    """Batches with an id: two of them come again, one with other rows, and add nothing."""
+    path = scratch_path(spark, "once")
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.upper("c_name").alias("name"))
+    for first in (0, 5, 0, 10, 5):
+        once_sink.append(c.filter(F.col("c_nationkey").between(first, first + 4)), path, f"nations-{first}")
+    once_sink.append(c, path, "nations-0")
+    return once_sink.read(spark, path, c.schema)
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE turn <= 2 AND length(text) >= 90) WHERE k = 1")
+def tr8_attempts_stream(spark, d):
+    """Turns as attempts, the later ones first, into the exactly-once sink; a row at the end moves the time on."""
+    path = scratch_path(spark, "attempts")
+    kept = {k: spark.conf.get(k, None) for k in attempts.STATE_STORE}
+    schema = "conv_id long, turn int, n int, at timestamp"
+    start = F.timestamp_seconds(F.lit(1_700_000_000))
+    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), F.length("text").alias("n"), start.alias("at"))
+    once_sink.register(spark)
+    try:
+        for k, v in attempts.STATE_STORE.items():
+            spark.conf.set(k, v)
+        last = [(-1, 9, 0, 1_700_010_000 + i) for i in range(2)]
+        for part in (turns.filter("turn >= 2"), turns.filter("turn < 2"), *(spark.createDataFrame([r], "conv_id long, turn int, n int, at long").withColumn("at", F.timestamp_seconds("at")) for r in last)):
+            part.write.mode("append").parquet(f"{path}/drop")
+            stream = spark.readStream.schema(schema).parquet(f"{path}/drop").withColumn("attempt", F.col("turn") + 1).withWatermark("at", "1 minute")
+            out = attempts.first_kept(stream, "conv_id", "attempt", F.col("n") >= 90, "at")
+            out.writeStream.format("once").option("path", f"{path}/sink").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return once_sink.read(spark, f"{path}/sink", "conv_id long, turn int").select("conv_id", "turn")
