@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairforge.operators import dictionary, language
+from pairforge.operators import dictionary, language, metrics, tagging, vectors
 from pairforge.plans import runner
 from pairforge.plans.battery import query, table
 from pairforge.session import scratch_path, spread
@@ -141,3 +141,39 @@ def tr8_attempts_stream(spark, d):
         for k, v in kept.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return once_sink.read(spark, f"{path}/sink", "conv_id long, turn int").select("conv_id", "turn")
+
+
+_CLOSED = {"DET": "the a an this", "ADP": "of in on at with than", "CCONJ": "and or but", "SCONJ": "that because if while", "AUX": "is was are be"}
+
+
+def _tagged_by_rule(spark, d):
+    """A tagged table to learn from: the benchmark's sentences, by lists of words and endings."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split("text", r"(?<=[.!?])")).alias("s")).select(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"), F.lit(0)).alias("tokens"))
+
+    def tag(w):
+        low = F.lower(w)
+        out = F.when(~w.rlike(r"[\p{L}\p{N}]"), "PUNCT").when(w.rlike(r"^\p{N}+$"), "NUM")
+        for name, listed in _CLOSED.items():
+            out = out.when(low.isin(*listed.split()), name)
+        return out.when(low.rlike("(ed|ing|ate)$"), "VERB").when(low.rlike("ly$"), "ADV").when(low.rlike("(ous|ive|er|al)$"), "ADJ").otherwise("NOUN")
+
+    return words.select("tokens", F.transform("tokens", tag).alias("tags"))
+
+
+@query()
+def m11_m13_syntax(spark, d):
+    """Counts by tag, noun phrases and the composite from the texts themselves; tests have the tagger's brute force."""
+    tagger = tagging.fit(_tagged_by_rule(spark, d))
+    out = tagging.syntax(_documents(spark, d), tagger)
+    counts = [F.coalesce(F.col("tags")[t], F.lit(0)).alias(t.lower()) for t in ("NOUN", "VERB", "ADJ", "PUNCT")]
+    return out.select("doc_id", *counts, F.size("phrases").alias("phrases"), "sentences", F.round(metrics.nl_composite(), 8).alias("composite"))
+
+
+@query()
+def cr11_text_mentions(spark, d):
+    """How near each text comes to the longest word of the benchmark item of its number; tests have numpy's vectors."""
+    docs = _documents(spark, d)
+    items = table(spark, d, "benchmark").select("item_id", F.array_max(F.transform(vectors.words_of("text"), lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("entity"))
+    n = items.agg(F.max("item_id") + 1).first()[0]
+    pairs = docs.withColumn("item_id", F.col("doc_id") % n).join(items, "item_id").select("doc_id", "text", "entity")
+    return vectors.mentions(pairs, vectors.word_vectors(docs, width=16, powers=1), ["doc_id"]).select("doc_id", F.round("similarity", 6).alias("similarity"))
