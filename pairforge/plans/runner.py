@@ -254,19 +254,24 @@ def run_sqlite(con: sqlite3.Connection, sql: str, steps: int = 50_000_000, most:
 
 #: Queries that travel with one copy of their table, at about; results that are sent back together.
 GROUP, SENT = 256, 64
-RESULT = "status string, columns array<string>, result array<string>, error string, truncated boolean, outcome struct<n_rows:bigint,multiset:string,sequence:string>"
+RESULT = "status string, columns array<string>, result array<string>, error string, truncated boolean, outcome struct<n_rows:bigint,multiset:string,canonical:string,sequence:string>"
 _RESULT_NAMES = ("status", "columns", "result", "error", "truncated", "outcome")
 
 
 def with_tables(queries: DataFrame, tables: DataFrame, table_id: str = "table_id") -> DataFrame:
     """Groups of about ``GROUP`` rows of one table with that table: ``asked`` (the rows), ``name, header, types, rows``; nulls where there is none.
 
-    A hot table's rows are dealt over as many groups as it takes, so none grows with the data.
+    A hot table's rows are dealt over as many groups as it takes, so none grows with the data; equal rows are
+    counted, and the counts dealt in portions of a group's size.
     """
     rows = queries.select(F.col(table_id).alias("_id"), F.struct(*[f"`{c}`" for c in queries.columns]).alias("_row"))
-    many = rows.groupBy("_id").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_groups"))
-    dealt = rows.alias("r").join(many.alias("m"), F.col("r._id").eqNullSafe(F.col("m._id"))).select("r._id", "_row", F.pmod(F.xxhash64("_row"), F.col("_groups")).alias("_group"))
-    groups = dealt.groupBy("_id", "_group").agg(F.collect_list("_row").alias("asked"))
+    counted = rows.groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("_n"))
+    many = counted.groupBy("_id").agg(F.ceil(F.sum("_n") / GROUP).alias("_groups"))
+    portions = counted.withColumn("_portion", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / GROUP).cast("int"))))
+    placed = portions.alias("r").join(many.alias("m"), F.col("r._id").eqNullSafe(F.col("m._id")))
+    copies = F.array_repeat("_row", F.least(F.lit(GROUP), F.col("_n") - GROUP * F.col("_portion")).cast("int"))
+    dealt = placed.select("r._id", copies.alias("_rows"), F.pmod(F.xxhash64("_row", "_portion"), F.col("_groups")).alias("_group"))
+    groups = dealt.groupBy("_id", "_group").agg(F.flatten(F.collect_list("_rows")).alias("asked"))
     return groups.join(tables.select(F.col("id").alias("_id"), "name", "header", "types", "rows"), "_id", "left").select("asked", "name", "header", "types", "rows")
 
 
@@ -290,7 +295,7 @@ def execute_all(queries: DataFrame, tables: DataFrame, sql: str = "sql", table_i
 
     def ran(con: sqlite3.Connection | None, q: str | None) -> dict:
         r = ExecResult("error", error="no such table") if con is None else run_sqlite(con, q)
-        outcome = r.digests and {"n_rows": r.digests.n_rows, "multiset": r.digests.multiset, "sequence": r.digests.sequence}
+        outcome = r.digests and {"n_rows": r.digests.n_rows, "multiset": r.digests.multiset, "canonical": r.digests.canonical, "sequence": r.digests.sequence}
         return {"status": r.status, "columns": r.columns, "result": [json.dumps(v, ensure_ascii=False, default=str) for v in r.rows], "error": r.error, "truncated": r.truncated, "outcome": outcome}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +320,10 @@ def canonical_rows(result: str) -> Column:
 
 
 def results_match(a: str, b: str, ordered: bool = False) -> Column:
-    """Equality of two whole results by their ``outcome`` columns, row by row or as multisets; null outcomes match nothing."""
-    kind = "sequence" if ordered else "multiset"
+    """Equality of two whole results by their ``outcome`` columns, row by row or as multisets; null outcomes match nothing.
+
+    As with :func:`same_result`, whole floats are integers in both.
+    """
+    kind = "sequence" if ordered else "canonical"
     same = (F.col(a)["n_rows"] == F.col(b)["n_rows"]) & (F.col(a)[kind] == F.col(b)[kind])
     return F.coalesce(same, F.lit(False)).cast("double")

@@ -164,3 +164,31 @@ def test_digests_by_definition():
         assert got.sequence == hashlib.blake2b(b"".join(w.encode("utf-8", "surrogatepass") + b"\n" for w in whole), digest_size=32).hexdigest()
 
     check()
+
+
+def test_whole_floats_match_in_both_modes(spark):
+    """Results that are equal in order are equal as multisets, as same_result has it."""
+    from pairforge.plans import runner
+
+    tables = spark.createDataFrame([("t", "t", ["x"], ["integer"], [["1"], ["2"]])], "id string, name string, header array<string>, types array<string>, rows array<array<string>>")
+    pairs = [("SELECT 1.0", "SELECT 1"), ("SELECT x FROM t", "SELECT x * 1.0 FROM t"), ("SELECT x FROM t ORDER BY x", "SELECT x FROM t ORDER BY x DESC"), ("SELECT 1.5", "SELECT 1"), ("SELECT 'A', 2.0", "SELECT 'a', 2"), ("SELECT nope", "SELECT nope")]
+    df = spark.createDataFrame([(i, "t", a, b) for i, (a, b) in enumerate(pairs)], "id int, table_id string, a string, b string")
+    out = runner.execute_all(df, tables, "a").withColumnRenamed("outcome", "left").drop(*runner._RESULT_NAMES)
+    out = runner.execute_all(out, tables, "b").withColumnRenamed("outcome", "right")
+    got = {r.id: (r.o, r.m) for r in out.select("id", runner.results_match("left", "right", True).alias("o"), runner.results_match("left", "right").alias("m")).collect()}
+    assert got == {0: (1, 1), 1: (1, 1), 2: (0, 1), 3: (0, 0), 4: (0, 1), 5: (0, 0)}
+    con = __import__("sqlite3").connect(":memory:")
+    runner.load_sqlite(con, "t", ["x"], ["integer"], [["1"], ["2"]])
+    for i, (a, b) in enumerate(pairs):
+        assert got[i][1] == runner.same_result(runner.run_sqlite(con, a), runner.run_sqlite(con, b)), (a, b)
+
+
+def test_equal_rows_are_many_groups(spark):
+    from pairforge.plans import runner
+
+    tables = spark.createDataFrame([("t", "t", ["x"], ["integer"], [["1"]])], "id string, name string, header array<string>, types array<string>, rows array<array<string>>")
+    df = spark.range(20_000).select(F.lit("t").alias("table_id"), F.lit("SELECT x FROM t").alias("sql")).union(spark.createDataFrame([("u", "SELECT 1"), (None, "SELECT 2")], "table_id string, sql string"))
+    sizes = [r.n for r in runner.with_tables(df, tables).select(F.size("asked").alias("n")).collect()]
+    assert sum(sizes) == 20_002 and len(sizes) > 20_000 / runner.GROUP / 3 and max(sizes) < 12 * runner.GROUP
+    out = runner.execute_all(df, tables).groupBy("table_id", "status").count().collect()
+    assert sorted((r.table_id or "", r.status, r["count"]) for r in out) == [("", "error", 1), ("t", "rows", 20_000), ("u", "error", 1)]
