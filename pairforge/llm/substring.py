@@ -6,7 +6,7 @@ hashes of all its words and its owner, the smallest document that has it. A run
 is bucketed and sorted by the hashes, so a new batch is merge-joined with the
 runs where they lie: only the batch is shuffled, no text of earlier batches is
 read, and a match of the first hash is verified by the second. Compaction merges
-runs into one. A document gives up its windows except those it owns; the owned
+a few runs of like size into one of the next tier. A document gives up its windows except those it owns; the owned
 ones are gathered by document, so a passage that a third of all documents share
 is only ever aggregated, with partial sums before the shuffle.
 
@@ -20,8 +20,8 @@ an index that later batches meet (:func:`increment`) every window enters.
 Words are runs of bytes other than ASCII white space. Defined cases: a null text
 has no words; fewer words than a window never repeat; very long texts are taken
 whole; rows with equal ids count as one document and do not remove each other's
-words; rows with a null id neither lose words nor cause losses; ids are cast to
-64-bit integers; an empty table gives an empty result; other columns are ignored.
+words; rows with a null id neither lose words nor cause losses; ids may have any type with
+an order; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from pairforge.llm.storage import scratch_path, working, written
 
@@ -44,7 +45,7 @@ WINDOW, PIECE = 50, 10
 SLICE, WORDS = 1_500_000, 100_000
 #: Of so many parts of a whole table one is indexed first, as history.
 PARTS = 4
-#: Runs beyond which an increment compacts the index.
+#: Runs of one tier that are merged into one of the next.
 RUNS = 4
 
 
@@ -148,8 +149,14 @@ def _sliced(batch: pa.RecordBatch, text: int = 1) -> Iterator[tuple[pa.RecordBat
             begin, held = i + 1, 0
 
 
+def _kind(df: DataFrame) -> str:
+    """The type that ids have here: 64-bit for whole numbers, their own for others."""
+    kind = df.schema["doc_id"].dataType
+    return "bigint" if isinstance(kind, IntegralType) else kind.simpleString()
+
+
 def _documents(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return df.select(F.col("doc_id").cast(_kind(df)).alias("doc_id"), F.col(text).alias("text"))
 
 
 def anchors(df: DataFrame, text: str = "text") -> DataFrame:
@@ -169,7 +176,7 @@ def anchors(df: DataFrame, text: str = "text") -> DataFrame:
                 new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[new])), pa.array(found[new])], names=["doc_id", "anchor"])
 
-    return _documents(df, text).filter("doc_id is not null").mapInArrow(mapped, "doc_id long, anchor long")
+    return _documents(df, text).filter("doc_id is not null").mapInArrow(mapped, f"doc_id {_kind(df)}, anchor long")
 
 
 def _marked(df: DataFrame, own: DataFrame | None, text: str) -> DataFrame:
@@ -220,26 +227,33 @@ def _windows(marked: DataFrame) -> DataFrame:
                 which = _open(h, part, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(h.key(0, which)), pa.array(h.key(1, which)), part.column(0).take(pa.array(h.doc[which]))], names=["key1", "key2", "doc_id"])
 
-    rows = marked.mapInArrow(mapped, "key1 long, key2 long, doc_id long")
+    rows = marked.mapInArrow(mapped, f"key1 long, key2 long, doc_id {_kind(marked)}")
     return rows.groupBy("key1", "key2").agg(F.min("doc_id").alias("owner"))
 
 
 class FingerprintIndex:
     """Sorted immutable runs of (key1, key2, owner) in one folder.
 
-    ``runs`` lists the live ones; to open an index again, pass its path and what
-    they were. A run's name ends in its number of buckets, that of the shuffle
-    partitions when it was written, so a batch shuffled alike is joined in place.
+    ``runs`` lists the live ones, the oldest first; to open an index again, pass its path and what
+    they were, and the ids' type where they are no whole numbers. A run's name ends in its tier and
+    its number of buckets, that of the shuffle partitions when it was written, so a batch shuffled alike
+    is joined in place. Batches enter at tier 0; :meth:`settle` merges ``RUNS`` runs of one
+    tier into one of the next, so a window is written again once for each tier, which is
+    a logarithm of the number of batches.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, runs: list[str] | None = None):
-        self.spark, self.path = spark, path or scratch_path(spark, "fingerprint_index")
+    def __init__(self, spark: SparkSession, path: str | None = None, runs: list[str] | None = None, kind: str = "bigint"):
+        self.spark, self.path, self.kind = spark, path or scratch_path(spark, "fingerprint_index"), kind
         self.runs = list(runs or [])
 
-    def write(self, rows: DataFrame) -> str:
+    @staticmethod
+    def tier(run: str) -> int:
+        return int(run.split("_")[2].removeprefix("t"))
+
+    def write(self, rows: DataFrame, tier: int = 0) -> str:
         """One run's files; it is not yet part of the index."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        run = f"run_{uuid.uuid4().hex}_{n}"
+        run = f"run_{uuid.uuid4().hex}_t{tier}_{n}"
         rows.write.format("parquet").option("path", f"{self.path}/{run}").bucketBy(n, "key1", "key2").sortBy("key1", "key2").saveAsTable(f"pairforge_{run}")
         return run
 
@@ -247,13 +261,14 @@ class FingerprintIndex:
         """A run as a bucketed table, which another session may have written."""
         n = run.rpartition("_")[2]
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS pairforge_{run} (key1 BIGINT, key2 BIGINT, owner BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS pairforge_{run} (key1 BIGINT, key2 BIGINT, owner {self.kind}) USING parquet "
             f"CLUSTERED BY (key1, key2) SORTED BY (key1, key2) INTO {n} BUCKETS LOCATION '{self.path}/{run}'"
         )
         return self.spark.table(f"pairforge_{run}")
 
     def append(self, df: DataFrame, text: str = "text", own: DataFrame | None = None) -> str:
         """Add the windows of a batch of documents as a run."""
+        self.kind = _kind(df)
         self.runs.append(self.write(_windows(_marked(df, own, text))))
         return self.runs[-1]
 
@@ -264,10 +279,27 @@ class FingerprintIndex:
         joined = new.alias("n").join(run.alias("r").hint("merge"), same, how)
         return joined.select(F.coalesce("n.key1", "r.key1").alias("key1"), F.coalesce("n.key2", "r.key2").alias("key2"), F.least("n.owner", "r.owner").alias("owner"))
 
+    def _merged(self, runs: list[str]) -> str:
+        rows = self.read(runs[0])
+        for run in runs[1:]:
+            rows = self.met(rows, self.read(run), "full_outer")
+        return self.write(rows, 1 + max(map(self.tier, runs)))
+
+    def settle(self) -> None:
+        """Merge the runs of each tier that has ``RUNS`` of them, from the lowest on; the index is as large as before."""
+        tier = 0
+        while any(self.tier(r) >= tier for r in self.runs):
+            full = [r for r in self.runs if self.tier(r) == tier]
+            if len(full) >= RUNS:
+                at = self.runs.index(full[0])
+                merged = self._merged(full)
+                self.runs = [*self.runs[:at], merged, *[r for r in self.runs[at:] if r not in full]]
+            tier += 1
+
     def compact(self) -> DataFrame:
-        """Merge-join the runs into one, which takes their place; returns it."""
-        while len(self.runs) > 1:
-            self.runs = [self.write(self.met(self.read(self.runs[0]), self.read(self.runs[1]), "full_outer")), *self.runs[2:]]
+        """Merge all runs into one, which takes their place; returns it."""
+        if len(self.runs) > 1:
+            self.runs = [self._merged(self.runs)]
         return self.read(self.runs[0])
 
 
@@ -307,7 +339,7 @@ def _judged(marked: DataFrame, owners: DataFrame) -> DataFrame:
                 columns = [part.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return told.mapInArrow(mapped, "doc_id long, n_words long, n_removed long, kept string")
+    return told.mapInArrow(mapped, f"doc_id {_kind(marked)}, n_words long, n_removed long, kept string")
 
 
 def increment(df: DataFrame, index: FingerprintIndex, text: str = "text") -> DataFrame:
@@ -322,18 +354,23 @@ def increment(df: DataFrame, index: FingerprintIndex, text: str = "text") -> Dat
     owners = new
     for old in earlier:
         owners = index.met(owners, index.read(old), "left")
-    if len(index.runs) > RUNS:
-        index.compact()
+    index.settle()
     return _judged(_marked(df, None, text), owners)
 
 
 def deduplicate_table(df: DataFrame, parts: int = PARTS, text: str = "text") -> DataFrame:
-    """A whole table: one of ``parts`` hash parts of its documents becomes the first run, the others are merge-joined with it."""
+    """A whole table: one of ``parts`` hash parts of its documents is history, the others are merge-joined with it.
+
+    History comes as ``RUNS`` batches, each a run, which are then merged into one of the next tier.
+    """
     spark = df.sparkSession
     own = _own(df, text)
     index = FingerprintIndex(spark)
-    first = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(parts)) == 0
-    index.append(df.filter(first), text, own)
+    dealt = F.pmod(F.xxhash64(F.col("doc_id").cast(_kind(df))), F.lit(parts * RUNS))
+    first = dealt < RUNS
+    for batch in range(RUNS):
+        index.append(df.filter(dealt == batch), text, own)
+    index.settle()
     marked = _marked(df, own, text)
     # the same join as in the judgement, so that its shuffle of the texts is reused
     later = marked.select("doc_id", F.when(F.col("own").isNotNull() & ~first, F.col("text")).alias("text"), "own")

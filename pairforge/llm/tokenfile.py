@@ -27,7 +27,7 @@ to give each document its place in the whole.
 Defined cases: a null text is empty and so holds the end id alone; null ids
 come first; equal ids follow one another in the order of their texts; very long
 texts are kept whole, a shard then being longer than its bound by one document;
-an empty table gives no shards; ids are cast to 64-bit integers; further columns
+an empty table gives no shards; whole numbers as ids are 64-bit, others keep their type; further columns
 are ignored.
 """
 
@@ -44,10 +44,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegralType, _parse_datatype_string
 
 from pairforge.llm.storage import scratch_path, working
 
 MAGIC = b"RPR1"
+#: Columns of the files.
+FILE = "part int, shard int, part_start long, docs long, tokens long, blob binary"
 #: A shard is closed once it holds so many ids.
 SHARD_IDS = 500_000
 #: A pair becomes a rule while it occurs so often; most bits of the hash by which pairs are counted.
@@ -338,19 +342,23 @@ def write(df: DataFrame, ranks_path: str, pattern: str, path: str | None = None,
     path = path or scratch_path(spark, "token_shards")
     with open(ranks_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    narrow = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
+    whole = isinstance(df.schema[doc_id].dataType, IntegralType)
+    kind = "bigint" if whole else df.schema[doc_id].dataType.simpleString()
+    narrow = df.select(df[doc_id].cast(kind).alias("doc_id"), df[text].alias("text"))
     placed = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("tokenfile", _ENCODERS.clear)
         encoder = _encoder(shared.value, pattern)
         base, part = encoder.max_token_value + 1, TaskContext.get().partitionId()
-        names: list[int | None] = []
+        names: list = []
         ids: list[np.ndarray] = []
         held, before, shard = 0, 0, 0
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "part_start": [before], "docs": [len(names)], "tokens": [held], "blob": [pack(names, ids, base)]}, schema=arrow)
+            # ids that are no whole numbers stand beside the blob
+            own, beside = (names, {}) if whole else ([None] * len(names), {"doc_ids": [names]})
+            return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "part_start": [before], "docs": [len(names)], "tokens": [held], "blob": [pack(own, ids, base)]} | beside, schema=arrow)
 
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -364,44 +372,58 @@ def write(df: DataFrame, ranks_path: str, pattern: str, path: str | None = None,
         if names:
             yield row()
 
-    arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("part_start", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("blob", pa.binary())])
-    placed.mapInArrow(shards, "part int, shard int, part_start long, docs long, tokens long, blob binary").write.mode("overwrite").parquet(path)
+    schema = _parse_datatype_string(FILE if whole else f"{FILE}, doc_ids array<{kind}>")
+    arrow = to_arrow_schema(schema)
+    placed.mapInArrow(shards, schema).write.mode("overwrite").parquet(path)
     return path
 
 
+def _ids_beside(rows: DataFrame) -> tuple[str, list[str]]:
+    """The ids' type, and the column that has them where the blobs do not."""
+    if "doc_ids" not in rows.columns:
+        return "bigint", []
+    return rows.schema["doc_ids"].dataType.elementType.simpleString(), ["doc_ids"]
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` of each document in the files.
 
     The offsets of the parts are a running sum over one row for each range
     partition, so their broadcast is bounded by the number of partitions.
     """
-    rows = spark.read.schema("part int, shard int, part_start long, docs long, tokens long, blob binary").parquet(path)
+    rows = spark.read.parquet(path)
+    kind, beside = _ids_beside(rows)
     sums = rows.groupBy("part").agg(F.sum("tokens").alias("tokens"))
     begins = sums.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("base"))
-    placed = rows.join(F.broadcast(begins), "part").select((F.col("base") + F.col("part_start")).alias("start"), "blob")
+    placed = rows.join(F.broadcast(begins), "part").select((F.col("base") + F.col("part_start")).alias("start"), "blob", *beside)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, (start, blob) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 shard = Shard(blob.as_py())
                 flat = shard.all_ids().astype("<u4")
                 begins = shard.starts.astype(np.int64)
                 sizes = np.diff(np.append(begins, len(flat)))
                 view = memoryview(flat).cast("B")
                 sums = [zlib.crc32(view[4 * b : 4 * (b + n)]) for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(start + begins), pa.array(sizes), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                names = batch.column(2).slice(i, 1).flatten() if beside else pa.array(shard.doc_ids, pa.int64())
+                yield pa.RecordBatch.from_arrays([names, pa.array(start + begins), pa.array(sizes), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(documents, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id`` and ``ids array<long>`` of each document in the files."""
 
+    rows = spark.read.parquet(path)
+    kind, beside = _ids_beside(rows)
+
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column(0):
+            for k, blob in enumerate(batch.column(0)):
                 shard = Shard(blob.as_py())
+                names = batch.column(1).slice(k, 1).flatten() if beside else pa.array(shard.doc_ids, pa.int64())
                 for i in range(len(shard)):
-                    yield pa.RecordBatch.from_arrays([pa.array([shard.doc_ids[i]], pa.int64()), pa.array([shard.ids(i).tolist()], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([names.slice(i, 1), pa.array([shard.ids(i).tolist()], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return spark.read.parquet(path).select("blob").mapInArrow(documents, "doc_id long, ids array<long>")
+    return rows.select("blob", *beside).mapInArrow(documents, f"doc_id {kind}, ids array<long>")

@@ -68,6 +68,41 @@ def test_substring_increments(spark, docs, rows, tmp_path):
     assert not again.met(before, again.read(again.runs[0]), "full_outer").filter("owner is null").count()
 
 
+def test_tiers(spark, docs, monkeypatch):
+    """A window is written again once for each tier, however many batches come."""
+    written = []
+    real = substring.FingerprintIndex.write
+
+    def counted(self, rows, tier=0):
+        run = real(self, rows, tier)
+        written.append((tier, self.read(run).count()))
+        return run
+
+    monkeypatch.setattr(substring.FingerprintIndex, "write", counted)
+    index = substring.FingerprintIndex(spark)
+    batches, per = 17, 60
+    text = " ".join(f"w{i}" for i in range(per + substring.WINDOW - 1))
+    for k in range(batches):
+        index.append(spark.createDataFrame([(k, text.replace("w", f"b{k}w"))], "doc_id long, text string"))
+        index.settle()
+    # 17 batches: one of tier 2, one of tier 0; each window of the first 16 was written three times
+    assert [index.tier(r) for r in index.runs] == [2, 0]
+    assert sum(n for _, n in written) == per * (17 + 16 + 16) and [t for t, _ in written].count(1) == 4
+    assert sum(index.read(r).count() for r in index.runs) == per * batches
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_other_ids(spark, rows, kind):
+    named = [((None if r[0] is None else f"doc-{r[0]:03d}" if kind == "string" else r[0]), r[1]) for r in rows]
+    df = spark.createDataFrame(named, f"doc_id {kind}, text string").repartition(3)
+    assert sorted(map(tuple, substring.deduplicate_table(df).collect()), key=str) == sorted(brute_removal(named), key=str)
+    index = substring.FingerprintIndex(spark)
+    got = substring.increment(df, index).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_removal(named), key=str)
+    again = substring.FingerprintIndex(spark, index.path, index.runs, index.kind)
+    assert substring.increment(df.filter("text is null"), again).count() == 2
+
+
 def test_batch_meets_runs_without_moving_them(spark, docs):
     """The plan of a batch against a run shuffles and reads the batch alone."""
     index = substring.FingerprintIndex(spark)

@@ -134,3 +134,15 @@ def test_files(spark, docs, empty, rows, monkeypatch):
     ids = {r.doc_id: r.ids for r in tokenfile.read_ids(spark, path).collect()}
     assert ids[1] == [*np.frombuffer(library(rows[1][1]), "<u4").tolist(), 0]
     assert tokenfile.read(spark, tokenfile.write(empty, RANKS, public_tokenizers.PATTERN)).count() == 0
+
+
+def test_files_of_text_ids(spark, docs):
+    import public_tokenizers
+
+    named = docs.select(docs.doc_id, docs.text).selectExpr("concat('d', lpad(doc_id, 3, '0')) as doc_id", "text")
+    whole, texts = (tokenfile.write(d, RANKS, public_tokenizers.PATTERN) for d in (docs, named))
+    got = [sorted((r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.read(spark, p).collect()) for p in (whole, texts)]
+    assert got[0] == got[1]
+    ids = [sorted((r.doc_id is None, r.doc_id and int(str(r.doc_id).lstrip("d") or 0) or 0, r.ids) for r in tokenfile.read_ids(spark, p).collect()) for p in (whole, texts)]
+    assert ids[0] == ids[1]
+    assert tokenfile.read(spark, texts).schema["doc_id"].dataType.simpleString() == "string"
