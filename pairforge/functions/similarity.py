@@ -48,7 +48,12 @@ def matching_ratio(a: str, b: str) -> float:
 
 
 def best_window_ratio(a: str, b: str) -> float:
-    """The ratio of the shorter text to its best window in the longer."""
+    """The ratio of the shorter text to the best of some windows of its length in the longer.
+
+    These are the windows that put the shorter text where a matching block of both lies (from the
+    longer's beginning on, and shorter at its end); other windows are not tried, so the
+    best of all may be missed.
+    """
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 1.0 if not long else 0.0

@@ -143,19 +143,19 @@ _BIRD = "(SELECT CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS db_id, ' W
 def _bird(spark, d) -> str:
     k, path = F.col("c_custkey"), _shared(spark, "bird.json")
     item = F.struct(F.when(k % 5 > 0, F.col("c_mktsegment")).alias("db_id"), F.concat(F.lit(" Who is "), "c_name", F.lit("? ")).alias("question"), F.when(k % 7 > 0, F.concat(F.lit(" SELECT "), k)).alias("SQL"))
-    # a benchmark file is one JSON array, and so one value
-    table(spark, d, "customer").agg(F.to_json(F.collect_list(item)).alias("value")).coalesce(1).write.text(path)
+    # an array of some hundred items in each line, as one array over all rows would be one value
+    table(spark, d, "customer").groupBy(F.floor(k / 256)).agg(F.to_json(F.collect_list(item)).alias("value")).select("value").write.text(path)
     return path
 
 
 @query(f"SELECT coalesce(db_id, '') AS db_id, trim(question) AS question, trim(SQL) AS sql FROM {_BIRD} WHERE SQL IS NOT NULL")
 def io4_bird_scan(spark, d):
-    return catalog.read_bird(spark, _bird(spark, d)).select("db_id", "question", F.col("SQL").alias("sql"))
+    return catalog.read_bird(spark, _bird(spark, d), lines=True).select("db_id", "question", F.col("SQL").alias("sql"))
 
 
 @query("SELECT 7 AS n, 7 AS whole")
 def io5_bird_head(spark, d):
-    items = catalog.read_bird(spark, _bird(spark, d), 7)
+    items = catalog.read_bird(spark, _bird(spark, d), 7, lines=True)
     return items.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("SQL").startswith("SELECT ") & F.col("question").startswith("Who is")).alias("whole"))
 
 
@@ -1363,12 +1363,29 @@ def ev8_evolve_stage(spark, d):
     return stages.evolve(corpus.queries(spark, d), corpus.tables(spark, d)).select("row_id", "schema_change_type", "new_sql", "status", "db_query_match", "accepted")
 
 
-@query(f"SELECT row_id, 1.0 AS relaxed FROM {corpus.SQL}")
+def _judge(prompt: str) -> str:
+    """A judge that looks at the pair and answers in one of five forms."""
+    gold, _, predicted = prompt.removeprefix("Gold: ").partition("\nPredicted: ")
+    yes = gold.lower() == predicted.lower()
+    forms = (
+        json.dumps({"equivalent": yes, "why": "both {as read}"}),
+        f"Here is my verdict:\n```json\n{json.dumps({'match': 'yes' if yes else 'no'})}\n```",
+        "The two are equivalent." if yes else "They are not equivalent.",
+        f"score: {0.9 if yes else 0.1}",
+        "Yes, the same." if yes else "No, these are different.",
+    )
+    return forms[len(gold) % len(forms)]
+
+
+@query(f"SELECT row_id, CASE row_id % 4 WHEN 2 THEN CASE WHEN contains(sql, 'Balance') THEN 0.0 ELSE 1.0 END WHEN 3 THEN 0.0 ELSE 1.0 END AS relaxed FROM {corpus.SQL}")
 def qm7_relaxed_match(spark, d):
+    """Pairs that differ in their capitals, in nothing, in a column and in a limit."""
     from pairforge.plans import stages
 
-    pairs = corpus.queries(spark, d).select("row_id", F.col("sql").alias("gold"), F.upper("sql").alias("predicted"))
-    return stages.judged_match(pairs, "gold", "predicted", lambda: lambda text: '{"equivalent": true}').select("row_id", F.col("relaxed").cast("double").alias("relaxed"))
+    k = F.col("row_id") % 4
+    predicted = F.when(k == 0, F.upper("sql")).when(k == 1, F.col("sql")).when(k == 2, F.replace("sql", F.lit("Balance"), F.lit("Segment"))).otherwise(F.concat("sql", F.lit(" LIMIT 1")))
+    pairs = corpus.queries(spark, d).select("row_id", F.col("sql").alias("gold"), predicted.alias("predicted"))
+    return stages.judged_match(pairs, "gold", "predicted", lambda: _judge).select("row_id", F.col("relaxed").cast("double").alias("relaxed"))
 
 
 @query(f"SELECT row_id, table_id FROM {corpus.SQL} WHERE row_id > 3")

@@ -41,9 +41,13 @@ def last_of_each(tables: DataFrame, key: str = "id", order: str = "pos") -> Data
     return tables.groupBy(F.col(key).alias("_k")).agg(F.max_by(row, F.struct(order)).alias("_r")).select("_r.*")
 
 
-def read_bird(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Benchmark items; those without question or query are dropped, texts trimmed, no database is ''."""
-    raw = spark.read.schema(BIRD).option("multiLine", True).json(path)
+def read_bird(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
+    """Benchmark items; those without question or query are dropped, texts trimmed, no database is ''.
+
+    A file is one JSON array, which one task has to read; with ``lines`` each line is an item or an
+    array of its own, and files are split.
+    """
+    raw = spark.read.schema(BIRD).option("multiLine", not lines).json(path)
     items = raw.filter("question is not null and SQL is not null").select(F.coalesce("db_id", F.lit("")).alias("db_id"), F.trim("question").alias("question"), F.trim("SQL").alias("SQL"), "evidence")
     return items.limit(limit) if limit else items
 

@@ -140,3 +140,36 @@ def test_corruptions_of_all_queries(spark, data):
 
 def test_similarity_windows():
     assert similarity.best_window_ratio("abc", "xxabcxx") == 1.0 and similarity.best_window_ratio("", "a") == 0.0
+
+
+def blocks_of(a: str, b: str, at: int = 0, bt: int = 0) -> list[tuple[int, int]]:
+    """Where matching blocks begin in both, and where both end."""
+    best, i0, j0 = 0, 0, 0
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n > best:
+                best, i0, j0 = n, i, j
+    if not best:
+        return []
+    return [*blocks_of(a[:i0], b[:j0], at, bt), (at + i0, bt + j0), *blocks_of(a[i0 + best :], b[j0 + best :], at + i0 + best, bt + j0 + best)]
+
+
+def test_best_window_rule():
+    """The windows at matching blocks and no others, the empty block at the ends included."""
+    import random
+
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randint(0, n))) for n in (7, 14))
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        if not short:
+            want = 0.0 if long else 1.0
+        elif short in long:
+            want = 1.0
+        else:
+            begins = {max(0, j - i) for i, j in [*blocks_of(short, long), (len(short), len(long))]}
+            want = max(ratio(short, long[k : k + len(short)]) for k in begins)
+        assert similarity.best_window_ratio(a, b) == pytest.approx(want), (a, b)
