@@ -45,6 +45,8 @@ WINDOW, PIECE = 50, 10
 SLICE, WORDS = 1_500_000, 100_000
 #: Of so many parts of a whole table one is indexed first, as history.
 PARTS = 4
+#: Batches of a whole table's history.
+HISTORY = 2
 #: Runs of one tier that are merged into one of the next.
 RUNS = 4
 
@@ -237,13 +239,13 @@ class FingerprintIndex:
     ``runs`` lists the live ones, the oldest first; to open an index again, pass its path and what
     they were, and the ids' type where they are no whole numbers. A run's name ends in its tier and
     its number of buckets, that of the shuffle partitions when it was written, so a batch shuffled alike
-    is joined in place. Batches enter at tier 0; :meth:`settle` merges ``RUNS`` runs of one
+    is joined in place. Batches enter at tier 0; :meth:`settle` merges ``fanout`` runs of one
     tier into one of the next, so a window is written again once for each tier, which is
     a logarithm of the number of batches.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, runs: list[str] | None = None, kind: str = "bigint"):
-        self.spark, self.path, self.kind = spark, path or scratch_path(spark, "fingerprint_index"), kind
+    def __init__(self, spark: SparkSession, path: str | None = None, runs: list[str] | None = None, kind: str = "bigint", fanout: int = RUNS):
+        self.spark, self.path, self.kind, self.fanout = spark, path or scratch_path(spark, "fingerprint_index"), kind, fanout
         self.runs = list(runs or [])
 
     @staticmethod
@@ -286,11 +288,11 @@ class FingerprintIndex:
         return self.write(rows, 1 + max(map(self.tier, runs)))
 
     def settle(self) -> None:
-        """Merge the runs of each tier that has ``RUNS`` of them, from the lowest on; the index is as large as before."""
+        """Merge the runs of each tier that has ``fanout`` of them, from the lowest on; the index is as large as before."""
         tier = 0
         while any(self.tier(r) >= tier for r in self.runs):
             full = [r for r in self.runs if self.tier(r) == tier]
-            if len(full) >= RUNS:
+            if len(full) >= self.fanout:
                 at = self.runs.index(full[0])
                 merged = self._merged(full)
                 self.runs = [*self.runs[:at], merged, *[r for r in self.runs[at:] if r not in full]]
@@ -361,14 +363,14 @@ def increment(df: DataFrame, index: FingerprintIndex, text: str = "text") -> Dat
 def deduplicate_table(df: DataFrame, parts: int = PARTS, text: str = "text") -> DataFrame:
     """A whole table: one of ``parts`` hash parts of its documents is history, the others are merge-joined with it.
 
-    History comes as ``RUNS`` batches, each a run, which are then merged into one of the next tier.
+    History comes as ``HISTORY`` batches, each a run, which are then merged into one of the next tier.
     """
     spark = df.sparkSession
     own = _own(df, text)
-    index = FingerprintIndex(spark)
-    dealt = F.pmod(F.xxhash64(F.col("doc_id").cast(_kind(df))), F.lit(parts * RUNS))
-    first = dealt < RUNS
-    for batch in range(RUNS):
+    index = FingerprintIndex(spark, fanout=HISTORY)
+    dealt = F.pmod(F.xxhash64(F.col("doc_id").cast(_kind(df))), F.lit(parts * HISTORY))
+    first = dealt < HISTORY
+    for batch in range(HISTORY):
         index.append(df.filter(dealt == batch), text, own)
     index.settle()
     marked = _marked(df, own, text)
