@@ -13,6 +13,8 @@ from pairforge.functions import sqltext
 
 #: Relative rank error of the sketches that bracket a quantile, and rows of a group that needs no bracket.
 RANK_ERROR, SMALL = 1e-4, 1 << 16
+#: Values of so many bytes, as the plan estimates them, are put in order without brackets.
+SMALL_BYTES = 32 << 20
 
 
 def _group(by: Sequence[str]) -> Column:
@@ -29,12 +31,41 @@ def quantiles(df: DataFrame, column: str, points: Sequence[float], by: Sequence[
     brackets, again by partial aggregation, so all but some six ten-thousandths of a
     group's rows for each point are a handful of counts before anything is put in
     order. Ranks are exact: a quantile outside of its bracket, which the sketch's
-    guarantee rules out, would raise an error.
+    guarantee rules out, would raise an error. A column that is small as a whole, by the plan's own
+    estimate, goes without brackets; results are the same.
 
     Nulls and NaN are left out; groups without a value have no row.
     """
     x = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
     rows = df.select(_group(by).alias("_group"), x.alias("x")).filter("x is not null")
+    hits = _bracketed(rows, points, by) if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES else _counted(rows)
+    hits = hits.withColumn("hit", F.explode(F.filter(_ranks(points), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))))
+    value = F.when(F.col("between"), F.raise_error(F.lit("a quantile lies outside of its bracket")).cast("double")).otherwise(F.col("x"))
+    found = hits.groupBy("_group").agg(F.map_from_entries(F.collect_list(F.struct("hit", value))).alias("at"), F.first("total").alias("total"))
+
+    def at(p: float) -> Column:
+        r = p * (F.col("total") - 1)
+        low, high = F.col("at")[F.floor(r)], F.col("at")[F.ceil(r)]
+        return F.when(low == high, low).otherwise(low + (high - low) * (r - F.floor(r)))
+
+    return found.select("_group", F.array(*map(at, points)).alias("q"))
+
+
+def _ranks(points: Sequence[float]) -> Column:
+    """The ranks, from 0, that the points lie between."""
+    last = F.col("total") - 1
+    return F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p * last), F.ceil(p * last)) for p in points])))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Each value of a group with the rows up to it."""
+    counted = rows.groupBy("_group", "x").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("_group")
+    return counted.select("_group", "x", F.lit(False).alias("between"), "n", F.sum("n").over(group).alias("total"), F.sum("n").over(group.orderBy("x")).alias("upto"))
+
+
+def _bracketed(rows: DataFrame, points: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """The same for values within brackets, and for all rows between two brackets together."""
     low, high = ([min(max(p + side * 3 * RANK_ERROR, 0.0), 1.0) for p in points] for side in (-1, 1))
     sketch = F.percentile_approx("x", [*low, *high], round(1 / RANK_ERROR))
     groups = rows.groupBy("_group").agg(F.count("x").alias("total"), sketch.alias("_ends"))
@@ -51,17 +82,7 @@ def quantiles(df: DataFrame, column: str, points: Sequence[float], by: Sequence[
     counted = joined.select("_group", "total", F.when(inside, F.col("x")).otherwise(before).alias("x"), (~inside).alias("between"))
     counted = counted.groupBy("_group", "x", "between").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
     upto = F.sum("n").over(Window.partitionBy("_group").orderBy("x", "between")).alias("upto")
-    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p * (F.col("total") - 1)), F.ceil(p * (F.col("total") - 1))) for p in points])))
-    hits = counted.select("_group", "x", "between", "n", "total", upto).withColumn("hit", F.explode(F.filter(ranks, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))))
-    value = F.when(F.col("between"), F.raise_error(F.lit("a quantile lies outside of its bracket")).cast("double")).otherwise(F.col("x"))
-    found = hits.groupBy("_group").agg(F.map_from_entries(F.collect_list(F.struct("hit", value))).alias("at"), F.first("total").alias("total"))
-
-    def at(p: float) -> Column:
-        r = p * (F.col("total") - 1)
-        low, high = F.col("at")[F.floor(r)], F.col("at")[F.ceil(r)]
-        return F.when(low == high, low).otherwise(low + (high - low) * (r - F.floor(r)))
-
-    return found.select("_group", F.array(*map(at, points)).alias("q"))
+    return counted.select("_group", "x", "between", "n", "total", upto)
 
 
 def _with_quantiles(base: DataFrame, df: DataFrame, column: str, points: Sequence[float], by: Sequence[str]) -> DataFrame:

@@ -65,9 +65,21 @@ class Tagger:
     ends: dict[str, np.ndarray] = field(repr=False)
     """Counts of tags by word and by ending."""
     totals: np.ndarray
+    _met: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_met": {}}
 
     def emission(self, word: str) -> np.ndarray:
         """Log-likelihood of a word for each tag, up to a constant."""
+        got = self._met.get(word)
+        if got is None:
+            if len(self._met) > 200_000:
+                self._met.clear()
+            got = self._met[word] = self._emission(word)
+        return got
+
+    def _emission(self, word: str) -> np.ndarray:
         known = self.words.get(word.lower())
         if known is not None:
             return np.log(np.maximum(known / self.totals, FLOOR / self.totals))

@@ -244,7 +244,8 @@ def test_sql_functions(spark):
     assert tuple(spark.sql("SELECT word_count(' a  b '), squeeze(' a  b '), edit_ratio('ab', 'ac'), subquery_count('( SELECT 1)')").first()) == (2, "a b", 0.5, 1)
 
 
-def test_quantiles_by_brute_force(spark):
+@pytest.mark.parametrize("small", [0, 1 << 30])
+def test_quantiles_by_brute_force(spark, monkeypatch, small):
     """Ties, one row, a null group, nulls, infinities and outliers that put all other values into one cut."""
     import math
     import random
@@ -253,6 +254,7 @@ def test_quantiles_by_brute_force(spark):
 
     from pairforge.operators import aggregates
 
+    monkeypatch.setattr(aggregates, "SMALL_BYTES", small)
     rng = random.Random(5)
     rows = [(g, rng.choice([float(rng.randrange(20)), rng.random() * 1000, None])) for g in ("a", "b", None) for _ in range(700)]
     rows += [("one", 4.5), ("same", 2.0), ("same", 2.0), ("empty", None), ("far", 1e300), *[("far", rng.random()) for _ in range(101)], ("inf", math.inf), ("inf", 1.0), ("inf", 2.0)]
