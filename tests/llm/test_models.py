@@ -343,7 +343,7 @@ def test_swaps_of_long_documents_weigh_one():
 
 
 def test_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in q.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in q.QUERIES) == list(range(1, 14))
 
 
 def test_one_very_long_run(spark):
