@@ -18,7 +18,7 @@ texts without a token have zeros; ties go to the tag that is first by name.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -32,6 +32,8 @@ TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[^\w\s]|_")
 ENDS = frozenset(".!?")
 #: Words with counts of their own; letters of the longest ending; smoothing of transitions and of unknown tags.
 LEXICON, ENDING, ADDED, FLOOR = 500_000, 4, 0.1, 1e-6
+#: Sentences of one length that are decoded together.
+TOGETHER = 256
 PHRASE = frozenset(("DET", "ADJ", "NUM", "NOUN", "PROPN"))
 NOUNS = frozenset(("NOUN", "PROPN"))
 
@@ -94,20 +96,31 @@ class Tagger:
 
     def decode(self, words: Sequence[str]) -> list[str]:
         """The most probable tags."""
-        if not words or not self.tags:
-            return ["X"] * len(words)
-        best = self.start + self.emission(words[0])
-        back = []
-        for word in words[1:]:
-            each = best[:, None] + self.moves
-            back.append(each.argmax(0))
-            best = each.max(0) + self.emission(word)
-        at = int(best.argmax())
-        out = [at]
-        for step in reversed(back):
-            at = int(step[at])
-            out.append(at)
-        return [self.tags[i] for i in reversed(out)]
+        return self.decode_all([words])[0]
+
+    def decode_all(self, sentences: Sequence[Sequence[str]]) -> list[list[str]]:
+        """The most probable tags of each sentence; sentences of one length go through Viterbi's steps together."""
+        out: list[list[str]] = [["X"] * len(s) for s in sentences]
+        of_length: dict[int, list[int]] = defaultdict(list)
+        for i, s in enumerate(sentences):
+            if len(s) and self.tags:
+                of_length[len(s)].append(i)
+        for n, all_of in of_length.items():
+            for begin in range(0, len(all_of), TOGETHER):
+                some = all_of[begin : begin + TOGETHER]
+                each = np.array([[self.emission(w) for w in sentences[i]] for i in some])
+                best, back = self.start + each[:, 0], np.zeros((n, len(some), len(self.tags)), np.int64)
+                for k in range(1, n):
+                    reached = best[:, :, None] + self.moves
+                    back[k] = reached.argmax(1)
+                    best = reached.max(1) + each[:, k]
+                path = np.zeros((n, len(some)), np.int64)
+                path[-1] = best.argmax(1)
+                for k in range(n - 1, 0, -1):
+                    path[k - 1] = back[k, np.arange(len(some)), path[k]]
+                for i, tags in zip(some, path.T.tolist(), strict=True):
+                    out[i] = [self.tags[t] for t in tags]
+        return out
 
 
 def fit(tagged: DataFrame, tokens: str = "tokens", tags: str = "tags", lexicon: int = LEXICON) -> Tagger:
@@ -200,8 +213,10 @@ def syntax(df: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)
                 rows = []
-                for t in batch.column(at).to_pylist():
-                    tagged = [list(zip(s, own.decode(s), strict=True)) for s in sentences(t)]
+                split = [sentences(t) for t in batch.column(at).to_pylist()]
+                tags = iter(own.decode_all([s for text in split for s in text]))
+                for text in split:
+                    tagged = [list(zip(s, next(tags), strict=True)) for s in text]
                     rows.append((list(Counter(tag for s in tagged for _, tag in s).items()), [p for s in tagged for p in noun_phrases(s)], len(tagged), *metrics(tagged).values()))
                 kinds = [pa.map_(pa.string(), pa.int64()), pa.list_(pa.string()), pa.int64(), *[pa.float64()] * 4]
                 added = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
