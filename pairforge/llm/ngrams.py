@@ -196,27 +196,42 @@ class Trie:
         self.left, self.share = (np.frombuffer(p, "<u2") for p in parts[7:])
 
     @staticmethod
-    def _within(level: Level, pointers: Level, ranges: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of values within their ranges (or -1), and where the ranges begin."""
-        begin, end = pointers.at(ranges).astype(np.int64), pointers.at(ranges + 1).astype(np.int64)
-        lift = np.where(begin > 0, level.at(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
+    def _ranges(level: Level, pointers: Level, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where ranges of siblings begin and end, and by how much they are lifted."""
+        begin, end = pointers.at(of).astype(np.int64), pointers.at(of + 1).astype(np.int64)
+        return begin, end, np.where(begin > 0, level.at(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
+
+    @staticmethod
+    def _places(level: Level, begin: np.ndarray, end: np.ndarray, lift: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Places of values within their ranges, or -1."""
         place = level.find(values.astype(np.uint64) + lift)
-        return np.where((place >= begin) & (place < end), place, -1), begin
+        return np.where((place >= begin) & (place < end), place, -1)
 
     def ask(self, root: np.ndarray, middle: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the shares and of the left-over weights; 0 where the n-gram or the context is not there."""
-        share, left = np.zeros(len(root), "<u2"), np.zeros(len(root), "<u2")
-        at = self.roots.find(root.astype(np.uint64))
+        """Codes of the shares and of the left-over weights; 0 where the n-gram or the context is not there.
+
+        Neighbours of one context share its search.
+        """
+        share = np.zeros(len(root), "<u2")
+        heads = _begins(root, middle)
+        size = np.diff(np.append(heads, len(root)))
+        at = self.roots.find(root[heads].astype(np.uint64))
+        context = np.full(len(heads), -1)
         know = np.flatnonzero(at >= 0)
-        context, _ = self._within(self.middle, self.to_middle, at[know], middle[know])
-        know, context = know[context >= 0], context[context >= 0]
-        left[know] = self.left[context]
-        follow, begin = self._within(self.follow, self.to_follow, at[know], last[know])
-        some = follow >= 0
-        know, context, rank = know[some], context[some], (follow - begin)[some]
-        place, _ = self._within(self.last, self.to_last, context, rank)
-        share[know[place >= 0]] = self.share[place[place >= 0]]
-        return share, left
+        context[know] = self._places(self.middle, *self._ranges(self.middle, self.to_middle, at[know]), middle[heads[know]])
+        know = np.flatnonzero(context >= 0)
+        left = np.zeros(len(heads), "<u2")
+        left[know] = self.left[context[know]]
+        asked = np.flatnonzero(np.repeat(context >= 0, size))
+        of = np.repeat(np.arange(len(know)), size[know])
+        begin, end, lift = self._ranges(self.follow, self.to_follow, at[know])
+        follow = self._places(self.follow, begin[of], end[of], lift[of], last[asked])
+        some = np.flatnonzero(follow >= 0)
+        asked, of, rank = asked[some], of[some], follow[some] - begin[of[some]]
+        begin, end, lift = self._ranges(self.last, self.to_last, context[know])
+        place = self._places(self.last, begin[of], end[of], lift[of], rank)
+        share[asked[place >= 0]] = self.share[place[place >= 0]]
+        return share, np.repeat(left, size)
 
 
 # -- packed numbers ------------------------------------------------------------------------------
@@ -453,9 +468,15 @@ def answer_grams(messages: DataFrame, discount: float = DISCOUNT) -> DataFrame:
         root, middle, last, many = (np.concatenate(c) for c in zip(*asked, strict=True))
         sizes = [len(a[0]) for a in asked]
         del asked
-        context = root.astype(np.uint64) << np.uint64(32) | middle
-        order = np.lexsort((last, context))
-        new = _begins(context[order], last[order])
+        # each block's n-grams are in order already, which a stable sort makes use of
+        if root.any():
+            context = root.astype(np.uint64) << np.uint64(32) | middle
+            order = np.lexsort((last, context))
+            new = _begins(context[order], last[order])
+        else:
+            gram = middle.astype(np.uint64) << np.uint64(32) | last
+            order = np.argsort(gram, kind="stable")
+            new = _begins(gram[order])
         group = np.zeros(len(order), np.int64)
         group[new] = 1
         inverse = np.empty(len(order), np.int64)
