@@ -14,9 +14,10 @@ vector; null texts have no words; a corpus without pairs has no vectors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,29 +51,43 @@ def ppmi(counts: DataFrame) -> DataFrame:
     return out.select("a", "b", F.log(F.col("n").cast("double") * F.col("total") / (F.col("ma").cast("double") * F.col("mb"))).alias("v")).filter("v > 0")
 
 
-def _numbers(n: int) -> list[str]:
-    return [f"x{k}" for k in range(n)]
+def _rows(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), float).reshape(len(column), -1)
 
 
 def _product(matrix: DataFrame, thin: DataFrame, n: int) -> DataFrame:
-    """Rows (word, x0 ...) of the symmetric matrix times a thin one."""
-    return matrix.join(thin.withColumnRenamed("word", "b"), "b").groupBy(F.col("a").alias("word")).agg(*[F.sum(F.col("v") * F.col(x)).alias(x) for x in _numbers(n)])
+    """Rows (word, x) of the symmetric matrix times a thin one."""
+    summed = matrix.join(thin.withColumnRenamed("word", "b"), "b").groupBy(F.col("a").alias("word")).agg(*[F.sum(F.col("v") * F.col("x")[k]).alias(f"x{k}") for k in range(n)])
+    return summed.select("word", F.array(*[f"x{k}" for k in range(n)]).alias("x"))
 
 
 def _gram(thin: DataFrame, n: int) -> np.ndarray:
-    """The small matrix of all products of columns."""
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    sums = thin.agg(F.array(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).alias("s")).first().s
-    out = np.zeros((n, n))
-    for (i, j), s in zip(pairs, sums, strict=True):
-        out[i, j] = out[j, i] = s or 0.0
-    return out
+    """The small matrix of all products of columns: partitions send their sums, Spark adds them up."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            rows = _rows(batch.column(0)) if batch.num_rows else np.zeros((0, n))
+            total += rows.T @ rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * n)), pa.array(total.ravel())], names=["i", "v"])
+
+    out = np.zeros(n * n)
+    for r in thin.select("x").mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r.i] = r.v
+    return (out.reshape(n, n) + out.reshape(n, n).T) / 2
 
 
 def _times(thin: DataFrame, small: np.ndarray) -> DataFrame:
     """Each row times a small matrix."""
-    terms = [sum((F.col(f"x{i}") * float(small[i, k]) for i in range(1, small.shape[0])), F.col("x0") * float(small[0, k])) for k in range(small.shape[1])]
-    return thin.select("word", *[t.alias(f"x{k}") for k, t in enumerate(terms)])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = _rows(batch.column(1)) @ small
+                offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * small.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))], names=["word", "x"])
+
+    return thin.select("word", "x").mapInArrow(mapped, "word string, x array<double>")
 
 
 def _orthonormal(thin: DataFrame, n: int) -> tuple[DataFrame, int]:
@@ -80,27 +95,26 @@ def _orthonormal(thin: DataFrame, n: int) -> tuple[DataFrame, int]:
     values, directions = np.linalg.eigh(_gram(thin, n))
     keep = values > max(values.max(initial=0.0), 0.0) * 1e-12
     if not keep.any():
-        return thin.filter("false").select("word"), 0
+        return thin.filter("false"), 0
     return _times(thin, directions[:, keep] / np.sqrt(values[keep])), int(keep.sum())
 
 
 def factored(matrix: DataFrame, width: int = WIDTH, extra: int = EXTRA, powers: int = POWERS) -> DataFrame:
     """``word, vector``: the strongest directions of a symmetric matrix ``a, b, v``, each by the root of its weight."""
     n = width + extra
-    sign = [(1 - 2 * F.pmod(F.xxhash64("word", F.lit(k)), F.lit(2))).cast("double").alias(f"x{k}") for k in range(n)]
-    thin = matrix.select(F.col("b").alias("word")).distinct().select("word", *sign)
+    sign = F.array(*[(1 - 2 * F.pmod(F.xxhash64("word", F.lit(k)), F.lit(2))).cast("double") for k in range(n)])
+    thin = matrix.select(F.col("b").alias("word")).distinct().select("word", sign.alias("x"))
     for step in range(powers + 1):
         thin, n = _orthonormal(written(_product(matrix, thin, n), f"product_{step}"), n)
         if not n:
-            return thin.select("word", F.array().cast("array<double>").alias("vector"))
+            return thin.select("word", F.col("x").alias("vector"))
     # the matrix within the span: eigenvectors of the products' Gram matrix, as it is symmetric
     thin = written(thin, "span")
     values, directions = np.linalg.eigh(_gram(written(_product(matrix, thin, n), "within"), n))
     best = np.argsort(-values)[:width]
     weights = np.maximum(values[best], 0.0) ** 0.25  # the Gram matrix has squares, and a vector the root
     keep = weights > 0
-    out = _times(thin, directions[:, best[keep]] * weights[keep])
-    return out.select("word", F.array(*_numbers(int(keep.sum()))).alias("vector"))
+    return _times(thin, directions[:, best[keep]] * weights[keep]).select("word", F.col("x").alias("vector"))
 
 
 def word_vectors(df: DataFrame, text: str = "text", window: int = WINDOW, width: int = WIDTH, least: int = LEAST, powers: int = POWERS) -> DataFrame:
