@@ -123,13 +123,15 @@ def io11_io13_once_sink(spark, d):
 def tr8_attempts_stream(spark, d):
     """Turns as attempts, the later ones first, into the exactly-once sink; a row at the end moves the time on."""
     path = scratch_path(spark, "attempts")
-    kept = {k: spark.conf.get(k, None) for k in attempts.STATE_STORE}
+    # a state store for each core, as their number stays what it is at the stream's start
+    settings = attempts.STATE_STORE | {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    kept = {k: spark.conf.get(k, None) for k in settings}
     schema = "conv_id long, turn int, n int, at timestamp"
     start = F.timestamp_seconds(F.lit(1_700_000_000))
     turns = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), F.length("text").alias("n"), start.alias("at"))
     once_sink.register(spark)
     try:
-        for k, v in attempts.STATE_STORE.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         last = [(-1, 9, 0, 1_700_010_000 + i) for i in range(2)]
         for part in (turns.filter("turn >= 2"), turns.filter("turn < 2"), *(spark.createDataFrame([r], "conv_id long, turn int, n int, at long").withColumn("at", F.timestamp_seconds("at")) for r in last)):
