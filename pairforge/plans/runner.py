@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import marshal
 import sqlite3
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
+from itertools import batched, chain, islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,19 +83,44 @@ def _digest(text: str) -> int:
 _PLAIN = {str, int, type(None)}
 
 
-def digests(rows: Iterable[Sequence]) -> Digests:
-    """One pass over the rows, none of which is held. A multiset's digest is the sum of its rows' digests."""
+def _row_digests(r: Sequence) -> tuple[bytes, int, int]:
+    """A row's text in a sequence, and its digests in lower case and canonical."""
+    text = json.dumps(list(r), ensure_ascii=False, default=str)
+    low = canonical_ = _digest(text.lower())
+    if not _PLAIN.issuperset(map(type, r)):
+        text = json.dumps([int(v) if isinstance(v, float) and v.is_integer() else v for v in r], ensure_ascii=False, default=str)
+        canonical_ = _digest(_canonical_row(r))
+    return text.encode("utf-8", "surrogatepass") + b"\n", low, canonical_
+
+
+#: Rows whose digests are remembered.
+_SEEN = 200_000
+
+
+def digests(rows: Iterable[Sequence], seen: dict[bytes, tuple[bytes, int, int]] | None = None) -> Digests:
+    """One pass over the rows, none of which is held. A multiset's digest is the sum of its rows' digests.
+
+    ``seen`` remembers rows for the next results of the same table (tuples of SQLite's types).
+    """
     n, multiset, canonical_, sequence = 0, 0, 0, hashlib.blake2b(digest_size=32)
-    for n, r in enumerate(rows, 1):
-        text = json.dumps(list(r), ensure_ascii=False, default=str)
-        low = _digest(text.lower())
-        if not _PLAIN.issuperset(map(type, r)):
-            text = json.dumps([int(v) if isinstance(v, float) and v.is_integer() else v for v in r], ensure_ascii=False, default=str)
-            canonical_ += _digest(_canonical_row(r))
+    for some in batched(rows, 1000):
+        if seen is None:
+            each = [_row_digests(r) for r in some]
         else:
-            canonical_ += low
-        multiset += low
-        sequence.update(text.encode("utf-8", "surrogatepass") + b"\n")
+            each = []
+            for r in some:
+                key = marshal.dumps(r, 2)  # tells 1 from 1.0, and 0.0 from -0.0
+                got = seen.get(key)
+                if got is None:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    got = seen[key] = _row_digests(r)
+                each.append(got)
+        n += len(each)
+        texts, low, canonicals = zip(*each, strict=True)
+        sequence.update(b"".join(texts))
+        multiset += sum(low)
+        canonical_ += sum(canonicals)
     return Digests(n, *(f"{x % (1 << 256):064x}" for x in (multiset, canonical_)), sequence.hexdigest())
 
 
@@ -103,7 +131,7 @@ def same_result(a: ExecResult, b: ExecResult, ordered: bool = False) -> bool | N
     """
     if "error" in (a.status, b.status):
         return False
-    if a.truncated or b.truncated:
+    if a.truncated or b.truncated or a.digests and b.digests:
         x, y = (r.digests if r.truncated or r.digests else digests(r.rows) for r in (a, b))
         if x is None or y is None:
             return None
@@ -219,10 +247,10 @@ def load_sqlite(con: sqlite3.Connection, name: str, header: Sequence[str], types
     con.executemany('INSERT INTO "{}" VALUES ({})'.format(name.replace('"', '""'), ",".join("?" * n)), [[_value(r[i], kinds[i]) if i < len(r) else None for i in range(n)] for r in rows])
 
 
-def run_sqlite(con: sqlite3.Connection, sql: str, steps: int = 50_000_000, most: int = 10_000) -> ExecResult:
+def run_sqlite(con: sqlite3.Connection, sql: str, steps: int = 50_000_000, most: int = 10_000, seen: dict | None = None) -> ExecResult:
     """One read-only query, stopped after so many steps of SQLite's machine.
 
-    The first ``most`` rows are kept; the digests are of all rows.
+    The first ``most`` rows are kept; the digests are of all rows (``seen`` as of :func:`digests`).
     """
     if not sql or sql.lstrip()[:6].lower() not in ("select", "values") and sql.lstrip()[:4].lower() != "with":
         return ExecResult("error", error="not a query")
@@ -235,79 +263,91 @@ def run_sqlite(con: sqlite3.Connection, sql: str, steps: int = 50_000_000, most:
     con.set_progress_handler(tick, 1000)
     try:
         cursor = con.execute(sql)
-        kept: list[list] = []
-
-        def every() -> Iterator[tuple]:
-            for r in cursor:
-                if len(kept) < most:
-                    kept.append(list(r))
-                yield r
-
-        found = digests(every())
+        first = list(islice(cursor, most))
+        found = digests(chain(first, cursor), seen)
     except (sqlite3.Error, sqlite3.Warning, OverflowError) as e:
         return ExecResult("error", error=str(e))
     finally:
         con.set_progress_handler(None, 0)
     names = [d[0] for d in cursor.description or ()]
-    return ExecResult("rows" if kept else "empty", names, kept, None if kept else "No result found", found.n_rows > most, found)
+    return ExecResult("rows" if found.n_rows else "empty", names, [list(r) for r in first], None if found.n_rows else "No result found", found.n_rows > most, found)
 
 
-#: Queries that travel with one copy of their table, at about; results that are sent back together.
-GROUP, SENT = 256, 64
+#: Queries that travel with one copy of their table, at least and at most (twice the table's rows between them, so that
+#: copies grow no faster than queries do); groups of a table up to which equal queries stay together; results that are sent back together.
+GROUP, GROUP_MOST, TOGETHER, SENT = 256, 1 << 18, 16, 64
 RESULT = "status string, columns array<string>, result array<string>, error string, truncated boolean, outcome struct<n_rows:bigint,multiset:string,canonical:string,sequence:string>"
 _RESULT_NAMES = ("status", "columns", "result", "error", "truncated", "outcome")
 
 
-def with_tables(queries: DataFrame, tables: DataFrame, table_id: str = "table_id") -> DataFrame:
-    """Groups of about ``GROUP`` rows of one table with that table: ``asked`` (the rows), ``name, header, types, rows``; nulls where there is none.
+def with_tables(queries: DataFrame, tables: DataFrame, table_id: str = "table_id", sql: str = "sql") -> DataFrame:
+    """Groups of rows of one table with that table: ``asked`` (the rows), ``name, header, types, rows``; nulls where there is none.
 
-    A hot table's rows are dealt over as many groups as it takes, so none grows with the data; equal rows are
-    counted, and the counts dealt in portions of a group's size.
+    A group has about ``GROUP`` rows, or twice as many as its table where that is more. A hot table's rows are dealt over
+    as many groups as it takes, so none grows with the data; equal rows are counted, and the counts dealt in portions.
+    Equal queries of a table with few groups meet in one of them, and can be run once. Each group gets its own copy of
+    the table by key and group, so groups of one table are not bound to one task.
     """
     rows = queries.select(F.col(table_id).alias("_id"), F.struct(*[f"`{c}`" for c in queries.columns]).alias("_row"))
     counted = rows.groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("_n"))
-    many = counted.groupBy("_id").agg(F.ceil(F.sum("_n") / GROUP).alias("_groups"))
+    sizes = tables.select(F.col("id").alias("_id"), (2 * F.size("rows")).alias("_size"))
+    size = F.greatest(F.lit(GROUP), F.least(F.lit(GROUP_MOST), F.col("_size")))
+    many = counted.groupBy("_id").agg(F.sum("_n").alias("_all")).join(sizes, "_id", "left").select("_id", F.ceil(F.col("_all") / size).alias("_groups"))
     portions = counted.withColumn("_portion", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / GROUP).cast("int"))))
     placed = portions.alias("r").join(many.alias("m"), F.col("r._id").eqNullSafe(F.col("m._id")))
     copies = F.array_repeat("_row", F.least(F.lit(GROUP), F.col("_n") - GROUP * F.col("_portion")).cast("int"))
-    dealt = placed.select("r._id", copies.alias("_rows"), F.pmod(F.xxhash64("_row", "_portion"), F.col("_groups")).alias("_group"))
+    place = F.when(F.col("_groups") <= TOGETHER, F.xxhash64(F.col("_row")[sql])).otherwise(F.xxhash64("_row", "_portion"))
+    dealt = placed.select("r._id", copies.alias("_rows"), F.pmod(place, F.col("_groups")).alias("_group"))
     groups = dealt.groupBy("_id", "_group").agg(F.flatten(F.collect_list("_rows")).alias("asked"))
-    return groups.join(tables.select(F.col("id").alias("_id"), "name", "header", "types", "rows"), "_id", "left").select("asked", "name", "header", "types", "rows")
+    copied = tables.select(F.col("id").alias("_id"), "name", "header", "types", "rows").join(many, "_id").withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)))
+    return groups.join(copied, ["_id", "_group"], "left").select("asked", "name", "header", "types", "rows")
+
+
+def by_query(asked: pa.Array, sql: str) -> pa.Array:
+    """The rows of a group with equal queries side by side."""
+    return asked.take(pc.sort_indices(pc.struct_field(asked, sql)))
 
 
-def execute_all(queries: DataFrame, tables: DataFrame, sql: str = "sql", table_id: str = "table_id") -> DataFrame:
+def execute_all(queries: DataFrame, tables: DataFrame, sql: str = "sql", table_id: str = "table_id", most: int = 10_000) -> DataFrame:
     """Run each row's query on its own table; adds ``status``, ``columns``, ``result`` (rows as JSON), ``error``, ``truncated`` and ``outcome``.
 
-    ``result`` holds the first 10,000 rows, ``truncated`` tells that there are more.
+    ``result`` holds the first ``most`` rows, ``truncated`` tells that there are more.
     ``outcome`` stands for all rows (their number and digests) and is what
     :func:`results_match` compares; it is null after an error.
 
-    ``tables`` has (id, name, header, types, rows). Queries travel in groups of
-    about ``GROUP`` over one table, and a table is sent and loaded once for each
-    group; a table with a million queries is thousands of groups, which any task
-    may run. Rows without a table get an error.
+    ``tables`` has (id, name, header, types, rows). Queries travel in the groups of
+    :func:`with_tables`, and a table is sent and loaded once for each group; a table with
+    a million queries is many groups, which any task may run. Equal queries of a group
+    are run once. Rows without a table get an error.
     """
     kept = [f for f in queries.schema.fields if f.name not in _RESULT_NAMES]
     schema = T.StructType([*kept, *T._parse_datatype_string(RESULT).fields])
     arrow = to_arrow_schema(schema)
 
-    joined = with_tables(queries.select(*[f"`{f.name}`" for f in kept]), tables, table_id)
+    joined = with_tables(queries.select(*[f"`{f.name}`" for f in kept]), tables, table_id, sql)
 
-    def ran(con: sqlite3.Connection | None, q: str | None) -> dict:
-        r = ExecResult("error", error="no such table") if con is None else run_sqlite(con, q)
+    def ran(con: sqlite3.Connection | None, q: str | None, seen: dict) -> dict:
+        r = ExecResult("error", error="no such table") if con is None else run_sqlite(con, q, most=most, seen=seen)
         outcome = r.digests and {"n_rows": r.digests.n_rows, "multiset": r.digests.multiset, "canonical": r.digests.canonical, "sequence": r.digests.sequence}
         return {"status": r.status, "columns": r.columns, "result": [json.dumps(v, ensure_ascii=False, default=str) for v in r.rows], "error": r.error, "truncated": r.truncated, "outcome": outcome}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                asked, name, header, types, data = (c[i].as_py() for c in batch.columns)
+                asked = by_query(batch.column(0)[i].values, sql)
+                name, header, types, data = (c[i].as_py() for c in batch.columns[1:])
                 con = None
                 if header is not None:
                     con = sqlite3.connect(":memory:")
                     load_sqlite(con, name, header, types or [], data or [])
+                seen, last = {}, None
                 for begin in range(0, len(asked), SENT):
-                    yield pa.RecordBatch.from_pylist([row | ran(con, row[sql]) for row in asked[begin : begin + SENT]], schema=arrow)
+                    out = []
+                    for row in asked.slice(begin, SENT).to_pylist():
+                        if last is None or last[0] != row[sql]:
+                            last = row[sql], ran(con, row[sql], seen)
+                        out.append(row | last[1])
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
                 if con is not None:
                     con.close()
 
