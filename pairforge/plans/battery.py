@@ -1360,7 +1360,7 @@ def x7_generate(spark, d):
 def ev8_evolve_stage(spark, d):
     from pairforge.plans import stages
 
-    return stages.evolve(corpus.queries(spark, d), corpus.tables(spark, d)).select("row_id", "schema_change_type", "new_sql", "status", "db_query_match", "accepted")
+    return stages.evolve(corpus.queries(spark, d), corpus.tables(spark, d), most=0).select("row_id", "schema_change_type", "new_sql", "status", "db_query_match", "accepted")
 
 
 def _judge(prompt: str) -> str:

@@ -12,10 +12,11 @@ import json
 import re
 import sqlite3
 import time
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,11 +27,11 @@ from pairforge.functions.udf import vectorised
 from pairforge.operators import evolution, filters, rows, translation
 from pairforge.operators.corruption import Draw
 from pairforge.plans.dialect import rename_table, to_physical
-from pairforge.plans.runner import SENT, ExecResult, correct, load_sqlite, run_sqlite, same_result, with_tables
+from pairforge.plans.runner import SENT, ExecResult, by_query, correct, load_sqlite, run_sqlite, same_result, with_tables
 
 TextModel = Callable[[str], str]
 
-GENERATED = "table_id string, nl string, sql string, db_sql string, db_result array<string>, db_result_truncated boolean, reasoning string, seeding_type string, seeding_value string, attempts int"
+GENERATED = "table_id string, nl string, sql string, db_sql string, db_result array<string>, db_result_truncated boolean, db_result_rows bigint, reasoning string, seeding_type string, seeding_value string, attempts int"
 #: Batch experiments: which answer comes first, what seeds the query, or how a judge chooses.
 STRATEGIES = ("sql_to_nl", "nl_to_sql", "length", "persona", "judge_select", "judge_score")
 
@@ -59,8 +60,8 @@ def generate(tables: DataFrame, factory: Callable[[], TextModel] = rule_generato
 
     Tables alternate between keyword and persona seeding by ``pos``, unless
     ``seeding`` names one kind for all. The query
-    that is returned is the one whose result is returned. Tables without a result
-    after all attempts give no row.
+    that is returned is the one whose result is returned: its first 10,000 rows, and the number of all.
+    Tables without a result after all attempts give no row.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +92,7 @@ def generate(tables: DataFrame, factory: Callable[[], TextModel] = rule_generato
                 con.close()
                 if result.status == "rows":
                     db = to_physical(sql, header, t.name)
-                    out.append((t.id, said.get("question"), sql, db, [json.dumps(r, ensure_ascii=False, default=str) for r in result.rows], result.truncated, said.get("reasoning"), kind, value, attempts))
+                    out.append((t.id, said.get("question"), sql, db, [json.dumps(r, ensure_ascii=False, default=str) for r in result.rows], result.truncated, result.digests.n_rows if result.digests else len(result.rows), said.get("reasoning"), kind, value, attempts))
             yield pd.DataFrame(out, columns=[f.split()[0] for f in GENERATED.split(", ")])
 
     return tables.select("id", "name", "header", "types", "rows", "pos").mapInPandas(work, GENERATED)
@@ -168,13 +169,14 @@ def rule_change(header: Sequence[str], types: Sequence[str], kind: str, draw: Dr
     return evolution.Change("remove_column", columns=(column,))
 
 
-def evolve(df: DataFrame, tables: DataFrame, make=rule_change, kinds: Sequence[str] = evolution.KINDS[:5], seed: int = 42, key: str = "row_id", sql: str = "sql") -> DataFrame:
+def evolve(df: DataFrame, tables: DataFrame, make=rule_change, kinds: Sequence[str] = evolution.KINDS[:5], seed: int = 42, key: str = "row_id", sql: str = "sql", most: int = 10_000) -> DataFrame:
     """Each row's table changed, its query repaired and run on the changed table.
 
     ``make(header, types, kind, draw)`` gives the change; the kind is a seeded
     choice for each row. Values of untouched columns are kept by construction
     and checked for the number of rows. Whole results are compared as multisets;
-    ``db_result_after_change`` holds the first 10,000 rows.
+    ``db_result_after_change`` holds the first ``most`` rows. In a group, each changed table is
+    made once, and equal queries are run once on each table.
     """
     kept = df.schema.fields
     schema = T.StructType([*kept, *T._parse_datatype_string(EVOLVED).fields])
@@ -184,30 +186,64 @@ def evolve(df: DataFrame, tables: DataFrame, make=rule_change, kinds: Sequence[s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                asked, name, header, types, data = (c[i].as_py() for c in batch.columns)
-                for begin in range(0, len(asked), SENT):
-                    found = [(None, None, None, "error", [], False, None, False) if header is None else one(r, name, header, types or [], data or []) for r in asked[begin : begin + SENT]]
-                    yield pa.RecordBatch.from_pylist([r | dict(zip(names, x, strict=True)) for r, x in zip(asked[begin : begin + SENT], found, strict=True)], schema=arrow)
-
-    def one(r: dict, name: str, header: list[str], types: list[str], data: list[list]) -> tuple:
-        q, draw = r[sql], Draw(seed, str(r[key]))
-        change = make(header, types, draw.pick(list(kinds)), draw)
-        new_id = evolution.derived_id(r["table_id"], change, seed)
-        new_name = "table_" + new_id.replace("-", "_")
-        new_sql = evolution.repair(q, change)
-        if new_sql == evolution.UNANSWERABLE:
-            return change.kind, new_id, new_sql, evolution.UNANSWERABLE, [], False, None, False
-        new_sql = rename_table(new_sql, name, new_name)
-        con = sqlite3.connect(":memory:")
-        load_sqlite(con, name, header, types, data)
-        load_sqlite(con, new_name, *evolution.evolve_rows(header, types, data, change, seed))
-        before, after = run_sqlite(con, q), run_sqlite(con, new_sql)
-        con.close()
-        same = same_result(before, after)
-        good = after.status == "rows" if change.kind in ("add_column", "rename_column") else after.status != "error"
-        return change.kind, new_id, new_sql, after.status, [json.dumps(x, ensure_ascii=False, default=str) for x in after.rows], after.truncated, same, good
-
-    return with_tables(df, tables).mapInArrow(work, schema)
+                asked = by_query(batch.column(0)[i].values, sql)
+                name, header, types, data = (c[i].as_py() for c in batch.columns[1:])
+                if header is None:
+                    for begin in range(0, len(asked), SENT):
+                        yield sent((r, (None, None, None, "error", [], False, None, False)) for r in asked.slice(begin, SENT).to_pylist())
+                else:
+                    out = []
+                    for row in group(asked, name, header, types or [], data or []):
+                        out.append(row)
+                        if len(out) == SENT:
+                            yield sent(out)
+                            out = []
+                    if out:
+                        yield sent(out)
+
+    def sent(found: Iterable[tuple[dict, tuple]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([r | dict(zip(names, x, strict=True)) for r, x in found], schema=arrow)
+
+    def group(asked: pa.Array, name: str, header: list[str], types: list[str], data: list[list]) -> Iterator[tuple[dict, tuple]]:
+        """The rows of a group change by change, and within one query by query."""
+        changes: dict[tuple, tuple[evolution.Change, list[int]]] = {}
+        for at, (k, parent) in enumerate(zip(pc.struct_field(asked, key).to_pylist(), pc.struct_field(asked, "table_id").to_pylist(), strict=True)):
+            draw = Draw(seed, str(k))
+            change = make(header, types, draw.pick(list(kinds)), draw)
+            new_id = evolution.derived_id(parent, change, seed)
+            changes.setdefault((new_id, change.table, change.separator), (change, []))[1].append(at)
+        base = sqlite3.connect(":memory:")
+        load_sqlite(base, name, header, types, data)
+        base.commit()  # a copy waits for open transactions
+        seen: dict = {}
+        before: dict[str | None, ExecResult] = {}
+        for (new_id, _, _), (change, places) in changes.items():
+            new_name = "table_" + new_id.replace("-", "_")
+            con, last = None, None
+            for begin in range(0, len(places), SENT):
+                for r in asked.take(pa.array(places[begin : begin + SENT])).to_pylist():
+                    q = r[sql]
+                    if last is None or last[0] != q:
+                        new_sql = evolution.repair(q, change)
+                        if new_sql == evolution.UNANSWERABLE:
+                            last = q, (change.kind, new_id, new_sql, evolution.UNANSWERABLE, [], False, None, False)
+                        else:
+                            new_sql = rename_table(new_sql, name, new_name)
+                            if con is None:
+                                con = sqlite3.connect(":memory:")
+                                base.backup(con)
+                                load_sqlite(con, new_name, *evolution.evolve_rows(header, types, data, change, seed))
+                            if q not in before:
+                                before[q] = run_sqlite(base, q, most=0, seen=seen)
+                            after = run_sqlite(con, new_sql, most=most, seen=seen)
+                            good = after.status == "rows" if change.kind in ("add_column", "rename_column") else after.status != "error"
+                            last = q, (change.kind, new_id, new_sql, after.status, [json.dumps(x, ensure_ascii=False, default=str) for x in after.rows], after.truncated, same_result(before[q], after), good)
+                    yield r, last[1]
+            if con is not None:
+                con.close()
+        base.close()
+
+    return with_tables(df, tables, sql=sql).mapInArrow(work, schema)
 
 
 # -- translation -------------------------------------------------------------------------------------
