@@ -1353,7 +1353,7 @@ CASE WHEN n % 2 = 0 THEN cast(3 + cast(floor({_DRAWN} * 18) AS int) AS varchar)
 def x7_generate(spark, d):
     from pairforge.plans import stages
 
-    return stages.generate(corpus.tables(spark, d)).select("table_id", "sql", "db_sql", "seeding_type", "seeding_value", "attempts", F.size("db_result").alias("n_rows"))
+    return stages.generate(corpus.tables(spark, d)).select("table_id", "sql", "db_sql", "seeding_type", "seeding_value", "attempts", F.col("db_result_rows").alias("n_rows"))
 
 
 @query()
