@@ -52,6 +52,11 @@ def tr9_dictionary_matches(spark, d):
     return found.select("doc_id", F.size("found").cast("bigint").alias("n"), F.size(F.array_distinct(F.transform("found", lambda m: m["name"]))).cast("bigint").alias("names"))
 
 
+def _capitals(x):
+    """Capitals letter for letter, as the SQL has them: a letter whose capital is longer stays, and the sharp s has one."""
+    return F.array_join(F.transform(F.split(F.translate(x, "ß", "ẞ"), ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+
+
 @query(rf"""
     WITH {_NAMES},
     d AS (SELECT doc_id, text, {_TOKENS} AS l FROM documents),
@@ -61,7 +66,7 @@ def tr9_dictionary_matches(spark, d):
 """)
 def tr12_dictionary_substituted(spark, d):
     """Single words, so that SQL can say it; names of several words are tested by brute force."""
-    names = _names(spark, d).filter("name not like '% %'").select(F.col("name").alias("entity"), F.concat(F.lit("<"), F.upper("name"), F.lit(">")).alias("title"))
+    names = _names(spark, d).filter("name not like '% %'").select(F.col("name").alias("entity"), F.concat(F.lit("<"), _capitals("name"), F.lit(">")).alias("title"))
     return dictionary.substituted(_documents(spark, d), names).select("doc_id", F.sha2(F.col("substituted").cast("binary"), 256).alias("digest"))
 
 

@@ -154,3 +154,15 @@ def test_exact_split(spark, n):
     # windows are partitioned by bucket
     plan = seeded.exact_split(df, parts, 12, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") and all("[_bucket#" in line or "[_high#" in line for line in plan.splitlines() if "Window [" in line)
+
+
+def test_capitals_letter_for_letter(spark, tmp_path):
+    """The sharp s has one capital, as in the query's SQL, not two."""
+    import hashlib
+
+    from pairforge.plans import learned
+
+    spark.createDataFrame([(1, "Das Einßein, éclairs und ﬁnesse")], "doc_id long, text string").selectExpr("*", "'de' as lang").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "einßein éclairs ﬁnesse")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = learned.tr12_dictionary_substituted(spark, str(tmp_path)).first()
+    assert got.digest == hashlib.sha256("Das <EINẞEIN>, <ÉCLAIRS> und <ﬁNESSE>".encode()).hexdigest()
