@@ -273,3 +273,11 @@ def test_frames_without_a_form(peers):
         "SELECT group_concat(x) OVER (ORDER BY o GROUPS 1 PRECEDING EXCLUDE TIES) FROM t",
     ):
         assert runner.run(sql).error.startswith("UNSUPPORTED"), sql
+
+
+def test_frames_to_the_end_grow(peers):
+    """Frames of aggregates begin at the partition's end where they reach it; one that shrinks costs the square of its rows."""
+    runner = peers[1]
+    for exclude in ("", "EXCLUDE CURRENT ROW", "EXCLUDE GROUP", "EXCLUDE TIES"):
+        sql = f"SELECT id, sum(x) OVER (PARTITION BY p ORDER BY o GROUPS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING {exclude}) AS s FROM t"
+        assert "UNBOUNDED FOLLOWING" not in dialect.rewrite(sql, runner.columns, ("t",)).upper()
