@@ -52,19 +52,29 @@ def length_ok(original: str, translation: str, lo: float = RATIO[0], hi: float =
 
 def detected_language(x: str) -> Column:
     """By script, else by most function words, else null. A stand-in for a model."""
-    found = F.lit(None).cast("string")
-    counts = {lang: F.regexp_count(F.lower(F.col(x)), F.lit(r"(?U)\b(" + "|".join(ws) + r")\b")) for lang, ws in STOP_WORDS.items()}
-    best = F.greatest(*counts.values())
-    for lang, n in reversed(counts.items()):
-        found = F.when((best > 0) & (n == best), F.lit(lang)).otherwise(found)
+    listed = sorted({w for ws in STOP_WORDS.values() for w in ws})
+    # one search finds the words of all languages, and lambdas bind what it found, so that it is made once
+    hits = F.regexp_extract_all(F.lower(F.col(x)), F.lit(r"(?U)\b(" + "|".join(listed) + r")\b"), F.lit(1))
+    languages = F.array(*map(F.lit, STOP_WORDS))
+
+    def counted(words: Column) -> Column:
+        return F.array(*[F.size(F.filter(words, lambda w: w.isin(*ws))) for ws in STOP_WORDS.values()])
+
+    def most(counts: Column) -> Column:
+        return F.when(F.array_max(counts) > 0, F.element_at(languages, F.array_position(counts, F.array_max(counts)).cast("int")))
+
+    by_words = F.get(F.transform(F.transform(F.array(hits), counted), most), F.lit(0))
+    by_script = F.lit(None).cast("string")
     for lang, script in SCRIPTS.items():
-        found = F.when(F.col(x).rlike(script), F.lit(lang)).otherwise(found)
-    return found
+        by_script = F.when(F.col(x).rlike(script), F.lit(lang)).otherwise(by_script)
+    any_script = "[" + "".join(s[1:-1] for s in SCRIPTS.values()) + "]"
+    return F.when(F.col(x).rlike(any_script), by_script).otherwise(by_words)
 
 
-def language_match(x: str, expected: Column) -> Column:
-    """False below three characters, true where nothing is detected; informative only."""
-    return F.when(text.char_count(x) < 3, F.lit(False)).otherwise(F.coalesce(detected_language(x) == expected, F.lit(True)))
+def language_match(x: str, expected: Column, found: Column | None = None) -> Column:
+    """False below three characters, true where nothing is detected; informative only. ``found`` is the language, if it is known."""
+    language = detected_language(x) if found is None else found
+    return F.when(text.char_count(x) < 3, F.lit(False)).otherwise(F.coalesce(language == expected, F.lit(True)))
 
 
 def suspicious(x: str, strict_compat: bool = False) -> Column:

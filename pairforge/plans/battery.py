@@ -1079,7 +1079,7 @@ def cr4_select_list(spark, d):
 
 @query()
 def cr5_cr6_cr8_corrupted(spark, d):
-    q = corruption.with_plausible(corpus.queries(spark, d).withColumn("db_id", F.lit("x")), None)
+    q = corruption.with_plausible(spread(corpus.queries(spark, d)).withColumn("db_id", F.lit("x")), None)
     return corruption.corrupted(q, "sql", "row_id").select("row_id", "corrupted_sql", "corruption_count", "is_corrupted")
 
 
@@ -1191,7 +1191,7 @@ def tr12_substituted(spark, d):
     seg = F.lower("c_mktsegment")
     t = F.concat(F.lit("deal of "), F.lower("c_name"), F.lit(" and "), F.when(F.col("c_custkey") % 2 == 0, seg).otherwise(F.concat(seg, F.lit("s"))), F.lit(" in Nation"), "c_nationkey")
     names = F.create_map(F.col("c_name"), F.concat(F.lit("X"), "c_custkey"), F.col("c_mktsegment"), F.lit("Big Seg"), F.lit("customer"), F.lit("WRONG"))
-    return table(spark, d, "customer").select("c_custkey", similarity.substituted(t, names).alias("t"))
+    return spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")).select("c_custkey", similarity.substituted(t, names).alias("t"))
 
 
 @query("SELECT lang, count(*) AS n FROM customer, (VALUES ('es'), ('tr'), ('ru'), ('zh'), ('ja'), ('hi'), ('de'), ('uk'), ('kk'), ('ro')) AS t(lang) GROUP BY lang")
@@ -1206,7 +1206,8 @@ def ev18_schema_plan(spark, d):
 
 @query()
 def tr2_language(spark, d):
-    return table(spark, d, "documents").select("doc_id", translation.detected_language("text").alias("language"), translation.language_match("text", F.col("lang")).alias("match"))
+    found = spread(table(spark, d, "documents").select("doc_id", "text", "lang")).withColumn("language", translation.detected_language("text"))
+    return found.select("doc_id", "language", translation.language_match("text", F.col("lang"), F.col("language")).alias("match"))
 
 
 @query()
