@@ -139,10 +139,31 @@ def replace_longest_first(text: str, names: dict[str, str]) -> str:
     known = {k.lower(): v for k, v in names.items() if k and v is not None}
     if not known or not text:
         return text
+    if text.isascii() and all(map(str.isascii, known)):
+        return _replaced(text, known)
     pattern = "|".join(re.escape(k) for k in sorted(known, key=lambda k: (-len(k), k)))
     return re.sub(rf"(?i)(?<!\w)(?:{pattern})(?!\w)", lambda m: known[m[0].lower()], text)
 
 
+def _replaced(text: str, known: dict[str, str]) -> str:
+    """The same for ASCII, without compiling an expression for each row's names."""
+    low = text.lower()
+    found = []
+    for name in known:
+        at = low.find(name)
+        while at >= 0:
+            end = at + len(name)
+            if not (at and (low[at - 1].isalnum() or low[at - 1] == "_")) and not (end < len(low) and (low[end].isalnum() or low[end] == "_")):
+                found.append((at, -end, name))
+            at = low.find(name, at + 1)
+    out, last = [], 0
+    for at, end, name in sorted(found):
+        if at >= last:
+            out += [text[last:at], known[name]]
+            last = -end
+    return "".join(out) + text[last:]
+
+
 @vectorised("string")
 def substituted(text: pd.Series, names: pd.Series) -> pd.Series:
     """Entity substitution with a map column."""
