@@ -276,3 +276,58 @@ def test_quantiles_by_brute_force(spark, monkeypatch, small):
     plan = aggregates.describe(df, "x", ["g"])._jdf.queryExecution().executedPlan().toString()
     # sketches of fixed size are right, the built-in that gathers a group's values is not
     assert "percentile" not in plan.replace("percentile_approx", "") and "median" not in plan.replace("AS median", "")
+
+
+def test_stop_words_are_counted_as_one_by_one(spark):
+    """Words that several languages have, ties, scripts, marks and nulls: the same as one search for each language."""
+    import re as r
+
+    texts = ["the la de que des les", "de la", "la les le des des et", "Der die das und der", "és es en", "la ĺa the", "what? é", "câte sunt și", "мир the", "їжа the", "日本 the", "日本の the", "", None, "THE_the the", "mañana İs is"]
+    out = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", translation.detected_language("x").alias("a")).orderBy("i").collect()
+
+    def plain(t):
+        if t is None:
+            return None
+        scripts = {"hi": "[ऀ-ॿ]", "ja": "[぀-ヿ]", "zh": "[一-鿿]", "kk": "[әғқңөұүһӘҒҚҢӨҰҮҺ]", "uk": "[іїєґІЇЄҐ]", "ru": "[Ѐ-ӿ]"}
+        script = next((k for k, s in scripts.items() if r.search(s, t)), None)
+        words = r.findall(r"(?:\w|[̀-ͯ])+", t.lower())
+        counts = {k: sum(w in ws for w in words) for k, ws in translation.STOP_WORDS.items()}
+        best = max(counts.values())
+        return script or (next(k for k, n in counts.items() if n == best) if best else None)
+
+    assert [x.a for x in out] == [plain(t) for t in texts]
+    plan = spark.range(1).selectExpr("cast(id as string) as x").repartition(2).select(translation.detected_language("x").alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") == 1, plan
+
+
+def test_plain_names_are_replaced_as_by_one_expression():
+    """Names that touch, lie within each other, or repeat."""
+    import random
+    import re as r
+
+    from pairforge.functions.similarity import replace_longest_first
+
+    draw = random.Random(3)
+    for _ in range(3000):
+        text = "".join(draw.choice("aB _.b") for _ in range(14))
+        names = {"".join(draw.choice("abB .") for _ in range(draw.randint(1, 4))): f"<{i}>" for i in range(3)}
+        known = {k.lower(): v for k, v in names.items()}
+        pattern = "|".join(r.escape(k) for k in sorted(known, key=lambda k: (-len(k), k)))
+        want = r.sub(rf"(?i)(?<!\w)(?:{pattern})(?!\w)", lambda m: known[m[0].lower()], text)
+        assert replace_longest_first(text, names) == want, (text, names)
+
+
+def test_names_compile_no_expressions(monkeypatch):
+    from pairforge.functions import similarity
+
+    monkeypatch.setattr(similarity.re, "sub", lambda *a: pytest.fail("an expression for each row"))
+    assert similarity.replace_longest_first("deal of Customer#1", {"customer#1": "X"}) == "deal of X"
+
+
+def test_keywords_are_compiled_once(monkeypatch):
+    corruption.upper_keywords("select 1")
+    monkeypatch.setattr(corruption.re, "sub", lambda *a, **k: pytest.fail("an expression for each row"))
+    assert corruption.upper_keywords("select 'from' from t") == "SELECT 'from' FROM t"
+    read = []
+    monkeypatch.setattr(corruption, "eligible", lambda q: read.append(q) or [])
+    assert all(corruption.corrupt("SELECT a FROM t", str(i), rate=0.0) == ("SELECT a FROM t", 0) for i in range(9)) and not read
