@@ -68,21 +68,21 @@ def _bracketed(rows: DataFrame, points: Sequence[float], by: Sequence[str]) -> D
     """The same for values within brackets, and for all rows between two brackets together."""
     low, high = ([min(max(p + side * 3 * RANK_ERROR, 0.0), 1.0) for p in points] for side in (-1, 1))
     sketch = F.percentile_approx("x", [*low, *high], round(1 / RANK_ERROR))
-    groups = rows.groupBy("_group").agg(F.count("x").alias("total"), sketch.alias("_ends"))
-    joined = rows.join(groups, "_group") if by else rows.crossJoin(F.broadcast(groups.drop("_group")))
-    everything = (F.col("total") <= SMALL, float("-inf"), float("inf"))
+    # groups with brackets have SMALL rows each, so they are few beside the rows, which need not be put together by group
+    large = rows.groupBy("_group").agg(F.count("x").alias("_size"), sketch.alias("_ends")).filter(F.col("_size") > SMALL).select("_group", "_ends")
+    joined = rows.join(F.broadcast(large), "_group", "left")
 
     def end(i: int, p: float, outer: float) -> Column:
-        return F.lit(outer) if p in (0.0, 1.0) else F.when(everything[0], outer).otherwise(F.col("_ends")[i])
+        return F.lit(outer) if p in (0.0, 1.0) else F.coalesce(F.col("_ends")[i], F.lit(outer))
 
-    brackets = [(end(i, lo, everything[1]), end(len(points) + i, hi, everything[2])) for i, (lo, hi) in enumerate(zip(low, high, strict=True))]
+    brackets = [(end(i, lo, float("-inf")), end(len(points) + i, hi, float("inf"))) for i, (lo, hi) in enumerate(zip(low, high, strict=True))]
     inside = reduce(lambda a, b: a | b, (F.col("x").between(*b) for b in brackets))
     # rows between brackets stand behind the bracket that ends before them
     before = F.greatest(F.lit(float("-inf")), *[F.when(hi < F.col("x"), hi) for _, hi in brackets], F.lit(None).cast("double"))
-    counted = joined.select("_group", "total", F.when(inside, F.col("x")).otherwise(before).alias("x"), (~inside).alias("between"))
-    counted = counted.groupBy("_group", "x", "between").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
-    upto = F.sum("n").over(Window.partitionBy("_group").orderBy("x", "between")).alias("upto")
-    return counted.select("_group", "x", "between", "n", "total", upto)
+    counted = joined.select("_group", F.when(inside, F.col("x")).otherwise(before).alias("x"), (~inside).alias("between"))
+    counted = counted.groupBy("_group", "x", "between").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("_group")
+    return counted.select("_group", "x", "between", "n", F.sum("n").over(group).alias("total"), F.sum("n").over(group.orderBy("x", "between")).alias("upto"))
 
 
 def _with_quantiles(base: DataFrame, df: DataFrame, column: str, points: Sequence[float], by: Sequence[str]) -> DataFrame:

@@ -331,3 +331,19 @@ def test_keywords_are_compiled_once(monkeypatch):
     read = []
     monkeypatch.setattr(corruption, "eligible", lambda q: read.append(q) or [])
     assert all(corruption.corrupt("SELECT a FROM t", str(i), rate=0.0) == ("SELECT a FROM t", 0) for i in range(9)) and not read
+
+
+def test_rows_of_a_large_group_stay_where_they_are(spark, monkeypatch):
+    """Brackets come to the rows: no join puts all rows of a group in one task."""
+    monkeypatch.setattr(aggregates, "SMALL_BYTES", 0)
+    df = spark.range(300_000, numPartitions=4).selectExpr("if(id % 3 = 0, null, id % 2) as g", "pmod(id * 7919, 100003) / 4 as x")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = aggregates.quantiles(df, "x", [0.0, 0.25, 0.5, 1.0], ["g"])
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r._group.g: r.q for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    want = df.groupBy("g").agg(F.expr("percentile(x, array(0.0, 0.25, 0.5, 1.0))").alias("q")).collect()
+    assert got == {r.g: pytest.approx(r.q) for r in want}
