@@ -1385,7 +1385,7 @@ def qm7_relaxed_match(spark, d):
 
     k = F.col("row_id") % 4
     predicted = F.when(k == 0, F.upper("sql")).when(k == 1, F.col("sql")).when(k == 2, F.replace("sql", F.lit("Balance"), F.lit("Segment"))).otherwise(F.concat("sql", F.lit(" LIMIT 1")))
-    pairs = corpus.queries(spark, d).select("row_id", F.col("sql").alias("gold"), predicted.alias("predicted"))
+    pairs = spread(corpus.queries(spark, d)).select("row_id", F.col("sql").alias("gold"), predicted.alias("predicted"))
     return stages.judged_match(pairs, "gold", "predicted", lambda: _judge).select("row_id", F.col("relaxed").cast("double").alias("relaxed"))
 
 

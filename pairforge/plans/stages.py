@@ -297,15 +297,18 @@ def judged_match(df: DataFrame, gold: str, predicted: str, factory: Callable[[],
     @vectorised("string")
     def ask(a: pd.Series, b: pd.Series) -> pd.Series:
         model = factory()
-        return pd.Series([model(f"Gold: {x}\nPredicted: {y}") for x, y in zip(a, b, strict=True)])
+        known: dict[tuple, str] = {}
+        for pair in zip(a, b, strict=True):
+            if pair not in known:
+                known[pair] = model(f"Gold: {pair[0]}\nPredicted: {pair[1]}")
+        return pd.Series([known[pair] for pair in zip(a, b, strict=True)], dtype=object)
 
     from pairforge.functions.text import same_squeezed
 
     same = F.coalesce(same_squeezed(gold, predicted), F.lit(False))
-    equal = df.filter(same).withColumn("answer", F.lit('{"equivalent": true}'))
+    equal = df.filter(same).withColumn("answer", F.lit('{"equivalent": true}')).withColumn("relaxed", F.lit(1.0))
     rest = df.filter(~same).withColumn("answer", ask(F.col(gold), F.col(predicted)))
-    out = equal.unionByName(rest)
-    return out.withColumn("relaxed", relaxed_match("answer"))
+    return equal.unionByName(rest.withColumn("relaxed", relaxed_match("answer")))
 
 
 def timed(df: DataFrame, methods: Mapping[str, Callable[[DataFrame], DataFrame]]) -> list[tuple[str, float]]:

@@ -192,3 +192,15 @@ def test_equal_rows_are_many_groups(spark):
     assert sum(sizes) == 20_002 and len(sizes) > 20_000 / runner.GROUP / 3 and max(sizes) < 12 * runner.GROUP
     out = runner.execute_all(df, tables).groupBy("table_id", "status").count().collect()
     assert sorted((r.table_id or "", r.status, r["count"]) for r in out) == [("", "error", 1), ("t", "rows", 20_000), ("u", "error", 1)]
+
+
+def test_equal_pairs_have_one_answer(spark):
+    """A judge that changes its mind is asked once about pairs that are equal."""
+
+    def factory():
+        said = iter(range(1000))
+        return lambda prompt: f"score: {next(said) % 2}"
+
+    df = spark.range(20, numPartitions=1).selectExpr("id", "'SELECT a' as gold", "if(id = 0, 'SELECT  a', 'SELECT b') as predicted")
+    got = stages.judged_match(df, "gold", "predicted", factory).orderBy("id").collect()
+    assert [r.relaxed for r in got] == [1.0] + [0.0] * 19
