@@ -75,3 +75,31 @@ def test_mentions(spark, corpus):
 
 def test_without_pairs(spark):
     assert vectors.word_vectors(spark.createDataFrame([("one",), (None,)], "text string")).collect() == []
+
+
+def test_blocks(spark, monkeypatch):
+    """Vectors do not depend on chunks, pieces, blocks and columns, and are those of the pairs as rows; scratch is small."""
+    import random
+
+    rng = random.Random(1)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(rng.randint(0, 40))) for _ in range(80)] + ["w1 w2 " * 50] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    pairs = vectors.factored(vectors.ppmi(vectors.cooccurrences(df)), 8, powers=1)
+    want = {r.word: np.array(r.vector) for r in pairs.collect()}
+    for name, value in {"CHUNK": 700, "PIECE": 64, "BLOCK": 900, "TOGETHER": 3}.items():
+        monkeypatch.setattr(vectors, name, value)
+    got = {r.word: np.array(r.vector) for r in vectors.word_vectors(df, width=8, powers=1).collect()}
+    known, m = brute_ppmi(texts, vectors.WINDOW, vectors.LEAST)
+    assert got.keys() == want.keys() == {w for w, row in zip(known, m, strict=True) if row.any()}
+    a, b = (np.array([x[w] for w in sorted(got)]) for x in (got, want))
+    assert np.allclose(a @ a.T, b @ b.T, atol=1e-8)
+    rows = spark.createDataFrame([(i, t, "w1") for i, t in enumerate(texts)], "id int, text string, entity string")
+    found = {r.id: r.similarity for r in vectors.mentions(rows, vectors.word_vectors(df, width=8, powers=1), ["id"]).collect()}
+    assert len(found) == len(texts) and all(s == pytest.approx(1) for i, s in found.items() if "w1" in texts[i].split())
+
+
+def test_pairs_before_the_shuffle(spark):
+    """Equal pairs of a task travel once, under two numbers and one way round."""
+    df = spark.createDataFrame([(i, "alpha beta gamma delta " * 50) for i in range(20)], "id int, text string").repartition(1)
+    known, counted, _ = vectors._pair_counts(df, "text", 4, 2)
+    assert known.count() == 4 and sum(len(r.a) for r in counted.collect()) == 10
