@@ -97,13 +97,14 @@ def paired(a: DataFrame, b: DataFrame, on: Sequence[str], suffixes: tuple[str, s
 def with_table(df: DataFrame, tables: DataFrame, sql: str, table_key: str = "id") -> DataFrame:
     """Each query's row with the first of the tables that its text names and that exists, nulls if there is none.
 
-    The row travels with the names, so ``df`` is read once; ``tables`` has one row for each key.
+    The row travels with the first name, so ``df`` is read once and texts are sent once; ``tables`` has one row for each key.
     """
     row = df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[f"`{c}`" for c in df.columns]).alias("_q"), sqltext.table_ids(sql).alias("_ids"))
-    named = row.select("_row", "_q", F.posexplode_outer("_ids").alias("_at", "_id"))
+    named = row.select("_row", "_q", F.posexplode_outer("_ids").alias("_at", "_id")).withColumn("_q", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_q")))
     known = tables.select(F.col(table_key).alias("_id"), F.struct(*[f"`{c}`" for c in tables.columns]).alias("_t"))
-    hit = named.join(known, "_id", "left")
-    first = hit.groupBy("_row").agg(F.first("_q").alias("_q"), F.min_by("_t", F.when(F.col("_t").isNotNull(), F.col("_at"))).alias("_t"))
+    hit = named.join(known, "_id", "left").drop("_id").filter("_q is not null or _t is not null")
+    # dealt out before the aggregate, as an aggregate of rows sorts: it would sort in the join's tasks too, and names hardly meet there
+    first = hit.repartition("_row").groupBy("_row").agg(F.first("_q", ignorenulls=True).alias("_q"), F.min_by("_t", F.when(F.col("_t").isNotNull(), F.col("_at"))).alias("_t"))
     return first.select("_q.*", "_t.*")
 
 

@@ -347,3 +347,24 @@ def test_rows_of_a_large_group_stay_where_they_are(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     want = df.groupBy("g").agg(F.expr("percentile(x, array(0.0, 0.25, 0.5, 1.0))").alias("q")).collect()
     assert got == {r.g: pytest.approx(r.q) for r in want}
+
+
+def test_a_text_is_sent_once(spark):
+    """A query's text travels once, whatever number of tables it names; queries without a table keep their row."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    many = " ".join(f"table_1_1_{k}" for k in range(60))
+    df = spark.createDataFrame([(1, f"{many} {noise}"), (2, "none"), (3, None), (4, "table_9_9_9 table_1_1_7 table_1_1_3")], "row_id int, sql string")
+    known = spark.createDataFrame([(f"1-1-{k}", k) for k in range(3, 60)], "id string, item_id int")
+
+    def sent():
+        time.sleep(1)
+        return spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = sent()
+    kept = {r.row_id: r for r in rows.with_table(df, known, "sql").collect()}
+    assert sent() - before < 2_000_000
+    assert {k: r.item_id for k, r in kept.items()} == {1: 3, 2: None, 3: None, 4: 7} and kept[1].sql.endswith(noise)
