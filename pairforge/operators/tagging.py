@@ -18,7 +18,6 @@ texts without a token have zeros; ties go to the tag that is first by name.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -32,27 +31,21 @@ TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[^\w\s]|_")
 ENDS = frozenset(".!?")
 #: Words with counts of their own; letters of the longest ending; smoothing of transitions and of unknown tags.
 LEXICON, ENDING, ADDED, FLOOR = 500_000, 4, 0.1, 1e-6
-#: Sentences of one length that are decoded together.
-TOGETHER = 256
+#: Texts whose sentences are decoded together; words a task keeps the emissions of; sentences from which a step goes tag by tag.
+TOGETHER, KEPT, MANY = 512, 400_000, 48
 PHRASE = frozenset(("DET", "ADJ", "NUM", "NOUN", "PROPN"))
 NOUNS = frozenset(("NOUN", "PROPN"))
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """Tokens by sentence; a sentence ends behind . ! or ?"""
-    out, now = [], []
-    for token in TOKEN.findall(text or ""):
-        now.append(token)
-        if token in ENDS:
-            out.append(now)
-            now = []
-    return [*out, now] if now else out
+def shape(word: str) -> str:
+    """Whether a word has a digit, or else begins with a capital."""
+    return "#" if not word.isalpha() and any(c.isdigit() for c in word) else "^" if word[:1].isupper() else ""
 
 
 def endings(word: str) -> list[str]:
-    """A word's endings, the longest first, by whether it begins with a capital or has a digit."""
-    shape = "#" if any(c.isdigit() for c in word) else "^" if word[:1].isupper() else ""
-    return [f"{shape}~{word[-k:].lower()}" for k in range(min(ENDING, len(word)), 0, -1)] + [f"{shape}~"]
+    """A word's endings, the longest first, by its shape."""
+    of = shape(word)
+    return [f"{of}~{word[-k:].lower()}" for k in range(min(ENDING, len(word)), 0, -1)] + [f"{of}~"]
 
 
 @dataclass
@@ -67,26 +60,27 @@ class Tagger:
     ends: dict[str, np.ndarray] = field(repr=False)
     """Counts of tags by word and by ending."""
     totals: np.ndarray
-    _met: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    _met: dict[tuple[str, str], np.ndarray] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_met": {}}
 
     def emission(self, word: str) -> np.ndarray:
         """Log-likelihood of a word for each tag, up to a constant."""
-        got = self._met.get(word)
-        if got is None:
-            if len(self._met) > 200_000:
-                self._met.clear()
-            got = self._met[word] = self._emission(word)
-        return got
-
-    def _emission(self, word: str) -> np.ndarray:
         known = self.words.get(word.lower())
         if known is not None:
             return np.log(np.maximum(known / self.totals, FLOOR / self.totals))
-        if "PUNCT" in self.tags and not any(c.isalnum() for c in word):  # signs that the table does not have
+        if "PUNCT" in self.tags and not word.isalnum() and not any(c.isalnum() for c in word):  # signs that the table does not have
             return np.where(np.array(self.tags) == "PUNCT", 0.0, np.log(FLOOR)) - self.share
+        key = (shape(word), word[-ENDING:])  # all that its endings depend on
+        got = self._met.get(key)
+        if got is None:
+            if len(self._met) > KEPT:
+                self._met.clear()
+            got = self._met[key] = self._by_ending(word)
+        return got
+
+    def _by_ending(self, word: str) -> np.ndarray:
         chance = np.exp(self.share)
         for ending in reversed(endings(word)):
             counts = self.ends.get(ending)
@@ -99,30 +93,76 @@ class Tagger:
         return self.decode_all([words])[0]
 
     def decode_all(self, sentences: Sequence[Sequence[str]]) -> list[list[str]]:
-        """The most probable tags of each sentence; sentences of one length go through Viterbi's steps together."""
-        out: list[list[str]] = [["X"] * len(s) for s in sentences]
-        of_length: dict[int, list[int]] = defaultdict(list)
-        for i, s in enumerate(sentences):
-            if len(s) and self.tags:
-                of_length[len(s)].append(i)
-        for n, all_of in of_length.items():
-            for begin in range(0, len(all_of), TOGETHER):
-                some = all_of[begin : begin + TOGETHER]
-                each = np.array([[self.emission(w) for w in sentences[i]] for i in some])
-                best, back = self.start + each[:, 0], np.zeros((n, len(some), len(self.tags)), np.int64)
-                for k in range(1, n):
-                    reached = best[:, :, None] + self.moves
-                    back[k] = reached.argmax(1)
-                    best = reached.max(1) + each[:, k]
-                path = np.zeros((n, len(some)), np.int64)
-                path[-1] = best.argmax(1)
-                for k in range(n - 1, 0, -1):
-                    path[k - 1] = back[k, np.arange(len(some)), path[k]]
-                for i, tags in zip(some, path.T.tolist(), strict=True):
-                    out[i] = [self.tags[t] for t in tags]
+        """The most probable tags of each sentence."""
+        if not self.tags:
+            return [["X"] * len(s) for s in sentences]
+        met = Met(self)
+        lengths = np.array([len(s) for s in sentences], np.int64)
+        ids = met.numbers([w for s in sentences for w in s])
+        path = self.paths(met.each[ids], lengths)
+        names = [self.tags[t] for t in path]
+        ends = np.cumsum(lengths)
+        return [names[e - n : e] for e, n in zip(ends, lengths, strict=True)]
+
+    def paths(self, each: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The most probable tag of every token, by number; ``each`` has the tokens' emissions, sentence behind sentence.
+
+        All sentences go through Viterbi's steps together, the longest first, so that those still going on are the first rows.
+        """
+        n = len(self.tags)
+        order = np.argsort(-lengths, kind="stable")
+        begins, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+        steps = int(lengths[0]) if len(lengths) else 0
+        # how many sentences have a token at a step
+        going = len(lengths) - np.searchsorted(lengths[::-1], np.arange(steps), "right")
+        back, last = np.zeros((len(each), n), np.int16), np.zeros((len(lengths), n))
+        if steps:
+            last[: going[0]] = self.start + each[begins[: going[0]]]
+        for k in range(1, steps):
+            m = going[k]
+            best, at = last[:m], begins[:m] + k
+            if m < MANY:
+                reached = best[:, :, None] + self.moves
+                back[at], most = reached.argmax(1), reached.max(1)
+            else:
+                most, source = best[:, :1] + self.moves[0], np.zeros((m, n), np.int16)
+                for a in range(1, n):
+                    other = best[:, a : a + 1] + self.moves[a]
+                    source[other > most] = a
+                    np.maximum(most, other, out=most)
+                back[at] = source
+            last[:m] = most + each[at]
+        out, tag = np.zeros(len(each), np.int64), last.argmax(1)
+        for k in range(steps - 1, -1, -1):
+            m = going[k]
+            at = begins[:m] + k
+            out[at] = tag[:m]
+            if k:
+                tag[:m] = back[at, tag[:m]]
         return out
 
 
+class Met:
+    """The words that a task has met, numbered, with what the steps need of each."""
+
+    def __init__(self, tagger: Tagger):
+        self.tagger, self.at = tagger, {}
+        self.each, self.solid, self.ends = np.zeros((0, len(tagger.tags))), np.zeros(0, bool), np.zeros(0, bool)
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        new = list(dict.fromkeys(w for w in tokens if w not in self.at))
+        if len(self.at) + len(new) > KEPT and self.at:
+            self.__init__(self.tagger)
+            return self.numbers(tokens)
+        if new:
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            if self.tagger.tags:
+                self.each = np.concatenate([self.each, [self.tagger.emission(w) for w in new]])
+            self.solid = np.concatenate([self.solid, [w[0].isalnum() for w in new]])
+            self.ends = np.concatenate([self.ends, [w in ENDS for w in new]])
+        return np.fromiter(map(self.at.__getitem__, tokens), np.int64, len(tokens))
+
+
 def fit(tagged: DataFrame, tokens: str = "tokens", tags: str = "tags", lexicon: int = LEXICON) -> Tagger:
     """A tagger from rows of parallel arrays of tokens and tags."""
     rows = tagged.select(F.filter(F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("t")), lambda x: x["w"].isNotNull() & x["t"].isNotNull()).alias("s")).filter("size(s) > 0")
@@ -158,47 +198,69 @@ def fit(tagged: DataFrame, tokens: str = "tokens", tags: str = "tags", lexicon:
         )
 
 
-def metrics(tagged: list[list[tuple[str, str]]]) -> dict[str, float]:
-    """The syntax metrics of a text's tagged sentences."""
-    before = words = constituents = subordinate = coordinate = 0
-    for sentence in tagged:
-        solid = [(w, t) for w, t in sentence if t != "PUNCT" and (w[0].isalnum())]
-        words += len(solid)
-        before += next((i for i, (_, t) in enumerate(solid) if t == "VERB"), len(solid))
-        run: list[str] = []
-        for t in [*(t for _, t in sentence), None]:
-            if t in PHRASE:
-                run.append(t)
-                continue
-            while run and run[-1] not in NOUNS:
-                run.pop()
-            constituents += len(run) > 1
-            run = []
-        tags = Counter(t for _, t in sentence)
-        constituents += tags["ADP"] + (tags["VERB"] if len(solid) > 1 else 0)
-        subordinate += tags["SCONJ"]
-        coordinate += tags["CCONJ"]
-    n = max(len(tagged), 1)
-    return {"before_verb": before / n, "constituents_per_word": constituents / words if words else 0.0, "subordinate": subordinate / n, "coordinate": coordinate / n}
-
-
 _METRICS = ("before_verb", "constituents_per_word", "subordinate", "coordinate")
 _ADDED = [StructField("tags", MapType(StringType(), LongType())), StructField("phrases", ArrayType(StringType())), StructField("sentences", LongType()), *(StructField(c, DoubleType()) for c in _METRICS)]
 
 
-def noun_phrases(sentence: list[tuple[str, str]]) -> list[str]:
-    """Runs of determiners, adjectives, numbers and nouns that end in a noun."""
-    out, run = [], []
-    for w, t in [*sentence, ("", "")]:
-        if t in PHRASE:
-            run.append((w, t))
-            continue
-        while run and run[-1][1] not in NOUNS:
-            run.pop()
-        if run:
-            out.append(" ".join(x for x, _ in run))
-        run = []
-    return out
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of consecutive parts; an empty part has 0."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], ends])])
+
+
+def _described(texts: list[str | None], met: Met) -> list[pa.Array]:
+    """The added columns of some texts."""
+    tagger = met.tagger
+    names = tagger.tags or ["X"]
+    listed = [TOKEN.findall(t or "") for t in texts]
+    tokens = [w for words in listed for w in words]
+    ids = met.numbers(tokens)
+    size = np.array([len(words) for words in listed], np.int64)
+    # a sentence ends behind its sign, and with its text
+    closing = met.ends[ids]
+    closing[np.cumsum(size)[size > 0] - 1] = True
+    ends = np.flatnonzero(closing) + 1
+    lengths = np.diff(ends, prepend=0)
+    begins = ends - lengths
+    per_text = _sums(closing, np.cumsum(size))
+    of_text = np.cumsum(per_text)  # the sentences before the end of each text
+    tags = tagger.paths(met.each[ids], lengths) if tagger.tags else np.zeros(len(ids), np.int64)
+
+    def is_any(*wanted: str) -> np.ndarray:
+        return np.array([t in wanted for t in names])[tags]
+
+    solid = met.solid[ids] & ~is_any("PUNCT")
+    verb = is_any("VERB")
+    words = _sums(solid, ends)
+    # solid words before the first verb of each sentence
+    at = np.arange(len(ids))
+    first = np.minimum.reduceat(np.where(solid & verb, at, len(ids)), begins) if len(ends) else at
+    so_far = np.concatenate([[0], np.cumsum(solid)])
+    before = so_far[np.where(first < len(ids), first, ends)] - so_far[begins]
+    # runs of phrase tags up to their last noun
+    inside = np.flatnonzero(is_any(*PHRASE))
+    opening = np.zeros(len(ids), bool)
+    opening[begins] = True
+    fresh = np.flatnonzero(opening[inside] | (np.diff(inside, prepend=-2) != 1))
+    noun = np.maximum.reduceat(np.where(is_any(*NOUNS)[inside], inside, -1), fresh) if len(inside) else inside
+    begin, end = inside[fresh][noun >= 0], noun[noun >= 0] + 1
+    text_of = np.repeat(np.arange(len(texts)), size)
+    found = np.bincount(text_of[begin], minlength=len(texts))
+    constituents = np.bincount(text_of[begin[end - begin > 1]], minlength=len(texts)) + _sums(is_any("ADP"), np.cumsum(size)) + _sums(np.where(words > 1, _sums(verb, ends), 0), of_text)
+    total, n = _sums(words, of_text), np.maximum(per_text, 1)
+    counts = np.bincount(text_of * len(names) + tags, minlength=len(texts) * len(names)).reshape(len(texts), len(names))
+    which, tag = np.nonzero(counts)
+
+    def offsets(sizes: np.ndarray) -> pa.Array:
+        return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+    return [
+        pa.MapArray.from_arrays(offsets((counts > 0).sum(1)), pa.array([names[t] for t in tag], pa.string()), pa.array(counts[which, tag].astype(np.int64))),
+        pa.ListArray.from_arrays(offsets(found), pa.array([" ".join(tokens[b:e]) for b, e in zip(begin.tolist(), end.tolist(), strict=True)], pa.string())),
+        pa.array(per_text.astype(np.int64)),
+        pa.array(_sums(before, of_text) / n),
+        pa.array(np.where(total > 0, constituents / np.maximum(total, 1), 0.0)),
+        *[pa.array(_sums(is_any(t), np.cumsum(size)) / n) for t in ("SCONJ", "CCONJ")],
+    ]
 
 
 def syntax(df: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
@@ -208,18 +270,10 @@ def syntax(df: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(tagger)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        met = Met(shared.value)
         for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                batch = whole.slice(begin, 256)
-                rows = []
-                split = [sentences(t) for t in batch.column(at).to_pylist()]
-                tags = iter(own.decode_all([s for text in split for s in text]))
-                for text in split:
-                    tagged = [list(zip(s, next(tags), strict=True)) for s in text]
-                    rows.append((list(Counter(tag for s in tagged for _, tag in s).items()), [p for s in tagged for p in noun_phrases(s)], len(tagged), *metrics(tagged).values()))
-                kinds = [pa.map_(pa.string(), pa.int64()), pa.list_(pa.string()), pa.int64(), *[pa.float64()] * 4]
-                added = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *[f.name for f in _ADDED]])
+            for begin in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(begin, TOGETHER)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *_described(batch.column(at).to_pylist(), met)], names=[*batch.schema.names, *[f.name for f in _ADDED]])
 
     return kept.mapInArrow(mapped, StructType([*kept.schema.fields, *_ADDED]))

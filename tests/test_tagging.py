@@ -98,3 +98,54 @@ def test_without_a_table(spark):
     t = tagging.fit(spark.createDataFrame([], "tokens array<string>, tags array<string>"))
     assert t.decode(["a", "b"]) == ["X", "X"]
     assert tagging.syntax(spark.createDataFrame([("a b.",)], "text string"), t).select(F.col("sentences")).first().sentences == 1
+
+
+def described(text, tagger):
+    """A text's columns token by token."""
+    out, now = [], []
+    for w in tagging.TOKEN.findall(text or ""):
+        now.append(w)
+        if w in tagging.ENDS:
+            out, now = [*out, now], []
+    out = [*out, now] if now else out
+    counts, phrases, before, words, constituents = Counter(), [], 0, 0, 0
+    for s in out:
+        tags = tagger.decode(s)
+        counts.update(tags)
+        solid = [t for w, t in zip(s, tags, strict=True) if t != "PUNCT" and w[0].isalnum()]
+        words += len(solid)
+        before += solid.index("VERB") if "VERB" in solid else len(solid)
+        constituents += tags.count("ADP") + (tags.count("VERB") if len(solid) > 1 else 0)
+        for inside, run in itertools.groupby(zip(s, tags, strict=True), lambda x: x[1] in tagging.PHRASE):
+            run = list(run) if inside else []
+            while run and run[-1][1] not in tagging.NOUNS:
+                run.pop()
+            constituents += len(run) > 1
+            phrases += [" ".join(w for w, _ in run)] if run else []
+    n = max(len(out), 1)
+    return dict(counts), phrases, len(out), before / n, constituents / words if words else 0.0, counts["SCONJ"] / n, counts["CCONJ"] / n
+
+
+def odd_texts(n):
+    rng = random.Random(4)
+    words = [*NOUNS, *ADJS, *VERBS, *"the a in of and or because . . ! ? , ' _ 3 2nd Zed ünknown x² 一".split()]
+    return [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 30, 300]))) for _ in range(n)] + [None, "", "...", "the. the", "word " * 3000]
+
+
+def test_columns_by_brute_force(spark, tagger, monkeypatch):
+    """Sentences of all lengths together, few and many, and words forgotten on the way."""
+    monkeypatch.setattr(tagging, "KEPT", 60)
+    texts = odd_texts(150)
+    for together in (1, 7, 512):
+        met = tagging.Met(tagger)
+        got = [r for i in range(0, len(texts), together) for r in zip(*[c.to_pylist() for c in tagging._described(texts[i : i + together], met)], strict=True)]
+        assert [(dict(r[0]), *r[1:]) for r in got] == [described(t, tagger) for t in texts]
+
+
+def test_endings_are_weighed_once(tagger, monkeypatch):
+    """Unknown words of one shape and end share what their endings say."""
+    seen = []
+    monkeypatch.setattr(tagging.Tagger, "_by_ending", lambda self, word, by=tagging.Tagger._by_ending: (seen.append(word), by(self, word))[1])
+    tagger._met.clear()
+    tagger.decode([f"{a}{b}{c}ation" for a in "bcdfg" for b in "aeiou" for c in "klmnp"])
+    assert len(seen) == 1
