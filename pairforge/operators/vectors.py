@@ -34,7 +34,7 @@ WORD = r"[\p{L}\p{N}]+"
 WINDOW, WIDTH, EXTRA, POWERS, LEAST = 4, 32, 8, 2, 2
 #: Characters of the texts that meet their words together; words whose pairs are counted together; pairs of a block, before equal ones are added up; parts
 #: of a block that are added up by themselves, to a side; columns of a thin matrix that travel together.
-CHUNK, PIECE, BLOCK, PARTS, TOGETHER = 24_000_000, 1 << 20, 60_000_000, 3, 8
+CHUNK, PIECE, BLOCK, PARTS, TOGETHER = 24_000_000, 1 << 20, 24_000_000, 2, 6
 
 
 def words_of(text: str) -> Column:
@@ -136,10 +136,10 @@ def _counted(numbers: DataFrame, window: int, side: int) -> DataFrame:
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids in pieces(batches):
-            for begin in range(0, len(ids), 2 * PIECE):
+            for begin in range(0, len(ids), PIECE):
                 keys = []
                 for d in range(1, window + 1):
-                    b = ids[begin + d : begin + 2 * PIECE + d]
+                    b = ids[begin + d : begin + PIECE + d]
                     a = ids[begin : begin + len(b)]
                     both = (a >= 0) & (b >= 0)
                     a, b = a[both].astype(np.int64), b[both].astype(np.int64)
