@@ -290,6 +290,22 @@ class Shard:
         return expand(self._symbols, _expansions(self._rules, self._base))
 
 
+#: How patterns of this kind end: white space, which looks ahead.
+_SPACES = r"|\s+(?!\S)|\s+"
+
+
+def _grouped(pattern: str) -> str:
+    """The same pattern, with the alternatives before its white space as one group.
+
+    The regex engine goes step by step through a pattern that looks ahead, each
+    alternative by itself; a group that does not look ahead is matched at once.
+    """
+    words = pattern.removesuffix(_SPACES)
+    if words == pattern or words.endswith("\\"):
+        return pattern
+    return f"(?:{words}){_SPACES}"
+
+
 _ENCODERS: dict[int, object] = {}
 
 
@@ -300,7 +316,7 @@ def _encoder(ranks: bytes, pattern: str):
     key = zlib.crc32(ranks)
     if key not in _ENCODERS:
         table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
-        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={"<|endoftext|>": len(table)})
+        _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=_grouped(pattern), mergeable_ranks=table, special_tokens={"<|endoftext|>": len(table)})
     return _ENCODERS[key]
 
 

@@ -60,6 +60,42 @@ def test_very_long_white_space(text):
     assert np.array(tokenfile._encode(encoder, text), "<u4").tobytes() == library(text)
 
 
+def rank_encoder():
+    with open(RANKS, "rb") as f:
+        return tokenfile._encoder(f.read(), public_tokenizers.PATTERN)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet=" \n\t\x85\u3000\x1caé'sdlvr.1日٣", max_size=40), st.text(alphabet="'sdlt ", max_size=40)))
+def test_rank_form(text):
+    assert tokenfile._encode(rank_encoder(), text).astype("<u4").tobytes() == library(text)
+
+
+def test_words_are_matched_at_once():
+    """Common words take well under the time that they take by the pattern as it is given."""
+    import time
+
+    import tiktoken
+
+    ours = rank_encoder()
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ours._mergeable_ranks, special_tokens=ours._special_tokens)
+    text, times = " the" * 100_000, []
+    for encoder in (plain, ours):
+        runs = []
+        for _ in range(7):
+            began = time.process_time()
+            ids = encoder.encode_to_numpy(text)
+            runs.append(time.process_time() - began)
+        assert ids.astype("<u4").tobytes() == library(text)
+        times.append(min(runs))
+    assert times[1] < 0.7 * times[0]
+
+
+@pytest.mark.parametrize(("pattern", "grouped"), [(r"a|b|\s+(?!\S)|\s+", r"(?:a|b)|\s+(?!\S)|\s+"), (r"a|\s+", r"a|\s+"), (r"a\|\s+(?!\S)|\s+", r"a\|\s+(?!\S)|\s+")])
+def test_other_patterns(pattern, grouped):
+    assert tokenfile._grouped(pattern) == grouped
+
+
 def test_very_long_white_space_in_files(spark):
     text = "a" + "\n" * 1_000_010 + "x"
     path = tokenfile.write(spark.createDataFrame([(1, text), (2, "b")], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN)
