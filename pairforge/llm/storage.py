@@ -84,3 +84,13 @@ def working(name: str, clear: Callable[[], None] | None = None) -> None:
         with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
             ctypes.CDLL(None).malloc_trim(0)
     _LAST = name
+
+
+def keep_freed() -> None:
+    """Let a worker keep some memory that it frees, for functions that make arrays of a few MB over and over.
+
+    glibc gives freed memory back until it has seen a larger block go; every
+    array would then be faulted in again page by page. The block here is never
+    written, so it takes no memory; what stays is 48 MB at most.
+    """
+    np.empty(24 << 20, np.uint8)

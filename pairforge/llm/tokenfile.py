@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegralType, _parse_datatype_string
 
-from pairforge.llm.storage import scratch_path, working
+from pairforge.llm.storage import keep_freed, scratch_path, working
 
 MAGIC = b"RPR1"
 #: Columns of the files.
@@ -200,6 +200,23 @@ def _width(symbols: int) -> int:
     return 3 if symbols <= 1 << 24 else 4
 
 
+def _narrowed(symbols: np.ndarray, width: int) -> bytes:
+    """The first ``width`` bytes of each symbol; byte by byte, as numpy is slow at copying rows of three."""
+    wide, out = symbols.astype("<u4").view(np.uint8).reshape(-1, 4), np.empty((len(symbols), width), np.uint8)
+    for i in range(width):
+        out[:, i] = wide[:, i]
+    return out.tobytes()
+
+
+def _widened(packed: np.ndarray, width: int) -> np.ndarray:
+    """The symbols of ``width`` bytes each."""
+    rows = packed.reshape(-1, width)
+    wide = np.zeros((len(rows), 4), np.uint8)
+    for i in range(width):
+        wide[:, i] = rows[:, i]
+    return wide.view("<u4").ravel()
+
+
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> bytes:
     """One shard's bytes; ``ids`` has each document's ids, the end id included."""
     sizes = np.array([len(x) for x in ids], np.int64)
@@ -218,7 +235,7 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> bytes:
             bytes(x is None for x in doc_ids),
             first.tobytes(),
             (np.cumsum(sizes) - sizes).astype("<u4").tobytes(),
-            symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : _width(base + len(rules))].tobytes(),
+            _narrowed(symbols, _width(base + len(rules))),
         ]
     )
 
@@ -244,9 +261,7 @@ class Shard:
         self.doc_ids = [None if m else n for n, m in zip(numbers.tolist(), missing.tolist(), strict=True)]
         self._first, self.starts = take("<u4", docs), take("<u4", docs)
         width = _width(base + n_rules)
-        packed = np.zeros((n_symbols, 4), np.uint8)
-        packed[:, :width] = take("u1", width * n_symbols).reshape(-1, width)
-        self._symbols = packed.view("<u4").ravel()
+        self._symbols = _widened(take("u1", width * n_symbols), width)
 
     def __len__(self) -> int:
         return len(self.doc_ids)
@@ -365,6 +380,7 @@ def write(df: DataFrame, ranks_path: str, pattern: str, path: str | None = None,
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("tokenfile", _ENCODERS.clear)
+        keep_freed()
         encoder = _encoder(shared.value, pattern)
         base, part = encoder.max_token_value + 1, TaskContext.get().partitionId()
         names: list = []

@@ -117,6 +117,15 @@ def test_grammar_round_trip(documents):
     assert (tokenfile.rule_lengths(shard._rules, 50_257) == shard.rule_lengths).all()
 
 
+@pytest.mark.parametrize("width", [3, 4])
+def test_width_of_symbols(width):
+    symbols = np.array([0, 1, 255, 256, 65_536, (1 << 8 * width) - 1], np.uint32)
+    packed = tokenfile._narrowed(symbols, width)
+    assert packed == b"".join(int(x).to_bytes(width, "little") for x in symbols)
+    assert (tokenfile._widened(np.frombuffer(packed, np.uint8), width) == symbols).all()
+    assert tokenfile._widened(np.frombuffer(b"", np.uint8), width).size == 0
+
+
 def pair_counts(symbols, last):
     """Occurrences that do not overlap of each pair within documents, from the left."""
     counts: dict = {}
