@@ -8,15 +8,12 @@ number of tables and the number of queries scale out and results are SQLite's ow
 
 from __future__ import annotations
 
-import hashlib
 import json
-import marshal
 import sqlite3
 import uuid
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from decimal import Decimal
-from itertools import batched, chain, islice
+from itertools import chain, islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,7 +24,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairforge.operators import fulltext
-from pairforge.plans import dialect
+from pairforge.plans import dialect, plain
+from pairforge.plans.digests import Digests, digests
+from pairforge.plans.digests import canonical_row as _canonical_row
 
 
 @dataclass
@@ -45,85 +44,11 @@ class ExecResult:
     digests: Digests | None = None
 
 
-@dataclass(frozen=True)
-class Digests:
-    """All rows of a result: their number, and digests of them as multisets (lower-case JSON; canonical) and in order."""
-
-    n_rows: int
-    multiset: str
-    canonical: str
-    sequence: str
-
-
-def _canonical_row(row: Sequence) -> str:
-    def value(v):
-        if isinstance(v, bytes):
-            v = v.decode("utf-8", "replace")
-        if isinstance(v, str):
-            return v.lower()
-        if isinstance(v, Decimal):
-            v = float(v)
-        if isinstance(v, float) and v.is_integer():
-            return int(v)
-        return v if v is None or isinstance(v, (int, float, bool)) else str(v).lower()
-
-    return json.dumps([value(v) for v in row], ensure_ascii=False)
-
-
 def canonical(rows: Sequence[Sequence]) -> list[str]:
     """Rows as sorted JSON: strings lower-case, bytes decoded, whole floats as integers, nulls kept."""
     return sorted(map(_canonical_row, rows))
 
 
-def _digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=32).digest(), "little")
-
-
-#: Values that the lower-case JSON of a row has in their canonical form.
-_PLAIN = {str, int, type(None)}
-
-
-def _row_digests(r: Sequence) -> tuple[bytes, int, int]:
-    """A row's text in a sequence, and its digests in lower case and canonical."""
-    text = json.dumps(list(r), ensure_ascii=False, default=str)
-    low = canonical_ = _digest(text.lower())
-    if not _PLAIN.issuperset(map(type, r)):
-        text = json.dumps([int(v) if isinstance(v, float) and v.is_integer() else v for v in r], ensure_ascii=False, default=str)
-        canonical_ = _digest(_canonical_row(r))
-    return text.encode("utf-8", "surrogatepass") + b"\n", low, canonical_
-
-
-#: Rows whose digests are remembered.
-_SEEN = 200_000
-
-
-def digests(rows: Iterable[Sequence], seen: dict[bytes, tuple[bytes, int, int]] | None = None) -> Digests:
-    """One pass over the rows, none of which is held. A multiset's digest is the sum of its rows' digests.
-
-    ``seen`` remembers rows for the next results of the same table (tuples of SQLite's types).
-    """
-    n, multiset, canonical_, sequence = 0, 0, 0, hashlib.blake2b(digest_size=32)
-    for some in batched(rows, 1000):
-        if seen is None:
-            each = [_row_digests(r) for r in some]
-        else:
-            each = []
-            for r in some:
-                key = marshal.dumps(r, 2)  # tells 1 from 1.0, and 0.0 from -0.0
-                got = seen.get(key)
-                if got is None:
-                    if len(seen) >= _SEEN:
-                        seen.clear()
-                    got = seen[key] = _row_digests(r)
-                each.append(got)
-        n += len(each)
-        texts, low, canonicals = zip(*each, strict=True)
-        sequence.update(b"".join(texts))
-        multiset += sum(low)
-        canonical_ += sum(canonicals)
-    return Digests(n, *(f"{x % (1 << 256):064x}" for x in (multiset, canonical_)), sequence.hexdigest())
-
-
 def same_result(a: ExecResult, b: ExecResult, ordered: bool = False) -> bool | None:
     """Equal results: as multisets, or row by row. An error equals nothing.
 
@@ -273,6 +198,15 @@ def run_sqlite(con: sqlite3.Connection, sql: str, steps: int = 50_000_000, most:
     return ExecResult("rows" if found.n_rows else "empty", names, [list(r) for r in first], None if found.n_rows else "No result found", found.n_rows > most, found)
 
 
+def run_plain(table: plain.Table | None, sql: str | None, most: int = 10_000, seen: dict | None = None) -> ExecResult | None:
+    """As :func:`run_sqlite`, for a query that needs no scan of its own (without the names of its columns); None for others."""
+    found = table and table.answer(sql, most, seen)
+    if not found:
+        return None
+    rows, all_ = found
+    return ExecResult("rows" if all_.n_rows else "empty", [], [list(r) for r in rows], None if all_.n_rows else "No result found", all_.n_rows > most, all_)
+
+
 #: Queries that travel with one copy of their table, at least and at most (twice the table's rows between them, so that
 #: copies grow no faster than queries do); groups of a table up to which equal queries stay together; results that are sent back together.
 GROUP, GROUP_MOST, TOGETHER, SENT = 256, 1 << 18, 16, 64
@@ -318,7 +252,7 @@ def execute_all(queries: DataFrame, tables: DataFrame, sql: str = "sql", table_i
     ``tables`` has (id, name, header, types, rows). Queries travel in the groups of
     :func:`with_tables`, and a table is sent and loaded once for each group; a table with
     a million queries is many groups, which any task may run. Equal queries of a group
-    are run once. Rows without a table get an error.
+    are run once, and plain filters by :mod:`plain` without a scan of SQLite's for each. Rows without a table get an error.
     """
     kept = [f for f in queries.schema.fields if f.name not in _RESULT_NAMES]
     schema = T.StructType([*kept, *T._parse_datatype_string(RESULT).fields])
@@ -326,8 +260,20 @@ def execute_all(queries: DataFrame, tables: DataFrame, sql: str = "sql", table_i
 
     joined = with_tables(queries.select(*[f"`{f.name}`" for f in kept]), tables, table_id, sql)
 
-    def ran(con: sqlite3.Connection | None, q: str | None, seen: dict) -> dict:
-        r = ExecResult("error", error="no such table") if con is None else run_sqlite(con, q, most=most, seen=seen)
+    def asked_of(con: sqlite3.Connection | None, table: plain.Table | None, q: str | None, seen: dict, names: dict) -> ExecResult:
+        if con is None:
+            return ExecResult("error", error="no such table")
+        found = run_plain(table, q, most, seen)
+        if found is None:
+            return run_sqlite(con, q, most=most, seen=seen)
+        shape = plain.constants(q)[0]
+        if shape not in names:
+            names[shape] = [d[0] for d in con.execute(q).description]
+        found.columns = names[shape]
+        return found
+
+    def ran(con: sqlite3.Connection | None, table: plain.Table | None, q: str | None, seen: dict, names: dict) -> dict:
+        r = asked_of(con, table, q, seen, names)
         outcome = r.digests and {"n_rows": r.digests.n_rows, "multiset": r.digests.multiset, "canonical": r.digests.canonical, "sequence": r.digests.sequence}
         return {"status": r.status, "columns": r.columns, "result": [json.dumps(v, ensure_ascii=False, default=str) for v in r.rows], "error": r.error, "truncated": r.truncated, "outcome": outcome}
 
@@ -336,16 +282,17 @@ def execute_all(queries: DataFrame, tables: DataFrame, sql: str = "sql", table_i
             for i in range(batch.num_rows):
                 asked = by_query(batch.column(0)[i].values, sql)
                 name, header, types, data = (c[i].as_py() for c in batch.columns[1:])
-                con = None
+                con = table = None
                 if header is not None:
                     con = sqlite3.connect(":memory:")
                     load_sqlite(con, name, header, types or [], data or [])
-                seen, last = {}, None
+                    table = plain.Table(con, name)
+                seen, names, last = {}, {}, None
                 for begin in range(0, len(asked), SENT):
                     out = []
                     for row in asked.slice(begin, SENT).to_pylist():
                         if last is None or last[0] != row[sql]:
-                            last = row[sql], ran(con, row[sql], seen)
+                            last = row[sql], ran(con, table, row[sql], seen, names)
                         out.append(row | last[1])
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
                 if con is not None:
