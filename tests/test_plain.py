@@ -116,3 +116,15 @@ def test_a_changed_table_shares_equal_columns():
     for sql in ("SELECT Who FROM t_2 WHERE Who = 'Ann'", "SELECT Segment FROM t_2 WHERE Balance > 3", "SELECT Who, Balance FROM t_2 ORDER BY Balance DESC, Who"):
         assert _same(con, other, sql, 10)
     assert runner.run_plain(other, "SELECT Who FROM t_2 WHERE Who = 'Ann'", 0).digests == runner.run_plain(table, "SELECT `Customer Name` FROM t_1 WHERE `Customer Name` = 'Ann'", 0).digests
+
+
+def test_pairs_of_a_query_and_its_variants_know_the_answer():
+    """Capitals and spaces make no other query: the second of a pair is answered by the first; a reversed one by its own order."""
+    con, table = _table(80, 4)
+    gold = "SELECT `Customer Name` FROM t_1 WHERE `Balance` > 2"
+    first = runner.run_plain(table, gold, 0)
+    known = len(table.answers)
+    assert runner.run_plain(table, gold.upper().replace(" ", "  ").replace("CUSTOMER  NAME", "CUSTOMER NAME"), 0).digests is first.digests and len(table.answers) == known
+    down = runner.run_plain(table, gold + " ORDER BY `Cust No` DESC", 0)
+    assert (down.digests.canonical, down.digests.n_rows) == (first.digests.canonical, first.digests.n_rows) and down.digests.sequence != first.digests.sequence
+    assert down.digests == runner.run_sqlite(con, gold + " ORDER BY `Cust No` DESC", most=0).digests
