@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -159,6 +159,46 @@ def repair(sql: str, change: Change) -> str:
     return sql
 
 
+#: Whole numbers of a query, and what is read over; the numbers that stand for them while it is repaired.
+_NUMBER = re.compile(r"`[^`]*`|\[[^\]]*\]|\"(?:[^\"]|\"\")*\"|'(?:[^']|'')*'|[A-Za-z_][\w$]*|(?<![\w.])(\d+)(?![\w.])")
+_MARK, _MARKED = "990099", re.compile(r"990099(\d{3})")
+
+
+def repeated_repair(change: Change, then: Callable[[str], str] = str) -> Callable[[str], str]:
+    """:func:`repair` (and ``then`` of what is answerable) for many queries, those that differ in whole numbers once.
+
+    Names are found by the tokens that they are, or by a search for the columns' text; numbers are neither
+    where no column's name has a digit.
+    """
+    known: dict[str, list[str]] = {}
+    alone = any(c.isdigit() for name in (*change.columns, *change.names) for c in name)
+
+    def direct(sql: str) -> str:
+        new = repair(sql, change)
+        return new if new == UNANSWERABLE else then(new)
+
+    def repaired(sql: str) -> str:
+        numbers: list[str] = []
+
+        def mark(m: re.Match) -> str:
+            if m[1] is None:
+                return m[0]
+            numbers.append(m[1])
+            return f"{_MARK}{len(numbers) - 1:03d}"
+
+        if alone or not sql or _MARK in sql or "--" in sql or "/*" in sql:
+            return direct(sql)
+        form = _NUMBER.sub(mark, sql)
+        if len(numbers) > 999:
+            return direct(sql)
+        if form not in known:
+            known[form] = _MARKED.split(direct(form))
+        parts = known[form]
+        return parts[0] if len(parts) == 1 else "".join(numbers[int(x)] if i % 2 else x for i, x in enumerate(parts))
+
+    return repaired
+
+
 @vectorised("string")
 def _repair_rename(sql: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([None if q is None else rename_in(q, dict(n) if n is not None else {}) for q, n in zip(sql, names, strict=True)])

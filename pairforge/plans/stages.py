@@ -26,8 +26,9 @@ from pairforge.functions import answers
 from pairforge.functions.udf import vectorised
 from pairforge.operators import evolution, filters, rows, translation
 from pairforge.operators.corruption import Draw
+from pairforge.plans import plain
 from pairforge.plans.dialect import rename_table, to_physical
-from pairforge.plans.runner import SENT, ExecResult, by_query, correct, load_sqlite, run_sqlite, same_result, with_tables
+from pairforge.plans.runner import SENT, ExecResult, by_query, correct, load_sqlite, run_plain, run_sqlite, same_result, with_tables
 
 TextModel = Callable[[str], str]
 
@@ -176,7 +177,8 @@ def evolve(df: DataFrame, tables: DataFrame, make=rule_change, kinds: Sequence[s
     choice for each row. Values of untouched columns are kept by construction
     and checked for the number of rows. Whole results are compared as multisets;
     ``db_result_after_change`` holds the first ``most`` rows. In a group, each changed table is
-    made once, and equal queries are run once on each table.
+    made once, and equal queries are run once on each table; plain filters over columns that
+    a change leaves as they are have one answer on both tables.
     """
     kept = df.schema.fields
     schema = T.StructType([*kept, *T._parse_datatype_string(EVOLVED).fields])
@@ -215,27 +217,29 @@ def evolve(df: DataFrame, tables: DataFrame, make=rule_change, kinds: Sequence[s
         base = sqlite3.connect(":memory:")
         load_sqlite(base, name, header, types, data)
         base.commit()  # a copy waits for open transactions
+        held = plain.Table(base, name)
         seen: dict = {}
         before: dict[str | None, ExecResult] = {}
         for (new_id, _, _), (change, places) in changes.items():
             new_name = "table_" + new_id.replace("-", "_")
-            con, last = None, None
+            con, changed, last = None, None, None
+            repaired = evolution.repeated_repair(change, lambda q, new_name=new_name: rename_table(q, name, new_name))
             for begin in range(0, len(places), SENT):
                 for r in asked.take(pa.array(places[begin : begin + SENT])).to_pylist():
                     q = r[sql]
                     if last is None or last[0] != q:
-                        new_sql = evolution.repair(q, change)
+                        new_sql = repaired(q)
                         if new_sql == evolution.UNANSWERABLE:
                             last = q, (change.kind, new_id, new_sql, evolution.UNANSWERABLE, [], False, None, False)
                         else:
-                            new_sql = rename_table(new_sql, name, new_name)
                             if con is None:
                                 con = sqlite3.connect(":memory:")
                                 base.backup(con)
                                 load_sqlite(con, new_name, *evolution.evolve_rows(header, types, data, change, seed))
+                                changed = plain.Table(con, new_name, held)
                             if q not in before:
-                                before[q] = run_sqlite(base, q, most=0, seen=seen)
-                            after = run_sqlite(con, new_sql, most=most, seen=seen)
+                                before[q] = run_plain(held, q, 0, seen) or run_sqlite(base, q, most=0, seen=seen)
+                            after = run_plain(changed, new_sql, most, seen) or run_sqlite(con, new_sql, most=most, seen=seen)
                             good = after.status == "rows" if change.kind in ("add_column", "rename_column") else after.status != "error"
                             last = q, (change.kind, new_id, new_sql, after.status, [json.dumps(x, ensure_ascii=False, default=str) for x in after.rows], after.truncated, same_result(before[q], after), good)
                     yield r, last[1]

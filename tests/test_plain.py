@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import sqlite3
 
+import pyarrow as pa
 import pytest
 
 from pairforge.plans import corpus, plain, runner
@@ -128,3 +129,43 @@ def test_pairs_of_a_query_and_its_variants_know_the_answer():
     down = runner.run_plain(table, gold + " ORDER BY `Cust No` DESC", 0)
     assert (down.digests.canonical, down.digests.n_rows) == (first.digests.canonical, first.digests.n_rows) and down.digests.sequence != first.digests.sequence
     assert down.digests == runner.run_sqlite(con, gold + " ORDER BY `Cust No` DESC", most=0).digests
+
+
+def test_repeated_repairs_are_those_of_each_query():
+    """Columns with digits, names in texts, numbers beside names, and queries that already hold the mark."""
+    from pairforge.operators import evolution
+    from pairforge.plans.dialect import rename_table
+
+    queries = [t.format(t="table_1_1_3", x=x, y=x + 4000, s="BUILDING", p="bu", l=x % 3) for t in corpus.TEMPLATES for x in (7, 990099000, 9900)]
+    queries += ["SELECT `Cust No`, 5, Balance FROM table_1_1_3 WHERE 3 > Balance -- 5", "SELECT CONCAT(`Balance`, Segment, 12) FROM table_1_1_3 LIMIT 3", "SELECT 1.5, Balance1, 2e3 FROM table_1_1_3 WHERE Segment = 'Cust No 5' AND x5 < 6", ""]
+    changes = [
+        evolution.Change("add_column", new={"Note 1": ("a",)}),
+        evolution.Change("remove_column", columns=("Balance",)),
+        evolution.Change("remove_column", columns=("No 5",)),
+        evolution.Change("rename_column", names={"Cust No": "Cust No (2)", "Balance": "Balance2"}),
+        evolution.Change("split_column", columns=("Customer Name",), new={"Customer Name 1": (), "Customer Name 2": ()}, separator=" "),
+        evolution.Change("merge_column", columns=("Segment", "Balance"), new={"Segment and Balance 7": ()}),
+    ]
+    for change in changes:
+        repaired = evolution.repeated_repair(change, lambda q: rename_table(q, "table_1_1_3", "table_m_12"))
+        for q in queries * 2:
+            want = evolution.repair(q, change)
+            assert repaired(q) == (want if want == evolution.UNANSWERABLE else rename_table(want, "table_1_1_3", "table_m_12")), (q, change)
+
+
+def test_an_evolution_scans_no_table_for_a_plain_filter(spark, monkeypatch):
+    """300 thresholds before and after a change; SQLite's steps were those of a scan for each of them."""
+    from pairforge.plans import stages
+
+    kept: list = []
+    monkeypatch.setattr(stages, "with_tables", lambda *a, **k: type("Groups", (), {"mapInArrow": lambda self, work, schema: kept.append(work)})())
+    asked = []
+    monkeypatch.setattr(stages, "run_sqlite", lambda con, q, **k: asked.append(q) or runner.run_sqlite(con, q, **k))
+    rows = [{"row_id": i, "table_id": "1", "sql": f"SELECT `Customer Name` FROM t_1 WHERE `Balance` > {i}"} for i in range(300)]
+    stages.evolve(spark.createDataFrame(rows, "row_id int, table_id string, sql string"), None, most=0)
+    data = [[str(i), f"name {i}", "AUTO", str(i % 97)] for i in range(400)]
+    batch = pa.RecordBatch.from_pylist([{"asked": rows, "name": "t_1", "header": HEADER[:4], "types": TYPES[:4], "rows": data}])
+    out = [r for b in kept[0](iter([batch])) for r in b.to_pylist()]
+    merged = [r for r in out if r["new_sql"] != "unanswerable"]
+    assert len(out) == 300 and len(merged) > 100 and all(r["db_query_match"] and r["accepted"] == (r["row_id"] < 96 or "merge" in r["schema_change_type"] or "remove" in r["schema_change_type"] or "split" in r["schema_change_type"]) for r in merged)
+    assert not asked
