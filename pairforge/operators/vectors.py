@@ -27,14 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.session import removed, shuffles_dropped, written
+from pairforge.session import bucketed, removed, shuffles_dropped, written
 
 #: Words of a text, as Java's and RE2's expressions read it.
 WORD = r"[\p{L}\p{N}]+"
 WINDOW, WIDTH, EXTRA, POWERS, LEAST = 4, 32, 8, 2, 2
 #: Characters of the texts that meet their words together; words whose pairs are counted together; pairs of a block, before equal ones are added up; parts
 #: of a block that are added up by themselves, to a side; columns of a thin matrix that travel together.
-CHUNK, PIECE, BLOCK, PARTS, TOGETHER = 24_000_000, 1 << 20, 24_000_000, 2, 6
+CHUNK, PIECE, BLOCK, PARTS, TOGETHER = 24_000_000, 1 << 20, 24_000_000, 2, 24
 
 
 def words_of(text: str) -> Column:
@@ -168,7 +168,8 @@ def _pair_counts(df: DataFrame, text: str, window: int, least: int) -> tuple[Dat
     words = known.agg(F.sum("c")).first()[0] or 0
     side = math.ceil(math.sqrt(2 * window * words / BLOCK)) or 1
     numbers = written(_numbers(df, known, text), "numbers")
-    counted = written(_counted(numbers, window, side), "cooccurrences")
+    # each product groups the pairs by block: they are dealt out once, and stay there
+    counted = bucketed(_counted(numbers, window, side), "cooccurrences", "block", min(side * (side + 1), 1000))
     removed(numbers)
     return known, counted, side
 
@@ -319,12 +320,15 @@ def _block_product(counted: DataFrame, thin: DataFrame, columns: range, side: in
 
 
 def _whole_product(counted: DataFrame, thin: DataFrame, n: int, side: int, total: int) -> DataFrame:
-    """Rows (id, m, x): all columns of the product, some at a time, so that less is on disk; written."""
+    """Rows (id, m, x): all columns of the product, some at a time where there are many; written."""
+    whole = F.array(*[f"x{k}" for k in range(n)]).alias("x")
+    if n <= TOGETHER:
+        return written(_block_product(counted, thin, range(n), side, total).select("id", "m", whole), "product")
     parts = [written(_block_product(counted, thin, range(k, min(k + TOGETHER, n)), side, total), f"columns_{k}") for k in range(0, n, TOGETHER)]
     joined = parts[0]
     for part in parts[1:]:
         joined = joined.join(part.drop("m"), "id")
-    out = written(joined.select("id", "m", F.array(*[f"x{k}" for k in range(n)]).alias("x")), "product")
+    out = written(joined.select("id", "m", whole), "product")
     for part in parts:
         removed(part)
     return out

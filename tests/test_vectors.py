@@ -103,3 +103,19 @@ def test_pairs_before_the_shuffle(spark):
     df = spark.createDataFrame([(i, "alpha beta gamma delta " * 50) for i in range(20)], "id int, text string").repartition(1)
     known, counted, _ = vectors._pair_counts(df, "text", 4, 2)
     assert known.count() == 4 and sum(len(r.a) for r in counted.collect()) == 10
+
+
+def test_pairs_are_dealt_to_their_blocks_once(spark):
+    """A product reads each block's pairs where they are; they travelled again for every few columns of each product."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(f"a{i % 7} b{i % 5} c{i % 3}",) for i in range(60)], "text string")
+    known, counted, side = vectors._pair_counts(df, "text", 2, 2)
+    thin = known.select("id", F.lit(10).cast("bigint").alias("m"), F.array(F.lit(1.0), F.lit(2.0)).alias("x"))
+    plan = vectors._block_product(counted, thin, range(2), side, 100)._jdf.queryExecution().executedPlan().toString()
+    pairs = plan[: plan.index("Bucketed: true")].rsplit("FlatMapCoGroupsInArrow", 1)[1]
+    assert "Exchange" not in pairs, plan
+    table = counted._written_as
+    assert spark.catalog.tableExists(table)
+    vectors.removed(counted)
+    assert not spark.catalog.tableExists(table)
